@@ -4,15 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import exact_dedup
+from strataloom.llm import exact_dedup, html_extraction, language_id, packing, quality_rules
 from strataloom.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary files lie on this machine; every executor has them at the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lr_score")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_language_id": op2_language_id,
+    "op5_quality_rules": op5_quality_rules,
+    "op10_best_fit_packing": op10_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
