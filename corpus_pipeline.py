@@ -1,4 +1,52 @@
-"""placeholder"""
-ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): ...
+"""The corpus pipeline: quality rules, exact and near deduplication, repeated strings, packing.
+
+Each stage works on the rows that the one before kept, written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strataloom.llm import exact_dedup, minhash, packing, quality_rules, suffix_dedup
+from strataloom.llm.common import Scratch, table
+from strataloom.llm.queries import tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; the weights are fitted to the documents given."""
+    rows = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"))
+    return rows.where("kept").select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the document with the smallest id."""
+    return exact_dedup.keep_first(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest id."""
+    return minhash.keep_smallest(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with strings that occur more than once cut out of their texts."""
+    return suffix_dedup.remove_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences and places."""
+    return packing.best_fit_packing(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("repeated strings", repeats), ("packing", pack)]
+
+ORACLE_SQL = None  # weights, shingle links, byte strings and token ids are out of SQL's reach
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark)
+    for _, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+    scratch.drop(keep=1)
+    return docs

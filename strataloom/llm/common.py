@@ -68,3 +68,41 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     rest = first.where(F.col("_hot").isNull()).select(*rows.columns).join(cold, keys, "left")
     columns = [*rows.columns, *values]
     return first.where(F.col("_hot")).select(*columns).unionByName(rest.select(*columns))
+
+
+SIEVE_WORDS = 1 << 20
+"""Bound of a broadcast sieve: 2^20 words of 64 bits. A fuller sieve only lets more rows through."""
+
+
+def sieve(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ``ids`` (one column), and a few others; a map-side step with a bounded broadcast.
+
+    What must be exact comes after it; the sieve spares most other rows that step's shuffle.
+    """
+    slot = lambda c: F.pmod(F.shiftright(F.xxhash64(F.col(c)), 6), F.lit(SIEVE_WORDS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(xxhash64(`{c}`) & 63 as int))")
+    name = ids.columns[0]
+    bits = ids.groupBy(slot(name).alias("_slot")).agg(F.bit_or(bit(name)).alias("_bits"))
+    return rows.withColumn("_slot", slot(id_col)).join(F.broadcast(bits), "_slot").where(F.col("_bits").bitwiseAND(bit(id_col)) != 0).drop("_slot", "_bits")
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, comp): the smallest node reachable over links (a, b), for every node with a link to another.
+
+    Alternating large and small stars until the edges stop changing; no node's neighbours are gathered.
+    """
+    edges = scratch.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    seen = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.write(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = scratch.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if mark == seen:
+            roots = edges.select(F.col("v").alias("node")).distinct().withColumn("comp", F.col("node"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
+        seen = mark

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import exact_dedup, html_extraction, language_id, packing, quality_rules
+from strataloom.llm import chat_format, exact_dedup, html_extraction, language_id, line_dedup, minhash, packing, piece_tokens, quality_rules, suffix_dedup
 from strataloom.llm.common import table
 
 
@@ -23,15 +23,37 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op4_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_tokens.encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lr_score")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "text", "n_lines", "n_removed_lines")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_format(table(spark, sf_dir, "conversations"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -39,12 +61,28 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_language_id": op2_language_id,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_piece_tokens": op4_piece_tokens,
     "op5_quality_rules": op5_quality_rules,
-    "op10_best_fit_packing": op10_best_fit_packing,
+    "op6_minhash": op6_minhash,
+    "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_chat_format": op9_chat_format,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL = {
+    "op9_chat_format": r"""
+        WITH rows AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+        pos AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM rows),
+        pre AS (SELECT conv_id, k, count(*) OVER (PARTITION BY conv_id) AS n,
+                       list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY k) AS said FROM pos),
+        full_ AS (SELECT n, said, min(conv_id) AS conv_id FROM pre WHERE k = n GROUP BY n, said),
+        kept AS (SELECT conv_id FROM full_ f
+                 WHERE NOT EXISTS (SELECT 1 FROM pre p WHERE p.k = f.n AND p.n > f.n AND p.said = f.said))
+        SELECT conv_id, CAST((k - 1) // 512 AS INTEGER) AS part, count(*) AS n_turns,
+               string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY k) AS text
+        FROM pos JOIN kept USING (conv_id) GROUP BY conv_id, (k - 1) // 512""",
     "op8_exact_dedup": r"""
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, sha256(n) AS text_sha256
