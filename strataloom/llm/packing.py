@@ -9,6 +9,7 @@ is a few bins of thousands.
 from __future__ import annotations
 
 import zlib
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,13 @@ END_OF_TEXT = 0
 GROUP_PIECES = 50_000
 """Mean number of pieces that one task packs."""
 CACHED_CHUNKS = 400_000
-ENCODE_CHARS = 4_000_000
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: b if b in plain else next(others) for b in range(256)}
 
 
 class ChunkCache(dict):
@@ -32,51 +39,58 @@ class ChunkCache(dict):
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self[""] = b""
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (chunk[1:] if chunk[0] == " " else chunk).isalpha():  # one pre-token: the model alone gives its ids
+            ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        out = self[chunk] = pack_ids(f"<{len(ids)}I", *ids)
+        return out
+
+    def encode(self, text: str) -> bytes:
+        if len(self) > CACHED_CHUNKS:
+            self.clear()
+            self[""] = b""
+        return b"".join(map(self.__getitem__, chunks_of(text)))
+
 
-    def add(self, chunks: list[str]) -> None:
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            self[chunk] = np.array(got.ids, "<u4").tobytes()
+# Signs of uneven text, by the class of each character: letter or digit, [.,!], white space, other.
+CLASSES = bytes(ord("w" if chr(b).isalnum() else " " if chr(b).isspace() else "." if chr(b) in ".,!" else "-") for b in range(256))
+UNEVEN = (b" .", b"-.", b"..", b"  ")
+
+
+def even(text: str) -> bool:
+    """No runs of white space, and [.,!] only after letters and digits; other alphabets count as uneven before [.,!]."""
+    kinds = text.encode("latin-1", "replace").translate(CLASSES)
+    return not any(u in kinds for u in UNEVEN) and "\0" not in text
 
 
 def chunks_of(text: str) -> list[str]:
-    """Cuts where every byte-level BPE pre-tokenizer of this family starts a token: before a single space that
-    stands between two other characters. A text with other white space next to a space stays whole there."""
-    if not text:
-        return []
+    """Cuts where every byte-level BPE pre-tokenizer of this family starts a token.
+
+    In an even text that is before each space, around each line end, and before [.,!] after a letter or digit.
+    Elsewhere it is before a single space between two other characters.
+    """
+    if even(text):
+        return text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("!", "\0!").replace("\n", "\0\n\0").split("\0")
     parts = text.split(" ")
-    if "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts):
-        out, held = [], parts[0]
-        for p in parts[1:]:
-            if p and held and not p[0].isspace() and not held[-1].isspace():
-                out.append(held)
-                held = " " + p
-            else:
-                held += " " + p
-        return [*out, held]
-    return [parts[0], *[" " + p for p in parts[1:]]]
-
-
-def encode_texts(texts: list[str | None], cache: ChunkCache) -> list[bytes]:
-    """Token ids of each text, without an end mark."""
-    out: list[bytes] = []
-    at = 0
-    while at < len(texts):
-        end, chars = at, 0
-        while end < len(texts) and (end == at or chars < ENCODE_CHARS):
-            chars += len(texts[end] or "")
-            end += 1
-        cut = [chunks_of(t or "") for t in texts[at:end]]
-        if len(cache) > CACHED_CHUNKS:
-            cache.clear()
-        if new := set().union(*cut).difference(cache):
-            cache.add(list(new))
-        out += [b"".join(map(cache.__getitem__, c)) for c in cut]
-        at = end
-    return out
+    out, held = [], parts[0]
+    for p in parts[1:]:
+        if p and held and not p[0].isspace() and not held[-1].isspace():
+            out.append(held)
+            held = " " + p
+        else:
+            held += " " + p
+    return [*out, held]
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -89,23 +103,24 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     def run(batches):
         cache = ChunkCache(tokenizer_file)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a in range(0, len(texts), 1024):
-                rows = []
-                for k, raw in enumerate(encode_texts(texts[a : a + 1024], cache), a):
-                    raw += END_OF_TEXT.to_bytes(4, "little")
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                rows, kept = [], []
+                for k, text in enumerate(part.column(1).to_pylist()):
+                    raw = cache.encode(text or "") + END_OF_TEXT.to_bytes(4, "little")
                     n = len(raw) // 4
                     first = n - sequence * ((n - 1) // sequence)
                     start = 0
                     for piece, length in enumerate([first, *[sequence] * ((n - first) // sequence)]):
-                        part = raw[4 * start : 4 * (start + length)]
-                        rows.append((k, piece, start, length, zlib.crc32(part), part))
+                        rows.append((k, piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
                         start += length
-                where, piece, start, length, crc, part = zip(*rows)
-                columns = [ids.take(pa.array(where)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                    if with_ids:
+                        kept.append(raw)
+                where, piece, start, length, crc = zip(*rows)
+                columns = [part.column(0).take(pa.array(where)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 names = [id_col, "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    flat = pa.array(np.frombuffer(b"".join(part), "<u4").astype("int32"))
+                    flat = pa.array(np.frombuffer(b"".join(kept), "<u4").astype("int32"))
                     columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), flat))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
