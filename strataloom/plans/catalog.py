@@ -1,4 +1,4 @@
 """Every registered query of the engine, with equivalent SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from strataloom.plans import joins, vectors  # noqa: F401
+from strataloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
