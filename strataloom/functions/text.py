@@ -165,13 +165,16 @@ def mask_values(text: Column) -> Column:
     """Array of (kind, value, placeholder) of all personal values, in the order in which kinds are masked."""
     found, rest = F.array().cast("array<struct<kind: string, value: string, mark: string>>"), text
     for kind, pattern in MASKS:
-        own = F.array_distinct(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)))
-        mark = lambda v, kind=kind: F.concat(F.lit(f"<{kind}_"), F.substring(F.sha2(v, 256), 1, 8), F.lit(">"))
-        found = F.concat(found, F.transform(own, lambda v, kind=kind, mark=mark: F.struct(F.lit(kind).alias("kind"), v.alias("value"), mark(v).alias("mark"))))
+        found = F.concat(found, _marks(F.array_distinct(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))), kind))
         rest = F.regexp_replace(rest, pattern, " ")
     return found
 
 
+def _marks(values: Column, kind: str) -> Column:
+    mark = lambda v: F.concat(F.lit(f"<{kind}_"), F.substring(F.sha2(v, 256), 1, 8), F.lit(">"))
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), mark(v).alias("mark")))
+
+
 def mask(text: Column, values: Column) -> Column:
     """The text with each value replaced by its placeholder, longest first."""
     order = F.array_sort(values, lambda a, b: F.length(b["value"]) - F.length(a["value"]))
@@ -319,11 +322,10 @@ def discourse(text: Column) -> Column:
 
 def doc_type(text: Column, filename: Column) -> Column:
     name, head = F.lower(filename), F.substring(text, 1, 3000)
-    votes = [sum((head.rlike(p).cast("int") for p in patterns), F.lit(0)) for _, patterns in TYPE_SIGNATURES]
-    most = F.greatest(*votes)
-    by_vote = F.lit("generic")
-    for (kind, _), vote in reversed(list(zip(TYPE_SIGNATURES, votes))):
-        by_vote = F.when((vote == most) & (most >= 2), F.lit(kind)).otherwise(by_vote)
+    votes = F.array(*[sum((head.rlike(p).cast("int") for p in patterns), F.lit(0)) for _, patterns in TYPE_SIGNATURES])
+    first = F.transform(F.array(votes), lambda v: F.when(F.array_max(v) >= 2, F.array_position(v, F.array_max(v))).otherwise(0))
+    kinds = F.array(F.lit("generic"), *[F.lit(kind) for kind, _ in TYPE_SIGNATURES])
+    by_vote = F.element_at(kinds, (F.element_at(first, 1) + 1).cast("int"))
     out = F.when(name.rlike(r"\.(py|js|ts|java|cpp|go|rs)$"), F.lit("code")).otherwise(by_vote)
     for kind, words in reversed(TYPE_NAMES):
         out = F.when(has_any(name, words), F.lit(kind)).otherwise(out)

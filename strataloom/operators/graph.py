@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import vector as V
+from strataloom.sources.shared import cut
 
 
 def mentions_of(entities: DataFrame, contains: DataFrame) -> DataFrame:
@@ -91,27 +92,22 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, iteratio
     ``edges`` (a, b, weight) are directed; ``seeds`` (node) share the restart mass. A node's outgoing mass splits by
     weight; nodes without outgoing edges give theirs to the seeds. A round is two joins and one aggregation.
     """
-    spark = edges.sparkSession
+    edges = cut(edges)
     out = edges.groupBy("a").agg(F.sum("weight").alias("total"))
-    steps = edges.join(out, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("share"))
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    steps = cut(edges.join(out, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("share")))
+    nodes = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
     start = nodes.join(seeds.select("node").distinct(), "node", "left_semi")
     count = start.agg(F.count(F.lit(1)).alias("k"))
     restart = start.crossJoin(F.broadcast(count)).select("node", (F.lit(1.0) / F.col("k")).alias("p"))  # one row
-    base = nodes.join(restart, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p"), F.lit(0).alias("_"))
-    dangling = nodes.join(out.select(F.col("a").alias("node")), "node", "left_anti")
+    base = cut(nodes.join(restart, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p")))
+    dangling = cut(nodes.join(steps.select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
     ranks = base.select("node", F.col("p").alias("score"))
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    for k in range(iterations):
+    for _ in range(iterations):
         sent = ranks.join(steps, ranks["node"] == steps["a"]).groupBy("b").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         lost = ranks.join(dangling, "node", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        ranks = (
-            base.join(sent, base["node"] == sent["b"], "left")
-            .crossJoin(F.broadcast(lost))  # one row
-            .select("node", (damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - damping) * F.col("p")).alias("score"))
-        )
-        if folder and k % 5 == 4:  # where the cluster names a shared folder, the plan is cut there
-            ranks = ranks.checkpoint()
+        given = F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")
+        moved = base.join(sent, base["node"] == sent["b"], "left").crossJoin(F.broadcast(lost))  # one row
+        ranks = cut(moved.select("node", (damping * given + (1 - damping) * F.col("p")).alias("score")))
     return ranks
 
 
@@ -120,11 +116,12 @@ def label_rounds(edges: DataFrame, rounds: int = 5) -> DataFrame:
 
     Every node takes the label with the largest weight among its neighbours and itself; the smaller label wins ties.
     """
-    both = both_ways(edges.select("a", "b", "weight"))
+    both = cut(both_ways(edges.select("a", "b", "weight")))
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     own = labels.select("node", "node", F.lit(1e-9)).toDF("a", "b", "weight")
     links = both.unionByName(own)
     for _ in range(rounds):
         votes = links.join(labels, links["b"] == labels["node"]).groupBy("a", "label").agg(F.sum("weight").alias("w"))
-        labels = votes.groupBy("a").agg(F.max_by("label", F.struct(F.round("w", 9), -F.col("label"))).alias("label")).withColumnRenamed("a", "node")
+        best = votes.groupBy("a").agg(F.max_by("label", F.struct(F.round("w", 9), -F.col("label"))).alias("label"))
+        labels = cut(best.withColumnRenamed("a", "node"))
     return labels
