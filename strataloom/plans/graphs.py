@@ -98,7 +98,7 @@ def str_first_per_minute(spark, d):
     return E.drain(E.first_per_minute(E.stream(spark, d)).select("event_id", "user_id", "event_type", "minute"), spark, folder(spark))
 
 
-@query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM r WHERE k <= 500 GROUP BY 1""")
+@query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, count(*) AS n, round(avg(value), 9) AS mean FROM r WHERE k <= 500 GROUP BY 1""")
 def str_4_rolling_mean(spark, d):
-    rows = E.rolling_mean(E.stream(spark, d)).select("user_id", "n", F.round("mean", 6).alias("mean"))
+    rows = E.rolling_mean(E.stream(spark, d)).select("user_id", "n", F.round("mean", 9).alias("mean"))
     return E.drain(rows, spark, folder(spark), "update")

@@ -16,20 +16,25 @@ def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).format("parquet").load(f"{sf_dir}/{name}.parquet*")
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """Watermarks need a time with a zone; times without one are taken in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and mean value per type and tumbling window; later events than ``late`` are dropped."""
-    grouped = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
+    grouped = timed(events).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).select(F.col("window.start").alias("start"), "event_type", "n", "mean")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    grouped = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
+    grouped = timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
     return grouped.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
 def first_per_minute(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """One event per user, type and minute."""
-    marked = events.withColumn("minute", F.date_trunc("minute", "ts")).withWatermark("ts", late)
+    marked = timed(events).withColumn("minute", F.date_trunc("minute", "ts")).withWatermark("ts", late)
     return marked.dropDuplicatesWithinWatermark(["user_id", "event_type", "minute"])
 
 
