@@ -81,7 +81,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = sample.groupBy(F.col("doc_id").alias("_id")).agg(F.min("_good").alias("_good"))
     marked = _features(base.join(F.broadcast(ids), "_id", "left"))
     counts = (
-        marked.select("_good", F.explode("_features").alias("_slot"))
+        marked.select("_good", F.explode_outer("_features").alias("_slot"))
+        .where(F.col("_slot").isNotNull())
         .groupBy("_slot")
         .agg(F.count(F.lit(1)).alias("raw"), F.count(F.when(F.col("_good") == 1, 1)).alias("good"))
         .collect()  # FEATURES rows at most
@@ -94,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if all_good <= SMOOTHING * FEATURES:
         return [0.0] * FEATURES, float("-inf")
     weights = [math.log(g / all_good) - math.log(r / all_raw) for g, r in zip(good, raw)]
-    scored = _features(base.join(F.broadcast(ids), "_id")).where(F.col("_n") > 0).select("_good", score(weights).alias("_s"))
+    scored = _features(base.join(F.broadcast(ids), "_id")).select("_good", score(weights).alias("_s"))
     return weights, split([(r["_s"], r["_good"]) for r in scored.collect()])  # 2 * LABELLED_ROWS rows at most
 
 
@@ -147,5 +148,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     good = F.lit(True) if threshold == float("-inf") else F.col("lr_score") >= F.lit(threshold)
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & good)
+    # Never false; as it may not be moved, filters on the result stay above it. Moved below, they would put whole
+    # array expressions inside lambdas, to be evaluated for every element.
+    fence = F.monotonically_increasing_id() >= 0
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & good & fence)
     return out.drop("_words", "_n", "_hw", "_hp", "_features", "_tri", "_order", "_lines")
