@@ -15,43 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import WHITE, Scratch, join_groups
+from strataloom.llm import golomb
+from strataloom.llm.common import WHITE, Scratch, join_groups, sieve
 
 BUNDLE_ROWS = 1 << 20
 OWNER_FINGERPRINTS = 500_000
 FALSE_SUSPECT_BITS = 12
 """A fingerprint keeps log2(rows) + FALSE_SUSPECT_BITS bits: about one row in 4096 is a false suspect."""
-SIEVE_WORDS = 1 << 20
-"""Bound of the broadcast sieve: 2^20 words of 64 bits. A fuller sieve only lets more rows through."""
-
-
-def golomb_encode(values: np.ndarray, low_bits: int) -> bytes:
-    """Sorted non-negative integers as a Rice-coded difference list: all unary parts, then all low bits."""
-    gaps = np.diff(values, prepend=np.uint64(0)).astype(np.uint64)
-    ends = np.cumsum((gaps >> np.uint64(low_bits)).astype(np.int64) + 1)
-    unary = np.ones(int(ends[-1]) if len(ends) else 0, np.uint8)
-    unary[ends - 1] = 0
-    shifts = np.arange(low_bits, dtype=np.uint64)
-    low = ((gaps[:, None] >> shifts) & np.uint64(1)).astype(np.uint8)
-    head = np.array([len(gaps), low_bits, len(unary)], "<u4").tobytes()
-    return head + np.packbits(unary).tobytes() + np.packbits(low.ravel()).tobytes()
-
-
-def golomb_decode(blob: bytes) -> np.ndarray:
-    n, low_bits, n_unary = (int(x) for x in np.frombuffer(blob, "<u4", 3))
-    cut = 12 + (n_unary + 7) // 8
-    unary = np.unpackbits(np.frombuffer(blob[12:cut], np.uint8), count=n_unary)
-    quotients = np.diff(np.flatnonzero(unary == 0), prepend=-1).astype(np.uint64) - np.uint64(1)
-    low = np.unpackbits(np.frombuffer(blob[cut:], np.uint8), count=n * low_bits).reshape(n, low_bits)
-    rest = (low.astype(np.uint64) << np.arange(low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return np.cumsum((quotients << np.uint64(low_bits)) + rest, dtype=np.uint64)
-
-
-def _by_owner(hashes: pd.Series, bits: int, owner_bits: int):
-    """Distinct shortened fingerprints of a bundle, how often each occurs, and their owners."""
-    short = hashes.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)
-    values, back, counts = np.unique(short, return_inverse=True, return_counts=True)
-    return values, back, counts, (values >> np.uint64(bits - owner_bits)).astype(np.int64)
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
@@ -80,50 +50,21 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bits = min(64, max(1, total).bit_length() + FALSE_SUSPECT_BITS)
     owner_bits = max(3, math.ceil(math.log2(max(1, total / OWNER_FINGERPRINTS))))
 
-    def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, _, _, owners = _by_owner(pdf["_hash"], bits, owner_bits)
-        low_bits = max(0, bits - max(1, len(values)).bit_length())
-        starts = np.flatnonzero(np.diff(owners, prepend=-1))
-        out = []
-        for a, b in zip(starts, [*starts[1:], len(values)]):
-            base = np.uint64(int(owners[a]) << (bits - owner_bits))
-            out.append((int(owners[a]), int(pdf["_bundle"].iloc[0]), golomb_encode(values[a:b] - base, low_bits)))
-        return pd.DataFrame(out, columns=["_owner", "_bundle", "_blob"])
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [golomb_decode(x) for x in pdf["_blob"]]
-        values, counts = np.unique(np.concatenate(sets), return_counts=True)
-        shared = values[counts > 1]
-        maps = [np.packbits(np.isin(x, shared, assume_unique=True)).tobytes() for x in sets]
-        return pd.DataFrame({"_bundle": pdf["_bundle"], "_owner": pdf["_owner"], "_map": maps})
+    def hashes(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf["_hash"].to_numpy(np.int64).view(np.uint64)
+
+    def send(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return golomb.messages(hashes(pdf), int(key[0]), bits, owner_bits)
 
     def suspects(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({"_id": pd.Series(dtype="int64")})
-        _, back, counts, owners = _by_owner(rows["_hash"], bits, owner_bits)
-        flags = counts > 1
-        for owner, reply in zip(replies["_owner"], replies["_map"]):
-            where = np.flatnonzero(owners == owner)
-            flags[where] |= np.unpackbits(np.frombuffer(reply, np.uint8), count=len(where)).astype(bool)
-        return rows.loc[flags[back], ["_id"]]
+        return rows.loc[golomb.repeated(hashes(rows), replies, bits, owner_bits), ["_id"]]
 
     narrow = marks.select("_id", "_bundle", "_hash")
     kind = dict(marks.dtypes)["_id"]
-    replies = (
-        narrow.select("_bundle", "_hash")
-        .groupBy("_bundle")
-        .applyInPandas(send, "_owner long, _bundle long, _blob binary")
-        .groupBy("_owner")
-        .applyInPandas(answer, "_bundle long, _owner long, _map binary")
-    )
-    found = narrow.groupBy("_bundle").cogroup(replies.groupBy("_bundle")).applyInPandas(suspects, f"_id {kind}")
-    slot = lambda c: F.pmod(F.shiftright(F.xxhash64(c), 6), F.lit(SIEVE_WORDS))
-    bit = lambda c: F.expr(f"shiftleft(1L, cast(xxhash64({c}) & 63 as int))")
-    sieve = found.groupBy(slot("_id").alias("_slot")).agg(F.bit_or(bit("_id")).alias("_bits"))
+    replies = golomb.answer(narrow.groupBy("_bundle").applyInPandas(send, "_owner long, _sender long, _blob binary"))
+    found = narrow.groupBy("_bundle").cogroup(replies.groupBy(F.col("_sender").alias("_bundle"))).applyInPandas(suspects, f"_id {kind}")
     groups = scratch.write(
-        read.withColumn("_slot", slot("_id"))
-        .join(F.broadcast(sieve), "_slot")
-        .where(F.col("_bits").bitwiseAND(bit("_id")) != 0)
+        sieve(read, "_id", found)
         .select("_id", norm.alias("_n"))
         .groupBy("_n")
         .agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
