@@ -9,6 +9,7 @@ with the one before are kept, and only the rest is searched.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ class PieceModel:
         plain = [i for i in range(n) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
         self.pieces = {p.id_to_piece(i): (p.get_score(i), i) for i in plain}
         self.bytes = {int(p.id_to_piece(i)[3:5], 16): i for i in range(n) if p.is_byte(i)}
-        self.longest = max(map(len, self.pieces))
+        self.suffixes = {p[k:] for p in self.pieces for k in range(len(p))}
         self.unknown = min(s for s, _ in self.pieces.values()) - UNKNOWN_PENALTY
         self.raw = [b""] * n
         for i in plain:
@@ -51,18 +52,21 @@ class PieceModel:
         # Forward state of the path to the current trie node: best score, where its last piece starts, its id.
         score, start, piece = [0.0], [0], [0]
         last = ""
-        find, longest = self.pieces.get, self.longest
+        find, suffixes = self.pieces.get, self.suffixes
         for word in sorted(words):
             most = min(len(last), len(word))
             same = next((k for k in range(most) if last[k] != word[k]), most)
             del score[same + 1 :], start[same + 1 :], piece[same + 1 :]
             for end in range(same + 1, len(word) + 1):
                 best, at, which = None, end - 1, -1
-                for a in range(max(0, end - longest), end):
-                    hit = find(word[a:end])
-                    if hit is not None and (best is None or score[a] + hit[0] > best):
+                for a in range(end - 1, -1, -1):  # as far back as some piece ends like this
+                    part = word[a:end]
+                    if part not in suffixes:
+                        break
+                    hit = find(part)
+                    if hit is not None and (best is None or score[a] + hit[0] >= best):
                         best, at, which = score[a] + hit[0], a, hit[1]
-                if word[end - 1 : end] not in self.pieces and (best is None or score[end - 1] + self.unknown > best):
+                if word[end - 1] not in self.pieces and (best is None or score[end - 1] + self.unknown > best):
                     best, at, which = score[end - 1] + self.unknown, end - 1, -1
                 score.append(best)
                 start.append(at)
@@ -80,19 +84,18 @@ class PieceModel:
             last = word
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
-        """(ids, number of marked words) of each text."""
-        cut = [WORD.findall(self.normalise(t)) if t else [] for t in texts]
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, int, bool]]:
+        """(ids, number of marked words, whether the ids decode to the normal form) of each text."""
+        normal = [self.normalise(t) if t else "" for t in texts]
+        cut = [WORD.findall(n) for n in normal]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         if new := set().union(*cut).difference(self.words):
             self.words.update(self.segment(list(new)))
         out = []
-        for words in cut:
-            flat: list[int] = []
-            for ids in map(self.words.__getitem__, words):
-                flat += ids
-            out.append((np.array(flat, np.int32), len(words)))
+        for words, n in zip(cut, normal):
+            flat = list(chain.from_iterable(map(self.words.__getitem__, words)))
+            out.append((np.array(flat, np.int32), len(words), self.decode(flat) == _plain(n)))
         return out
 
     def decode(self, ids) -> str:
@@ -126,10 +129,9 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
             texts = batch.column(1).to_pylist()
             for a, b in _batches(texts):
                 got = model.encode([t or "" for t in texts[a:b]])
-                back = [model.decode(ids.tolist()) == _plain(model.normalise(t or "")) for t, (ids, _) in zip(texts[a:b], got)]
-                sizes = [len(ids) for ids, _ in got]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate([ids for ids, _ in got])))
-                columns = [batch.column(0).slice(a, b - a), pa.array([w for _, w in got], pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(back)]
+                sizes = [len(ids) for ids, _, _ in got]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate([ids for ids, _, _ in got])))
+                columns = [batch.column(0).slice(a, b - a), pa.array([w for _, w, _ in got], pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array([same for _, _, same in got])]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "n_words", "n_tokens", "ids", "round_trip"])
 
     kind = dict(docs.dtypes)[id_col]
