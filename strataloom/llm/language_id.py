@@ -18,6 +18,7 @@ MAX_GRAM = 4
 SLOT_BITS = 15
 ROWS_PER_LANGUAGE = 400
 TRAINING_ROWS = 8000
+SALTS = 64
 """Bounds of the training sample: per language the ids with the smallest hashes, and all together."""
 LANDMARKS = 256
 RIDGE = 1e-2
@@ -30,7 +31,7 @@ _STEP = np.uint32(0x01000193)
 
 
 def letter_table() -> np.ndarray:
-    """Lower-case letters map to themselves and all else to a space; beyond the basic plane all counts as letters."""
+    """Letters of the basic plane map to themselves and all else there to a space."""
     return np.array([c if chr(c).isalpha() else 32 for c in range(0x10000)], np.uint32)
 
 
@@ -45,7 +46,12 @@ def presence(texts: list[str], letters: np.ndarray, out: np.ndarray) -> np.ndarr
         for a in range(0, len(codes), BATCH_CHARS):  # windows overlap, so no n-gram is lost
             part = codes[a : a + BATCH_CHARS + MAX_GRAM - 1]
             basic = part < len(letters)
-            part = letters[part] if basic.all() else np.where(basic, letters[np.where(basic, part, 32)], part)
+            if basic.all():
+                part = letters[part]
+            else:
+                high = np.unique(part[~basic])
+                high = high[[chr(c).isalpha() for c in high]]
+                part = np.where(basic, letters[np.where(basic, part, 32)], np.where(np.isin(part, high), part, 32))
             has[k] |= bool((part != 32).any())
             grams = np.zeros(len(part), np.uint32)
             for n in range(1, MAX_GRAM + 1):
@@ -59,8 +65,11 @@ def presence(texts: list[str], letters: np.ndarray, out: np.ndarray) -> np.ndarr
 def _sample(docs: DataFrame) -> DataFrame:
     """Ids and languages to learn from: never of a held-out document."""
     known = docs.where(~F.col("_held") & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-    by = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ranked = known.select("_id", "_lang", F.row_number().over(by).alias("_r")).where(F.col("_r") <= ROWS_PER_LANGUAGE)
+    order = [F.xxhash64("_id"), F.col("_id")]
+    salted = Window.partitionBy("_lang", F.pmod(F.xxhash64("_id"), F.lit(SALTS))).orderBy(*order)
+    few = known.select("_id", "_lang", F.row_number().over(salted).alias("_r")).where(F.col("_r") <= ROWS_PER_LANGUAGE)
+    by = Window.partitionBy("_lang").orderBy(*order)
+    ranked = few.select("_id", "_lang", F.row_number().over(by).alias("_r")).where(F.col("_r") <= ROWS_PER_LANGUAGE)
     return ranked.orderBy("_r", "_lang").limit(TRAINING_ROWS).select("_id", "_lang").dropDuplicates(["_id"])
 
 
