@@ -36,10 +36,12 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/strataloom-{uuid.uuid4().hex}"
         self.paths: list[str] = []
+        self.written = 0
 
-    def write(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
-        path = f"{self.folder}/{len(self.paths)}"
-        (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    def write(self, df: DataFrame) -> DataFrame:
+        self.written += 1
+        path = f"{self.folder}/{self.written}"
+        df.write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 # The element kinds of HTML that matter here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noframes noembed xmp svg math object select".split())
+RAW = frozenset("script style button textarea title noscript template iframe noframes noembed xmp svg math object select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
-BOILERPLATE = frozenset("head nav footer aside form button menu dialog".split())
+BOILERPLATE = frozenset("head nav footer aside form menu dialog".split())
 MARKED = frozenset("article main".split())
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
@@ -31,7 +31,8 @@ CLOSES = {
 }
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 ROLES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|side-?bar|footer|cookies?|consent|"
+    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|ad(?:box|slot|unit|banner|space)|sponsor\w*|promo\w*|banner|nav|navbar|navigation|(?:main|top|side|sub)?menu|breadcrumbs?|"
+    r"side-?bar|(?:top|tool)bar|footer|cookies?|consent|"
     r"notices?|alerts?|comments?|respond|replies|disqus\w*|related|recommend\w*|share|sharing|social|newsletter|subscribe\w*|signup|login|"
     r"pop-?up|modal|search|pagination|pager|tags|complementary|contentinfo|masthead)(?:$|[\s_-])",
     re.I,
@@ -39,10 +40,13 @@ ROLES = re.compile(
 PAGE_HEADER = re.compile(r"(?:^|\s)(?:site-|page-|top-)?header(?:$|\s)", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+HUMP = re.compile("(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 SMOOTHING = (0.25, 0.5, 0.25)
+MOST_OF = 0.7
+"""An element inside the best marked one stands for it if it has this share of its weight (an article in a main)."""
 
 
 class Block:
@@ -116,7 +120,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
             elif stack[-1][0] == "p":
                 close(len(stack) - 1)
             number += 1
-            names = " ".join(x.strip("\"'") for x in NAMED.findall(attributes)) if attributes else ""
+            names = HUMP.sub("-", " ".join(x.strip("\"'") for x in NAMED.findall(attributes))) if attributes else ""
             inside = any(s[0] in MARKED for s in stack)
             junk = stack[-1][2] or tag in BOILERPLATE or bool(attributes and HIDDEN.search(attributes))
             if tag not in ("html", "body") and tag not in MARKED:
@@ -161,7 +165,9 @@ def main_text(page: str | None) -> str:
     if marked:
         weight = {m: sum(scores[b.path] * len(b.text) for b in blocks if m in b.elements) for m in marked}
         best = max(weight.values())
-        root = next(m for m in marked if weight[m] == best)  # the first, so the outermost, of equals
+        outer = next(m for m in marked if weight[m] == best)  # the first, so the outermost, of equals
+        inside = {m for b in blocks if outer in b.elements for m in b.elements}
+        root = max((m for m in marked if m in inside and weight[m] >= MOST_OF * best and m >= outer), default=outer)
         chosen = [b for b in blocks if root in b.elements]
         if chosen:
             return "\n".join(b.text for b in chosen)

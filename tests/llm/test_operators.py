@@ -72,6 +72,8 @@ def test_main_text():
         "<section id=comments><article>Nice post, really very nice, thanks.</article></section><footer>End</footer><!-- p --></body>"
     )
     assert html_extraction.main_text(page) == "Ti&tle\nOne bold two <x> three.\nFour.\na\nb"
+    assert html_extraction.main_text("<article><p>A <button>Like</button>b<div class=cookieBanner>C</div><div class='content free'>d</article>") == "A b\nd"
+    assert html_extraction.main_text("<main><p>Latest<article><h1>T</h1><p>One, two, three; four.<p>Five, six.</article><p>More</main>") == "T\nOne, two, three; four.\nFive, six."
     body = "".join(f"<p>Sentence {k}, with enough words, and marks; to count as text.</p>" for k in range(6))
     plain = f"<body><div><a href=x>Home</a></div><div class=content>{body}</div><div><a>Next</a></div></body>"
     assert html_extraction.main_text(plain).count("\n") == 5 and "Home" not in html_extraction.main_text(plain)
@@ -112,6 +114,8 @@ def test_kernel_by_brute_force():
     rows = np.zeros((3, 1 << language_id.SLOT_BITS), np.float32)
     assert language_id.presence([*texts], language_id.letter_table(), rows).all()
     grams = lambda t: {t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)}
+    odd = np.zeros((3, 1 << language_id.SLOT_BITS), np.float32)
+    assert language_id.presence(["\U0001f600 12.", "\U00020000", ""], language_id.letter_table(), odd).tolist() == [False, True, False]
     clean = [re.sub(r"[^a-z]", " ", t.lower()) for t in texts]
     for a in range(3):
         for b in range(3):
