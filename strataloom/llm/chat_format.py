@@ -2,7 +2,8 @@
 
 A logged conversation is often a prefix of a longer one. Every turn gets the rolling hash of the turns up to it; a
 conversation whose full hash is the prefix hash of a longer one goes by an anti-join, and of equal conversations the
-one with the smallest id stays. What stays is rendered.
+one with the smallest id stays. What stays is rendered. Hashes are computed on digests of the texts; the texts
+themselves are shuffled once, to be rendered.
 """
 
 from __future__ import annotations
@@ -12,33 +13,38 @@ from pyspark.sql import functions as F
 
 from strataloom.llm.common import Scratch
 
-BLOCK_TURNS = 1024
-"""Prefix sums are taken inside blocks of turn numbers, then over block totals, so no task needs a whole conversation."""
-PART_TURNS = 512
-"""A longer conversation is rendered in parts of so many turns."""
+BLOCK_TURNS = 512
+"""Prefix sums are taken inside blocks of turn numbers, then over block totals, so no task needs a whole conversation;
+a longer conversation is rendered in parts, one per block."""
 
 
-def prefix_hashes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """_conv, _role, _text, _pos (from 1), and _h1, _h2 over the turns up to _pos; rows logged twice count once."""
-    rows = turns.select(F.col(conv_col).alias("_conv"), F.col(turn_col).cast("long").alias("_turn"), F.col(role_col).alias("_role"), F.col(text_col).alias("_text"))
-    rows = rows.distinct().withColumn("_block", F.coalesce(F.floor(F.col("_turn") / BLOCK_TURNS), F.lit(-(1 << 60))))
-    inside = Window.partitionBy("_conv", "_block").orderBy("_turn", "_role", "_text")
-    rows = rows.withColumn("_in", F.row_number().over(inside))
-    before = Window.partitionBy("_conv").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("_conv", "_block").agg(F.count(F.lit(1)).alias("_m"))
-    starts = sizes.withColumn("_skip", F.coalesce(F.sum("_m").over(before), F.lit(0))).select(F.col("_conv").alias("_c"), F.col("_block").alias("_b"), "_skip")
-    same = (F.col("_conv").eqNullSafe(F.col("_c"))) & (F.col("_block") == F.col("_b"))
-    rows = rows.join(starts, same).drop("_c", "_b").withColumn("_pos", F.col("_in") + F.col("_skip")).drop("_in", "_skip", "_turn")
-    said = [F.col("_role").isNull(), F.col("_role"), F.col("_text").isNull(), F.col("_text")]
-    terms = rows.withColumn("_t1", F.shiftrightunsigned(F.xxhash64("_pos", *said), 24)).withColumn("_t2", F.shiftrightunsigned(F.xxhash64(*said, "_pos"), 24))
-    upto = Window.partitionBy("_conv", "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    terms = terms.withColumn("_p1", F.sum("_t1").over(upto)).withColumn("_p2", F.sum("_t2").over(upto))
-    totals = terms.groupBy("_conv", "_block").agg(F.sum("_t1").alias("_a"), F.sum("_t2").alias("_b2"))
-    totals = totals.select(
-        F.col("_conv").alias("_c"), F.col("_block").alias("_b"), F.coalesce(F.sum("_a").over(before), F.lit(0)).alias("_o1"), F.coalesce(F.sum("_b2").over(before), F.lit(0)).alias("_o2")
-    )
-    out = terms.join(totals, same)
-    return out.select("_conv", "_role", "_text", "_pos", (F.col("_p1") + F.col("_o1")).alias("_h1"), (F.col("_p2") + F.col("_o2")).alias("_h2"))
+def _keyed(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """Rows with a key that is never null: rows without a conversation id share one key of their own."""
+    rows = turns.select(F.col(conv).alias("_conv"), F.col(turn).cast("long").alias("_turn"), F.col(role).alias("_role"), F.col(text).alias("_text"))
+    rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("_conv").cast("string")), F.lit("")))
+    return rows.withColumn("_block", F.coalesce(F.floor(F.col("_turn") / BLOCK_TURNS), F.lit(-(1 << 60))))
+
+
+def prefix_hashes(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(turns: _key, _pos from 1, and _h1, _h2 over the turns up to _pos; blocks: _key, _block, _part from 0)."""
+    sha = F.unhex(F.sha2("_text", 256))
+    narrow = rows.select("_key", "_block", "_turn", "_role", sha.alias("_sha")).distinct()
+    narrow = scratch.write(narrow.withColumn("_in", F.row_number().over(Window.partitionBy("_key", "_block").orderBy("_turn", "_role", "_sha"))))
+    before = Window.partitionBy("_key").orderBy("_block")
+    above = before.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = narrow.groupBy("_key", "_block").agg(F.count(F.lit(1)).alias("_m"))
+    blocks = sizes.select("_key", "_block", F.coalesce(F.sum("_m").over(above), F.lit(0)).alias("_skip"), (F.row_number().over(before) - 1).alias("_part"))
+    blocks = scratch.write(blocks)
+    placed = narrow.join(blocks.drop("_part"), ["_key", "_block"]).withColumn("_pos", F.col("_in") + F.col("_skip"))
+    said = [F.col("_role").isNull(), F.col("_role"), F.col("_sha").isNull(), F.col("_sha")]
+    first, second = F.xxhash64("_pos", *said), F.xxhash64(*said, "_pos")  # 40 bits of each, so that sums stay far from overflow
+    terms = placed.select("_key", "_block", "_pos", F.shiftrightunsigned(first, 24).alias("_t1"), F.shiftrightunsigned(second, 24).alias("_t2"))
+    upto = Window.partitionBy("_key", "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    terms = scratch.write(terms.select("_key", "_block", "_pos", F.sum("_t1").over(upto).alias("_p1"), F.sum("_t2").over(upto).alias("_p2")))
+    totals = terms.groupBy("_key", "_block").agg(F.max("_p1").alias("_a1"), F.max("_p2").alias("_a2"))  # terms are not negative
+    starts = totals.select("_key", "_block", *[F.coalesce(F.sum(f"_a{k}").over(above), F.lit(0)).alias(f"_o{k}") for k in (1, 2)])
+    joined = terms.join(starts, ["_key", "_block"])
+    return scratch.write(joined.select("_key", "_pos", (F.col("_p1") + F.col("_o1")).alias("_h1"), (F.col("_p2") + F.col("_o2")).alias("_h2"))), blocks
 
 
 def chat_format(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -49,18 +55,22 @@ def chat_format(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     once. Other columns are not read. An empty table gives no rows.
     """
     scratch = Scratch(turns.sparkSession)
-    rows = scratch.write(prefix_hashes(turns, conv_col, turn_col, role_col, text_col))
-    full = rows.groupBy("_conv").agg(F.max("_pos").alias("_pos"), F.max_by(F.struct("_h1", "_h2"), "_pos").alias("_h"))
-    full = scratch.write(full.select("_conv", "_pos", "_h._h1", "_h._h2"))
-    first = full.groupBy("_pos", "_h1", "_h2").agg(F.min("_conv").alias("_conv"), F.count(F.lit(1)).alias("_m"))
-    ends = full.select(F.col("_conv").alias("_c"), F.col("_pos").alias("_end"))
-    inner = rows.join(ends, F.col("_conv").eqNullSafe(F.col("_c"))).where("_pos < _end").select("_pos", "_h1", "_h2").distinct()
-    kept = scratch.write(first.join(inner, ["_pos", "_h1", "_h2"], "left_anti").select(F.col("_conv").alias("_c")))
-    shown = F.concat(F.lit("<|"), F.coalesce("_role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("_text", F.lit("")), F.lit("<|end|>\n"))
-    stays = rows.join(kept, F.col("_conv").eqNullSafe(F.col("_c")), "left_semi")
-    parts = stays.groupBy("_conv", F.floor((F.col("_pos") - 1) / PART_TURNS).cast("int").alias("part"))
-    parts = parts.agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(F.struct("_pos", shown.alias("s")))).alias("_all"))
-    out = parts.select(F.col("_conv").alias(conv_col), "part", "n_turns", F.array_join(F.col("_all.s"), "").alias("text"))
+    rows = _keyed(turns, conv_col, turn_col, role_col, text_col)
+    hashed, blocks = prefix_hashes(rows, scratch)
+    full = hashed.groupBy("_key").agg(F.max("_pos").alias("_pos"), F.max_by(F.struct("_h1", "_h2"), "_pos").alias("_h"))
+    full = scratch.write(full.select("_key", "_pos", "_h._h1", "_h._h2"))
+    names = scratch.write(rows.groupBy("_key").agg(F.first("_conv").alias("_conv")))
+    first = full.join(names, "_key").groupBy("_pos", "_h1", "_h2").agg(F.min_by("_key", "_conv").alias("_key"), F.first("_key").alias("_any"))
+    first = first.withColumn("_key", F.coalesce("_key", "_any"))  # min_by skips null ids
+    inner = hashed.join(full.select("_key", F.col("_pos").alias("_end")), "_key").where("_pos < _end").select("_pos", "_h1", "_h2").distinct()
+    kept = scratch.write(first.join(inner, ["_pos", "_h1", "_h2"], "left_anti").select("_key"))
+    shown = blocks.join(kept, "_key").select("_key", "_block", "_part")
+    texts = rows.groupBy("_key", "_block").agg(F.first("_conv").alias("_conv"), F.collect_set(F.struct("_turn", "_role", "_text")).alias("_all"))
+    line = lambda t: F.concat(F.lit("<|"), F.coalesce(t["_role"], F.lit("unknown")), F.lit("|>\n"), F.coalesce(t["_text"], F.lit("")), F.lit("<|end|>\n"))
+    out = texts.join(shown, ["_key", "_block"]).select(
+        F.col("_conv").alias(conv_col), F.col("_part").cast("int").alias("part"), F.size("_all").cast("long").alias("n_turns"),
+        F.array_join(F.transform(F.array_sort("_all"), line), "").alias("text"),
+    )
     out = scratch.write(out)
     scratch.drop(keep=1)
     return out
