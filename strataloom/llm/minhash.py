@@ -4,12 +4,15 @@ One hash per word shingle fills all bins of a signature; an empty bin copies a f
 sequence. Signatures are cut into bands, and documents with an equal band share a bucket. A bucket proposes stars:
 one member against the others. Every proposed edge is confirmed on the full shingle sets. Then members outside a bucket's
 largest component are centers as well, so that a link between two texts of which neither is the first center is found;
-those stars are compared block by block, without a row per pair. A bucket with very many such members (unrelated texts
-that share a passage) is parted by further bands first.
+those stars are compared block by block, without a row per pair. The members of buckets with very many of them (unrelated
+texts that share a passage) are dealt anew by the rarest shingles of their full sets first, of which every two texts
+that are to be linked share one.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,12 +27,18 @@ BANDS = 24
 BAND_ROWS = 6
 """A pair at the limit shares a band with probability 1 - (1 - 0.85^6)^24, which is more than 0.99998."""
 BINS = BANDS * BAND_ROWS
+MISSED = 1.2e-5
+MOST_BINS = 160
+"""Other limits take the most rows a band, BAND_ROWS at most, at which a pair at the limit shares none of at most MOST_BINS
+bins' bands with probability MISSED at most."""
 CHUNK = 256
 """Members and centers of a bucket that one block compares."""
 BLOCK_PAIRS = 1 << 20
-PARTINGS = 2
-"""A bucket whose stars would make more than BLOCK_PAIRS comparisons is parted by further bands, up to PARTINGS times. A
-pair at the limit shares nine bands on average; that it shares no more than PARTINGS has a probability of 0.0014."""
+"""The members of buckets whose stars would make more comparisons than this are dealt anew by their rarest shingles."""
+COMMON = 1 << 14
+"""Shingles whose frequency is known where the rarest are taken. Any order of the shingles is exact; this one saves work."""
+SMALL_GROUP = 16
+"""A group of texts with a rare shingle in common that has no more members makes a row per pair, so at most 15 a member."""
 CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
@@ -111,25 +120,34 @@ class Shingler:
         return total[new], np.cumsum(np.bincount(text_of[new], minlength=len(parts)))
 
 
-def signatures(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(texts x BINS) least hashes per bin, with empty bins of a text that has shingles densified."""
+def layout(link_percent: int) -> tuple[int, int]:
+    """(bands, rows a band) for a limit; BANDS and BAND_ROWS at LINK_PERCENT."""
+    for rows in range(BAND_ROWS, 0, -1):
+        bands = math.ceil(math.log(MISSED) / math.log(1 - min(link_percent / 100, 0.999) ** rows))
+        if bands * rows <= MOST_BINS:
+            break
+    return bands, rows
+
+
+def signatures(hashes: np.ndarray, ends: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """(texts x bins) least hashes per bin, with empty bins of a text that has shingles densified."""
     n = len(ends)
     size = np.diff(ends, prepend=0)
     text_of = np.repeat(np.arange(n), size)
-    slot = text_of * BINS + (((hashes >> _U(32)) * _U(BINS)) >> _U(32)).astype(np.int64)
+    slot = text_of * bins + (((hashes >> _U(32)) * _U(bins)) >> _U(32)).astype(np.int64)
     new = np.ones(len(slot), bool)
     new[1:] = slot[1:] != slot[:-1]  # hashes are sorted, so the first of a bin is its least
-    out, full = np.zeros(n * BINS, np.uint64), np.zeros(n * BINS, bool)
+    out, full = np.zeros(n * bins, np.uint64), np.zeros(n * bins, bool)
     out[slot[new]], full[slot[new]] = hashes[new], True
-    empty = np.flatnonzero(~full & np.repeat(size > 0, BINS))
-    base, bin_of, attempt = empty - empty % BINS, (empty % BINS).astype(np.uint64), 0
+    empty = np.flatnonzero(~full & np.repeat(size > 0, bins))
+    base, bin_of, attempt = empty - empty % bins, (empty % bins).astype(np.uint64), 0
     while len(empty):
         attempt += 1
-        pick = base + (((mix(bin_of * _FACTORS[0] + _U(attempt * int(_FACTORS[1]) % (1 << 64))) >> _U(32)) * _U(BINS)) >> _U(32)).astype(np.int64)
+        pick = base + (((mix(bin_of * _FACTORS[0] + _U(attempt * int(_FACTORS[1]) % (1 << 64))) >> _U(32)) * _U(bins)) >> _U(32)).astype(np.int64)
         hit = full[pick]
         out[empty[hit]] = out[pick[hit]]
         empty, base, bin_of = empty[~hit], base[~hit], bin_of[~hit]
-    return out.reshape(n, BINS)
+    return out.reshape(n, bins)
 
 
 def _batches(texts: list[str | None], most: int = CHUNK_BYTES):
@@ -144,25 +162,26 @@ def _batches(texts: list[str | None], most: int = CHUNK_BYTES):
         at = end
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketch(docs: DataFrame, id_col: str, text_col: str, link_percent: int = LINK_PERCENT) -> DataFrame:
     """_id, _n (distinct shingles), _s1 and _s2 (fingerprint of the set), _bands (bucket keys) of each row."""
+    n_bands, n_rows = layout(link_percent)
 
     def run(batches):
         shingler = Shingler()
-        order = np.arange(BANDS, dtype=np.uint64)
+        order = np.arange(n_bands, dtype=np.uint64)
         for batch in (part.slice(a, 512) for part in batches for a in range(0, part.num_rows, 512)):
             texts = batch.column(1).to_pylist()
             for a, b in _batches(texts):
                 hashes, ends = shingler.sets(texts[a:b])
                 size = np.diff(ends, prepend=0)
-                bands = signatures(hashes, ends).reshape(b - a, BANDS, BAND_ROWS)
-                keys = mix((bands * _FACTORS[:BAND_ROWS]).sum(axis=2, dtype=np.uint64) + order * _FACTORS[5])
+                bands = signatures(hashes, ends, n_bands * n_rows).reshape(b - a, n_bands, n_rows)
+                keys = mix((bands * _FACTORS[:n_rows]).sum(axis=2, dtype=np.uint64) + order * _FACTORS[5])
                 prints = []
                 for values in (hashes, mix(hashes ^ _FACTORS[2])):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
                     prints.append(pa.array((total[ends] - total[ends - size]).view(np.int64)))
                 full = size > 0
-                where = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))])
+                where = np.concatenate([[0], np.cumsum(np.where(full, n_bands, 0))])
                 lists = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(keys[full].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), *prints, lists], ["_id", "_n", "_s1", "_s2", "_bands"])
 
@@ -171,7 +190,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return read.mapInArrow(run, f"_id {kind}, _n long, _s1 long, _s2 long, _bands array<long>")
 
 
-def confirm(edges: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(edges: DataFrame, texts: DataFrame, link_percent: int = LINK_PERCENT) -> DataFrame:
     """The edges (a, b) whose full shingle sets are similar enough; ``texts`` has _id and _text."""
 
     def run(batches):
@@ -184,7 +203,7 @@ def confirm(edges: DataFrame, texts: DataFrame) -> DataFrame:
                     last, kept = (a, text_a), shingler.sets([text_a])[0]
                 other = shingler.sets([text_b])[0]
                 both = len(np.intersect1d(kept, other, assume_unique=True))
-                if 100 * both >= LINK_PERCENT * (len(kept) + len(other) - both):
+                if 100 * both >= link_percent * (len(kept) + len(other) - both):
                     hits.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hits, pa.int64())), batch.column(1).take(pa.array(hits, pa.int64()))], ["a", "b"])
 
@@ -195,7 +214,7 @@ def confirm(edges: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def compare_blocks(live: DataFrame, texts: DataFrame) -> DataFrame:
+def compare_blocks(live: DataFrame, texts: DataFrame, link_percent: int = LINK_PERCENT) -> DataFrame:
     """Links (a, b) between the members outside each bucket's largest component and all members of other components.
 
     ``live`` has key, rep, comp, and per bucket top (the largest component), all and most (members of the bucket and of
@@ -244,16 +263,59 @@ def compare_blocks(live: DataFrame, texts: DataFrame) -> DataFrame:
                     starts = np.flatnonzero(np.diff(owner[hit], prepend=-1))
                     both[owner[hit][starts]] = np.add.reduceat(has[at[hit]], starts, axis=0)
                 union = size[:, None] + np.array([len(x) for x in known])[None, :] - both
-                for i, j in zip(*np.nonzero((100 * both >= LINK_PERCENT * union) & (comps[:, None] != few_comp[None, :]))):
+                for i, j in zip(*np.nonzero((100 * both >= link_percent * union) & (comps[:, None] != few_comp[None, :]))):
                     links.append((min(reps[i], few[j]), max(reps[i], few[j])))
         return pd.DataFrame(sorted(set(links)), columns=["a", "b"])
 
     return rows.join(wanted, "rep").groupBy("task").applyInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rarest(reps: DataFrame, texts: DataFrame, link_percent: int = LINK_PERCENT) -> DataFrame:
+    """(rep, part): the rarest shingles of each text, so many that two texts that reach the limit share one of them.
+
+    Of n shingles such a text shares limit x n at least, so the first n - limit x n + 1 in any order common to all hold
+    one that is shared, and the first of the shared ones is among the first of both. ``reps`` has distinct _id.
+    """
+    wanted = sieve(texts, "_id", reps).join(reps, "_id", "left_semi")
+    kind = dict(reps.dtypes)["_id"]
+
+    def every(batches):
+        shingler = Shingler()
+        for batch in batches:
+            column = batch.column(0).to_pylist()
+            for a, b in _batches(column):
+                yield pa.RecordBatch.from_arrays([pa.array(shingler.sets(column[a:b])[0].view(np.int64))], ["part"])
+
+    counted = wanted.select("_text").mapInArrow(every, "part long").groupBy("part").agg(F.count(F.lit(1)).alias("m"))
+    common = counted.where(F.col("m") * 1000 > reps.count()).where("m > 1").orderBy(F.desc("m"), "part").limit(COMMON).collect()
+    known = np.array([r.part for r in common], np.int64).view(np.uint64)
+    times = np.array([r.m for r in common], np.int64)[np.argsort(known)]
+    known = np.sort(known)
+
+    def run(batches):
+        shingler = Shingler()
+        for batch in batches:
+            column = batch.column(1).to_pylist()
+            for a, b in _batches(column):
+                hashes, ends = shingler.sets(column[a:b])
+                often = np.zeros(len(hashes), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    often = np.where(known[at] == hashes, times[at], 0)
+                size = np.diff(ends, prepend=0)
+                owner = np.repeat(np.arange(b - a), size)
+                order = np.lexsort((hashes, often, owner))
+                first = np.arange(len(hashes)) - (ends - size)[owner] < (size + link_percent * -size // 100 + 1)[owner]
+                ids = batch.column(0).slice(a, b - a).take(pa.array(owner[first]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(hashes[order][first].view(np.int64))], ["rep", "part"])
+
+    return wanted.select("_id", "_text").mapInArrow(run, f"rep {kind}, part long").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link_percent: int = LINK_PERCENT) -> DataFrame:
     """One row per document: its id, n_shingles, component_id and kept (its id is the component's smallest).
 
+    Texts are linked whose shingle sets have a Jaccard similarity of link_percent hundredths at least.
     Rows with equal shingle sets form a class of which the row with the smallest id is compared, so copies are
     linked without being paired. A null or empty text, or one without words, has no shingles and no links. Rows that
     repeat an id are judged by their own texts. Rows without an id are linked with nothing: they have a null
@@ -261,35 +323,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = scratch.write(sketch(docs, id_col, text_col))
+    rows = scratch.write(sketch(docs, id_col, text_col, link_percent))
     total = rows.count()
     classes = rows.where("_n > 0 and _id is not null").groupBy("_s1", "_s2", "_n")
     classes = scratch.write(classes.agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.min_by("_bands", "_id").alias("_bands")))
-    bands = classes.select("rep", F.posexplode("_bands").alias("band", "part"))
-    similar = 100 * F.least("n", "c.n") >= LINK_PERCENT * F.greatest("n", "c.n")  # sizes alone
+    bands = classes.select("rep", F.explode("_bands").alias("key"))
+    alike = lambda a, b: 100 * F.least(a, b) >= link_percent * F.greatest(a, b)  # noqa: E731  # sizes alone
 
     def shared(members: DataFrame) -> DataFrame:
-        """Members (key, band, rep, n) of buckets with two members at least, and the first of each bucket."""
+        """Members (key, rep, n) of buckets with two members at least, and the first of each bucket."""
         several = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("rep", "n"), "rep").alias("c")).where("m > 1")
-        return scratch.write(members.select("key", "band", "rep", "n").join(several.select("key", "c"), "key"))
+        return scratch.write(members.select("key", "rep", "n").join(several.select("key", "c"), "key"))
 
-    members = shared(bands.join(classes.select("rep", F.col("_n").alias("n")), "rep").select(F.col("part").alias("key"), "band", "rep", "n"))
-    edges = members.where((F.col("rep") != F.col("c.rep")) & similar).select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = scratch.write(confirm(scratch.write(edges), texts))
-    for parting in range(PARTINGS + 1):
+    def unlinked(members: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, with top (the largest), all and most (members of the bucket and of top)."""
         comp = scratch.write(components(links, scratch))
-        placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+        placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
         placed = scratch.write(placed)
         parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
         tops = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.max("m").alias("most")).where("most < all")
-        live = scratch.write(placed.join(tops, "key"))
-        large = F.col("all") * (F.col("all") - F.col("most")) > BLOCK_PAIRS if parting < PARTINGS else F.lit(False)
-        links = links.unionByName(scratch.write(compare_blocks(live.where(~large), texts)))
-        rest = live.where(large)
-        if rest.isEmpty():
-            break
-        finer = rest.select("key", F.col("band").alias("last"), "rep", "n").join(bands, "rep").where("band > last")
-        members = shared(finer.select(F.xxhash64("key", "part").alias("key"), "band", "rep", "n"))
+        return scratch.write(placed.join(tops, "key"))
+
+    members = shared(bands.join(classes.select("rep", F.col("_n").alias("n")), "rep"))
+    edges = members.where((F.col("rep") != F.col("c.rep")) & alike("n", "c.n")).select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    links = scratch.write(confirm(scratch.write(edges), texts, link_percent))
+    live = unlinked(members)
+    large = F.col("all") * (F.col("all") - F.col("most")) > BLOCK_PAIRS
+    links = links.unionByName(scratch.write(compare_blocks(live.where(~large), texts, link_percent)))
+    rest = live.where(large)
+    if not rest.isEmpty():
+        rest = scratch.write(rest.select("rep", "n").distinct())
+        rare = rarest(rest.select(F.col("rep").alias("_id")).distinct(), texts, link_percent)
+        live = unlinked(shared(rare.join(rest, "rep").withColumnRenamed("part", "key")))
+        few = live.where(F.col("all") <= SMALL_GROUP).select("key", "rep", "n", "comp")
+        other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+        edges = few.join(other, "key").where((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & alike("n", "n_b")).select(F.col("rep").alias("a"), "b").distinct()
+        links = links.unionByName(scratch.write(confirm(scratch.write(edges), texts, link_percent)))
+        links = links.unionByName(scratch.write(compare_blocks(live.where(F.col("all") > SMALL_GROUP), texts, link_percent)))
     comp = scratch.write(components(links, scratch))
     grouped = classes.select("_s1", "_s2", "_n", "size", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     groups = scratch.write(grouped.select("_s1", "_s2", "_n", "size", F.coalesce("comp", "rep").alias("component_id")))
@@ -301,7 +371,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
-def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link_percent: int = LINK_PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, of which one document of each near-duplicate group stays."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(id_col)
+    gone = near_duplicates(docs, id_col, text_col, link_percent).where(~F.col("kept")).select(id_col)
     return docs.join(gone, id_col, "left_anti")

@@ -304,6 +304,38 @@ def test_parted_buckets(spark, monkeypatch):
     equal([(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(near).collect()], want)
 
 
+def test_links_in_large_buckets(spark, monkeypatch):
+    """A similar pair with two bands in common, both in buckets that go past BLOCK_PAIRS and whose first member is a third text."""
+    base = [f"u{k}" for k in range(1500)]
+    other, r = list(base), np.random.default_rng(1456)
+    for k, at in enumerate(r.integers(0, 1500 / 24, 24)):
+        other[int(k * 62.5) + int(at * 0.9) + 2] = f"v1456x{k}"
+    bands = lambda t: minhash.signatures(*minhash.Shingler().sets([t])).reshape(minhash.BANDS, minhash.BAND_ROWS)
+    a, b = bands(" ".join(base)), bands(" ".join(other))
+    common = np.flatnonzero((a == b).all(axis=1))
+    assert len(common) == 2
+    of = {minhash.Shingler().sets([" ".join(base[k : k + 5])])[0][0]: " ".join(base[k : k + 5]) for k in range(1496)}
+    rows = [(10, " ".join(base)), (11, " ".join(other))]
+    for at in common:  # short texts with the six shingles of a common band
+        tries = (" ".join(f"{of[h]} f{seed}x{k}" for k, h in enumerate(a[at])) for seed in range(1000))
+        rows.append((len(rows) - 1, next(t for t in tries if (bands(t)[at] == a[at]).all())))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert {i: c for i, _, c in want} == {10: 10, 11: 10, 1: 1, 2: 2}
+    monkeypatch.setattr(minhash, "BLOCK_PAIRS", 0)
+    for most in (16, 1):
+        monkeypatch.setattr(minhash, "SMALL_GROUP", most, raising=False)
+        equal([(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame).collect()], want)
+
+
+def test_other_limits(spark, sample):
+    near = [(20_000 + k, edited(k, k % 9)) for k in range(60)]
+    frame = sample.select("doc_id", "text").where("length(text) < 4000").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    assert minhash.layout(85) == (minhash.BANDS, minhash.BAND_ROWS)
+    assert brute_components(texts_of(frame), 80) != brute_components(texts_of(frame), 85)
+    equal([(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, link_percent=80).collect()], brute_components(texts_of(frame), 80))
+
+
 def test_densification_keeps_full_bins():
     hashes, ends = minhash.Shingler().sets(["a b c d e f", None, "x"])
     sig = minhash.signatures(hashes, ends)
