@@ -3,6 +3,9 @@
 Each line is hashed; a rolling hash over ROLLING consecutive line hashes ends a chunk where it is divisible by
 MODULUS, so boundaries move along with inserted or deleted lines. Chunks of several lines whose hash occurs more
 than once are compared byte by byte, and all occurrences of equal chunks but the first are removed.
+
+Chunks miss most short passages, whose boundaries lie in their neighbours. With ``windows`` every two lines that follow
+each other are compared instead, so that each line of a repeated run of two lines or more is found.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import Scratch, join_groups, sieve
+from strataloom.llm.common import WHITE, Scratch, join_groups, sieve
 
 ROLLING = 2
 MODULUS = 3
@@ -33,15 +36,32 @@ def chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("_chunks", F.transform("_ends", made)).drop("_ends")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def windows_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds _lines and _chunks: (k, at, n, hash) of each line with a character up to the next such line, which overlap."""
+    out = docs.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
+    numbered = F.transform("_lines", lambda x, i: F.when(F.length(F.regexp_replace(x, WHITE, "")) > 0, i))
+    out = out.withColumn("_full", F.filter(numbered, lambda i: i.isNotNull()))
+    # blank lines between the two are part of the window, so equal windows are equal bytes
+    length = lambda i, k: F.get("_full", k + 1) - i + 1
+    made = lambda i, k: F.struct(
+        k.alias("k"), i.alias("at"), length(i, k).alias("n"), F.xxhash64(F.slice("_lines", i + 1, F.coalesce(length(i, k), F.lit(1)))).alias("hash")
+    )
+    return out.withColumn("_chunks", F.filter(F.transform("_full", made), lambda c: c["n"].isNotNull())).drop("_full")
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: bool = False) -> DataFrame:
     """All columns of ``docs`` with the text that stays, and n_lines, n_removed_lines.
 
     The first occurrence (smallest id, then place) of a repeated chunk stays; chunks of one line, and chunks without
     a character, stay always. A null text stays null. Rows without an id keep all lines and count as first
     occurrences. Rows that repeat an id at the same place keep theirs together. An empty table gives no rows.
+
+    With ``windows``, the lines of each pair of lines that occurred before go (lines without a character between the two
+    included), unless the pair shares a line with its first occurrence. The first occurrence of every line stays.
     """
+    split = windows_of if windows else chunks
     scratch = Scratch(docs.sparkSession)
-    base = chunks(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
+    base = split(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
     # explode() would add a filter on the array, which Spark moves down and so evaluates inside its own lambdas
     several = base.select("_id", "_lines", F.explode_outer("_chunks").alias("c")).where(F.col("c.n") >= LEAST_LINES)
     piece = F.array_join(F.slice("_lines", F.col("c.at") + 1, F.col("c.n")), "\n")
@@ -52,8 +72,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = suspects.groupBy("piece").agg(F.min(F.struct("_id", "k")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
     groups = scratch.write(groups.select(F.unhex(F.sha2("piece", 256)).alias("sha"), "first", "m"))
     found = join_groups(copies, groups, ["sha"], "m", copies.count()).where(F.col("first").isNotNull() & (F.struct("_id", "k") != F.col("first")))
+    if windows:
+        found = found.where(~((F.col("_id") == F.col("first._id")) & (F.col("k") == F.col("first.k") + 1)) | F.col("first._id").isNull())
     removed = scratch.write(found.groupBy(F.col("_id").alias("_rid")).agg(F.collect_set("k").alias("_gone")))
-    marked = chunks(docs, text_col).join(removed, F.col(id_col) == F.col("_rid"), "left")
+    marked = split(docs, text_col).join(removed.hint("merge") if windows else removed, F.col(id_col) == F.col("_rid"), "left")
+    if windows:
+        gone = F.filter(F.transform("_gone", lambda k: F.get("_chunks", k)), lambda c: c.isNotNull())
+        gone = F.array_distinct(F.flatten(F.transform(gone, lambda c: F.sequence(c["at"], c["at"] + c["n"] - 1))))
+        marked = marked.withColumn("_lost", F.when(F.col("_gone").isNotNull(), gone))
+        places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
+        marked = marked.withColumn("_left", F.transform(places, lambda i: F.get("_lines", i)))
+        out = (
+            marked.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n")))
+            .withColumn("n_lines", F.size("_lines").cast("long"))
+            .withColumn("n_removed_lines", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_lost")).cast("long"))
+        )
+        return out.drop("_lines", "_chunks", "_gone", "_rid", "_lost", "_left")
     stays = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["k"]))
     kept = F.transform(stays, lambda c: F.array_join(F.slice("_lines", c["at"] + 1, c["n"]), "\n"))
     lost = F.aggregate(F.filter("_chunks", lambda c: F.array_contains("_gone", c["k"])), F.lit(0), lambda a, c: a + c["n"])

@@ -42,7 +42,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents"), windows=True)
     return rows.select("doc_id", "text", "n_lines", "n_removed_lines")
 
 

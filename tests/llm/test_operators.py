@@ -373,6 +373,39 @@ def test_lines(spark, sample, docs, empty):
     assert odd.count() == len(AWKWARD) and set(docs.columns) <= set(odd.columns) and odd.where("doc_id = 2").first()["text"] is None
 
 
+def brute_windows(rows):
+    seen, out = {}, []
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        full = [k for k, x in enumerate(lines) if re.search(WORD, x)]
+        lost = set()
+        for k, (a, b) in enumerate(zip(full, full[1:])):
+            first = seen.setdefault(tuple(lines[a : b + 1]), (i, k))
+            if first not in ((i, k), (i, k - 1)):
+                lost |= set(range(a, b + 1))
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in lost), len(lines), len(lost)))
+    return out
+
+
+def test_short_passages(spark, sample, docs, empty):
+    more = []
+    for n in (2, 3, 4, 5, 8):
+        passage = [f"line {k} of the passage of {n}" for k in range(n)]
+        more += [(9000 + 10 * n + d, "\n".join([f"before {n} {d}", *passage, f"after {n} {d}"])) for d in range(3)]
+    more += [(9500, "one\n\ntwo\nx"), (9501, "y\none\n\ntwo\n"), (9502, "one\n\nelse"), (9503, "a\na\na"), (9504, "b\nb\nb\nb\nb"), (9505, "c\nd\nc\nd"), (9506, "")]
+    frame = sample.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r.doc_id: (r.doc_id, r.text, r.n_lines, r.n_removed_lines) for r in line_dedup.line_dedup(frame, windows=True).collect()}
+    equal(got.values(), brute_windows(texts_of(frame)))
+    for n in (2, 3, 4, 5, 8):
+        assert [got[9000 + 10 * n + d][3] for d in range(3)] == [0, n, n]
+    assert got[9501][1] == "y\n" and got[9502][3] == 0 and got[9503][3] == 0 and got[9504][1] == "b\nb" and got[9505][1] == "c\nd"
+    every = lambda rows: {x for t in rows for x in t.split("\n")}
+    assert every(r[1] for r in got.values()) >= every(t for _, t in texts_of(frame)) - {""}
+    odd = line_dedup.line_dedup(docs, windows=True)
+    assert odd.count() == len(AWKWARD) and odd.columns == [*docs.columns, "n_lines", "n_removed_lines"] and odd.where("doc_id = 2").first()["text"] is None
+    assert line_dedup.line_dedup(empty, windows=True).count() == 0
+
+
 # 8: copies
 
 
