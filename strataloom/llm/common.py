@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a session without one (a test) gets a fresh local folder."""
+    """The cluster's shared folder. A local session without one (a test) gets a fresh local folder; a cluster must name one."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -53,6 +55,16 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """A written copy of ``docs``: its rows as structs ``_doc``, each with a number ``_row`` of its own, whatever the ids are."""
+    return scratch.write(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row")))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of ``numbered`` rows whose numbers are not in ``gone``."""
+    return rows.join(gone.select("_row"), "_row", "left_anti").select("_doc.*")
+
+
 HOT_SHARE = 1000
 """A key with more than 1/HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE hot keys."""
 
