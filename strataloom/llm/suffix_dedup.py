@@ -1,12 +1,16 @@
-"""Removal of long repeated strings by difference-cover blockwise suffix sorting.
+"""Removal of long repeated strings with a difference cover, one block of text and one bucket of suffixes at a time.
 
 Two positions with an equal string of LENGTH bytes have, at one common distance of less than PERIOD, two positions of
 the difference cover, and the strings that start there are equal for LENGTH - PERIOD + 1 bytes. So first the cover
-sample alone is ranked: every cover position whose short string occurs nowhere else rules out all suffixes that would
-need it. What remains are the suffixes that may tie for long. They are sorted one bucket at a time, a bucket being a
-range of the fingerprint of a suffix's first LENGTH bytes, and equal neighbours are repeats. Buckets exchange coded
-sets of fingerprints and answer with bitmaps, so that texts stay in their blocks and memory is bounded by a block or
-a bucket.
+sample alone is judged, as occurring once or again: every cover position whose short string occurs nowhere else rules out
+all suffixes that would need it. What remains are the suffixes that may tie for long. They are sorted one bucket at a
+time by the names of their first LENGTH bytes, a name being a 64-bit fingerprint and a bucket a range of names; equal
+neighbours are candidates. A bucket also tells each block which block has a name first.
+
+Names only propose: before anything is removed, every candidate is compared byte by byte with the first string of its
+name, inside its block, or in the block that has the name first, to which runs of candidates are sent as bytes. Strings
+whose name turns out to be shared by different strings are grouped by their bytes instead. So results are exact, texts
+stay in their blocks, and memory is bounded by a block or a bucket.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +33,7 @@ PERIOD = 133
 # A perfect difference set; every distance modulo PERIOD is a difference of two of its members.
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 SAMPLE_LENGTH = LENGTH - PERIOD + 1
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 OWNER_VALUES = 2_000_000
 SAMPLE_EXTRA_BITS = 12
 """A sample fingerprint has log2(samples) and so many bits more; a false repeat only adds suffixes to sort."""
@@ -94,99 +100,183 @@ def _owner_bits(values: int) -> int:
     return max(2, math.ceil(math.log2(max(1, values / OWNER_VALUES))))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def sample_names(texts: list[bytes]) -> list[np.ndarray]:
+    windows = Windows()
+    return [windows.at(windows.sums(t), cover_positions(len(t)), SAMPLE_LENGTH) for t in texts]
+
+
+class Suffixes:
+    """The candidate suffixes of a block: its texts end to end, where each suffix starts there, and the names in order."""
+
+    def __init__(self, pdf: pd.DataFrame, name_bits: int):
+        windows, at, starts, names = Windows(), 0, [], []
+        self.sizes, self.bases = [], []
+        for value, runs in zip(pdf["_value"], pdf["_runs"]):
+            own = joined([np.arange(a, b) for a, b in np.frombuffer(runs, "<i8").reshape(-1, 2)], np.int64)
+            names.append(windows.at(windows.sums(value), own, LENGTH) >> np.uint64(64 - name_bits))
+            starts.append(own + at)
+            self.sizes.append(len(own))
+            self.bases.append(at)
+            at += len(value)
+        self.data, self.starts, self.names = b"".join(pdf["_value"]), joined(starts, np.int64), joined(names)
+        self.values, self.first, self.back, self.counts = np.unique(self.names, return_index=True, return_inverse=True, return_counts=True)
+
+    def unequal(self, which: np.ndarray, other: np.ndarray, data: bytes) -> np.ndarray:
+        """Those of the suffixes ``which`` (ascending) whose LENGTH bytes differ from those at ``other`` in ``data``."""
+        if not len(which):
+            return which
+        mine = self.starts[which]
+        cut = np.flatnonzero((np.diff(mine) != 1) | (np.diff(other) != 1)) + 1
+        bad = []
+        for a, b in zip([0, *cut], [*cut, len(which)]):  # neighbours on both sides are compared as one string
+            n = b - a + LENGTH - 1
+            if self.data[mine[a] : mine[a] + n] != data[other[a] : other[a] + n]:
+                bad += [k for k in range(a, b) if self.data[mine[k] : mine[k] + LENGTH] != data[other[k] : other[k] + LENGTH]]
+        return which[bad]
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_bits: int = 64) -> DataFrame:
     """One row per input row: its id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end in bytes).
 
     A byte goes if a string of LENGTH bytes that covers it starts anywhere else too. A null text counts as empty. Rows
     with equal texts, also those that repeat an id or have none, are copies of each other: from LENGTH bytes on they
-    go as a whole. Other columns are not read. An empty table gives no rows.
+    go as a whole, and one of them stands for all in the search. Other columns are not read. An empty table gives no
+    rows. Fewer ``name_bits`` change the work, not the result.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("_sha", F.unhex(F.sha2("_text", 256)))
     rows = scratch.write(base.select("_id", "_sha", F.octet_length("_text").cast("long").alias("_bytes")))
-    classes = scratch.write(rows.where(F.col("_bytes") >= LENGTH).groupBy("_sha").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_size"), F.first("_bytes").alias("_n")))
-    count = rows.count()
-    n_bytes = classes.agg(F.sum("_n")).first()[0] or 0
-    blocks = max(1, math.ceil(n_bytes / BLOCK_BYTES))
-    samples = n_bytes * len(COVER) // PERIOD
-    bits = min(64, max(1, samples).bit_length() + SAMPLE_EXTRA_BITS)
-    owner_bits = _owner_bits(samples)
-
-    def texts_of(pdf: pd.DataFrame, wanted: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-        """(sha, text) of each representative in the block, once, in order of sha."""
-        left = set(zip(wanted["_rep"].astype(object).where(wanted["_rep"].notna(), None), wanted["_sha"]))
-        out = {}
-        for key, sha, value in zip(pdf["_id"].astype(object).where(pdf["_id"].notna(), None), pdf["_sha"], pdf["_text"]):
-            if (key, sha) in left:
-                out[sha] = value.encode("utf-8", "replace")
-        return sorted(out.items())
-
-    def sample_hashes(texts: list[tuple[bytes, bytes]]) -> list[np.ndarray]:
-        windows = Windows()
-        return [windows.at(windows.sums(t), cover_positions(len(t)), SAMPLE_LENGTH) for _, t in texts]
-
-    def joined(parts: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-
-    def send_samples(key: tuple, pdf: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        return golomb.messages(joined(sample_hashes(texts_of(pdf, wanted))), int(key[0]), bits, owner_bits)
-
-    block = lambda k: F.pmod(F.xxhash64(k, "_sha"), F.lit(blocks))
-    long_texts = base.where(F.octet_length("_text") >= LENGTH).withColumn("_block", block("_id"))
-    wanted = classes.select("_rep", "_sha", "_size").withColumn("_block", block("_rep"))
-    sent = long_texts.groupBy("_block").cogroup(wanted.groupBy("_block")).applyInPandas(send_samples, "_owner long, _sender long, _blob binary")
-    sample_ranks = scratch.write(golomb.answer(sent))
-
-    # Replies travel as rows of the second cogroup's smaller side: representatives have a sha, replies a bitmap.
-    side = wanted.select("_block", "_rep", "_sha", "_size", F.lit(None).cast("long").alias("_owner"), F.lit(None).cast("binary").alias("_map"))
-    kind = dict(wanted.dtypes)["_rep"]
-    side = side.unionByName(
-        sample_ranks.select(F.col("_sender").alias("_block"), F.lit(None).cast(kind).alias("_rep"), F.lit(None).cast("binary").alias("_sha"), F.lit(None).cast("long").alias("_size"), "_owner", "_map")
-    )
-
-    def candidates(key: tuple, pdf: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        reps = side[side["_map"].isna()]
-        texts = texts_of(pdf, reps)
-        hashes = sample_hashes(texts)
-        flags = golomb.repeated(joined(hashes), side[side["_map"].notna()], bits, owner_bits)
-        copied = set(reps.loc[reps["_size"] > 1, "_sha"])
+    long = F.col("_bytes") >= LENGTH
+    count, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(long, F.col("_bytes"))), F.lit(0))).first()
+    classes = scratch.write(rows.where(long).groupBy("_sha").agg(F.count(F.lit(1)).alias("_size"), F.first("_bytes").alias("_n")))
+    bits = min(64, max(1, n_bytes * len(COVER) // PERIOD).bit_length() + SAMPLE_EXTRA_BITS)
+    owner_bits = _owner_bits(n_bytes * len(COVER) // PERIOD)
+    block_type = f"_block long, _sha binary, _copied boolean, _value binary, {golomb.OWNED}"
+
+    def make_blocks(batches):
+        """Blocks of at most about BLOCK_BYTES: their texts, and the coded names of their cover samples."""
+        block, held, size = TaskContext.get().partitionId() << 24, [], 0
+
+        def finished():
+            for a in range(0, len(held), 512):
+                some = held[a : a + 512]
+                yield pa.RecordBatch.from_pylist([dict(_block=block, _sha=s, _copied=c, _value=v, _owner=None, _sender=None, _blob=None) for s, c, v in some], schema)
+            names = np.unique(joined(sample_names([v for _, _, v in held])) >> np.uint64(64 - bits))
+            sent = golomb.messages(names, block, bits, owner_bits)
+            if sent:
+                yield pa.RecordBatch.from_pylist([dict(_block=block, _sha=None, _copied=None, _value=None, _owner=o, _sender=s, _blob=b) for o, s, b in sent], schema)
+
+        schema = pa.schema([("_block", pa.int64()), ("_sha", pa.binary()), ("_copied", pa.bool_()), ("_value", pa.binary()), ("_owner", pa.int64()), ("_sender", pa.int64()), ("_blob", pa.binary())])
+        for batch in batches:
+            for sha, many, value in zip(*[c.to_pylist() for c in batch.columns]):
+                value = value.encode("utf-8", "replace")
+                if held and size + len(value) > BLOCK_BYTES:
+                    yield from finished()
+                    block, held, size = block + 1, [], 0
+                held.append((sha, many > 1, value))
+                size += len(value)
+        if held:
+            yield from finished()
+
+    # copies collapse before the shuffle; one text of each class goes on
+    single = base.where(F.octet_length("_text") >= LENGTH).groupBy("_sha").agg(F.count(F.lit(1)).alias("_size"), F.first("_text").alias("_text"))
+    blocks = scratch.write(single.select("_sha", "_size", "_text").mapInArrow(make_blocks, block_type))
+    replies = golomb.answer(blocks.where(F.col("_blob").isNotNull()))
+
+    def candidates(key: tuple, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_sha")
+        hashes = sample_names(pdf["_value"].tolist())
+        values, back, counts = np.unique(joined(hashes) >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+        flags = ((counts > 1) | golomb.marked(values, replies, bits, owner_bits))[back]
         out, at = [], 0
-        for (sha, value), own in zip(texts, hashes):
+        for sha, copied, value, own in zip(pdf["_sha"], pdf["_copied"], pdf["_value"], hashes):
             hit = flags[at : at + len(own)]
             at += len(own)
             if hit.any():
                 starts = possible_starts(len(value), cover_positions(len(value))[hit])
                 breaks = np.flatnonzero(np.diff(starts, prepend=-2) > 1)
                 runs = np.stack([starts[breaks], starts[np.append(breaks[1:], len(starts)) - 1] + 1], 1) if len(starts) else np.zeros((0, 2), int)
-                out.append((int(key[0]), sha, sha in copied, value, runs.astype("<i8").tobytes(), len(starts)))
+                out.append((int(key[0]), sha, copied, value, runs.astype("<i8").tobytes(), len(starts)))
         return pd.DataFrame(out, columns=["_block", "_sha", "_copied", "_value", "_runs", "_starts"])
 
-    found = long_texts.groupBy("_block").cogroup(side.groupBy("_block"))
-    found = scratch.write(found.applyInPandas(candidates, "_block long, _sha binary, _copied boolean, _value binary, _runs binary, _starts long"))
-    suffixes = found.agg(F.sum("_starts")).first()[0] or 0
-    suffix_owner_bits = _owner_bits(suffixes)
-
-    def suffix_hashes(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-        windows, starts, hashes = Windows(), [], []
-        for value, runs in zip(pdf["_value"], pdf["_runs"]):
-            own = np.concatenate([np.arange(a, b) for a, b in np.frombuffer(runs, "<i8").reshape(-1, 2)] or [np.zeros(0, np.int64)])
-            starts.append(own)
-            hashes.append(windows.at(windows.sums(value), own, LENGTH))
-        return starts, joined(hashes)
-
-    def send_suffixes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return golomb.messages(suffix_hashes(pdf.sort_values("_sha"))[1], int(key[0]), 64, suffix_owner_bits)
-
-    replies = golomb.answer(found.groupBy("_block").applyInPandas(send_suffixes, "_owner long, _sender long, _blob binary"))
-
-    def cut(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    texts = blocks.where(F.col("_value").isNotNull()).select("_block", "_sha", "_copied", "_value")
+    by_sender = lambda r: r.groupBy(F.col("_sender").alias("_block"))
+    found = texts.groupBy("_block").cogroup(by_sender(replies)).applyInPandas(candidates, "_block long, _sha binary, _copied boolean, _value binary, _runs binary, _starts long")
+    found = scratch.write(found)
+    name_owner_bits = min(name_bits, _owner_bits(found.agg(F.sum("_starts")).first()[0] or 0))
+
+    def send_names(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(golomb.messages(Suffixes(pdf, name_bits).values, int(key[0]), name_bits, name_owner_bits), columns=["_owner", "_sender", "_blob"])
+
+    replies = scratch.write(golomb.answer(found.groupBy("_block").applyInPandas(send_names, golomb.OWNED), name_first=True))
+
+    def claims(key: tuple, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        """Runs of this block's candidates that another block has first, as bytes for that block; and names that fail inside the block."""
+        own = Suffixes(pdf.sort_values("_sha"), name_bits)
+        flags = golomb.marked(own.values, replies, name_bits, name_owner_bits)
+        firsts = golomb.first_senders(own.values, flags, replies, name_bits, name_owner_bits)
+        again = np.flatnonzero((own.counts > 1)[own.back])
+        again = again[again != own.first[own.back[again]]]
+        bad = np.unique(own.names[own.unequal(again, own.starts[own.first[own.back[again]]], own.data)])
+        out = [(None, None, int(v)) for v in bad.view(np.int64)]
+        ask = np.sort(own.first[flags & (firsts != int(key[0]))])
+        to, at = firsts[own.back[ask]], own.starts[ask]
+        cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(to) != 0)) + 1
+        for a, b in zip([0, *cut] if len(ask) else [], [*cut, len(ask)]):
+            out.append((int(to[a]), own.data[at[a] : at[b - 1] + LENGTH], None))
+        return pd.DataFrame(out, columns=["_to", "_bytes", "_bad"]).astype({"_to": "Int64", "_bad": "Int64"})
+
+    asked = found.groupBy("_block").cogroup(by_sender(replies)).applyInPandas(claims, "_to long, _bytes binary, _bad long")
+    asked = scratch.write(asked.distinct())  # a passage that many blocks have alike is compared once
+
+    def compare(key: tuple, pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        own, bad, windows = Suffixes(pdf.sort_values("_sha"), name_bits), [], Windows()
+        for data in asked["_bytes"] if len(pdf) else []:
+            names = windows.at(windows.sums(data), np.arange(len(data) - LENGTH + 1), LENGTH) >> np.uint64(64 - name_bits)
+            at = own.first[np.searchsorted(own.values, names)]
+            order = np.argsort(at, kind="stable")
+            failed = own.unequal(at[order], order, data)
+            bad.append(own.names[failed])
+        return pd.DataFrame({"_bad": np.unique(joined(bad)).view(np.int64)})
+
+    failed = found.groupBy("_block").cogroup(asked.where(F.col("_to").isNotNull()).groupBy(F.col("_to").alias("_block"))).applyInPandas(compare, "_bad long")
+    failed = scratch.write(failed.unionByName(asked.where(F.col("_bad").isNotNull()).select("_bad")).distinct())
+    fix_type = "array<struct<start: long, again: boolean>>"
+    fixes = None
+    if not failed.isEmpty():
+
+        def spell_out(batches):
+            for batch in batches:
+                for sha, value, runs in zip(*[c.to_pylist() for c in batch.columns]):
+                    own = Suffixes(pd.DataFrame({"_value": [value], "_runs": [runs]}), name_bits)
+                    for a in range(0, len(own.starts), 4096):
+                        at = own.starts[a : a + 4096]
+                        parts = [value[k : k + LENGTH] for k in at]
+                        yield pa.RecordBatch.from_arrays([pa.array(own.names[a : a + 4096].view(np.int64)), pa.array([sha] * len(at), pa.binary()), pa.array(at), pa.array(parts, pa.binary())], ["_bad", "_sha", "start", "_string"])
+
+        strings = found.select("_sha", "_value", "_runs").mapInArrow(spell_out, "_bad long, _sha binary, start long, _string binary")
+        strings = scratch.write(strings.join(failed, "_bad", "left_semi"))
+        often = strings.groupBy("_string").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_string", F.lit(True).alias("again"))
+        judged = strings.join(often, "_string", "left").select("_sha", "start", F.coalesce("again", F.lit(False)).alias("again"))
+        fixes = scratch.write(judged.groupBy("_sha").agg(F.collect_list(F.struct("start", "again")).alias("_fixes")))
+    fixed = found.withColumn("_fixes", F.lit(None).cast(fix_type)) if fixes is None else found.join(fixes, "_sha", "left")
+
+    def cut(key: tuple, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_sha")
-        starts, hashes = suffix_hashes(pdf)
-        flags, out, at = golomb.repeated(hashes, replies, 64, suffix_owner_bits), [], 0
-        for sha, copied, value, own in zip(pdf["_sha"], pdf["_copied"], pdf["_value"], starts):
-            hit = own[flags[at : at + len(own)]]
-            at += len(own)
+        own = Suffixes(pdf, name_bits)
+        flags = ((own.counts > 1) | golomb.marked(own.values, replies, name_bits, name_owner_bits))[own.back]
+        out, at = [], 0
+        for sha, copied, value, n, start, fix in zip(pdf["_sha"], pdf["_copied"], pdf["_value"], own.sizes, own.bases, pdf["_fixes"]):
+            starts, hit = own.starts[at : at + n] - start, flags[at : at + n]
+            at += n
+            if fix is not None and len(fix):
+                hit[np.searchsorted(starts, [f["start"] for f in fix])] = [f["again"] for f in fix]
+            hit = starts[hit]
             if len(hit) and not copied:
                 spans = cut_spans(hit)
                 edges = [0, *[x for s in spans for x in s], len(value)]
@@ -195,7 +285,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(out, columns=["_sha", "_removed", "_spans", "_kept", "_cut"])
 
     spans = "array<struct<start: long, end: long>>"
-    cuts = found.groupBy("_block").cogroup(replies.groupBy(F.col("_sender").alias("_block"))).applyInPandas(cut, f"_sha binary, _removed long, _spans long, _kept string, _cut {spans}")
+    cuts = fixed.groupBy("_block").cogroup(by_sender(replies.drop("_first"))).applyInPandas(cut, f"_sha binary, _removed long, _spans long, _kept string, _cut {spans}")
     groups = scratch.write(classes.select("_sha", "_size").join(cuts, "_sha", "left").where("_size > 1 or _removed > 0"))
     out = join_groups(rows, groups, ["_sha"], "_size", count)
     whole = F.col("_size") > 1

@@ -153,6 +153,30 @@ def test_repeats(spark, sample, docs, empty):
     assert cut[10] == "" and cut[8] == "x" and cut[2] is None and cut[7].startswith(prose(2, 30_000)[:4000])
 
 
+def far_ids(text_a, text_b, text_c):
+    """Ids that a double cannot hold beside a missing one, and rows that repeat an id."""
+    big = 1 << 60
+    return [(big + 1, text_a), (big + 3, text_b), (None, text_a), (big + 2, text_c), (big + 2, text_b), (big + 2, None), (None, None)]
+
+
+def test_repeats_of_far_ids(spark):
+    one, two, other = prose(61, 200), prose(62, 200), prose(63, 30)
+    rows = far_ids(one, "B" + one[:700] + two, other)
+    for kind, make in (("long", lambda i: i), ("string", lambda i: None if i is None else f"x{i}")):
+        frame = spark.createDataFrame([(make(i), t, "clash") for i, t in rows], f"doc_id {kind}, text string, _sha string").repartition(3)
+        got = suffix_dedup.repeated_spans(frame).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        equal([tuple(r) for r in got.collect()], brute_repeats([(make(i), t) for i, t in rows]))
+
+
+def test_names_that_collide(spark):
+    """With names of 14 bits most candidates share one with other strings; bytes must decide."""
+    base = [prose(70 + k, 120) for k in range(6)]
+    rows = [(k, base[k % 6][: 300 + 7 * k] + prose(90 + k, 60) + base[(k + 1) % 6][50:]) for k in range(24)] + [(99, "a" * 450), (98, "ab" * 300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffix_dedup.repeated_spans(frame, name_bits=14).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    equal([tuple(r) for r in got.collect()], brute_repeats(rows))
+
+
 def test_cover():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
 
@@ -426,6 +450,19 @@ def test_copies(spark, sample, docs, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {None, 1, 4, 7} and kept.where("doc_id in (2, 5)").count() == 0
 
 
+def test_copies_of_far_ids(spark):
+    rows = far_ids("a b", "a  b", "c")
+    for kind, make in (("long", lambda i: i), ("string", lambda i: None if i is None else f"x{i}")):
+        frame = spark.createDataFrame([(make(i), t, "clash") for i, t in rows], f"doc_id {kind}, text string, _row string").repartition(3)
+        equal([r[:3] + r[4:] for r in map(tuple, exact_dedup.exact_dedup(frame).collect())], [r[:3] + r[4:] for r in brute_copies([(make(i), t) for i, t in rows])])
+        kept = exact_dedup.keep_first(frame)
+        assert kept.columns == frame.columns
+        equal([(r.doc_id, r.text) for r in kept.collect() if r.text], [(make(rows[0][0]), "a b"), (make(rows[3][0]), "c")])
+    same = spark.createDataFrame([(None, "z")] * 40 + [(3, "y")] * 40 + [(1, "copy"), (5, "copy"), (5, "unique")], "doc_id long, text string").repartition(5)
+    equal([tuple(r) for r in exact_dedup.keep_first(same).collect()], [(None, "z"), (3, "y"), (1, "copy"), (5, "unique")])
+    assert exact_dedup.keep_first(same.limit(0)).count() == 0
+
+
 # 9: chats
 
 
