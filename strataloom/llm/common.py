@@ -39,20 +39,32 @@ class Scratch:
         self.folder = f"{shared_folder(spark)}/strataloom-{uuid.uuid4().hex}"
         self.paths: list[str] = []
         self.written = 0
+        self.at: dict[int, str] = {}
 
     def write(self, df: DataFrame) -> DataFrame:
         self.written += 1
         path = f"{self.folder}/{self.written}"
         df.write.parquet(path)
         self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.at[id(table)] = path
+        return table
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def release(self, table: DataFrame) -> None:
+        """Delete one table that ``write`` returned and that nothing reads any more."""
+        path = self.at.pop(id(table))
+        self.paths.remove(path)
+        self._delete(path)
 
     def drop(self, keep: int = 0) -> None:
         """Delete all tables but the last ``keep``."""
         gone, self.paths = self.paths[: len(self.paths) - keep], self.paths[len(self.paths) - keep :]
         for path in gone:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(path)
 
 
 def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -88,16 +100,30 @@ SIEVE_WORDS = 1 << 20
 """Bound of a broadcast sieve: 2^20 words of 64 bits. A fuller sieve only lets more rows through."""
 
 
+def parted(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows with _maybe: whether the sieve of ``ids`` (one column) lets the id pass."""
+    slot = lambda c: F.pmod(F.shiftright(F.xxhash64(F.col(c)), 6), F.lit(SIEVE_WORDS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(xxhash64(`{c}`) & 63 as int))")
+    name = ids.columns[0]
+    bits = ids.groupBy(slot(name).alias("_slot")).agg(F.bit_or(bit(name)).alias("_bits"))
+    joined = rows.withColumn("_slot", slot(id_col)).join(F.broadcast(bits), "_slot", "left")
+    return joined.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit(id_col)) != 0, F.lit(False))).drop("_slot", "_bits")
+
+
 def sieve(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows whose id is in ``ids`` (one column), and a few others; a map-side step with a bounded broadcast.
 
     What must be exact comes after it; the sieve spares most other rows that step's shuffle.
     """
-    slot = lambda c: F.pmod(F.shiftright(F.xxhash64(F.col(c)), 6), F.lit(SIEVE_WORDS))
-    bit = lambda c: F.expr(f"shiftleft(1L, cast(xxhash64(`{c}`) & 63 as int))")
-    name = ids.columns[0]
-    bits = ids.groupBy(slot(name).alias("_slot")).agg(F.bit_or(bit(name)).alias("_bits"))
-    return rows.withColumn("_slot", slot(id_col)).join(F.broadcast(bits), "_slot").where(F.col("_bits").bitwiseAND(bit(id_col)) != 0).drop("_slot", "_bits")
+    return parted(rows, id_col, ids).where("_maybe").drop("_maybe")
+
+
+def join_some(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """Left join of rows to ``some`` with distinct keys; rows that the sieve of its keys stops stay where they are."""
+    both = parted(rows, key, some.select(key))
+    hits = both.where("_maybe").drop("_maybe").join(some.hint("merge"), key, "left")
+    rest = both.where("not _maybe").drop("_maybe").withColumns({c: F.lit(None).cast(t) for c, t in some.dtypes if c != key})
+    return hits.unionByName(rest)
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:

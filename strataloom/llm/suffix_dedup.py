@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import golomb
-from strataloom.llm.common import Scratch, join_groups
+from strataloom.llm.common import Scratch, join_groups, parted
 
 LENGTH = 200
 PERIOD = 133
@@ -37,6 +37,9 @@ BLOCK_BYTES = 4_000_000
 OWNER_VALUES = 2_000_000
 SAMPLE_EXTRA_BITS = 12
 """A sample fingerprint has log2(samples) and so many bits more; a false repeat only adds suffixes to sort."""
+NAME_EXTRA_BITS = 30
+"""A name has log2(bytes) and so many bits more, 64 at most; a shared name costs work only."""
+FAILED_SLOTS = 1 << 22
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -139,7 +142,7 @@ class Suffixes:
         return which[bad]
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_bits: int = 64) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_bits: int | None = None) -> DataFrame:
     """One row per input row: its id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end in bytes).
 
     A byte goes if a string of LENGTH bytes that covers it starts anywhere else too. A null text counts as empty. Rows
@@ -156,6 +159,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = scratch.write(rows.where(long).groupBy("_sha").agg(F.count(F.lit(1)).alias("_size"), F.first("_bytes").alias("_n")))
     bits = min(64, max(1, n_bytes * len(COVER) // PERIOD).bit_length() + SAMPLE_EXTRA_BITS)
     owner_bits = _owner_bits(n_bytes * len(COVER) // PERIOD)
+    name_bits = name_bits or min(64, max(1, n_bytes).bit_length() + NAME_EXTRA_BITS)
+    name_owner_bits = min(name_bits, _owner_bits(n_bytes // 4))
     block_type = f"_block long, _sha binary, _copied boolean, _value binary, {golomb.OWNED}"
 
     def make_blocks(batches):
@@ -183,9 +188,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield from finished()
 
-    # copies collapse before the shuffle; one text of each class goes on
-    single = base.where(F.octet_length("_text") >= LENGTH).groupBy("_sha").agg(F.count(F.lit(1)).alias("_size"), F.first("_text").alias("_text"))
-    blocks = scratch.write(single.select("_sha", "_size", "_text").mapInArrow(make_blocks, block_type))
+    # one text of each class goes on; copies collapse before they are shuffled, and other texts stay in place
+    kept = parted(base.where(F.octet_length("_text") >= LENGTH).select("_sha", "_text"), "_sha", classes.where("_size > 1").select("_sha"))
+    copied = kept.where("_maybe").groupBy("_sha").agg(F.count(F.lit(1)).alias("_size"), F.first("_text").alias("_text"))
+    single = copied.unionByName(kept.where("not _maybe").select("_sha", F.lit(1).cast("long").alias("_size"), "_text"))
+    blocks = scratch.write(single.mapInArrow(make_blocks, block_type))
     replies = golomb.answer(blocks.where(F.col("_blob").isNotNull()))
 
     def candidates(key: tuple, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
@@ -201,23 +208,39 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 starts = possible_starts(len(value), cover_positions(len(value))[hit])
                 breaks = np.flatnonzero(np.diff(starts, prepend=-2) > 1)
                 runs = np.stack([starts[breaks], starts[np.append(breaks[1:], len(starts)) - 1] + 1], 1) if len(starts) else np.zeros((0, 2), int)
-                out.append((int(key[0]), sha, copied, value, runs.astype("<i8").tobytes(), len(starts)))
-        return pd.DataFrame(out, columns=["_block", "_sha", "_copied", "_value", "_runs", "_starts"])
+                out.append((sha, copied, value, runs.astype("<i8").tobytes()))
+        found = pd.DataFrame(out, columns=["_sha", "_copied", "_value", "_runs"])
+        sent = pd.DataFrame(golomb.messages(Suffixes(found, name_bits).values, int(key[0]), name_bits, name_owner_bits), columns=["_owner", "_sender", "_blob"])
+        return pd.concat([found, sent.astype({"_owner": "Int64", "_sender": "Int64"})]).assign(_block=int(key[0]))
 
     texts = blocks.where(F.col("_value").isNotNull()).select("_block", "_sha", "_copied", "_value")
     by_sender = lambda r: r.groupBy(F.col("_sender").alias("_block"))
-    found = texts.groupBy("_block").cogroup(by_sender(replies)).applyInPandas(candidates, "_block long, _sha binary, _copied boolean, _value binary, _runs binary, _starts long")
-    found = scratch.write(found)
-    name_owner_bits = min(name_bits, _owner_bits(found.agg(F.sum("_starts")).first()[0] or 0))
+    both = texts.groupBy("_block").cogroup(by_sender(replies)).applyInPandas(candidates, f"_block long, _sha binary, _copied boolean, _value binary, _runs binary, {golomb.OWNED}")
+    both = scratch.write(both)
+    scratch.release(blocks)
+    found = both.where(F.col("_value").isNotNull()).select("_block", "_sha", "_copied", "_value", "_runs")
+    replies = scratch.write(golomb.answer(both.where(F.col("_blob").isNotNull()), name_first=True))
 
-    def send_names(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(golomb.messages(Suffixes(pdf, name_bits).values, int(key[0]), name_bits, name_owner_bits), columns=["_owner", "_sender", "_blob"])
+    spans = "array<struct<start: long, end: long>>"
 
-    replies = scratch.write(golomb.answer(found.groupBy("_block").applyInPandas(send_names, golomb.OWNED), name_first=True))
+    def cut(pdf: pd.DataFrame, own: Suffixes, flags: np.ndarray) -> pd.DataFrame:
+        """What is removed of each text of a block without copies, given which of its suffixes are repeated."""
+        out, at = [], 0
+        for sha, copied, value, n, start in zip(pdf["_sha"], pdf["_copied"], pdf["_value"], own.sizes, own.bases):
+            hit = own.starts[at : at + n][flags[at : at + n]] - start
+            at += n
+            if len(hit) and not copied:
+                cuts = cut_spans(hit)
+                edges = [0, *[x for c in cuts for x in c], len(value)]
+                rest = b"".join(value[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                out.append((sha, sum(b - a for a, b in cuts), len(cuts), hashlib.sha256(rest).hexdigest(), [{"start": a, "end": b} for a, b in cuts]))
+        return pd.DataFrame(out, columns=["_sha", "_removed", "_spans", "_kept", "_cut"])
 
-    def claims(key: tuple, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        """Runs of this block's candidates that another block has first, as bytes for that block; and names that fail inside the block."""
-        own = Suffixes(pdf.sort_values("_sha"), name_bits)
+    def propose(key: tuple, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        """The cuts if all names are right; runs of suffixes that another block has first, as bytes for that block; and names
+        that fail inside the block."""
+        pdf = pdf.sort_values("_sha")
+        own = Suffixes(pdf, name_bits)
         flags = golomb.marked(own.values, replies, name_bits, name_owner_bits)
         firsts = golomb.first_senders(own.values, flags, replies, name_bits, name_owner_bits)
         again = np.flatnonzero((own.counts > 1)[own.back])
@@ -226,13 +249,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = [(None, None, int(v)) for v in bad.view(np.int64)]
         ask = np.sort(own.first[flags & (firsts != int(key[0]))])
         to, at = firsts[own.back[ask]], own.starts[ask]
-        cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(to) != 0)) + 1
-        for a, b in zip([0, *cut] if len(ask) else [], [*cut, len(ask)]):
+        ends = np.flatnonzero((np.diff(at) != 1) | (np.diff(to) != 0)) + 1
+        for a, b in zip([0, *ends] if len(ask) else [], [*ends, len(ask)]):
             out.append((int(to[a]), own.data[at[a] : at[b - 1] + LENGTH], None))
-        return pd.DataFrame(out, columns=["_to", "_bytes", "_bad"]).astype({"_to": "Int64", "_bad": "Int64"})
+        asked = pd.DataFrame(out, columns=["_to", "_bytes", "_bad"]).astype({"_to": "Int64", "_bad": "Int64"})
+        cuts = cut(pdf, own, ((own.counts > 1) | flags)[own.back]).astype({"_removed": "Int64", "_spans": "Int64"})
+        return pd.concat([cuts, asked.assign(_cut=None)])
 
-    asked = found.groupBy("_block").cogroup(by_sender(replies)).applyInPandas(claims, "_to long, _bytes binary, _bad long")
-    asked = scratch.write(asked.distinct())  # a passage that many blocks have alike is compared once
+    cut_type = f"_sha binary, _removed long, _spans long, _kept string, _cut {spans}"
+    proposed = found.groupBy("_block").cogroup(by_sender(replies)).applyInPandas(propose, f"{cut_type}, _to long, _bytes binary, _bad long")
+    proposed = scratch.write(proposed)
+    cuts = proposed.where(F.col("_sha").isNotNull()).select("_sha", "_removed", "_spans", "_kept", "_cut")
+    asked = proposed.where(F.col("_to").isNotNull()).select("_to", "_bytes").distinct()  # a passage that many blocks have alike is compared once
 
     def compare(key: tuple, pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         own, bad, windows = Suffixes(pdf.sort_values("_sha"), name_bits), [], Windows()
@@ -244,48 +272,43 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             bad.append(own.names[failed])
         return pd.DataFrame({"_bad": np.unique(joined(bad)).view(np.int64)})
 
-    failed = found.groupBy("_block").cogroup(asked.where(F.col("_to").isNotNull()).groupBy(F.col("_to").alias("_block"))).applyInPandas(compare, "_bad long")
-    failed = scratch.write(failed.unionByName(asked.where(F.col("_bad").isNotNull()).select("_bad")).distinct())
-    fix_type = "array<struct<start: long, again: boolean>>"
-    fixes = None
+    failed = found.groupBy("_block").cogroup(asked.groupBy(F.col("_to").alias("_block"))).applyInPandas(compare, "_bad long")
+    failed = scratch.write(failed.unionByName(proposed.where(F.col("_bad").isNotNull()).select("_bad")).distinct())
     if not failed.isEmpty():
+        slot = F.col("_bad").bitwiseAND(FAILED_SLOTS - 1)
+        words = failed.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bad & 63 as int))")).alias("bits")).collect()  # FAILED_SLOTS / 64 rows at most
+        seen = np.zeros(FAILED_SLOTS // 64, np.int64)
+        seen[[r["w"] for r in words]] = [r["bits"] for r in words]
+        maybe = docs.sparkSession.sparkContext.broadcast(np.unpackbits(seen.view(np.uint8), bitorder="little").astype(bool))
 
         def spell_out(batches):
             for batch in batches:
-                for sha, value, runs in zip(*[c.to_pylist() for c in batch.columns]):
+                for block, sha, value, runs in zip(*[c.to_pylist() for c in batch.columns]):
                     own = Suffixes(pd.DataFrame({"_value": [value], "_runs": [runs]}), name_bits)
-                    for a in range(0, len(own.starts), 4096):
-                        at = own.starts[a : a + 4096]
+                    hits = np.flatnonzero(maybe.value[(own.names & np.uint64(FAILED_SLOTS - 1)).astype(np.int64)])
+                    for a in range(0, len(hits), 4096):
+                        few = hits[a : a + 4096]
+                        at = own.starts[few]
                         parts = [value[k : k + LENGTH] for k in at]
-                        yield pa.RecordBatch.from_arrays([pa.array(own.names[a : a + 4096].view(np.int64)), pa.array([sha] * len(at), pa.binary()), pa.array(at), pa.array(parts, pa.binary())], ["_bad", "_sha", "start", "_string"])
+                        columns = [pa.array([block] * len(at), pa.int64()), pa.array(own.names[few].view(np.int64)), pa.array([sha] * len(at), pa.binary()), pa.array(at), pa.array(parts, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, ["_block", "_bad", "_sha", "start", "_string"])
 
-        strings = found.select("_sha", "_value", "_runs").mapInArrow(spell_out, "_bad long, _sha binary, start long, _string binary")
+        strings = found.select("_block", "_sha", "_value", "_runs").mapInArrow(spell_out, "_block long, _bad long, _sha binary, start long, _string binary")
         strings = scratch.write(strings.join(failed, "_bad", "left_semi"))
         often = strings.groupBy("_string").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_string", F.lit(True).alias("again"))
-        judged = strings.join(often, "_string", "left").select("_sha", "start", F.coalesce("again", F.lit(False)).alias("again"))
-        fixes = scratch.write(judged.groupBy("_sha").agg(F.collect_list(F.struct("start", "again")).alias("_fixes")))
-    fixed = found.withColumn("_fixes", F.lit(None).cast(fix_type)) if fixes is None else found.join(fixes, "_sha", "left")
-
-    def cut(key: tuple, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_sha")
-        own = Suffixes(pdf, name_bits)
-        flags = ((own.counts > 1) | golomb.marked(own.values, replies, name_bits, name_owner_bits))[own.back]
-        out, at = [], 0
-        for sha, copied, value, n, start, fix in zip(pdf["_sha"], pdf["_copied"], pdf["_value"], own.sizes, own.bases, pdf["_fixes"]):
-            starts, hit = own.starts[at : at + n] - start, flags[at : at + n]
-            at += n
-            if fix is not None and len(fix):
-                hit[np.searchsorted(starts, [f["start"] for f in fix])] = [f["again"] for f in fix]
-            hit = starts[hit]
-            if len(hit) and not copied:
-                spans = cut_spans(hit)
-                edges = [0, *[x for s in spans for x in s], len(value)]
-                rest = b"".join(value[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((sha, sum(b - a for a, b in spans), len(spans), hashlib.sha256(rest).hexdigest(), [{"start": a, "end": b} for a, b in spans]))
-        return pd.DataFrame(out, columns=["_sha", "_removed", "_spans", "_kept", "_cut"])
-
-    spans = "array<struct<start: long, end: long>>"
-    cuts = fixed.groupBy("_block").cogroup(by_sender(replies.drop("_first"))).applyInPandas(cut, f"_sha binary, _removed long, _spans long, _kept string, _cut {spans}")
+        judged = strings.join(often, "_string", "left").select("_block", "_sha", "start", F.coalesce("again", F.lit(False)).alias("again"))
+        sides = judged.unionByName(replies.drop("_first").withColumnRenamed("_sender", "_block"), allowMissingColumns=True)
+
+        def mend(key: tuple, pdf: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_sha")
+            own = Suffixes(pdf, name_bits)
+            flags = ((own.counts > 1) | golomb.marked(own.values, side[side["_map"].notna()], name_bits, name_owner_bits))[own.back]
+            base = dict(zip(pdf["_sha"], own.bases))
+            known = side[side["_sha"].notna()]
+            flags[np.searchsorted(own.starts, [base[s] + int(k) for s, k in zip(known["_sha"], known["start"])])] = known["again"].to_numpy(bool)
+            return cut(pdf, own, flags)
+
+        cuts = found.groupBy("_block").cogroup(sides.groupBy("_block")).applyInPandas(mend, cut_type)
     groups = scratch.write(classes.select("_sha", "_size").join(cuts, "_sha", "left").where("_size > 1 or _removed > 0"))
     out = join_groups(rows, groups, ["_sha"], "_size", count)
     whole = F.col("_size") > 1
