@@ -4,8 +4,10 @@ Each line is hashed; a rolling hash over ROLLING consecutive line hashes ends a
 MODULUS, so boundaries move along with inserted or deleted lines. Chunks of several lines whose hash occurs more
 than once are compared byte by byte, and all occurrences of equal chunks but the first are removed.
 
-Chunks miss most short passages, whose boundaries lie in their neighbours. With ``windows`` every two lines that follow
-each other are compared instead, so that each line of a repeated run of two lines or more is found.
+Boundaries at multiples miss most short passages, whose boundaries lie in their neighbours. With ``windows`` the rolling
+hashes of all places are looked up in the whole corpus instead: a boundary is where the hash of two lines that follow each
+other occurs once, so a chunk is a longest run of lines of which every two neighbours repeat. It is compared two lines at
+a time, so that each line of a repeated run of two lines or more is found, wherever the first copy has its own ends.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import WHITE, Scratch, join_groups, sieve
+from strataloom.llm.common import WHITE, Scratch, join_groups, join_some, numbered, sieve
 
 ROLLING = 2
 MODULUS = 3
@@ -52,48 +54,55 @@ def windows_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: bool = False) -> DataFrame:
     """All columns of ``docs`` with the text that stays, and n_lines, n_removed_lines.
 
-    The first occurrence (smallest id, then place) of a repeated chunk stays; chunks of one line, and chunks without
-    a character, stay always. A null text stays null. Rows without an id keep all lines and count as first
-    occurrences. Rows that repeat an id at the same place keep theirs together. An empty table gives no rows.
+    The first occurrence (smallest id, a null id last; then the row read first, then place) of a repeated chunk stays;
+    chunks of one line, and chunks without a character, stay always. A null text stays null. Rows are told apart by a
+    number of their own, so ids may repeat. Columns of ``docs`` with the name of an added one are replaced. An empty table
+    gives no rows.
 
     With ``windows``, the lines of each pair of lines that occurred before go (lines without a character between the two
     included), unless the pair shares a line with its first occurrence. The first occurrence of every line stays.
     """
     split = windows_of if windows else chunks
     scratch = Scratch(docs.sparkSession)
-    base = split(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
+    rows = numbered(docs, scratch)
+    text = F.col(f"_doc.`{text_col}`").cast("string").alias("_text")
+    base = split(rows.select("_row", F.col(f"_doc.`{id_col}`").alias("_id"), text), "_text")
     # explode() would add a filter on the array, which Spark moves down and so evaluates inside its own lambdas
-    several = base.select("_id", "_lines", F.explode_outer("_chunks").alias("c")).where(F.col("c.n") >= LEAST_LINES)
+    several = base.select("_row", "_id", "_lines", F.explode_outer("_chunks").alias("c")).where(F.col("c.n") >= LEAST_LINES)
     piece = F.array_join(F.slice("_lines", F.col("c.at") + 1, F.col("c.n")), "\n")
     repeated = several.select(F.col("c.hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("hash")
-    suspects = sieve(several.withColumn("hash", F.col("c.hash")), "hash", scratch.write(repeated)).select("_id", F.col("c.k").alias("k"), piece.alias("piece"))
+    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("c.k").alias("k")).alias("place")
+    suspects = sieve(several.withColumn("hash", F.col("c.hash")), "hash", scratch.write(repeated)).select(place, piece.alias("piece"))
     suspects = suspects.where(F.length(F.trim("piece")) > 0)
-    copies = scratch.write(suspects.select("_id", "k", F.unhex(F.sha2("piece", 256)).alias("sha")))
-    groups = suspects.groupBy("piece").agg(F.min(F.struct("_id", "k")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    copies = scratch.write(suspects.select("place.row", "place.k", F.unhex(F.sha2("piece", 256)).alias("sha")))
+    groups = suspects.groupBy("piece").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
     groups = scratch.write(groups.select(F.unhex(F.sha2("piece", 256)).alias("sha"), "first", "m"))
-    found = join_groups(copies, groups, ["sha"], "m", copies.count()).where(F.col("first").isNotNull() & (F.struct("_id", "k") != F.col("first")))
-    if windows:
-        found = found.where(~((F.col("_id") == F.col("first._id")) & (F.col("k") == F.col("first.k") + 1)) | F.col("first._id").isNull())
-    removed = scratch.write(found.groupBy(F.col("_id").alias("_rid")).agg(F.collect_set("k").alias("_gone")))
-    marked = split(docs, text_col).join(removed.hint("merge") if windows else removed, F.col(id_col) == F.col("_rid"), "left")
+    found = join_groups(copies, groups, ["sha"], "m", copies.count()).where(F.col("first").isNotNull())
+    ahead = F.col("k") - F.col("first.k")
+    own = (F.col("row") == F.col("first.row")) & (ahead.isin(0, 1) if windows else ahead == 0)
+    removed = scratch.write(found.where(~own).groupBy(F.col("row").alias("_row")).agg(F.collect_set("k").alias("_gone")))
+    marked = split(join_some(rows, removed, "_row").withColumn("_text", text), "_text")
+    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     if windows:
         gone = F.filter(F.transform("_gone", lambda k: F.get("_chunks", k)), lambda c: c.isNotNull())
         gone = F.array_distinct(F.flatten(F.transform(gone, lambda c: F.sequence(c["at"], c["at"] + c["n"] - 1))))
         marked = marked.withColumn("_lost", F.when(F.col("_gone").isNotNull(), gone))
         places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
         marked = marked.withColumn("_left", F.transform(places, lambda i: F.get("_lines", i)))
-        out = (
-            marked.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n")))
-            .withColumn("n_lines", F.size("_lines").cast("long"))
-            .withColumn("n_removed_lines", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_lost")).cast("long"))
-        )
-        return out.drop("_lines", "_chunks", "_gone", "_rid", "_lost", "_left")
+        left, lost = F.array_join("_left", "\n"), F.size("_lost")
+    else:
+        left, lost = _rest_of_chunks()
+    whole = F.col("_gone").isNull()
+    marked = marked.withColumn("_n", F.size("_lines").cast("long")).withColumn("_text", F.when(whole, F.col("_text")).otherwise(left)).withColumn("_m", F.when(whole, F.lit(0)).otherwise(lost).cast("long"))
+    columns = [(F.col("_text") if c == text_col else F.col(f"_doc.`{c}`")).alias(c) for c in kept_columns]
+    out = scratch.write(marked.select(*columns, F.col("_n").alias("n_lines"), F.col("_m").alias("n_removed_lines")))
+    scratch.drop(keep=1)
+    return out
+
+
+def _rest_of_chunks():
+    """(text of the chunks that stay, number of lines that go) of rows with _chunks, _lines and _gone."""
     stays = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["k"]))
     kept = F.transform(stays, lambda c: F.array_join(F.slice("_lines", c["at"] + 1, c["n"]), "\n"))
     lost = F.aggregate(F.filter("_chunks", lambda c: F.array_contains("_gone", c["k"])), F.lit(0), lambda a, c: a + c["n"])
-    out = (
-        marked.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_removed_lines", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(lost).cast("long"))
-    )
-    return out.drop("_lines", "_hashes", "_chunks", "_gone", "_rid")
+    return F.array_join(kept, "\n"), lost
