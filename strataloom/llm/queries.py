@@ -74,16 +74,15 @@ QUERIES = {
 ORACLE_SQL = {
     "op9_chat_format": r"""
         WITH rows AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-        pos AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
-                       dense_rank() OVER (PARTITION BY conv_id ORDER BY turn // 512) - 1 AS b FROM rows),
+        pos AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM rows),
         pre AS (SELECT conv_id, k, count(*) OVER (PARTITION BY conv_id) AS n,
                        list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY k) AS said FROM pos),
         full_ AS (SELECT n, said, min(conv_id) AS conv_id FROM pre WHERE k = n GROUP BY n, said),
         kept AS (SELECT conv_id FROM full_ f
                  WHERE NOT EXISTS (SELECT 1 FROM pre p WHERE p.k = f.n AND p.n > f.n AND p.said = f.said))
-        SELECT conv_id, CAST(b AS INTEGER) AS part, count(*) AS n_turns,
+        SELECT conv_id, CAST((k - 1) // 512 AS INTEGER) AS part, count(*) AS n_turns,
                string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY k) AS text
-        FROM pos JOIN kept USING (conv_id) GROUP BY conv_id, b""",
+        FROM pos JOIN kept USING (conv_id) GROUP BY conv_id, (k - 1) // 512""",
     "op8_exact_dedup": r"""
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, sha256(n) AS text_sha256

@@ -399,13 +399,16 @@ def test_lines(spark, sample, docs, empty):
 
 def brute_windows(rows):
     seen, out = {}, []
-    for i, t in sorted(rows):
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):  # stable: rows that repeat an id stay in order
+        if t is None:
+            out.append((i, None, 1, 0))
+            continue
         lines = t.split("\n")
         full = [k for k, x in enumerate(lines) if re.search(WORD, x)]
         lost = set()
         for k, (a, b) in enumerate(zip(full, full[1:])):
-            first = seen.setdefault(tuple(lines[a : b + 1]), (i, k))
-            if first not in ((i, k), (i, k - 1)):
+            first = seen.setdefault(tuple(lines[a : b + 1]), (len(out), k))
+            if first not in ((len(out), k), (len(out), k - 1)):
                 lost |= set(range(a, b + 1))
         out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in lost), len(lines), len(lost)))
     return out
@@ -430,6 +433,17 @@ def test_short_passages(spark, sample, docs, empty):
     assert line_dedup.line_dedup(empty, windows=True).count() == 0
 
 
+def test_lines_of_repeated_ids(spark):
+    passage, unique = "\n".join(f"p {k}" for k in range(12)), "\n".join(f"u {k}" for k in range(12))
+    rows = [(1, passage), (5, passage), (5, unique), (5, None), (None, passage + "\nx"), (None, unique + "\ny"), ((1 << 60) + 1, unique), ((1 << 60) + 3, ""), (2, "q\n" + passage), (2, "q\n" + passage)]
+    frame = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, n_lines string").coalesce(1)
+    got = line_dedup.line_dedup(frame, windows=True)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed_lines"]
+    equal([tuple(r) for r in got.collect()], brute_windows(rows))
+    texts = [r.text for r in line_dedup.line_dedup(frame).where("doc_id = 5").collect()]
+    assert unique in texts and None in texts
+
+
 # 8: copies
 
 
@@ -480,6 +494,47 @@ def test_chats(spark):
     assert chat_format.chat_format(frame.limit(0)).count() == 0
 
 
+def brute_chats(rows, most=512):
+    none_first = lambda x: tuple((v is not None, v) for v in x)
+    logs = collections.defaultdict(set)
+    for c, *said in rows:
+        logs[c].add(tuple(said))
+    logs = {c: [(r, t) for _, r, t in sorted(said, key=none_first)] for c, said in logs.items()}
+    out = []
+    for c, said in logs.items():
+        rivals = [(d, other) for d, other in logs.items() if d != c and other[: len(said)] == said]
+        if not any(len(other) > len(said) or (d is not None and (c is None or d < c)) for d, other in rivals):
+            for k in range(0, len(said), most):
+                part = said[k : k + most]
+                out.append((c, k // most, len(part), "".join(f"<|{r or 'unknown'}|>\n{t or ''}<|end|>\n" for r, t in part)))
+    return out
+
+
+def test_chats_by_brute_force(spark):
+    import duckdb
+
+    from strataloom.llm.queries import ORACLE_SQL
+
+    r = np.random.default_rng(5)
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (2, 0, "user", "a"), (3, 0, "user", "b"), (4, None, "user", "a"), (4, None, "user", "z"), (5, 7, None, "a"), (6, 7, None, None)]
+    for c in range(10, 60):  # snapshots of few conversations, with ties in turn and role
+        seed, n = int(r.integers(0, 6)), int(r.integers(1, 12))
+        rows += [(c, k // 2, "user" if k % 3 else "assistant", f"t{seed if k > 2 else 0}{(k * 7) % 5}") for k in range(n)]
+    rows += [(90, k, "user", f"long {k}") for k in range(1100)] + [(91, k, "user", f"long {k}") for k in range(700)]
+    kind = "conv_id long, turn long, role string, text string"
+    frame = spark.createDataFrame(rows, kind).repartition(3)
+    got = [tuple(x) for x in chat_format.chat_format(frame).collect()]
+    equal(got, brute_chats(rows))
+    duckdb.sql("CREATE OR REPLACE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    duckdb.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    equal(got, duckdb.sql(ORACLE_SQL["op9_chat_format"]).select("conv_id, part, n_turns, text").fetchall())
+    whole = chat_format.chat_format(frame.where("conv_id >= 90"), part_turns=None).collect()
+    assert [(x.conv_id, x.part, x.n_turns) for x in whole] == [(90, 0, 1100)]
+    hot = [(None, None, "user", f"x{k % 700}") for k in range(2000)] + [(None, 1, "user", "y"), (7, 0, "user", None)]
+    frame = spark.createDataFrame(hot, kind).repartition(3)
+    equal([tuple(x) for x in chat_format.chat_format(frame).collect()], brute_chats(hot))
+
+
 # 10: packing
 
 
