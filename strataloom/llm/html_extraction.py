@@ -2,9 +2,10 @@
 
 A page becomes text blocks, each with its root-to-leaf tag path. Text length and punctuation are aggregated per
 path, both ratios are smoothed along the page and fused, and a threshold over the fused scores selects content
-paths. Where the page marks its article, the marked element with the highest fused score bounds the content;
-otherwise the common ancestor of the selected paths does. Elements that declare themselves to be menus, forms,
-adverts or the like take no part.
+paths. Where the page marks its article, the scores choose among the marked elements, and inside them drop paths of
+links below the threshold; otherwise the selected paths and what stands among them are the content. Elements that are menus,
+forms, adverts or the like by their tag take no part; those that are so by their name only where the name says nothing
+else, and never one that holds most of the page's text (reader comments excepted, as long as other text is left).
 """
 
 from __future__ import annotations
@@ -30,36 +31,64 @@ CLOSES = {
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
-ROLES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|ad(?:box|slot|unit|banner|space)|sponsor\w*|promo\w*|banner|nav|navbar|navigation|(?:main|top|side|sub)?menu|breadcrumbs?|"
-    r"side-?bar|(?:top|tool)bar|footer|cookies?|consent|"
-    r"notices?|alerts?|comments?|respond|replies|disqus\w*|related|recommend\w*|share|sharing|social|newsletter|subscribe\w*|signup|login|"
-    r"pop-?up|modal|search|pagination|pager|tags|complementary|contentinfo|masthead)(?:$|[\s_-])",
-    re.I,
+# Words in class, id and role that name page furniture, and words that may stand beside them.
+FURNITURE = re.compile(
+    r"ads?|adv|advert\w*|ad(?:box|slot|unit|banner|space)|sponsor\w*|promo\w*|banner|nav|navbar|navigation|(?:main|top|side|sub)?menu|breadcrumbs?|"
+    r"sidebar|(?:top|tool)bar|footer|cookies?|consent|notices?|alerts?|related|recommend\w*|share|sharing|social|newsletter|subscribe\w*|signup|login|"
+    r"popup|modal|search|pagination|pager|tags|complementary|contentinfo|masthead"
 )
-PAGE_HEADER = re.compile(r"(?:^|\s)(?:site-|page-|top-)?header(?:$|\s)", re.I)
+COMMENTS = re.compile(r"comments?(?:list|s?area|box|thread|section|wrap(?:per)?)?|respond|replies|disqus\w*")
+BESIDE = re.compile(
+    r"\d*|site|page|pop|up|side|bar|top|bottom|left|right|main|post|posts|article|articles|entry|area|box|list|section|container|wrap|wrapper|widget|block|panel|links?|items?|inner|outer|"
+    r"content|form|buttons?|icons?|group|row|col|column|fixed|sticky|mobile|desktop|global|primary|secondary|header|slot|unit|space|stories|story|news|this|us|the|id|js|ui|text|message|thread"
+)
+PAGE_HEADER = re.compile(r"(?:site-|page-|top-)?header")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 HUMP = re.compile("(?<=[a-z])(?=[A-Z])")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+HEADING = re.compile("h[1-6]")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 SMOOTHING = (0.25, 0.5, 0.25)
-MOST_OF = 0.7
-"""An element inside the best marked one stands for it if it has this share of its weight (an article in a main)."""
+SIBLING = 0.3
+"""A marked element beside the best one is content too if its mean score is at least the threshold and this share of the best."""
+PLAIN, FURNISHED, COMMENTED, HARD = range(4)
+
+
+def attributes_of(raw: str) -> dict[str, str]:
+    """Names in lower case and decoded values; the first of equal names counts."""
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), html.unescape("".join(values)))
+    return out
+
+
+def named_kind(words: list[str]) -> int:
+    """What the words of class, id and role say of an element: a word counts if all of its parts name furniture or may stand beside it."""
+    kind = PLAIN
+    for word in words:
+        parts = [p for p in word.split("-") if p]
+        if all(COMMENTS.fullmatch(p) or FURNITURE.fullmatch(p) or BESIDE.fullmatch(p) for p in parts):
+            if any(COMMENTS.fullmatch(p) for p in parts):
+                return COMMENTED
+            if any(FURNITURE.fullmatch(p) for p in parts) or "side-bar" in word or "pop-up" in word:
+                kind = FURNISHED
+    return kind
 
 
 class Block:
-    __slots__ = ("elements", "links", "path", "text")
+    __slots__ = ("elements", "links", "path", "tag", "text")
 
-    def __init__(self, path: str, elements: tuple[int, ...], text: str, links: int):
-        self.path, self.elements, self.text, self.links = path, elements, text, links
+    def __init__(self, tag: str, path: str, elements: tuple[int, ...], text: str, links: int):
+        self.tag, self.path, self.elements, self.text, self.links = tag, path, elements, text, links
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[int]]:
-    """Text blocks outside boilerplate, in page order, and the elements that mark an article."""
+    """Text blocks outside boilerplate, in page order, and the elements that mark an article, outer ones first."""
     blocks: list[Block] = []
     marked: list[int] = []
+    named: dict[int, int] = {}
     stack: list[tuple[str, int, bool, str]] = [("", 0, False, "")]  # tag, element number, boilerplate above or here, path
     parts: list[str] = []
     links = in_link = number = at = 0
@@ -69,7 +98,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text and not stack[-1][2]:
-                blocks.append(Block(stack[-1][3], tuple(s[1] for s in stack[1:]), text, links))
+                blocks.append(Block(stack[-1][0], stack[-1][3], tuple(s[1] for s in stack[1:]), text, links))
             parts.clear()
         links = 0
 
@@ -120,18 +149,35 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
             elif stack[-1][0] == "p":
                 close(len(stack) - 1)
             number += 1
-            names = HUMP.sub("-", " ".join(x.strip("\"'") for x in NAMED.findall(attributes))) if attributes else ""
+            own = attributes_of(attributes) if attributes.strip() else {}
+            words = HUMP.sub("-", " ".join(own[k] for k in ("class", "id", "role") if k in own)).replace("_", "-").lower().split()
+            junk = stack[-1][2] or tag in BOILERPLATE or own.get("hidden", "false").lower() != "false" or own.get("aria-hidden", "").lower() == "true" or bool(HIDING.search(own.get("style", "")))
             inside = any(s[0] in MARKED for s in stack)
-            junk = stack[-1][2] or tag in BOILERPLATE or bool(attributes and HIDDEN.search(attributes))
-            if tag not in ("html", "body") and tag not in MARKED:
-                junk = junk or bool(names and ROLES.search(names)) or (not inside and (tag == "header" or bool(names and PAGE_HEADER.search(names))))
-            elif tag in MARKED and names and ROLES.search(names):
-                junk = True
-            if tag in MARKED and not junk or re.search(r"\barticleBody\b", attributes):
+            kind = named_kind(words) if words and tag not in ("html", "body") else PLAIN
+            if not inside and tag not in MARKED and (tag == "header" or any(PAGE_HEADER.fullmatch(w) for w in words)):
+                kind = max(kind, FURNISHED)
+            if kind and not junk:
+                named[number] = kind
+            if tag in MARKED or (not inside and "articlebody" in own.get("itemprop", "").lower().split()):
                 marked.append(number)
-            stack.append((tag, number, junk, f"{stack[-1][3]}/{tag}" + (f".{names}" if names else "")))
+            stack.append((tag, number, junk, f"{stack[-1][3]}/{tag}" + (f".{' '.join(words)}" if words else "")))
     flush()
-    return blocks, marked
+    return without_furniture(blocks, named), marked
+
+
+def without_furniture(blocks: list[Block], named: dict[int, int]) -> list[Block]:
+    """The blocks outside elements that are furniture by name, of which none holds most of the text."""
+    for kind in (COMMENTED, FURNISHED):
+        gone = {n for n, k in named.items() if k == kind}
+        if kind == FURNISHED and gone:
+            mass: dict[int, int] = {}
+            for b in blocks:
+                for n in gone.intersection(b.elements):
+                    mass[n] = mass.get(n, 0) + len(b.text) - b.links
+            gone = {n for n in gone if 2 * mass.get(n, 0) < sum(len(b.text) - b.links for b in blocks)}
+        left = [b for b in blocks if gone.isdisjoint(b.elements)] if gone else blocks
+        blocks = left or blocks
+    return blocks
 
 
 def path_scores(blocks: list[Block]) -> dict[str, float]:
@@ -156,27 +202,55 @@ def path_scores(blocks: list[Block]) -> dict[str, float]:
     return scores
 
 
+def chosen_marks(blocks: list[Block], marked: list[int], scores: dict[str, float], least: float) -> list[int]:
+    """The marked elements that are content: an inner one stands for an outer one if what it leaves out scores below the threshold."""
+    held = {m: [b for b in blocks if m in b.elements] for m in marked}
+    above = {m: [n for n in marked if n != m and held[m] and n in held[m][0].elements and n < m] for m in marked}
+
+    def resolve(m: int) -> list[int]:
+        inner = [n for n in marked if above[n] and above[n][-1] == m and held[n]]
+        rest = [b for b in held[m] if not any(n in b.elements for n in inner)]
+        if not inner or any(scores[b.path] >= least and not HEADING.fullmatch(b.tag) for b in rest):
+            return [m]
+        return [x for n in inner for x in resolve(n)]
+
+    found = [x for m in marked if held[m] and not above[m] for x in resolve(m)]
+    weight = {m: sum(scores[b.path] * len(b.text) for b in held[m]) for m in found}
+    if not found:
+        return []
+    best = max(found, key=lambda m: (weight[m], -m))
+    mean = {m: weight[m] / sum(len(b.text) for b in held[m]) for m in found}
+    return [m for m in found if m == best or mean[m] >= max(least, SIBLING * mean[best])]
+
+
 def main_text(page: str | None) -> str:
     """The article of one page: white space inside a block as one space, blocks joined by newlines."""
     blocks, marked = blocks_of(page or "")
     if not blocks:
         return ""
     scores = path_scores(blocks)
-    if marked:
-        weight = {m: sum(scores[b.path] * len(b.text) for b in blocks if m in b.elements) for m in marked}
-        best = max(weight.values())
-        outer = next(m for m in marked if weight[m] == best)  # the first, so the outermost, of equals
-        inside = {m for b in blocks if outer in b.elements for m in b.elements}
-        root = max((m for m in marked if m in inside and weight[m] >= MOST_OF * best and m >= outer), default=outer)
-        chosen = [b for b in blocks if root in b.elements]
-        if chosen:
-            return "\n".join(b.text for b in chosen)
     least = min(pstdev(scores.values()), max(scores.values()))
-    hits = [b for b in blocks if scores[b.path] >= least]
-    shared = set(hits[0].elements).intersection(*(b.elements for b in hits))
+    linked: dict[str, int] = {}
+    for b in blocks:
+        linked[b.path] = linked.get(b.path, 0) + 2 * b.links - len(b.text)
+    content = lambda b: scores[b.path] >= least or linked[b.path] < 0 or bool(HEADING.fullmatch(b.tag))
+    marks = chosen_marks(blocks, marked, scores, least)
+    if marks:
+        chosen = [b for b in blocks if any(m in b.elements for m in marks)]
+        if not any(b.tag == "h1" for b in chosen):  # a headline that stands above its article, inside a mark around both
+            around = {m for m in marked if any(m in b.elements for b in chosen)}
+            chosen = [b for b in blocks if b in chosen or (b.tag == "h1" and around.intersection(b.elements))]
+        return "\n".join(b.text for b in [b for b in chosen if content(b)] or chosen)
+    hits = [k for k, b in enumerate(blocks) if scores[b.path] >= least]
+    shared = set(blocks[hits[0]].elements).intersection(*(blocks[k].elements for k in hits))
     root = max(shared, default=0)
-    chosen = [b for b in blocks if (not root or root in b.elements) and (scores[b.path] >= least or 2 * b.links < len(b.text))]
-    return "\n".join(b.text for b in chosen)
+    homes = {blocks[k].elements[-2] for k in hits if len(blocks[k].elements) > 1} - set(blocks[hits[0]].elements[: max(0, blocks[hits[0]].elements.index(root))] if root else ())
+    homes = {n for n in homes if n >= root and not all(n in b.elements for b in blocks)}
+    first = hits[0]
+    while first and HEADING.fullmatch(blocks[first - 1].tag) and (not root or root in blocks[first - 1].elements):
+        first -= 1
+    near = lambda k, b: (not root or root in b.elements) and (first <= k <= hits[-1] or bool(homes.intersection(b.elements)))
+    return "\n".join(b.text for k, b in enumerate(blocks) if scores[b.path] >= least or (near(k, b) and content(b)))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
