@@ -41,22 +41,30 @@ class ChunkCache(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self[""] = b""
 
     def __missing__(self, chunk: str) -> bytes:
         if (chunk[1:] if chunk[0] == " " else chunk).isalpha():  # one pre-token: the model alone gives its ids
             ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]
+            out = pack_ids(f"<{len(ids)}I", *ids)
         else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out = self[chunk] = pack_ids(f"<{len(ids)}I", *ids)
+            out = self.whole(chunk)
+        self[chunk] = out
         return out
 
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return pack_ids(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str) -> bytes:
+        """The ids of ``Tokenizer.encode(text, add_special_tokens=False)``: the string of an added token has that token's id."""
+        if any(t in text for t in self.added):
+            return self.whole(text)
         if len(self) > CACHED_CHUNKS:
             self.clear()
             self[""] = b""
@@ -163,14 +171,14 @@ def pack_lengths(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndar
 def pack(pieces: DataFrame, total: int, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``sequence``."""
     groups = max(1, round(total / group_pieces))
+    place = F.xxhash64(F.monotonically_increasing_id())  # rows are dealt by their place, as repeated rows have nothing else to tell them apart
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bins, offsets = pack_lengths(pdf["length"].to_numpy(np.int64), sequence)
         return pdf.drop(columns="_group").assign(sequence_id=(np.int64(pdf["_group"].iloc[0]) << np.int64(32)) + bins, offset=offsets)
 
     fields = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    spread = F.xxhash64(*[c for c, t in pieces.dtypes if not t.startswith(("array", "map"))])
-    return pieces.withColumn("_group", F.pmod(spread, F.lit(groups))).groupBy("_group").applyInPandas(run, f"{fields}, sequence_id long, offset long")
+    return pieces.withColumn("_group", F.pmod(place, F.lit(groups))).groupBy("_group").applyInPandas(run, f"{fields}, sequence_id long, offset long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
