@@ -63,14 +63,14 @@ def presence(texts: list[str], letters: np.ndarray, out: np.ndarray) -> np.ndarr
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """Ids and languages to learn from: never of a held-out document."""
-    known = docs.where(~F.col("_held") & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
+    """Ids and languages to learn from, one language an id: never of a held-out document."""
+    known = docs.where(~F.col("_held") & F.col("_lang").isNotNull() & F.col("_text").isNotNull()).groupBy("_id").agg(F.min("_lang").alias("_lang"))
     order = [F.xxhash64("_id"), F.col("_id")]
     salted = Window.partitionBy("_lang", F.pmod(F.xxhash64("_id"), F.lit(SALTS))).orderBy(*order)
     few = known.select("_id", "_lang", F.row_number().over(salted).alias("_r")).where(F.col("_r") <= ROWS_PER_LANGUAGE)
     by = Window.partitionBy("_lang").orderBy(*order)
     ranked = few.select("_id", "_lang", F.row_number().over(by).alias("_r")).where(F.col("_r") <= ROWS_PER_LANGUAGE)
-    return ranked.orderBy("_r", "_lang").limit(TRAINING_ROWS).select("_id", "_lang").dropDuplicates(["_id"])
+    return ranked.orderBy("_r", "_lang").limit(TRAINING_ROWS).select("_id", "_lang")
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -87,8 +87,9 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(bits, pa.binary())], ["_lang", "_bits"])
 
     sample = F.broadcast(_sample(docs).select("_id", F.col("_lang").alias("_want")))
-    found = docs.where(~F.col("_held")).join(sample, "_id").where(F.col("_lang") == F.col("_want")).select("_lang", "_text")
-    got = sorted(found.mapInArrow(rows, "_lang string, _bits binary").collect(), key=lambda r: (r[0], bytes(r[1])))[: 2 * TRAINING_ROWS]
+    found = docs.where(~F.col("_held")).join(sample, "_id").where((F.col("_lang") == F.col("_want")) & F.col("_text").isNotNull())
+    found = found.groupBy("_id", "_lang").agg(F.min("_text").alias("_text")).select("_lang", "_text")  # one text an id, so TRAINING_ROWS at most
+    got = sorted(found.mapInArrow(rows, "_lang string, _bits binary").collect(), key=lambda r: (r[0], bytes(r[1])))
     languages = sorted({r[0] for r in got})
     if not languages:
         return [], np.zeros((1 << SLOT_BITS, 0), np.float32)
