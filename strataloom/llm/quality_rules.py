@@ -95,7 +95,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if all_good <= SMOOTHING * FEATURES:
         return [0.0] * FEATURES, float("-inf")
     weights = [math.log(g / all_good) - math.log(r / all_raw) for g, r in zip(good, raw)]
-    scored = _features(base.join(F.broadcast(ids), "_id")).select("_good", score(weights).alias("_s"))
+    scored = _features(base.join(F.broadcast(ids), "_id")).select("_id", "_good", score(weights).alias("_s"))
+    scored = scored.groupBy("_id").agg(F.min("_s").alias("_s"), F.min("_good").alias("_good"))  # a row an id, however often ids repeat
     return weights, split([(r["_s"], r["_good"]) for r in scored.collect()])  # 2 * LABELLED_ROWS rows at most
 
 

@@ -81,7 +81,38 @@ def test_main_text():
         html_extraction.main_text(bad)
 
 
+SENTENCES = [f"Sentence {k}, with enough words, and marks; to count as text in a long paragraph." for k in range(5)]
+BODY, TEXT = "".join(f"<p>{x}</p>" for x in SENTENCES), "\n".join(SENTENCES)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article title="the hidden city">{BODY}</article>', TEXT),
+        (f'<article>{BODY}<p data-t="a hidden gem">kept, yes.</p></article>', TEXT + "\nkept, yes."),
+        *((f'<body><div class="{c}">{BODY}</div><footer>x</footer></body>', TEXT) for c in ("content has-sidebar", "no-comments", "with-nav", "banner-title", "layout no-sidebar", "sidebar", "nav")),
+        (f'<article>{BODY}<section id="related-work"><h2>Related work</h2><p>Others, too; did this.</p></section></article>', TEXT + "\nRelated work\nOthers, too; did this."),
+        (f'<article>{BODY}<ol class="commentlist"><li>Nice, post; indeed a very long one.</li></ol></article>', TEXT),
+        (f'<div class=content>{BODY}</div><ol class="commentlist"><li><p>Nice, post; indeed a very long one.</li></ol>', TEXT),
+        (f'<body><div id=main>{BODY}</div><section class="post-comments">{BODY * 3}</section></body>', TEXT),
+        (f"<article><h1>Head</h1><p>Lead, first; text that leads.</p><div itemprop=articleBody>{BODY}</div></article>", "Head\nLead, first; text that leads.\n" + TEXT),
+        (f"<main><article>{BODY}</article><article>{BODY}</article></main>", TEXT + "\n" + TEXT),
+        (f'<article>{BODY}<div class="related-posts"><a href=x>Other</a></div></article>', TEXT),
+        (f"<article>{BODY}<ul><li><a href=1>One link</a><li><a href=2>Two link</a></ul></article>", TEXT),
+        (f"<article><h1><a href=x>Head line</a></h1>{BODY}</article>", "Head line\n" + TEXT),
+        (f"<body><div id=top><a>Home</a> <a>News</a></div><div id=mid><h2>Head</h2>{BODY}<ul><li>first item</li><li>second item</li></ul></div><div id=bot>Copyright 2020</div></body>", f"Head\n{TEXT}\nfirst item\nsecond item"),
+        (f"<table><tr><td class=menu><a>A</a><td>{BODY}</td></tr></table>", TEXT),
+        (f"<body><h1>Head</h1>{BODY}<div>Copyright</div></body>", "Head\n" + TEXT),
+        (f'<article>{BODY}<div hidden>no</div><div style="display: none">no</div><div aria-hidden="true">no</div></article>', TEXT),
+        (f"<main><h1>Head</h1><article>{BODY}</article><p>Latest</main>", "Head\n" + TEXT),
+    ],
+)
+def test_page_shapes(page, want):
+    assert html_extraction.main_text(page) == want
+
+
 def test_pages(spark):
+    assert html_extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
     rows = spark.createDataFrame([(1, "u", "<article>hi</article>", "x"), (None, None, None, "x"), (1, "u", "<article>hi</article>", "x")], "page_id long, url string, html string, text string")
     equal([tuple(r) for r in html_extraction.extract_pages(rows).collect()], [(1, "u", "hi", 2), (1, "u", "hi", 2), (None, None, "", 0)])
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
@@ -109,6 +140,15 @@ def test_language(spark, sample, docs, empty):
     assert {r.lang_pred for r in blind} == {"und"}
 
 
+def test_language_of_repeated_ids(spark, sample):
+    """An id that repeats is learnt from once; a column with the name of a result does not clash."""
+    one = sample.where("lang = 'en' and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").limit(1)
+    more = sample.unionByName(spark.range(500).crossJoin(one).drop("id")).withColumn("score", F.lit("clash")).withColumn("_lang", F.lit("clash"))
+    want = {r.doc_id: (r.lang_pred, r.score) for r in language_id.language_id(sample).collect()}
+    got = language_id.language_id(more).collect()
+    assert len(got) == sample.count() + 500 and all(want[r.doc_id] == (r.lang_pred, pytest.approx(r.score, abs=1e-4)) for r in got)
+
+
 def test_kernel_by_brute_force():
     texts = ["Hello, World", "hullo wurld", "x"]
     rows = np.zeros((3, 1 << language_id.SLOT_BITS), np.float32)
@@ -542,7 +582,6 @@ def check_packing(frame, rows):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     by = collections.defaultdict(list)
     for r in rows:
         by[r.sequence_id].append((r.offset, r.length))
@@ -572,6 +611,18 @@ def test_packing(spark, sample, docs, empty):
     assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in ids)
 
 
+def test_contract_ids(spark):
+    from tokenizers import Tokenizer
+
+    plain, cache = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), packing.ChunkCache(tokenizer_path("byte_bpe_50k.json"))
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>.\n\n y", "<|endoftext", "a  <|endoftext|>  b", "\u00a0. a\t\n", "it's  1,000.5!\r\n"):
+        assert np.frombuffer(cache.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    same = spark.createDataFrame([(None, None)] * 3000 + [(1, "a b")] * 3000, "doc_id long, text string").repartition(4)
+    pieces = packing.token_pieces(same, tokenizer_path("byte_bpe_50k.json"))
+    groups = packing.pack(pieces, 6000, group_pieces=500).groupBy(F.shiftright("sequence_id", 32)).count().collect()
+    assert len(groups) == 12 and max(r["count"] for r in groups) < 800
+
+
 def test_placement_by_brute_force():
     r = np.random.default_rng(3)
     lengths = r.integers(1, 41, 120)
