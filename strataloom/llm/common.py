@@ -135,11 +135,11 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.write(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+        large = join_groups(both, scratch.write(least), ["u"], "size", 2 * edges.count())  # a hub's edges stay where they are
+        large = scratch.write(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")))
+        small = join_groups(large, least, ["u"], "size", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = scratch.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if mark == seen:

@@ -110,7 +110,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs``, all columns, without the later copies of a text; ids may be null or repeat."""
     own = Scratch(docs.sparkSession)
     rows = numbered(docs, own)
-    verdicts, scratch = duplicate_groups(rows.select("_row", F.col(f"_doc.{id_col}").alias("_id"), F.col(f"_doc.{text_col}").alias("_text")), "_id", "_text", "_row")
+    verdicts, scratch = duplicate_groups(rows.select("_row", F.col(f"_doc.`{id_col}`").alias("_id"), F.col(f"_doc.`{text_col}`").alias("_text")), "_id", "_text", "_row")
     gone = own.write(verdicts.where(~F.col("kept")).select("_row"))
     out = own.write(without(rows, gone))
     scratch.drop()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import Scratch, components, join_groups, sieve
+from strataloom.llm.common import Scratch, components, join_groups, numbered, sieve, without
 
 SHINGLE = 5
 LINK_PERCENT = 85
@@ -39,6 +39,8 @@ COMMON = 1 << 14
 """Shingles whose frequency is known where the rarest are taken. Any order of the shingles is exact; this one saves work."""
 SMALL_GROUP = 16
 """A group of texts with a rare shingle in common that has no more members makes a row per pair, so at most 15 a member."""
+STAR_ROWS = 1024
+"""Edges of a star that one task confirms; a larger star is dealt to several, each with a copy of the center's text."""
 CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
@@ -162,17 +164,17 @@ def _batches(texts: list[str | None], most: int = CHUNK_BYTES):
         at = end
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, link_percent: int = LINK_PERCENT) -> DataFrame:
-    """_id, _n (distinct shingles), _s1 and _s2 (fingerprint of the set), _bands (bucket keys) of each row."""
+def sketch(texts: DataFrame, link_percent: int = LINK_PERCENT) -> DataFrame:
+    """_row, _id, _n (distinct shingles), _s1 and _s2 (fingerprint of the set), _bands (bucket keys) of each row."""
     n_bands, n_rows = layout(link_percent)
 
     def run(batches):
         shingler = Shingler()
         order = np.arange(n_bands, dtype=np.uint64)
         for batch in (part.slice(a, 512) for part in batches for a in range(0, part.num_rows, 512)):
-            texts = batch.column(1).to_pylist()
-            for a, b in _batches(texts):
-                hashes, ends = shingler.sets(texts[a:b])
+            values = batch.column(2).to_pylist()
+            for a, b in _batches(values):
+                hashes, ends = shingler.sets(values[a:b])
                 size = np.diff(ends, prepend=0)
                 bands = signatures(hashes, ends, n_bands * n_rows).reshape(b - a, n_bands, n_rows)
                 keys = mix((bands * _FACTORS[:n_rows]).sum(axis=2, dtype=np.uint64) + order * _FACTORS[5])
@@ -183,15 +185,15 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, link_percent: int = LINK
                 full = size > 0
                 where = np.concatenate([[0], np.cumsum(np.where(full, n_bands, 0))])
                 lists = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(keys[full].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), *prints, lists], ["_id", "_n", "_s1", "_s2", "_bands"])
+                keys = [batch.column(k).slice(a, b - a) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(size, pa.int64()), *prints, lists], ["_row", "_id", "_n", "_s1", "_s2", "_bands"])
 
-    kind = dict(docs.dtypes)[id_col]
-    read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return read.mapInArrow(run, f"_id {kind}, _n long, _s1 long, _s2 long, _bands array<long>")
+    kind = dict(texts.dtypes)["_id"]
+    return texts.select("_row", "_id", "_text").mapInArrow(run, f"_row long, _id {kind}, _n long, _s1 long, _s2 long, _bands array<long>")
 
 
 def confirm(edges: DataFrame, texts: DataFrame, link_percent: int = LINK_PERCENT) -> DataFrame:
-    """The edges (a, b) whose full shingle sets are similar enough; ``texts`` has _id and _text."""
+    """The edges (a, b) whose full shingle sets are similar enough; ``texts`` has _row and _text, ``edges`` is a written table."""
 
     def run(batches):
         shingler, last, kept = Shingler(), None, None
@@ -207,11 +209,14 @@ def confirm(edges: DataFrame, texts: DataFrame, link_percent: int = LINK_PERCENT
                     hits.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hits, pa.int64())), batch.column(1).take(pa.array(hits, pa.int64()))], ["a", "b"])
 
-    kind = dict(edges.dtypes)["a"]
-    right = sieve(texts, "_id", edges.select("b").distinct()).select(F.col("_id").alias("b"), F.col("_text").alias("text_b"))
-    left = sieve(texts, "_id", edges.select("a").distinct()).select(F.col("_id").alias("a"), F.col("_text").alias("text_a"))
-    pairs = edges.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return pairs.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    stars = edges.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+    parts = F.ceil(F.col("m") / STAR_ROWS).cast("long")
+    dealt = join_groups(edges.select("a", "b"), stars, ["a"], "m", max(1, edges.count())).withColumn("part", F.pmod(F.xxhash64("b"), parts)).drop("m")
+    centers = stars.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("m")
+    right = sieve(texts, "_row", edges.select("b").distinct()).select(F.col("_row").alias("b"), F.col("_text").alias("text_b"))
+    left = sieve(texts, "_row", edges.select("a").distinct()).select(F.col("_row").alias("a"), F.col("_text").alias("text_a"))
+    pairs = dealt.join(right, "b").join(centers.join(left, "a"), ["a", "part"]).select("a", "b", "text_a", "text_b")
+    return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
 def compare_blocks(live: DataFrame, texts: DataFrame, link_percent: int = LINK_PERCENT) -> DataFrame:
@@ -231,12 +236,11 @@ def compare_blocks(live: DataFrame, texts: DataFrame, link_percent: int = LINK_P
     columns = ["key", "m", "c", "center", "rep", "comp", "mc", "cc"]
     rows = members.select(*columns).unionByName(centers.select(*columns))
     rows = rows.withColumn("task", F.when((F.col("mc") == 1) & (F.col("cc") == 1), F.pmod("key", F.lit(tasks))).otherwise(F.xxhash64("key", "m", "c"))).drop("mc", "cc")
-    wanted = sieve(texts, "_id", live.select("rep").distinct()).select(F.col("_id").alias("rep"), "_text")
-    kind = dict(live.dtypes)["rep"]
+    wanted = sieve(texts, "_row", live.select("rep").distinct()).select(F.col("_row").alias("rep"), "_text")
+    sent = rows.select("task", "rep").distinct().join(wanted, "rep").toDF("rep", "for_", "_text")  # a text goes once to each task
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
         shingler, links = Shingler(), []
-        first = pdf.drop_duplicates("rep")
         names, sets = first["rep"].tolist(), []
         for a, b in _batches(first["_text"].tolist()):
             hashes, ends = shingler.sets(first["_text"].tolist()[a:b])
@@ -267,17 +271,16 @@ def compare_blocks(live: DataFrame, texts: DataFrame, link_percent: int = LINK_P
                     links.append((min(reps[i], few[j]), max(reps[i], few[j])))
         return pd.DataFrame(sorted(set(links)), columns=["a", "b"])
 
-    return rows.join(wanted, "rep").groupBy("task").applyInPandas(run, f"a {kind}, b {kind}").distinct()
+    return rows.groupBy("task").cogroup(sent.groupBy("for_")).applyInPandas(run, "a long, b long").distinct()
 
 
 def rarest(reps: DataFrame, texts: DataFrame, link_percent: int = LINK_PERCENT) -> DataFrame:
     """(rep, part): the rarest shingles of each text, so many that two texts that reach the limit share one of them.
 
     Of n shingles such a text shares limit x n at least, so the first n - limit x n + 1 in any order common to all hold
-    one that is shared, and the first of the shared ones is among the first of both. ``reps`` has distinct _id.
+    one that is shared, and the first of the shared ones is among the first of both. ``reps`` has distinct _row.
     """
-    wanted = sieve(texts, "_id", reps).join(reps, "_id", "left_semi")
-    kind = dict(reps.dtypes)["_id"]
+    wanted = sieve(texts, "_row", reps).join(reps, "_row", "left_semi")
 
     def every(batches):
         shingler = Shingler()
@@ -309,31 +312,24 @@ def rarest(reps: DataFrame, texts: DataFrame, link_percent: int = LINK_PERCENT)
                 ids = batch.column(0).slice(a, b - a).take(pa.array(owner[first]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(hashes[order][first].view(np.int64))], ["rep", "part"])
 
-    return wanted.select("_id", "_text").mapInArrow(run, f"rep {kind}, part long").distinct()
+    return wanted.select("_row", "_text").mapInArrow(run, "rep long, part long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link_percent: int = LINK_PERCENT) -> DataFrame:
-    """One row per document: its id, n_shingles, component_id and kept (its id is the component's smallest).
-
-    Texts are linked whose shingle sets have a Jaccard similarity of link_percent hundredths at least.
-    Rows with equal shingle sets form a class of which the row with the smallest id is compared, so copies are
-    linked without being paired. A null or empty text, or one without words, has no shingles and no links. Rows that
-    repeat an id are judged by their own texts. Rows without an id are linked with nothing: they have a null
-    component and stay. Other columns are not read. An empty table gives no rows.
-    """
-    scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = scratch.write(sketch(docs, id_col, text_col, link_percent))
+def grouped_rows(texts: DataFrame, scratch: Scratch, link_percent: int = LINK_PERCENT) -> DataFrame:
+    """_row, _id, _n, component_id and _keep (the number of the row that stays) of a written table with _row, _id and _text."""
+    rows = scratch.write(sketch(texts, link_percent))
     total = rows.count()
     classes = rows.where("_n > 0 and _id is not null").groupBy("_s1", "_s2", "_n")
-    classes = scratch.write(classes.agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.min_by("_bands", "_id").alias("_bands")))
+    first = F.min(F.struct("_id", "_row")).alias("_first")
+    classes = scratch.write(classes.agg(F.min("_row").alias("rep"), first, F.count(F.lit(1)).alias("size"), F.min_by("_bands", "_row").alias("_bands")))
     bands = classes.select("rep", F.explode("_bands").alias("key"))
     alike = lambda a, b: 100 * F.least(a, b) >= link_percent * F.greatest(a, b)  # noqa: E731  # sizes alone
 
     def shared(members: DataFrame) -> DataFrame:
         """Members (key, rep, n) of buckets with two members at least, and the first of each bucket."""
+        members = scratch.write(members.select("key", "rep", "n"))
         several = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("rep", "n"), "rep").alias("c")).where("m > 1")
-        return scratch.write(members.select("key", "rep", "n").join(several.select("key", "c"), "key"))
+        return scratch.write(join_groups(members, scratch.write(several), ["key"], "m", max(1, members.count())).where("m > 1").drop("m"))
 
     def unlinked(members: DataFrame) -> DataFrame:
         """Members of buckets that hold several components, with top (the largest), all and most (members of the bucket and of top)."""
@@ -342,7 +338,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = scratch.write(placed)
         parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
         tops = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.max("m").alias("most")).where("most < all")
-        return scratch.write(placed.join(tops, "key"))
+        return scratch.write(join_groups(placed, scratch.write(tops), ["key"], "all", max(1, placed.count())).where("all > 0"))
 
     members = shared(bands.join(classes.select("rep", F.col("_n").alias("n")), "rep"))
     edges = members.where((F.col("rep") != F.col("c.rep")) & alike("n", "c.n")).select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
@@ -353,7 +349,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = live.where(large)
     if not rest.isEmpty():
         rest = scratch.write(rest.select("rep", "n").distinct())
-        rare = rarest(rest.select(F.col("rep").alias("_id")).distinct(), texts, link_percent)
+        rare = rarest(rest.select(F.col("rep").alias("_row")).distinct(), texts, link_percent)
         live = unlinked(shared(rare.join(rest, "rep").withColumnRenamed("part", "key")))
         few = live.where(F.col("all") <= SMALL_GROUP).select("key", "rep", "n", "comp")
         other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
@@ -361,17 +357,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(scratch.write(confirm(scratch.write(edges), texts, link_percent)))
         links = links.unionByName(scratch.write(compare_blocks(live.where(F.col("all") > SMALL_GROUP), texts, link_percent)))
     comp = scratch.write(components(links, scratch))
-    grouped = classes.select("_s1", "_s2", "_n", "size", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    groups = scratch.write(grouped.select("_s1", "_s2", "_n", "size", F.coalesce("comp", "rep").alias("component_id")))
-    joined = join_groups(rows.select("_id", "_n", "_s1", "_s2"), groups, ["_s1", "_s2", "_n"], "size", total)
-    component = F.when(F.col("_n") > 0, F.when(F.col("_id").isNotNull(), F.col("component_id"))).otherwise(F.col("_id"))
-    out = joined.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"))
+    placed = classes.select("_s1", "_s2", "_n", "size", "_first", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    placed = scratch.write(placed)
+    least = placed.groupBy("comp").agg(F.min("_first").alias("_least"), F.count(F.lit(1)).alias("m"))
+    groups = join_groups(placed, least, ["comp"], "m", max(1, placed.count()))
+    groups = scratch.write(groups.select("_s1", "_s2", "_n", "size", F.col("_least._id").alias("component_id"), F.col("_least._row").alias("_keep")))
+    joined = join_groups(rows.select("_row", "_id", "_n", "_s1", "_s2"), groups, ["_s1", "_s2", "_n"], "size", total)
+    linked = (F.col("_n") > 0) & F.col("_id").isNotNull()
+    return joined.select(
+        "_row", "_id", "_n", F.when(linked, F.col("component_id")).otherwise(F.when(F.col("_n") == 0, F.col("_id"))).alias("component_id"),
+        F.when(linked, F.col("_keep")).otherwise(F.col("_row")).alias("_keep"),
+    )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link_percent: int = LINK_PERCENT) -> DataFrame:
+    """One row per document: its id, n_shingles, component_id and kept (its id is the component's smallest).
+
+    Texts are linked whose shingle sets have a Jaccard similarity of link_percent hundredths at least.
+    Rows with equal shingle sets form a class of which one row is compared, so copies are linked without being paired.
+    Rows are told apart by a number of their own, so ids may repeat. A null or empty text, or one without words, has no
+    shingles and no links. Rows without an id are linked with nothing: they have a null component and stay. Other columns
+    are not read. An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession)
+    texts = scratch.write(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")))
+    out = grouped_rows(texts, scratch, link_percent).select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), "component_id")
     out = scratch.write(out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
     scratch.drop(keep=1)
     return out
 
 
 def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link_percent: int = LINK_PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one document of each near-duplicate group stays."""
-    gone = near_duplicates(docs, id_col, text_col, link_percent).where(~F.col("kept")).select(id_col)
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of ``docs``, all columns, of which one row of each near-duplicate group stays: the one with the smallest id, and
+    of rows that repeat it the first one read. Rows without words or without an id stay."""
+    own, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    rows = numbered(docs, own)
+    texts = rows.select("_row", F.col(f"_doc.`{id_col}`").alias("_id"), F.col(f"_doc.`{text_col}`").cast("string").alias("_text"))
+    gone = own.write(grouped_rows(texts, scratch, link_percent).where("_row <> _keep").select("_row"))
+    scratch.drop()
+    out = own.write(without(rows, gone))
+    own.drop(keep=1)
+    return out
