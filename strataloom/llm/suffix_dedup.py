@@ -39,7 +39,7 @@ SAMPLE_EXTRA_BITS = 12
 """A sample fingerprint has log2(samples) and so many bits more; a false repeat only adds suffixes to sort."""
 NAME_EXTRA_BITS = 30
 """A name has log2(bytes) and so many bits more, 64 at most; a shared name costs work only."""
-FAILED_SLOTS = 1 << 22
+CLAIM_BYTES = 8_000_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -209,17 +209,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 breaks = np.flatnonzero(np.diff(starts, prepend=-2) > 1)
                 runs = np.stack([starts[breaks], starts[np.append(breaks[1:], len(starts)) - 1] + 1], 1) if len(starts) else np.zeros((0, 2), int)
                 out.append((sha, copied, value, runs.astype("<i8").tobytes()))
-        found = pd.DataFrame(out, columns=["_sha", "_copied", "_value", "_runs"])
-        sent = pd.DataFrame(golomb.messages(Suffixes(found, name_bits).values, int(key[0]), name_bits, name_owner_bits), columns=["_owner", "_sender", "_blob"])
-        return pd.concat([found, sent.astype({"_owner": "Int64", "_sender": "Int64"})]).assign(_block=int(key[0]))
+        texts = [dict(zip(("_sha", "_copied", "_value", "_runs"), x)) for x in out]
+        some = [texts] if texts else []
+        return pd.DataFrame({"_block": [int(key[0])] * len(some), "_texts": pd.Series(some, dtype=object)})
 
     texts = blocks.where(F.col("_value").isNotNull()).select("_block", "_sha", "_copied", "_value")
     by_sender = lambda r: r.groupBy(F.col("_sender").alias("_block"))
-    both = texts.groupBy("_block").cogroup(by_sender(replies)).applyInPandas(candidates, f"_block long, _sha binary, _copied boolean, _value binary, _runs binary, {golomb.OWNED}")
-    both = scratch.write(both)
+    found_type = "_block long, _texts array<struct<_sha: binary, _copied: boolean, _value: binary, _runs: binary>>"
+    found = scratch.write(texts.groupBy("_block").cogroup(by_sender(replies)).applyInPandas(candidates, found_type))  # a row a block
     scratch.release(blocks)
-    found = both.where(F.col("_value").isNotNull()).select("_block", "_sha", "_copied", "_value", "_runs")
-    replies = scratch.write(golomb.answer(both.where(F.col("_blob").isNotNull()), name_first=True))
+
+    def send_names(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, texts = (batch.column(c)[k].as_py() for c in (0, 1))
+                sent = golomb.messages(Suffixes(pd.DataFrame(texts), name_bits).values, block, name_bits, name_owner_bits)
+                if sent:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sent), (pa.int64(), pa.int64(), pa.binary()))], ["_owner", "_sender", "_blob"])
+
+    replies = scratch.write(golomb.answer(found.mapInArrow(send_names, golomb.OWNED), name_first=True))
+
+    def unpacked(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([t for row in pdf["_texts"] for t in row], columns=["_sha", "_copied", "_value", "_runs"])
 
     spans = "array<struct<start: long, end: long>>"
 
@@ -239,7 +250,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def propose(key: tuple, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         """The cuts if all names are right; runs of suffixes that another block has first, as bytes for that block; and names
         that fail inside the block."""
-        pdf = pdf.sort_values("_sha")
+        pdf = unpacked(pdf)
         own = Suffixes(pdf, name_bits)
         flags = golomb.marked(own.values, replies, name_bits, name_owner_bits)
         firsts = golomb.first_senders(own.values, flags, replies, name_bits, name_owner_bits)
@@ -262,45 +273,58 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cuts = proposed.where(F.col("_sha").isNotNull()).select("_sha", "_removed", "_spans", "_kept", "_cut")
     asked = proposed.where(F.col("_to").isNotNull()).select("_to", "_bytes").distinct()  # a passage that many blocks have alike is compared once
 
+    # a block that many others ask is copied to several tasks, one for each CLAIM_BYTES of their runs
+    load = scratch.write(asked.groupBy("_to").agg(F.count(F.lit(1)).alias("_m"), F.ceil(F.sum(F.octet_length("_bytes")) / CLAIM_BYTES).cast("long").alias("_parts")))
+    dealt = join_groups(asked, load, ["_to"], "_m", max(1, proposed.count())).withColumn("_part", F.pmod(F.xxhash64("_bytes"), "_parts"))
+    answering = found.join(load.withColumnRenamed("_to", "_block"), "_block").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+
     def compare(key: tuple, pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        own, bad, windows = Suffixes(pdf.sort_values("_sha"), name_bits), [], Windows()
-        for data in asked["_bytes"] if len(pdf) else []:
+        own, bad, windows = Suffixes(unpacked(pdf), name_bits), [], Windows()
+        for data in asked["_bytes"]:
             names = windows.at(windows.sums(data), np.arange(len(data) - LENGTH + 1), LENGTH) >> np.uint64(64 - name_bits)
             at = own.first[np.searchsorted(own.values, names)]
             order = np.argsort(at, kind="stable")
-            failed = own.unequal(at[order], order, data)
-            bad.append(own.names[failed])
+            bad.append(own.names[own.unequal(at[order], order, data)])
         return pd.DataFrame({"_bad": np.unique(joined(bad)).view(np.int64)})
 
-    failed = found.groupBy("_block").cogroup(asked.groupBy(F.col("_to").alias("_block"))).applyInPandas(compare, "_bad long")
-    failed = scratch.write(failed.unionByName(proposed.where(F.col("_bad").isNotNull()).select("_bad")).distinct())
+    failed = answering.select("_block", "_part", "_texts").groupBy("_block", "_part").cogroup(dealt.select(F.col("_to").alias("_block"), "_part", "_bytes").groupBy("_block", "_part"))
+    failed = failed.applyInPandas(compare, "_bad long").unionByName(proposed.where(F.col("_bad").isNotNull()).select("_bad"))
+    failed = scratch.write(failed.distinct())
     if not failed.isEmpty():
-        slot = F.col("_bad").bitwiseAND(FAILED_SLOTS - 1)
-        words = failed.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bad & 63 as int))")).alias("bits")).collect()  # FAILED_SLOTS / 64 rows at most
-        seen = np.zeros(FAILED_SLOTS // 64, np.int64)
-        seen[[r["w"] for r in words]] = [r["bits"] for r in words]
-        maybe = docs.sparkSession.sparkContext.broadcast(np.unpackbits(seen.view(np.uint8), bitorder="little").astype(bool))
-
-        def spell_out(batches):
-            for batch in batches:
-                for block, sha, value, runs in zip(*[c.to_pylist() for c in batch.columns]):
-                    own = Suffixes(pd.DataFrame({"_value": [value], "_runs": [runs]}), name_bits)
-                    hits = np.flatnonzero(maybe.value[(own.names & np.uint64(FAILED_SLOTS - 1)).astype(np.int64)])
-                    for a in range(0, len(hits), 4096):
-                        few = hits[a : a + 4096]
-                        at = own.starts[few]
-                        parts = [value[k : k + LENGTH] for k in at]
-                        columns = [pa.array([block] * len(at), pa.int64()), pa.array(own.names[few].view(np.int64)), pa.array([sha] * len(at), pa.binary()), pa.array(at), pa.array(parts, pa.binary())]
-                        yield pa.RecordBatch.from_arrays(columns, ["_block", "_bad", "_sha", "start", "_string"])
-
-        strings = found.select("_block", "_sha", "_value", "_runs").mapInArrow(spell_out, "_block long, _bad long, _sha binary, start long, _string binary")
-        strings = scratch.write(strings.join(failed, "_bad", "left_semi"))
+        owner = F.shiftrightunsigned("_bad", name_bits - name_owner_bits).alias("_owner")
+
+        def notify(sent: pd.DataFrame, bad: pd.DataFrame) -> pd.DataFrame:
+            """Which block has which of the failed names."""
+            out = []
+            names = np.sort(bad["_bad"].to_numpy(np.int64).view(np.uint64))
+            for block, o, blob in zip(sent["_sender"], sent["_owner"], sent["_blob"]) if len(names) else ():
+                base = np.uint64(int(o) << (name_bits - name_owner_bits))
+                hit = np.intersect1d(golomb.decode(blob) + base, names, assume_unique=True)
+                out.append(pd.DataFrame({"_block": int(block), "_bad": hit.view(np.int64)}))
+            return pd.concat(out) if out else pd.DataFrame({"_block": [], "_bad": []})
+
+        notices = found.mapInArrow(send_names, golomb.OWNED).groupBy("_owner").cogroup(failed.select("_bad", owner).groupBy("_owner")).applyInPandas(notify, "_block long, _bad long")
+        notices = scratch.write(notices)
+
+        def spell_out(key: tuple, pdf: pd.DataFrame, bad: pd.DataFrame) -> pd.DataFrame:
+            """The strings of the failed names."""
+            pdf = unpacked(pdf)
+            own, out, at = Suffixes(pdf, name_bits), [], 0
+            names = bad["_bad"].to_numpy(np.int64).view(np.uint64)
+            for sha, value, n, start in zip(pdf["_sha"], pdf["_value"], own.sizes, own.bases):
+                hits = at + np.flatnonzero(np.isin(own.names[at : at + n], names))
+                at += n
+                out += [(int(key[0]), sha, int(k), value[k : k + LENGTH]) for k in own.starts[hits] - start]
+            return pd.DataFrame(out, columns=["_block", "_sha", "start", "_string"])
+
+        strings = found.groupBy("_block").cogroup(notices.groupBy("_block")).applyInPandas(spell_out, "_block long, _sha binary, start long, _string binary")
+        strings = scratch.write(strings)
         often = strings.groupBy("_string").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_string", F.lit(True).alias("again"))
         judged = strings.join(often, "_string", "left").select("_block", "_sha", "start", F.coalesce("again", F.lit(False)).alias("again"))
         sides = judged.unionByName(replies.drop("_first").withColumnRenamed("_sender", "_block"), allowMissingColumns=True)
 
         def mend(key: tuple, pdf: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_sha")
+            pdf = unpacked(pdf)
             own = Suffixes(pdf, name_bits)
             flags = ((own.counts > 1) | golomb.marked(own.values, side[side["_map"].notna()], name_bits, name_owner_bits))[own.back]
             base = dict(zip(pdf["_sha"], own.bases))
