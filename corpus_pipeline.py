@@ -11,6 +11,8 @@ from strataloom.llm import exact_dedup, minhash, packing, quality_rules, suffix_
 from strataloom.llm.common import Scratch, table
 from strataloom.llm.queries import tokenizer_path
 
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the weights are fitted to the documents given."""
@@ -24,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id."""
-    return minhash.keep_smallest(docs)
+    """Of each group of texts linked at a similarity of 0.8 or more, the document with the smallest id."""
+    return minhash.keep_smallest(docs, link_percent=NEAR_PERCENT)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
