@@ -58,7 +58,9 @@ def maximal(placed: DataFrame, hashed: DataFrame, scratch: Scratch) -> DataFrame
     best = scratch.write(best.select(F.col("_pos").alias("_n"), "_h1", "_h2", F.col("_best.key").alias("_into"), "_size"))
     into = scratch.write(join_groups(full, best, ["_n", "_h1", "_h2"], "_size", total).select("_key", "_n", "_into"))
     # a turn of the one that stands for others, and theirs at the same position, must be alike
-    turns = join_groups(placed.select("_key", "_pos", "_role", "_text"), into, ["_key"], "_n", total)
+    gone = into.where(F.col("_key") != F.col("_into"))
+    compared = gone.unionByName(into.where(F.col("_key") == F.col("_into")).join(gone.select("_into"), "_into", "left_semi").select(*into.columns))
+    turns = join_groups(placed.select("_key", "_pos", "_role", "_text"), scratch.write(compared), ["_key"], "_n", total).where(F.col("_into").isNotNull())
     said = F.struct(F.col("_role").isNull().alias("a"), F.col("_role").alias("b"), F.col("_text").isNull().alias("c"), F.col("_text").alias("d"))
     own = F.max(F.when(F.col("_key") == F.col("_into"), said))
     unlike = turns.groupBy("_into", "_pos").agg(F.min(said).alias("_least"), F.max(said).alias("_most"), own.alias("_own"))

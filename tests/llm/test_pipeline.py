@@ -1,6 +1,6 @@
 """The stages one after another, each against brute force on what it was given."""
 
-from tests.llm.test_operators import DATA, brute_components, brute_copies, check_packing, texts_of
+from tests.llm.test_operators import AWKWARD, DATA, brute_components, brute_copies, check_packing, texts_of
 
 import corpus_pipeline
 
@@ -21,9 +21,25 @@ def test_stages(spark):
         elif name == "exact dedup":
             assert {r.doc_id for r in out.collect()} == {i for i, _, _, kept, _ in brute_copies(texts_of(before)) if kept}
         elif name == "near dedup":
-            assert {r.doc_id for r in out.collect()} == {i for i, _, c in brute_components(texts_of(before)) if i == c}
+            assert {r.doc_id for r in out.collect()} == {i for i, _, c in brute_components(texts_of(before), corpus_pipeline.NEAR_PERCENT) if i == c}
         elif name == "repeated strings":
             assert out.count() == before.count()
         else:
             check_packing(before, out.collect())
         docs = out
+
+
+def test_awkward_rows(spark):
+    """Every stage but the last keeps the columns; null, empty and long texts, repeated and missing ids, and no rows at all."""
+    for rows in (AWKWARD, []):
+        frame = [(i, t, lang, "src", len(t or "")) for i, t, lang in rows]
+        docs = spark.createDataFrame(frame, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            out = stage(spark, docs, DATA).cache()
+            if name == "packing":
+                check_packing(docs, out.collect())
+            else:
+                assert out.columns == docs.columns and out.count() <= docs.count()
+                docs = out
+        first = corpus_pipeline.quality(spark, spark.createDataFrame(frame, docs.schema), DATA)
+        assert first.columns == docs.columns and first.count() <= len(rows)
