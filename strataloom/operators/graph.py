@@ -51,23 +51,45 @@ def npmi_edges(contains: DataFrame, least: int = 2, most: int = 25, shared: int
     return scored.where(F.col("npmi") > floor).select("a", "b", "npmi")
 
 
-def shared_documents(mentions: DataFrame, least_shared: int, least_jaccard: float, most_documents: int | None = None) -> DataFrame:
+DEAL = 1000
+"""Members of a group that one task pairs with as many others."""
+
+
+def paired(rows: DataFrame, key: str, item: str, values: list[str] = ()) -> DataFrame:
+    """(a, b) and the values of both (x_..., y_...) for items a < b with a key in common, once per key.
+
+    A group is dealt into chunks of DEAL members on average, and each pair of chunks is a task's own, so a hot key spreads.
+    Callers keep groups small where the result allows it: pairs are what a group costs.
+    """
+    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / DEAL).cast("long").alias("_chunks")).where(F.col("_chunks").isNotNull())
+    placed = rows.join(sizes, key).withColumn("_chunk", F.pmod(F.xxhash64(item), "_chunks"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)
+    cell = lambda mine, other: F.struct(F.least(mine, other).alias("lo"), F.greatest(mine, other).alias("hi"))
+    dealt = placed.withColumn("_cell", F.explode(F.transform(others, lambda o: cell(F.col("_chunk"), o))))
+    side = lambda p, name: dealt.select(key, "_cell", F.col("_chunk").alias(f"_{p}"), F.col(item).alias(name), *[F.col(v).alias(f"{p}_{v}") for v in values])
+    both = side("x", "a").join(side("y", "b"), [key, "_cell"]).where("a < b")
+    met = ((F.col("_x") == F.col("_cell.lo")) & (F.col("_y") == F.col("_cell.hi"))) | ((F.col("_y") == F.col("_cell.lo")) & (F.col("_x") == F.col("_cell.hi")))
+    return both.where(met).drop("_cell", "_x", "_y")
+
+
+def shared_documents(mentions: DataFrame, least_shared: int, least_jaccard: float) -> DataFrame:
     """(d1, d2, shared, jaccard), both directions, of documents (doc_id, entity_id) with entities in common.
 
-    ``most_documents`` leaves out entities that more documents mention: each would link all of them.
+    Two documents that reach the limits share one of the rarest entities of each: of n entities all but
+    max(least_shared, least_jaccard * n) - 1 of the most frequent. Only those propose pairs, so an entity that most
+    documents mention does not pair them all; shared entities are counted on the full sets.
     """
     rows = mentions.select("doc_id", "entity_id").distinct()
-    if most_documents:
-        few = rows.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_documents)
-        linking = rows.join(few.select("entity_id"), "entity_id", "left_semi")
-    else:
-        linking = rows
-    left, right = linking.select("entity_id", F.col("doc_id").alias("d1")), linking.select("entity_id", F.col("doc_id").alias("d2"))
-    pairs = left.join(right, "entity_id").where("d1 < d2").groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least_shared)
-    size = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    sized = pairs.join(size.select(F.col("doc_id").alias("d1"), F.col("n").alias("n1")), "d1").join(size.select(F.col("doc_id").alias("d2"), F.col("n").alias("n2")), "d2")
-    scored = sized.withColumn("jaccard", F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).where(F.col("jaccard") >= least_jaccard)
-    scored = scored.select("d1", "d2", "shared", "jaccard")
+    often = rows.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_often"))
+    sets = rows.join(often, "entity_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_often", "entity_id"))).alias("_all"))
+    n = F.size("_all")
+    need = F.greatest(F.lit(least_shared), F.ceil(n * least_jaccard - 1e-9)).cast("int")
+    sets = cut(sets.withColumn("_set", F.col("_all.entity_id")).withColumn("_head", F.slice("_set", 1, F.greatest(n - need + 1, F.lit(0)))).drop("_all"))
+    pairs = paired(sets.select("doc_id", F.explode("_head").alias("entity_id")), "entity_id", "doc_id").select("a", "b").distinct()
+    scored = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("_set").alias("_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("_set").alias("_b")), "b")
+    scored = scored.withColumn("shared", F.size(F.array_intersect("_a", "_b")).cast("long"))
+    scored = scored.withColumn("jaccard", F.col("shared") / (F.size("_a") + F.size("_b") - F.col("shared")))
+    scored = scored.where((F.col("shared") >= least_shared) & (F.col("jaccard") >= least_jaccard)).select(F.col("a").alias("d1"), F.col("b").alias("d2"), "shared", "jaccard")
     return scored.unionByName(scored.select(F.col("d2").alias("d1"), F.col("d1").alias("d2"), "shared", "jaccard"))
 
 
@@ -80,48 +102,76 @@ def top_per(rows: DataFrame, group: list[str], order: list[Column], k: int, rank
 
 
 def neighbours(contains: DataFrame, k: int = 20) -> DataFrame:
-    """(a, b, shared, rank): chunks that share entities, up to k per chunk; more shared first, then the smaller id."""
-    left, right = contains.select("entity_id", F.col("chunk_id").alias("a")), contains.select("entity_id", F.col("chunk_id").alias("b"))
-    pairs = left.join(right, "entity_id").where("a <> b").groupBy("a", "b").agg(F.countDistinct("entity_id").alias("shared"))
-    return top_per(pairs, ["a"], [F.desc("shared"), F.asc("b")], k)
+    """(a, b, shared, rank): chunks that share entities, up to k per chunk; more shared first, then the smaller id.
+
+    The pairs of a hot entity are dealt to many tasks and counted before they are shuffled by chunk.
+    """
+    pairs = paired(contains.select("entity_id", "chunk_id").distinct(), "entity_id", "chunk_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    return top_per(both, ["a"], [F.desc("shared"), F.asc("b")], k)
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, iterations: int = 10) -> DataFrame:
-    """(node, score): personalised PageRank after a fixed number of rounds.
+def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, iterations: int | None = None, most: int = 50, tolerance: float = 1e-6) -> DataFrame:
+    """(node, score): personalised PageRank, until a round changes less than tolerance * nodes in sum, ``most`` rounds at most.
 
     ``edges`` (a, b, weight) are directed; ``seeds`` (node) share the restart mass. A node's outgoing mass splits by
-    weight; nodes without outgoing edges give theirs to the seeds. A round is two joins and one aggregation.
+    weight; nodes without outgoing edges give theirs to the seeds. The transition table is shuffled once and kept by its
+    source, so that a round shuffles scores alone: one join and one aggregation. A graph without seeds has no ranks, and
+    neither has one that does not settle. With ``iterations`` so many rounds are taken, settled or not.
     """
-    edges = cut(edges)
+    spark = edges.sparkSession
+    edges = cut(edges.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
     out = edges.groupBy("a").agg(F.sum("weight").alias("total"))
-    steps = cut(edges.join(out, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("share")))
+    steps = cut(edges.join(out, "a").select("a", "b", (damping * F.col("weight") / F.col("total")).alias("share"))).repartition("a").persist()
     nodes = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
-    start = nodes.join(seeds.select("node").distinct(), "node", "left_semi")
-    count = start.agg(F.count(F.lit(1)).alias("k"))
-    restart = start.crossJoin(F.broadcast(count)).select("node", (F.lit(1.0) / F.col("k")).alias("p"))  # one row
-    base = cut(nodes.join(restart, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p")))
-    dangling = cut(nodes.join(steps.select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
-    ranks = base.select("node", F.col("p").alias("score"))
-    for _ in range(iterations):
-        sent = ranks.join(steps, ranks["node"] == steps["a"]).groupBy("b").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        lost = ranks.join(dangling, "node", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        given = F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")
-        moved = base.join(sent, base["node"] == sent["b"], "left").crossJoin(F.broadcast(lost))  # one row
-        ranks = cut(moved.select("node", (damping * given + (1 - damping) * F.col("p")).alias("score")))
-    return ranks
-
-
-def label_rounds(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, label): communities by label propagation, a fixed number of rounds.
+    start = cut(nodes.join(seeds.select("node").distinct(), "node", "left_semi"))
+    count, seeded = nodes.count(), start.count()
+    ranks = cut(nodes.join(start.withColumn("p", F.lit(1.0 / max(1, seeded))), "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("score")))
+    base = cut(start.withColumn("p", F.lit(1.0 / max(1, seeded))))
+    dangling = cut(nodes.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
+    leaks = not dangling.isEmpty()
+    settled = iterations is not None
+    for _ in range((iterations or most) if seeded else 0):
+        lost = ranks.join(dangling, "node", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first()["s"] if leaks else 0.0
+        zero = F.lit(0.0)
+        parts = ranks.join(steps, ranks["node"] == steps["a"]).select(F.col("b").alias("node"), (F.col("score") * F.col("share")).alias("x"), zero.alias("was"))
+        parts = parts.unionByName(base.select("node", ((1 - damping + damping * lost) * F.col("p")).alias("x"), zero.alias("was")))
+        parts = parts.unionByName(ranks.select("node", zero.alias("x"), F.col("score").alias("was")))
+        ranks = cut(parts.groupBy("node").agg(F.sum("x").alias("score"), F.sum("was").alias("was")))
+        moved = None if iterations else ranks.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0]
+        ranks = ranks.select("node", "score")
+        if moved is not None and moved < count * tolerance:
+            settled = True
+            break
+    steps.unpersist()
+    return ranks if settled else spark.createDataFrame([], ranks.schema)
+
+
+def label_rounds(edges: DataFrame, most: int = 10) -> DataFrame:
+    """(node, label): communities by label propagation, until no label changes, ``most`` rounds at most.
 
     Every node takes the label with the largest weight among its neighbours and itself; the smaller label wins ties.
     """
-    both = cut(both_ways(edges.select("a", "b", "weight")))
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    own = labels.select("node", "node", F.lit(1e-9)).toDF("a", "b", "weight")
-    links = both.unionByName(own)
-    for _ in range(rounds):
+    both = both_ways(edges.select("a", "b", "weight"))
+    labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    own = labels.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1e-9).alias("weight"))
+    links = cut(both.unionByName(own)).repartition("b").persist()
+    for _ in range(most):
         votes = links.join(labels, links["b"] == labels["node"]).groupBy("a", "label").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("a").agg(F.max_by("label", F.struct(F.round("w", 9), -F.col("label"))).alias("label"))
-        labels = cut(best.withColumnRenamed("a", "node"))
+        new = cut(best.withColumnRenamed("a", "node"))
+        changed = new.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was")
+        done = changed.isEmpty()
+        labels = new
+        if done:
+            break
+    links.unpersist()
     return labels
+
+
+def community_table(labels: DataFrame, entities: DataFrame, excluded: tuple[str, ...] = (), least: int = 3, level: int = 0) -> DataFrame:
+    """(community, level, size, member) of communities (node, label) with at least ``least`` members of types that are not excluded."""
+    allowed = entities.where(~F.lower("type").isin(*excluded)) if excluded else entities
+    rows = labels.join(allowed.select(F.col("entity_id").alias("node")), "node", "left_semi")
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
+    return rows.join(sizes, "label").select(F.col("label").alias("community"), F.lit(level).alias("level"), "size", F.col("node").alias("member"))

@@ -10,49 +10,71 @@ from pyspark.sql import functions as F
 from strataloom.functions import score as S
 
 QUERY_BLOCK = 2048
-"""Query vectors that are multiplied at once."""
+"""Mean number of query vectors that one task holds."""
 PART_ROWS = 50_000
-"""Mean number of rows that one task compares with the queries."""
+"""Mean number of rows that one task compares with its queries."""
+RANGES = 4096
+STRIP = 128
+"""Queries whose scores against a part are held at once."""
 
 
-def vector_search(rows: DataFrame, queries: DataFrame, k: int, floor: float = -2.0, exclude_self: bool = False) -> DataFrame:
+def unit_rows(vectors) -> np.ndarray:
+    matrix = np.stack([np.asarray(v, np.float64) for v in vectors])
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores; the smaller id wins ties."""
+    if len(scores) > 4 * k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        few = np.flatnonzero(scores >= least)
+    else:
+        few = np.arange(len(scores))
+    return few[np.lexsort((ids[few], -scores[few]))][:k]
+
+
+def vector_search(rows: DataFrame, queries: DataFrame, k: int, floor: float = -2.0, exclude_self: bool = False, within: bool = False, earlier: bool = False) -> DataFrame:
     """(query_id, id, score, rank): for each query vector the k rows with the largest cosine, at least ``floor``.
 
-    ``rows`` and ``queries`` have id or query_id, and vec; with ``exclude_self`` a row's group (column ``grp`` on both
-    sides) must differ. Queries are dealt into blocks and every block meets every batch of rows as one matrix product;
-    each batch passes on its k best per query. Scores are rounded to four digits, and the smaller id wins ties.
+    ``rows`` and ``queries`` have id or query_id, and vec. With ``exclude_self`` a row's group (column ``grp`` on both
+    sides) must differ; with ``within`` it must be the same, and the row another one; with ``earlier`` the row's id must
+    be smaller. Rows are dealt into parts and queries into blocks, inside their group if ``within``; one task multiplies
+    one part with one block, so neither side is ever whole in a task, and passes on its k best per query. Scores are
+    rounded to four digits, and the smaller id wins ties. Rows or queries without a vector have no results.
     """
-    block = F.floor((F.row_number().over(Window.partitionBy("_deal").orderBy("query_id")) - 1) / QUERY_BLOCK)
-    dealt = queries.withColumn("_deal", F.pmod(F.xxhash64("query_id"), F.lit(64))).withColumn("_block", block)
-    count = max(8, rows.count() // PART_ROWS)
-    columns = ["query_id", "vec", "grp"] if exclude_self else ["query_id", "vec"]
-    blocks = dealt.groupBy("_deal", "_block").agg(F.collect_list(F.struct(*columns)).alias("_queries"))
-    group_of = F.col("grp") if exclude_self else F.lit(0)
-    batches = rows.select("id", "vec", group_of.alias("grp"))
-    batches = batches.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(count)))
-    tasks = blocks.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))  # all blocks meet all parts
+    grouped = exclude_self or within
+    own = rows.where(F.col("vec").isNotNull()).select("id", "vec", (F.col("grp") if grouped else F.lit(0)).alias("grp"))
+    asked = queries.where(F.col("vec").isNotNull()).select("query_id", "vec", (F.col("grp") if grouped else F.lit(0)).alias("grp"))
+    home = F.col("grp") if within else F.lit(0)
+    count = lambda df, size, name: df.groupBy(home.alias("_g")).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("long").alias(name))
+    sizes = count(own, PART_ROWS, "_parts").join(count(asked, QUERY_BLOCK, "_blocks"), "_g")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = own.withColumn("_g", home).join(sizes, "_g").withColumn("_part", F.pmod(F.xxhash64("id"), "_parts")).withColumn("_block", upto("_blocks"))
+    asked = asked.withColumn("_g", home).join(sizes, "_g").withColumn("_block", F.pmod(F.xxhash64("query_id"), "_blocks")).withColumn("_part", upto("_parts"))
+    asked = asked.select(F.col("_g").alias("_h"), F.col("_part").alias("_p"), F.col("_block").alias("_b"), F.col("query_id").alias("query"), F.col("vec").alias("asked"), F.col("grp").alias("of"))
 
     def best(key: tuple, own: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if not len(own):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        own = own.sort_values("id")
-        ids, groups = own["id"].to_numpy(), own["grp"].to_numpy()
-        matrix = np.stack(own["vec"].to_numpy()).astype(np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        for asked in sent["_queries"]:
-            vectors = np.array([q["vec"] for q in asked], np.float64)
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-            for q, row in zip(asked, np.round(vectors @ matrix.T, 4)):
-                ok = row >= floor
-                if exclude_self:
-                    ok &= groups != q["grp"]
-                where = np.flatnonzero(ok)
-                where = where[np.lexsort((ids[where], -row[where]))][:k]
-                out.append(pd.DataFrame({"query_id": q["query_id"], "id": ids[where], "score": row[where]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    found = batches.groupBy("_part").cogroup(tasks.groupBy("_part")).applyInPandas(best, "query_id long, id long, score double")
+        if len(own) and len(sent):
+            ids, groups, matrix = own["id"].to_numpy(), own["grp"].to_numpy(), unit_rows(own["vec"])
+            names, theirs = sent["query"].to_numpy(), sent["of"].to_numpy()
+            for a in range(0, len(sent), STRIP):
+                scores = np.round(unit_rows(sent["asked"].iloc[a : a + STRIP]) @ matrix.T, 4)
+                for q, grp, row in zip(names[a : a + STRIP], theirs[a : a + STRIP], scores):
+                    ok = row >= floor
+                    if exclude_self:
+                        ok &= groups != grp
+                    if within:
+                        ok &= ids != q
+                    if earlier:
+                        ok &= ids < q
+                    where = np.flatnonzero(ok)
+                    where = where[best_of(row[where], ids[where], k)]
+                    out.append((np.full(len(where), q), ids[where], row[where]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pd.DataFrame(dict(zip(("query_id", "id", "score"), columns)))
+
+    found = own.groupBy("_g", "_part", "_block").cogroup(asked.groupBy("_h", "_p", "_b")).applyInPandas(best, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -70,11 +92,35 @@ def rank_fusion(candidates: DataFrame, k: int = S.RRF_K, group=("query_id",), sc
     )
 
 
-def z_scores(group: str, score: str) -> Column:
-    """Column of scores standardised within a group; groups of one row, or without spread, keep or lose theirs."""
-    w = Window.partitionBy(group)
-    n, mean, spread = F.count(F.lit(1)).over(w), F.avg(score).over(w), F.stddev_pop(score).over(w)
-    return F.when(n < 2, F.col(score)).when(spread > 0, (F.col(score) - mean) / spread).otherwise(F.col(score) - mean)
+def z_scores(rows: DataFrame, group: str, score: str) -> DataFrame:
+    """Adds ``z``: the score standardised within a group; groups of one row keep theirs, groups without spread are centred.
+
+    Statistics are aggregated and joined back, so a group that holds most rows stays dealt over all tasks.
+    """
+    stats = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.avg(score).alias("_mean"), F.stddev_pop(score).alias("_spread"))
+    centred = F.col(score) - F.col("_mean")
+    z = F.when(F.col("_n") < 2, F.col(score)).when(F.col("_spread") > 0, centred / F.col("_spread")).otherwise(centred)
+    return rows.join(stats, group).withColumn("z", z).drop("_n", "_mean", "_spread")
+
+
+def exact_percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Per group the value at place floor(share * n) in ascending order, from 0, for each named share, and ``mean``.
+
+    Equal values are counted before they are ordered, and the order is taken inside ranges of a group, so no task holds a
+    group: at most RANGES range totals of a group meet in one task.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
+    ends = counted.groupBy(group).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_c").alias("_n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"))
+    width = F.greatest((F.col("_high") - F.col("_low")) / RANGES, F.lit(1e-300))
+    ranged = counted.join(ends.drop("mean"), group).withColumn("_range", F.floor((F.col(value) - F.col("_low")) / width))
+    totals = ranged.groupBy(group, "_range").agg(F.sum("_c").alias("_all"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_skip", F.coalesce(F.sum("_all").over(before), F.lit(0))).drop("_all")
+    inside = Window.partitionBy(group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("_upto", F.sum("_c").over(inside)).join(totals, [group, "_range"]).withColumn("_upto", F.col("_upto") + F.col("_skip"))
+    at = lambda share: F.floor(F.col("_n") * share)
+    hits = {name: F.max(F.when((at(s) < F.col("_upto")) & (at(s) >= F.col("_upto") - F.col("_c")), F.col(value))).alias(name) for name, s in shares.items()}
+    return placed.groupBy(group).agg(*hits.values()).join(ends.select(group, "mean"), group)
 
 
 def diverse(rows: DataFrame, k: int, weight: float = 0.6, group: str = "query_id") -> DataFrame:

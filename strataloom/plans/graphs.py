@@ -10,41 +10,64 @@ from strataloom.sources import files
 from strataloom.sources.shared import cut, folder
 from strataloom.streaming import events as E
 
-ROUNDS = 5
+ROUNDS = 16
+"""Rounds that the SQL below spells out; more than ranks need to settle on the given tables, where they do after 5 to 13."""
 PAIRS = f"""{SIZED}, pairs AS (SELECT x.entity_id AS a, y.entity_id AS b, CAST(count(*) AS DOUBLE) AS w FROM sized x JOIN sized y USING (chunk_id) WHERE x.entity_id < y.entity_id GROUP BY 1, 2),
-    edges AS (SELECT a, b, w FROM pairs UNION ALL SELECT b, a, w FROM pairs), total AS (SELECT a, sum(w) AS t FROM edges GROUP BY 1), steps AS (SELECT a, b, w / t AS share FROM edges JOIN total USING (a)),
-    seeds AS (SELECT p_partkey AS node FROM part WHERE p_name = 'small ring' AND p_partkey IN (SELECT a FROM edges)), base AS (SELECT a AS node, CASE WHEN a IN (SELECT node FROM seeds) THEN 1.0 / (SELECT count(*) FROM seeds) ELSE 0 END AS p FROM total),
-    r0 AS (SELECT node, p AS score FROM base)"""
+    edges AS (SELECT a, b, w FROM pairs UNION ALL SELECT b, a, w FROM pairs), total AS (SELECT a, sum(w) AS t FROM edges GROUP BY 1), steps AS MATERIALIZED (SELECT a, b, w / t AS share FROM edges JOIN total USING (a)),
+    seeds AS (SELECT p_partkey AS node FROM part WHERE p_name = 'small ring' AND p_partkey IN (SELECT a FROM edges)), base AS MATERIALIZED (SELECT a AS node, CASE WHEN a IN (SELECT node FROM seeds) THEN 1.0 / (SELECT count(*) FROM seeds) ELSE 0 END AS p FROM total),
+    r0 AS MATERIALIZED (SELECT node, p AS score, CAST(NULL AS DOUBLE) AS was FROM base)"""
 RANKS = PAIRS + "".join(
-    f", r{k + 1} AS (SELECT base.node, 0.5 * coalesce(g.s, 0) + 0.5 * p AS score FROM base LEFT JOIN (SELECT b, sum(score * share) AS s FROM r{k} JOIN steps ON node = a GROUP BY 1) g ON g.b = base.node)" for k in range(ROUNDS)
-)
+    f", r{k + 1} AS MATERIALIZED (SELECT base.node, 0.5 * coalesce(g.s, 0) + 0.5 * p AS score, o.score AS was FROM base JOIN r{k} o USING (node) LEFT JOIN (SELECT b, sum(score * share) AS s FROM r{k} JOIN steps ON node = a GROUP BY 1) g ON g.b = base.node)" for k in range(ROUNDS)
+) + f", every_round AS (" + " UNION ALL ".join(f"SELECT {k} AS k, * FROM r{k}" for k in range(1, ROUNDS + 1)) + """), settled AS (SELECT min(k) AS k FROM (SELECT k FROM every_round GROUP BY k HAVING sum(abs(score - was)) < count(*) * 1e-6)), ranks AS (SELECT node, score FROM every_round JOIN settled USING (k))"""
 
 
-def ranks(g):
+def ranks(g, seeds=None):
     pairs = G.co_occurrence(g.contains()).select("a", "b", F.col("shared").cast("double").alias("weight"))
     edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    seeds = g.entities().where("name = 'small ring'").select(F.col("entity_id").alias("node"))
-    return G.page_rank(edges, seeds, 0.5, ROUNDS)
+    return G.page_rank(edges, seeds if seeds is not None else g.entities().where("name = 'small ring'").select(F.col("entity_id").alias("node")))
+
+
+def ranked_chunks(g, k=60, seeds=None):
+    top = ranks(g, seeds).select("node", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "node").limit(k)  # the path's k
+    found = g.contains().join(F.broadcast(top), F.col("entity_id") == F.col("node"))
+    return found.groupBy("chunk_id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
-@query(f"WITH {RANKS} SELECT node, round(score, 6) + 0.0 AS score FROM r{ROUNDS}")
+@query(f"WITH {RANKS} SELECT node, round(score, 6) + 0.0 AS score FROM ranks")
 def grf_2_page_rank(spark, d):
     return ranks(Graph(spark, d)).select("node", (F.round("score", 6) + 0.0).alias("score"))
 
 
-@query(f"""WITH {RANKS}, top AS (SELECT node, round(score, 9) AS score FROM r{ROUNDS} ORDER BY 2 DESC, 1 LIMIT 60) SELECT chunk_id, round(max(score), 6) AS score FROM contains_ JOIN top ON node = entity_id GROUP BY 1""")
+@query(f"""WITH {RANKS}, top AS (SELECT node, round(score, 9) AS score FROM ranks ORDER BY 2 DESC, 1 LIMIT 60) SELECT chunk_id, round(max(score), 6) AS score FROM contains_ JOIN top ON node = entity_id GROUP BY 1""")
 def grf_3_ranked_chunks(spark, d):
-    g = Graph(spark, d)
-    top = ranks(g).select("node", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "node").limit(60)  # the path's k
-    found = g.contains().join(F.broadcast(top), F.col("entity_id") == F.col("node"))
-    return found.groupBy("chunk_id").agg(F.round(F.max("score"), 6).alias("score"))
+    return ranked_chunks(Graph(spark, d))
 
 
-@query()
+LABEL_ROUNDS = 10
+NPMI = """t AS (SELECT count(DISTINCT chunk_id) AS n FROM sized), c AS (SELECT entity_id, count(*) AS c FROM sized GROUP BY 1),
+    p AS (SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS s FROM sized x JOIN sized y USING (chunk_id) WHERE x.entity_id < y.entity_id GROUP BY 1, 2 HAVING count(*) >= 2),
+    npmi AS (SELECT a, b, ln((s / n) / ((ca.c / n) * (cb.c / n))) / -ln(s / n) AS w FROM p JOIN c ca ON ca.entity_id = a JOIN c cb ON cb.entity_id = b, t WHERE s < n AND ln((s / n) / ((ca.c / n) * (cb.c / n))) / -ln(s / n) > 0)"""
+LABELS = f"{SIZED}, {NPMI}" + """, both_ AS (SELECT a, b, w FROM npmi UNION SELECT b, a, w FROM npmi), links AS MATERIALIZED (SELECT * FROM both_ UNION ALL SELECT DISTINCT a, a, 1e-9 FROM both_), l0 AS MATERIALIZED (SELECT DISTINCT a AS node, a AS label FROM both_)""" + "".join(
+    f", l{k + 1} AS MATERIALIZED (SELECT a AS node, arg_max(label, struct_pack(w := w, l := -label)) AS label FROM (SELECT a, label, round(sum(w), 9) AS w FROM links JOIN l{k} ON b = node GROUP BY 1, 2) GROUP BY 1)" for k in range(LABEL_ROUNDS)
+)
+
+
+def communities(g):
+    """Communities of entities with informative co-occurrence."""
+    return G.label_rounds(G.npmi_edges(g.contains(), shared=2).withColumnRenamed("npmi", "weight"), LABEL_ROUNDS)
+
+
+@query(f"WITH {LABELS} SELECT node, label FROM l{LABEL_ROUNDS}")
 def grf_4_communities(spark, d):
-    """Communities of entities with informative co-occurrence, by label propagation."""
-    edges = G.npmi_edges(Graph(spark, d).contains(), shared=2).withColumnRenamed("npmi", "weight")
-    return G.label_rounds(edges, 3)
+    return communities(Graph(spark, d))
+
+
+@query(f"""WITH {LABELS}, {ENTITIES}, allowed AS (SELECT node, label FROM l{LABEL_ROUNDS} JOIN entities ON node = entity_id WHERE lower(type) NOT IN ('promo')),
+    big AS (SELECT label, count(*) AS size FROM allowed GROUP BY 1 HAVING count(*) >= 3) SELECT label AS community, 0 AS level, size, node AS member FROM big JOIN allowed USING (label)""")
+def grf_5_community_build(spark, d):
+    """Communities of at least three members, excluded types left out, with their level and members."""
+    g = Graph(spark, d)
+    return G.community_table(communities(g), g.entities(), excluded=("promo",), least=3)
 
 
 @query(f"""WITH {SIZED}, p AS (SELECT DISTINCT x.entity_id AS a, y.entity_id AS b FROM sized x JOIN sized y USING (chunk_id) WHERE x.entity_id <> y.entity_id), s AS (SELECT p_partkey AS n FROM part WHERE p_name = 'small ring'),

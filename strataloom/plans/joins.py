@@ -9,6 +9,7 @@ from strataloom.functions import score as S
 from strataloom.functions import text as X
 from strataloom.functions import vector as V
 from strataloom.operators import graph as G
+from strataloom.operators import ranking as R
 from strataloom.plans.registry import CHUNKS, CONTAINS, ENTITIES, MENTIONS, SIZED, Graph, query, table
 
 ASKED = ("small ring", "red widget", "blue bolt")
@@ -78,8 +79,7 @@ def join_9_orphans(spark, d):
     return table(spark, d, "customer").join(used, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
-SHARED = """, few AS (SELECT entity_id FROM mentions GROUP BY 1 HAVING count(*) <= 60), links AS (SELECT * FROM mentions WHERE entity_id IN (SELECT entity_id FROM few)),
-    pairs AS (SELECT x.doc_id AS d1, y.doc_id AS d2, count(*) AS shared FROM links x JOIN links y USING (entity_id) WHERE x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 2),
+SHARED = """, pairs AS (SELECT x.doc_id AS d1, y.doc_id AS d2, count(*) AS shared FROM mentions x JOIN mentions y USING (entity_id) WHERE x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 2),
     size AS (SELECT doc_id, count(*) AS n FROM mentions GROUP BY 1),
     scored AS (SELECT d1, d2, shared, shared / (a.n + b.n - shared) AS jaccard FROM pairs JOIN size a ON a.doc_id = d1 JOIN size b ON b.doc_id = d2)"""
 
@@ -87,7 +87,7 @@ SHARED = """, few AS (SELECT entity_id FROM mentions GROUP BY 1 HAVING count(*)
 @query(f"""WITH {MENTIONS}{SHARED}, kept AS (SELECT * FROM scored WHERE jaccard >= 0.05)
     SELECT d1, d2, shared, round(jaccard, 6) AS jaccard FROM kept UNION ALL SELECT d2, d1, shared, round(jaccard, 6) FROM kept""")
 def join_10_shared_entities(spark, d):
-    return G.shared_documents(Graph(spark, d).mentions(), 2, 0.05, most_documents=60).withColumn("jaccard", F.round("jaccard", 6))
+    return G.shared_documents(Graph(spark, d).mentions(), 2, 0.05).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(f"""WITH {CONTAINS}, pairs AS (SELECT x.chunk_id AS a, y.chunk_id AS b, count(DISTINCT entity_id) AS shared FROM contains_ x JOIN contains_ y USING (entity_id) WHERE x.chunk_id <> y.chunk_id GROUP BY 1, 2)
@@ -160,21 +160,6 @@ def join_21_lookup_with_nulls(spark, d):
     return found.groupBy("name").agg(F.count("entity_id").alias("n"), F.coalesce(F.min("entity_id"), F.lit(-1)).alias("first"))
 
 
-@query(f"""WITH {CONTAINS}, few AS (SELECT entity_id FROM contains_ GROUP BY 1 HAVING count(*) <= 60), c AS (SELECT * FROM contains_ WHERE entity_id IN (SELECT entity_id FROM few)),
-    edges AS (SELECT x.chunk_id AS a, y.chunk_id AS b, count(*) AS s FROM c x JOIN c y USING (entity_id) WHERE x.chunk_id < y.chunk_id GROUP BY 1, 2),
-    docs AS (SELECT p.o_custkey AS d1, q.o_custkey AS d2, s FROM edges JOIN orders p ON p.o_orderkey = a JOIN orders q ON q.o_orderkey = b)
-    SELECT d1, d2, count(*) AS edges, round(avg(s), 6) AS avg_score FROM docs WHERE d1 < d2 GROUP BY 1, 2 HAVING count(*) >= 5 AND avg(s) >= 1""")
-def join_22_document_links(spark, d):
-    g = Graph(spark, d)
-    few = g.contains().groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).where("n <= 60")
-    c = g.contains().join(few.select("entity_id"), "entity_id", "left_semi")
-    edges = c.withColumnRenamed("chunk_id", "a").join(c.withColumnRenamed("chunk_id", "b"), "entity_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"))
-    owner = g.read("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("doc"))
-    docs = edges.join(owner.toDF("a", "d1"), "a").join(owner.toDF("b", "d2"), "b").where("d1 < d2")
-    pairs = docs.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("edges"), F.avg("s").alias("m")).where("edges >= 5 and m >= 1")
-    return pairs.select("d1", "d2", "edges", F.round("m", 6).alias("avg_score"))
-
-
 @query(f"WITH {CONTAINS} SELECT chunk_id, count(DISTINCT entity_id) AS n, array_to_string(list_sort(list(DISTINCT entity_id)), ',') AS ids FROM contains_ GROUP BY 1")
 def agg_1_distinct_per_chunk(spark, d):
     grouped = Graph(spark, d).contains().groupBy("chunk_id").agg(F.countDistinct("entity_id").alias("n"), F.array_sort(F.collect_set("entity_id")).alias("ids"))
@@ -219,18 +204,14 @@ def agg_9_best_over_paths(spark, d):
 @query("""SELECT o_orderkey, o_orderstatus, CASE WHEN count(*) OVER w < 2 THEN round(o_totalprice, 6) ELSE round((o_totalprice - avg(o_totalprice) OVER w) / nullif(stddev_pop(o_totalprice) OVER w, 0), 6) END AS z
     FROM orders WINDOW w AS (PARTITION BY o_orderstatus)""")
 def agg_11_z_scores(spark, d):
-    from strataloom.operators.ranking import z_scores
-
-    return table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.round(z_scores("o_orderstatus", "o_totalprice"), 6).alias("z"))
+    return R.z_scores(table(spark, d, "orders"), "o_orderstatus", "o_totalprice").select("o_orderkey", "o_orderstatus", F.round("z", 6).alias("z"))
 
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
     SELECT event_type, max(value) FILTER (WHERE k = n // 2) AS p50, max(value) FILTER (WHERE k = CAST(floor(n * 0.95) AS BIGINT)) AS p95, round(avg(value), 6) AS mean FROM r GROUP BY 1""")
 def agg_14_percentiles(spark, d):
-    w = Window.partitionBy("event_type")
-    r = table(spark, d, "events").select("event_type", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
-    return r.groupBy("event_type").agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.floor(F.col("n") * 0.95)).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
+    found = R.exact_percentiles(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", "p50", "p95", F.round("mean", 6).alias("mean"))
 
 
 @query("SELECT user_id, count(*) AS n, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END), 6) AS error_rate, round(sum(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0 END) / greatest(sum(CASE WHEN event_type IN ('view', 'purchase') THEN 1 ELSE 0 END), 1), 6) AS hit_rate FROM events GROUP BY 1")
@@ -363,8 +344,10 @@ def flt_10_time_to_live(spark, d):
 
 @query(f"WITH {ENTITIES} SELECT type, count(*) AS n, array_to_string(list_sort(list(DISTINCT name))[1:20], '|') AS samples FROM entities GROUP BY 1")
 def flt_12_type_lookup(spark, d):
-    names = F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 20), "|").alias("samples")
-    return Graph(spark, d).entities().groupBy("type").agg(F.count(F.lit(1)).alias("n"), names)
+    rows = Graph(spark, d).entities()
+    few = G.top_per(rows.select("type", "name").distinct(), ["type"], [F.asc("name")], 20)  # the lookup's samples
+    names = few.groupBy("type").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("samples"))
+    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n")).join(names, "type", "left")
 
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, coalesce(source, 'unknown') AS source, coalesce(nullif(format, 'P'), 'paragraph') AS level, round(coalesce(nullif(price, 0), 0.7), 2) AS consistency FROM chunks")
@@ -494,5 +477,7 @@ def act_3_retrieve_chunks(spark, d):
 
 @query(f"WITH {ENTITIES} SELECT count(*) AS n, array_to_string(list_sort(list(name || ':' || entity_id))[1:20], '|') AS samples FROM entities WHERE type = 'PROMO'")
 def act_9_count_entities(spark, d):
-    names = F.array_join(F.slice(F.array_sort(F.collect_list(F.concat("name", F.lit(":"), "entity_id"))), 1, 20), "|").alias("samples")
-    return Graph(spark, d).entities().where("type = 'PROMO'").agg(F.count(F.lit(1)).alias("n"), names)
+    rows = Graph(spark, d).entities().where("type = 'PROMO'")
+    few = rows.select(F.concat("name", F.lit(":"), "entity_id").alias("s")).orderBy("s").limit(20)  # the action's samples
+    names = few.agg(F.array_join(F.array_sort(F.collect_list("s")), "|").alias("samples"))
+    return rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(names)  # one row each

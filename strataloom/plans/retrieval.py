@@ -13,7 +13,8 @@ from strataloom.operators import ranking as R
 from strataloom.plans.joins import ASKED
 from strataloom.plans.registry import CONTAINS, ENTITIES, VECTORS, Graph, query, table
 from strataloom.plans.texts import sequence_ratio
-from strataloom.plans.vectors import CENTROIDS, COS, label_centers
+from strataloom.sources import files
+from strataloom.plans.vectors import CENTROIDS, COS, asked, label_centers
 
 TERMS = ("thereon", "erthat", "the", "leaux", "schung")
 
@@ -54,10 +55,9 @@ def ret_2_entity_pivot(spark, d):
 
 @query(f"WITH {CENTROIDS}, s AS (SELECT q.query_id, v.query_id AS community, {COS} AS score FROM centers q JOIN centers v ON q.query_id <> v.query_id) SELECT query_id, community, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community) <= 5")
 def ret_4_community_path(spark, d):
-    centers = label_centers(Graph(spark, d))  # one row per label
-    pairs = centers.join(F.broadcast(centers.select(F.col("query_id").alias("community"), F.col("vec").alias("c")))).where("query_id <> community")
-    scored = pairs.select("query_id", "community", F.round(V.cosine(F.col("vec"), F.col("c")), 4).alias("score"))
-    return G.top_per(scored, ["query_id"], [F.desc("score"), F.asc("community")], 5).drop("rank")
+    centers = label_centers(Graph(spark, d))
+    found = R.vector_search(centers.select(F.col("query_id").alias("id"), "vec"), centers, 6).where("id <> query_id")
+    return G.top_per(found.select("query_id", F.col("id").alias("community"), "score"), ["query_id"], [F.desc("score"), F.asc("community")], 5).drop("rank")
 
 
 @query(f"""WITH {CONTAINS}, {CENTROIDS}, s AS (SELECT query_id, v.id, {COS} AS score FROM centers q, vectors v), b AS (SELECT id, max(score) AS best FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100)
@@ -86,12 +86,10 @@ def ret_5_entity_weights(spark, d):
 @query(f"""WITH {VECTORS}, q AS (SELECT id AS query_id, vec FROM vectors WHERE id % 20 = 0), s AS (SELECT query_id, v.id, {COS} AS score FROM q JOIN vectors v ON v.id < query_id)
     SELECT query_id, max(score) AS score, max(score) >= 0.3 AS hit FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 3 GROUP BY 1""")
 def qry_4_history_cache(spark, d):
-    """For each asked vector, the closest earlier one, accepted from a similarity on."""
+    """For each asked vector, the closest of the earlier ones, accepted from a similarity on."""
     g = Graph(spark, d)
-    asked = g.vectors().where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
-    pairs = g.vectors().join(F.broadcast(asked), F.col("id") < F.col("query_id")) if g.vectors().count() <= 100_000 else g.vectors().join(asked, F.col("id") < F.col("query_id"))
-    scored = pairs.select("query_id", "id", F.round(V.cosine(F.col("vec"), F.col("q")), 4).alias("score"))
-    best = scored.groupBy("query_id").agg(F.max("score").alias("score"))
+    near = R.vector_search(g.vectors(), asked(g).select("query_id", "vec"), 3, earlier=True)
+    best = near.groupBy("query_id").agg(F.max("score").alias("score"))
     return best.withColumn("hit", F.col("score") >= 0.3)
 
 
@@ -159,8 +157,8 @@ def act_10_verify_facts(spark, d):
 @query("SELECT doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) % 5 = 1")
 def src_13_size_sample(spark, d):
     """A systematic sample over the sizes within each source: every fifth document."""
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id"))
-    return table(spark, d, "documents").select("doc_id", "n_chars", rank.alias("r")).where("r % 5 = 1").drop("r")
+    rows = table(spark, d, "documents").select("doc_id", "n_chars", "source")
+    return files.size_sample(rows, 5, ["n_chars", "doc_id"], "source").select("doc_id", "n_chars")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -178,4 +176,4 @@ def prj_2_metadata(spark, d):
 @query()
 def fn_14_spans_and_times(spark, d):
     rows = table(spark, d, "conversations").where("role = 'user'")
-    return rows.select("conv_id", "turn", X.clean_span(F.substring("text", 1, 60)).alias("span"), S.temporal_intent(F.col("text")).alias("time"))
+    return rows.select("conv_id", "turn", X.clean_span(F.col("text")).alias("span"), S.temporal_intent(F.col("text")).alias("time"))

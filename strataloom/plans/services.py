@@ -93,10 +93,8 @@ def svc_5_missing_models(spark, d):
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
     SELECT 'stage_seconds{stage="' || event_type || '",quantile="0.95"} ' || printf('%.2f', max(value) FILTER (WHERE k = CAST(floor(n * 0.95) AS BIGINT))) AS line FROM r GROUP BY event_type""")
 def svc_4_metrics_text(spark, d):
-    w = Window.partitionBy("event_type")
-    r = table(spark, d, "events").select("event_type", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    p95 = r.where(F.col("k") == F.floor(F.col("n") * 0.95)).select("event_type", "value")
-    return p95.select(F.format_string('stage_seconds{stage="%s",quantile="0.95"} %.2f', "event_type", "value").alias("line"))
+    p95 = R.exact_percentiles(table(spark, d, "events"), "event_type", "value", {"p95": 0.95})
+    return p95.select(F.format_string('stage_seconds{stage="%s",quantile="0.95"} %.2f', "event_type", "p95").alias("line"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'expand_entities' WHEN l_discount < 0.05 THEN 'rewrite_with_citations' WHEN l_quantity < 20 THEN 'retrieve_more' ELSE 'accept' END AS action FROM lineitem""")

@@ -39,10 +39,10 @@ def fn_30_unit_vectors(spark, d):
     )
 
 
-@query(f"""WITH {VECTORS}, e AS (SELECT id, list_transform(vec[1:8], lambda x: exp(x)) AS e FROM vectors) SELECT id, round(e[1] / list_sum(e), 4) AS p1, round(e[8] / list_sum(e), 4) AS p8 FROM e""")
+@query(f"""WITH {VECTORS}, e AS (SELECT id, list_transform(vec, lambda x: exp(x)) AS e FROM vectors) SELECT id, round(e[1] / list_sum(e), 6) AS p1, round(e[64] / list_sum(e), 6) AS p64 FROM e""")
 def fn_31_softmax(spark, d):
-    rows = Graph(spark, d).vectors().select("id", F.slice("vec", 1, 8).alias("v")).withColumn("s", V.softmax(F.col("v")))
-    return rows.select("id", F.round(F.element_at("s", 1), 4).alias("p1"), F.round(F.element_at("s", 8), 4).alias("p8"))
+    rows = Graph(spark, d).vectors().select("id", V.softmax(F.col("vec")).alias("s"))
+    return rows.select("id", F.round(F.element_at("s", 1), 6).alias("p1"), F.round(F.element_at("s", -1), 6).alias("p64"))
 
 
 @query(f"WITH {CENTROIDS} SELECT query_id, pos, round(vec[pos], 4) AS x FROM centers, range(1, 65) t(pos)")
@@ -58,29 +58,49 @@ def agg_4_weighted_centroids(spark, d):
     return rows.select("grp", F.round(F.element_at("vec", 1), 4).alias("first"), F.round(F.element_at("vec", -1), 4).alias("last"))
 
 
-@query(f"""WITH {CENTROIDS} SELECT v.id, max_by(q.query_id, {COS} - q.query_id * 1e-9) AS label, max({COS}) AS score FROM centers q, vectors v GROUP BY 1""")
+def nearest(g, to):
+    """(id, query_id, score): for each vector the nearest of some named vectors (query_id, vec), the smaller name of equals."""
+    found = R.vector_search(to.select(F.col("query_id").alias("id"), "vec"), g.vectors().select(F.col("id").alias("query_id"), "vec"), 1)
+    return found.select(F.col("query_id").alias("id"), F.col("id").alias("query_id"), "score")
+
+
+@query(f"""WITH {CENTROIDS}, s AS (SELECT v.id, q.query_id AS label, {COS} AS score FROM centers q, vectors v QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY score DESC, label) = 1)
+    SELECT id, label, score, CASE WHEN score < 0.40 THEN 'out_of_domain' WHEN score < 0.45 THEN 'factual' ELSE 'label' END AS route FROM s""")
 def qry_1_router(spark, d):
-    g = Graph(spark, d)
-    centers = label_centers(g)  # one row per label: the intents
-    scored = g.vectors().join(F.broadcast(centers.withColumnRenamed("vec", "c"))).select("id", "query_id", F.round(V.cosine(F.col("vec"), F.col("c")), 4).alias("s"))
-    return scored.groupBy("id").agg(F.max_by("query_id", F.col("s") - F.col("query_id") * 1e-9).alias("label"), F.max("s").alias("score"))
+    """The intent of each vector by its nearest centroid; below the floors it is out of the domain, or a plain question."""
+    best = nearest(Graph(spark, d), label_centers(Graph(spark, d)))
+    route = F.when(F.col("score") < 0.40, "out_of_domain").when(F.col("score") < 0.45, "factual").otherwise("label")
+    return best.select("id", F.col("query_id").alias("label"), "score", route.alias("route"))
 
 
-@query(f"""WITH {VECTORS}, q AS (SELECT id AS query_id, vec, grp FROM vectors WHERE id % {QUERY_STEP} = 0), s AS (SELECT query_id, v.id, {COS} AS score FROM q JOIN vectors v ON q.grp <> v.grp)
+@query(f"""WITH {VECTORS}, s AS (SELECT q.id AS query_id, v.id, {COS} AS score FROM vectors q JOIN vectors v ON q.grp <> v.grp)
     SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.25 QUALIFY rank <= 5""")
 def join_14_cross_document_links(spark, d):
+    """For every chunk its closest chunks of other documents."""
     g = Graph(spark, d)
-    return R.vector_search(g.vectors(), asked(g), 5, floor=0.25, exclude_self=True)
+    return R.vector_search(g.vectors(), g.vectors().withColumnRenamed("id", "query_id"), 5, floor=0.25, exclude_self=True)
 
 
-@query(f"""WITH {VECTORS}, q AS (SELECT id AS a, vec, grp FROM vectors WHERE id % {QUERY_STEP} = 0) SELECT a, v.id AS b, {COS} AS score FROM q JOIN vectors v ON q.grp = v.grp AND a <> v.id WHERE {COS} >= 0.25
+@query(f"""WITH {VECTORS}, s AS (SELECT q.id AS a, v.id AS b, {COS} AS score FROM vectors q JOIN vectors v ON q.grp = v.grp AND q.id <> v.id) SELECT a, b, score FROM s WHERE score >= 0.25
     QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5""")
 def join_15_links_in_document(spark, d):
+    """For every chunk its closest chunks of the same document."""
+    g = Graph(spark, d)
+    found = R.vector_search(g.vectors(), g.vectors().withColumnRenamed("id", "query_id"), 5, floor=0.25, within=True)
+    return found.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score")
+
+
+@query(f"""WITH {VECTORS}, s AS (SELECT q.id AS query_id, q.grp AS g1, v.id, v.grp AS g2, {COS} AS score FROM vectors q JOIN vectors v ON q.grp <> v.grp), links AS (SELECT * FROM s WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5),
+    edges AS (SELECT DISTINCT least(query_id, id) AS a, greatest(query_id, id) AS b, least(g1, g2) AS d1, greatest(g1, g2) AS d2, score FROM links)
+    SELECT d1, d2, count(*) AS edges, round(avg(score), 6) AS avg_score FROM edges GROUP BY 1, 2 HAVING count(*) >= 5 AND avg(score) >= 0.28""")
+def join_22_document_links(spark, d):
+    """Document pairs by the links between their chunks: five or more, and similar enough on average."""
     g = Graph(spark, d)
-    left = asked(g).select(F.col("query_id").alias("a"), F.col("vec").alias("x"), "grp")
-    pairs = left.join(g.vectors().select(F.col("id").alias("b"), "vec", "grp"), "grp").where("a <> b")
-    scored = pairs.select("a", "b", F.round(V.cosine(F.col("x"), F.col("vec")), 4).alias("score")).where("score >= 0.25")
-    return G.top_per(scored, ["a"], [F.desc("score"), F.asc("b")], 5).select("a", "b", "score")
+    links = R.vector_search(g.vectors(), g.vectors().withColumnRenamed("id", "query_id"), 5, floor=0.25, exclude_self=True)
+    pair = links.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "score").distinct()
+    owner = g.vectors().select("id", "grp")
+    docs = pair.join(owner.toDF("a", "g1"), "a").join(owner.toDF("b", "g2"), "b").select(F.least("g1", "g2").alias("d1"), F.greatest("g1", "g2").alias("d2"), "score")
+    return docs.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("edges"), F.round(F.avg("score"), 6).alias("avg_score")).where("edges >= 5 and avg_score >= 0.28")
 
 
 @query(f"""WITH {VECTORS} SELECT id, round(list_inner_product(vec[1:32], vec[33:64]) / (sqrt(list_inner_product(vec[1:32], vec[1:32])) * sqrt(list_inner_product(vec[33:64], vec[33:64]))), 4) AS consistency FROM vectors""")
@@ -146,10 +166,8 @@ def rrk_5_learned_rerank(spark, d):
     SELECT grp, round(avg(CASE WHEN c >= 0.60 THEN 1.0 WHEN c <= 0.40 THEN 0.0 ELSE (c - 0.40) / 0.20 END), 6) AS grounded FROM best JOIN vectors USING (id) GROUP BY 1""")
 def val_1_grounding(spark, d):
     g = Graph(spark, d)
-    passages = label_centers(g)  # one row per label
-    scored = g.vectors().join(F.broadcast(passages.withColumnRenamed("vec", "c"))).select("id", "grp", F.round(V.cosine(F.col("vec"), F.col("c")), 4).alias("s"))
-    best = scored.groupBy("grp", "id").agg(F.max("s").alias("s"))
-    return best.groupBy("grp").agg(F.round(F.avg(S.grounding_credit(F.col("s"))), 6).alias("grounded"))
+    best = nearest(g, label_centers(g)).select("id", "score").join(g.vectors().select("id", "grp"), "id")
+    return best.groupBy("grp").agg(F.round(F.avg(S.grounding_credit(F.col("score"))), 6).alias("grounded"))
 
 
 @query()

@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataloom.sources.shared import cut
+
 # File name extensions of the supported formats.
 EXTENSIONS = {
-    "pdf": "pdf", "docx": "docx", "doc": "docx", "xlsx": "xlsx", "xls": "xlsx", "csv": "csv", "tsv": "csv", "md": "md", "markdown": "md",
+    "pdf": "pdf", "docx": "docx", "doc": "docx", "xlsx": "xlsx", "xls": "xlsx", "xlsm": "xlsx", "csv": "csv", "tsv": "csv", "md": "md", "markdown": "md",
     "txt": "txt", "text": "txt", "log": "txt", "html": "html", "htm": "html", "json": "chat", "jsonl": "chat", "eml": "email", "msg": "email",
 }
 
@@ -52,7 +54,10 @@ def parse_pages(files: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for doc, kind, content in zip(pdf["doc_id"], pdf["format"], pdf["content"]):
-                pages = parsers[kind](content) if kind in parsers else []
+                try:
+                    pages = parsers[kind](content) if kind in parsers else []
+                except Exception:  # whatever a user's parser makes of a broken file, the other files go on
+                    pages = []
                 rows += [(doc, k, page) for k, page in enumerate(pages)]
             yield pd.DataFrame(rows, columns=["doc_id", "page", "text"])
 
@@ -86,10 +91,19 @@ def messages(rows: DataFrame, field: Callable[[str], Column]) -> DataFrame:
     )
 
 
-def size_sample(files: DataFrame, step: int) -> DataFrame:
-    """Every step-th file in order of size: a sample over all sizes."""
-    rank = F.row_number().over(Window.orderBy("length", "path"))  # one row per file of a folder
-    return files.withColumn("_r", rank).where(F.col("_r") % step == 1).drop("_r")
+def size_sample(files: DataFrame, step: int, order: list[str] = ("length", "path"), group: str | None = None) -> DataFrame:
+    """Every step-th row, from the first, in order of size (and then a unique column): a sample over all sizes, in each group.
+
+    Rows are placed by one range sort, so neither all rows nor a large group meet in one task: only the counts of ranges do.
+    """
+    key = F.col(group) if group else F.lit(0)
+    ranged = files.withColumn("_g", key).repartitionByRange("_g", *order).sortWithinPartitions("_g", *order).withColumn("_at", F.monotonically_increasing_id())
+    placed = cut(ranged.withColumn("_pid", F.shiftright("_at", 33)))
+    spans = placed.groupBy("_g", "_pid").agg(F.count(F.lit(1)).alias("_m"), F.min("_at").alias("_from"))
+    before = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_skip", F.coalesce(F.sum("_m").over(before), F.lit(0)) - F.col("_from")).select(F.col("_g").alias("_h"), F.col("_pid").alias("_q"), "_skip")
+    both = placed.join(spans, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_pid") == F.col("_q")))
+    return both.where((F.col("_at") + F.col("_skip")) % step == 0).select(*files.columns)
 
 
 def not_done(files: DataFrame, report: DataFrame, key: str = "path") -> DataFrame:
