@@ -50,6 +50,7 @@ def recency(as_of: Column, created: Column) -> Column:
 
 
 def surfaced_weight(path: Column) -> Column:
+    # Weights of the paths by which a chunk came up.
     p = F.lower(path)
     return (
         F.when(p.isNull() | (p == ""), 0.5)
@@ -100,9 +101,10 @@ def temporal_intent(query: Column) -> Column:
 
     A quarter ends on day 30 of its last month.
     """
+    # Words of time.
     q = F.lower(query)
     year = F.regexp_extract(q, r"(?iuU)\b(năm|in)\s+(\d{4})\b", 2)
-    quarter = F.coalesce(F.nullif(F.regexp_extract(q, r"(?iuU)\b(quý|q)\s*([1-4])\s*(năm)?\s*(\d{4})\b", 2), F.lit("")), F.lit("")).try_cast("int")
+    quarter = F.regexp_extract(q, r"(?iuU)\b(quý|q)\s*([1-4])\s*(năm)?\s*(\d{4})\b", 2).try_cast("int")  # so "q2 2023" as well
     quarter_year = F.regexp_extract(q, r"(?iuU)\b(quý|q)\s*([1-4])\s*(năm)?\s*(\d{4})\b", 4).try_cast("int")
     none = F.lit(None)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,6 +96,35 @@ TYPE_SIZES = {
     "legal_contract": (1200, 0.70), "code": (500, 0.60), "generic": (800, 0.55),
 }
 
+ADDRESS = r"(?:https?://|www[.\x00])\S+"
+NO_FRAGMENT = (r"(?i)^\s*(figure|table)\s*\d+", r"^\s*\d+(?:\.\d+)?\s*[A-Z][\w\s]{0,40}\s*$")
+STRUCTURAL = (r"^#{1,6}\s", r"^[-*+]\s", r"^\d+\.\s")
+PAGE_ARTIFACTS = (r"\n\s*\d{1,4}\s*$", r"(?i)\n\s*Page\s+\d+\s+of\s+\d+\s*$", r"(?i)\n\s*Preprint\.?\s*$")
+ENTITY_TOKEN = r"\b[A-Z][A-Za-z0-9\-]{1,30}\b"
+ACRONYMS = {
+    "PPR": "Personalized PageRank", "RAG": "Retrieval-Augmented Generation", "GraphRAG": "Graph-based Retrieval-Augmented Generation", "KG": "Knowledge Graph",
+    "LLM": "Large Language Model", "NER": "Named Entity Recognition", "BGE": "BAAI General Embedding", "HyDE": "Hypothetical Document Embeddings",
+    "CoT": "Chain of Thought", "ReAct": "Reasoning and Acting", "MMR": "Maximal Marginal Relevance", "TF-IDF": "Term Frequency Inverse Document Frequency",
+    "KNN": "K-Nearest Neighbors", "HNSW": "Hierarchical Navigable Small World", "MIPS": "Maximum Inner Product Search", "BM25": "Best Matching 25",
+    "QA": "Question Answering", "API": "Application Programming Interface", "PII": "Personally Identifiable Information", "OOD": "Out of Distribution",
+    "OOV": "Out of Vocabulary", "MLM": "Masked Language Modeling", "MoE": "Mixture of Experts", "GNN": "Graph Neural Network",
+    "RAGAS": "Retrieval Augmented Generation Assessment", "PEFT": "Parameter-Efficient Fine-Tuning", "LoRA": "Low-Rank Adaptation",
+    "DPR": "Dense Passage Retrieval", "ANN": "Approximate Nearest Neighbor", "FAISS": "Facebook AI Similarity Search",
+}
+ENTITY_NAME = r"[A-ZĐ][\w\-]+(?:\s+[A-ZĐ][\w\-]+)?"
+COMPARISONS = (
+    rf"so sánh\s+({ENTITY_NAME})\s+(?:và|vs|với)\s+({ENTITY_NAME})(?=[\s\?\.,;:]|$)",
+    rf"({ENTITY_NAME})\s+(?:cải thiện|cải tiến|.+?)?\s*so với\s+({ENTITY_NAME})(?=[\s\?\.,;:]|$)",
+    rf"\b({ENTITY_NAME})\s+vs\s+({ENTITY_NAME})\b",
+    rf"({ENTITY_NAME})\s+và\s+({ENTITY_NAME})\s+khác",
+    rf"\b({ENTITY_NAME})\s+và\s+({ENTITY_NAME})\s+(?:trong|về|cho|đối với|có gì)",
+)
+TRAILING_WORDS = (
+    "cải", "thiện", "tiến", "về", "trong", "trên", "cho", "tại", "theo", "đối", "với", "có", "là", "nào", "khác", "nhau", "tốt", "hơn",
+    "phương", "pháp", "hệ", "thống", "mô", "hình", "model", "method", "system", "approach", "the", "a", "an",
+)
+NO_ENTITIES = ("rag", "system", "method", "approach", "model", "paper", "phương pháp", "hệ thống", "mô hình")
+
 SPACE = r"[\s]+"
 TRIM = r"^\s+|\s+$"
 
@@ -161,24 +192,52 @@ def lexically_related(a: Column, b: Column) -> Column:
     return F.coalesce(holds | short(x, b) | short(y, a), F.lit(False))
 
 
-def mask_values(text: Column) -> Column:
-    """Array of (kind, value, placeholder) of all personal values, in the order in which kinds are masked."""
-    found, rest = F.array().cast("array<struct<kind: string, value: string, mark: string>>"), text
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def replace_matches(text: Column, pattern: str, change) -> Column:
+    """The text with change(match) in place of every match of a pattern without groups that matter."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rest = lambda i: F.get(F.split(text, pattern, -1), i)
+    after = F.zip_with(F.transform(found, change), F.slice(F.split(text, pattern, -1), 2, F.greatest(F.size(found), F.lit(1))), lambda m, r: F.concat(m, r))
+    return F.when(F.size(found) == 0, text).otherwise(F.concat(rest(F.lit(0)), F.array_join(after, "")))
+
+
+MARK = "<(?:" + "|".join(kind for kind, _ in MASKS) + ")_[0-9a-f]{8}>"
+
+
+def masked(text: Column) -> Column:
+    """Struct (text, values): personal values replaced kind by kind, each by its pattern, and the array of
+    (kind, value, mark) that went. Marks already placed are left alone by later kinds."""
+    out = F.struct(text.alias("text"), F.array().cast("array<struct<kind: string, value: string, mark: string>>").alias("values"))
     for kind, pattern in MASKS:
-        found = F.concat(found, _marks(F.array_distinct(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))), kind))
-        rest = F.regexp_replace(rest, pattern, " ")
-    return found
+        out = let(out, _masking(kind, pattern))
+    return out
+
+
+def _masking(kind: str, pattern: str):
+    placed, either = f"^{MARK}$", f"{MARK}|{pattern}"
+    made = lambda v: F.concat(F.lit(f"<{kind}_"), F.substring(F.sha2(v, 256), 1, 8), F.lit(">"))
 
+    def step(s: Column) -> Column:
+        found = F.filter(F.array_distinct(F.regexp_extract_all(s["text"], F.lit(either), F.lit(0))), lambda v: ~v.rlike(placed))
+        marks = F.transform(found, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), made(v).alias("mark")))
+        replaced = replace_matches(s["text"], either, lambda m: F.when(m.rlike(placed), m).otherwise(made(m)))
+        return F.struct(F.when(s["text"].rlike(pattern), replaced).otherwise(s["text"]).alias("text"), F.concat(s["values"], marks).alias("values"))
 
-def _marks(values: Column, kind: str) -> Column:
-    mark = lambda v: F.concat(F.lit(f"<{kind}_"), F.substring(F.sha2(v, 256), 1, 8), F.lit(">"))
-    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), mark(v).alias("mark")))
+    return step
 
 
-def mask(text: Column, values: Column) -> Column:
-    """The text with each value replaced by its placeholder, longest first."""
-    order = F.array_sort(values, lambda a, b: F.length(b["value"]) - F.length(a["value"]))
-    return F.aggregate(order, text, lambda t, v: F.replace(t, v["value"], v["mark"]))
+def mask_values(text: Column) -> Column:
+    """Array of (kind, value, mark) of all personal values, in the order in which kinds are masked."""
+    return masked(text)["values"]
+
+
+def mask(text: Column, values: Column | None = None) -> Column:
+    """The text with each personal value replaced by its mark; ``values`` are found by the same patterns and not needed."""
+    return masked(text)["text"]
 
 
 def unmask(text: Column, values: Column) -> Column:
@@ -191,8 +250,8 @@ def sentences(text: Column) -> Column:
     out = strip(text)
     out = F.regexp_replace(out, r"(?U)\b(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.", "$1" + dot)
     out = F.regexp_replace(out, r"(?<=\d)\.(?=\d)", dot)
-    address = F.regexp_replace(out, r"(?<=(?:https?://|www\.)\S{0,400})\.(?=\S)", dot)
-    out = F.when(out.rlike(r"https?://|www\."), address).otherwise(out)
+    whole = lambda t: F.when(t.rlike(ADDRESS), replace_matches(t, ADDRESS, lambda m: F.replace(m, F.lit("."), F.lit(dot)))).otherwise(t)
+    out = let(out, whole)  # all dots of an address, its last one too
     out = F.regexp_replace(out, r"\b([A-Z])\.(?=\s+[A-Z])", "$1" + dot)
     cut = F.split(out, r"(?<=[.!?])\s+(?=[A-ZÀ-Ỹ])")
     return F.filter(F.transform(cut, lambda s: strip(F.replace(s, F.lit(dot), F.lit(".")))), lambda s: s != "")
@@ -202,9 +261,8 @@ def strip_artifacts(text: Column) -> Column:
     """Without up to three page numbers, page counts or running heads at the end."""
     out = F.regexp_replace(text, r"\s+$", "")
     for _ in range(3):
-        out = F.regexp_replace(out, r"\n\s*\d{1,4}\s*$", "")
-        out = F.regexp_replace(out, r"(?i)\n\s*Page\s+\d+\s+of\s+\d+\s*$", "")
-        out = F.regexp_replace(out, r"(?i)\n\s*Preprint\.?\s*$", "")
+        for pattern in PAGE_ARTIFACTS:
+            out = F.regexp_replace(out, pattern, "")
     return out
 
 
@@ -225,17 +283,30 @@ def title_entities(text: Column) -> Column:
 
 
 def entity_tokens(query: Column) -> Column:
-    tokens = F.regexp_extract_all(query, F.lit(r"\b[A-Z][A-Za-z0-9\-]{1,30}\b"), F.lit(0))
+    tokens = F.regexp_extract_all(query, F.lit(ENTITY_TOKEN), F.lit(0))
     return F.size(F.filter(tokens, lambda t: ~t.isin(*SENTENCE_STARTERS)))
 
 
 def expand_acronyms(text: Column, expansions: dict[str, str]) -> Column:
     """Each acronym, as a whole word, becomes its expansion; in the order given."""
     for short, long in expansions.items():
-        text = F.regexp_replace(text, rf"(?U)\b{short}\b", long)
+        text = F.regexp_replace(text, rf"(?U)\b{re.escape(short)}\b", long)
     return text
 
 
+def comparative_spans(query: Column) -> Column:
+    """The two names of a comparison by the first pattern that fits; words that end no name are cut, and short, long or
+    general names left out."""
+    hit = lambda p: F.array(*[F.regexp_extract(query, "(?iuU)" + p, k) for k in (1, 2)])
+    found = F.array().cast("array<string>")
+    for p in reversed(COMPARISONS):
+        found = F.when(query.rlike("(?iuU)" + p), hit(p)).otherwise(found)
+    tail = r"(?iuU)(?:(?:^|\s+)(?:" + "|".join(TRAILING_WORDS) + r"))+$"
+    clean = F.transform(found, lambda x: strip(F.regexp_replace(F.regexp_replace(strip(x), r"^[\s.,;:?!]+|[\s.,;:?!]+$", ""), tail, "")))
+    kept = F.filter(clean, lambda x: (F.length(x) > 2) & (F.length(x) < 60) & ~F.lower(x).isin(*NO_ENTITIES))
+    return F.when((F.size(kept) == 2) & (F.lower(F.get(kept, 0)) == F.lower(F.get(kept, 1))), F.slice(kept, 1, 1)).otherwise(kept)
+
+
 def keyword_score(text: Column, weights: dict[str, float]) -> Column:
     total = F.lit(0.0)
     for word, weight in weights.items():
@@ -268,7 +339,7 @@ def quality(text: Column, entity_count: Column) -> Column:
 
 def is_fragment(text: Column) -> Column:
     body = strip(F.coalesce(text, F.lit("")))
-    return (F.length(body) < 80) | body.rlike(r"(?i)^\s*(figure|table)\s*\d+") | body.rlike(r"^\s*\d+(?:\.\d+)?\s*[A-Z][\w\s]{0,40}\s*$")
+    return (F.length(body) < 80) | body.rlike(NO_FRAGMENT[0]) | body.rlike(NO_FRAGMENT[1])
 
 
 def out_of_domain(query: Column) -> Column:
@@ -313,7 +384,7 @@ def mode(text: Column) -> Column:
 
 def structural(text: Column) -> Column:
     body = strip(text)
-    return (body == "") | body.rlike(r"^#{1,6}\s") | body.rlike(r"^[-*+]\s") | body.rlike(r"^\d+\.\s") | body.startswith("```")
+    return (body == "") | body.rlike("|".join(STRUCTURAL)) | body.startswith("```")
 
 
 def discourse(text: Column) -> Column:

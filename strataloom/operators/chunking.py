@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.functions import score as S
 from strataloom.functions import text as X
 from strataloom.functions import vector as V
+from strataloom.sources.files import format_of
 
 # Weights of the boundary signals.
 SIGNALS = {"semantic": 0.30, "discourse": 0.20, "entities": 0.25, "structure": 0.15, "mode": 0.10}
@@ -56,6 +58,80 @@ def boundary_scores(sentences: DataFrame, key: str, pos: str, text: str, vec: st
     return sentences.withColumn("boundary", total)
 
 
+def group_at(rows: DataFrame, key: str, pos: str, text: str, score: str, threshold: Column, most: Column) -> DataFrame:
+    """(key, k, chunk): sentences joined into paragraphs, a new one where ``score`` exceeds the threshold or the lengths would
+    exceed ``most``. A document's sentences are folded in order; documents are bounded, their number is not."""
+    unit = F.struct(F.col(pos).alias("p"), F.col(text).alias("t"), (F.col(score) > threshold).alias("cut"))
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(unit)).alias("u"), F.first(most).alias("most"))
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("size"))
+
+    def step(s: Column, u: Column) -> Column:
+        fresh = s["held"].isNotNull() & (u["cut"] | (s["size"] + F.length(u["t"]) > F.col("most")))
+        return F.struct(
+            F.when(fresh, F.concat(s["done"], F.array(s["held"]))).otherwise(s["done"]).alias("done"),
+            F.when(fresh | s["held"].isNull(), u["t"]).otherwise(F.concat(s["held"], F.lit(" "), u["t"])).alias("held"),
+            F.when(fresh, F.length(u["t"])).otherwise(s["size"] + F.length(u["t"])).alias("size"),
+        )
+
+    done = F.aggregate("u", empty, step, lambda s: F.when(s["held"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["held"]))))
+    return grouped.select(key, F.posexplode(done).alias("k", "chunk"))
+
+
+def topic_chunks(rows: DataFrame, key: str, pos: str, text: str, vec: str, least: float = 0.55, most: int = 800) -> DataFrame:
+    """(key, k, chunk): a new paragraph where the cosine to the sentence before is below ``least`` or it would grow too long."""
+    drop = 1 - V.cosine(F.lag(vec).over(Window.partitionBy(key).orderBy(pos)), F.col(vec))
+    return group_at(rows.withColumn("_drop", F.coalesce(drop, F.lit(0.0))), key, pos, text, "_drop", F.lit(1 - least), F.lit(most))
+
+
+def signal_chunks(docs: DataFrame, key: str, text: str, name: str, vec: str | None = None) -> DataFrame:
+    """(key, k, chunk) by the boundary signals of sentences; threshold and size follow the document's type."""
+    kind = X.doc_type(F.col(text), F.coalesce(F.col(name), F.lit("")))
+    sizes = {k: v[0] for k, v in X.TYPE_SIZES.items()}
+    cuts = {k: v[1] for k, v in X.TYPE_SIZES.items()}
+    typed = docs.select(key, text, *([vec] if vec else []), kind.alias("_kind"))
+    size, least = S.from_table(F.col("_kind"), sizes, 800).alias("_most"), S.from_table(F.col("_kind"), cuts, 0.55).alias("_cut")
+    lines = typed.select(key, size, least, F.posexplode(X.sentences(F.col(text))).alias("pos", "sentence"))
+    names = lines.withColumn("_names", F.transform(X.title_entities(F.col("sentence")), lambda e: F.lower(e)))
+    scored = boundary_scores(names, key, "pos", "sentence", entities="_names")
+    return group_at(scored, key, "pos", "sentence", "boundary", F.col("_cut"), F.col("_most"))
+
+
+def sections(paragraphs: Column, most: int) -> Column:
+    """Array of sections, each an array of paragraphs: a new one where a paragraph would take it beyond ``most`` characters."""
+    parts = F.filter(F.transform(paragraphs, X.strip), lambda p: p != "")
+    none = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), none.alias("held"), F.lit(0).alias("size"))
+
+    def step(s: Column, p: Column) -> Column:
+        full = (F.size(s["held"]) > 0) & (s["size"] + F.length(p) > most)
+        return F.struct(
+            F.when(full, F.concat(s["done"], F.array(s["held"]))).otherwise(s["done"]).alias("done"),
+            F.when(full, F.array(p)).otherwise(F.concat(s["held"], F.array(p))).alias("held"),
+            F.when(full, F.length(p)).otherwise(s["size"] + F.length(p)).alias("size"),
+        )
+
+    return F.aggregate(parts, start, step, lambda s: F.when(F.size(s["held"]) > 0, F.concat(s["done"], F.array(s["held"]))).otherwise(s["done"]))
+
+
+CHUNKERS: dict = {}
+"""Chunkers of further formats, registered by the user: format to a function of (doc_id, name, text) rows that returns
+(doc_id, k, chunk)."""
+
+
+def dispatch(files: DataFrame) -> DataFrame:
+    """(doc_id, format, k, chunk) of (doc_id, name, text): each format by its own chunker; texts by boundary signals."""
+    typed = files.withColumn("format", F.coalesce(format_of(F.col("name"), F.substring("text", 1, 2048)), F.lit("txt"))).withColumn("text", F.coalesce("text", F.lit("")))
+    whole = lambda rows: rows.select("doc_id", F.posexplode(merge_short(pack(X.sentences(F.col("text")), 800), 80, 800)).alias("k", "chunk"))
+    chat = lambda rows: rows.select("doc_id", F.posexplode(pack(F.split("text", "\n"), 800, "\n")).alias("k", "chunk"))
+    own = {"chat": chat, "email": chat, "csv": chat, **CHUNKERS}
+    signal = ("md", "txt", "html")
+    out = signal_chunks(typed.where(F.col("format").isin(*signal)), "doc_id", "text", "name")
+    for kind, chunker in own.items():
+        out = out.unionByName(chunker(typed.where(F.col("format") == kind)))
+    out = out.unionByName(whole(typed.where(~F.col("format").isin(*signal, *own))))
+    return out.join(typed.select("doc_id", "format"), "doc_id")
+
+
 def table_chunks(rows: DataFrame, sheet: str, key: str, columns: list[str], per_chunk: int = 20, count: str = "sheet") -> DataFrame:
     """Groups of rows of a sheet as markdown with the header repeated: sheet, chunk, text."""
     number = F.row_number().over(Window.partitionBy(sheet).orderBy(key))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.functions import text as X
 from strataloom.functions import vector as V
 from strataloom.sources.shared import cut
 
@@ -175,3 +176,20 @@ def community_table(labels: DataFrame, entities: DataFrame, excluded: tuple[str,
     rows = labels.join(allowed.select(F.col("entity_id").alias("node")), "node", "left_semi")
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
     return rows.join(sizes, "label").select(F.col("label").alias("community"), F.lit(level).alias("level"), "size", F.col("node").alias("member"))
+
+
+def related_names(names: DataFrame) -> DataFrame:
+    """(type, a, b): names (type, name) of which a's skeleton lies in b's and is long enough, or is b's initials.
+
+    Candidates meet on a four-letter piece of the longer skeleton that starts the shorter one, or on the initials, so
+    only names that share one are compared.
+    """
+    skeleton = X.skeleton(F.col("name"))
+    rows = cut(names.select("type", "name", skeleton.alias("s"), X.initials(F.col("name")).alias("i"), X.word_count(F.col("name")).alias("words")))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 3, F.lit(1))), lambda k: F.substring(F.col("s"), k, F.lit(4)))
+    longer = rows.select("type", F.col("name").alias("b"), F.col("s").alias("t"), F.explode(F.array_distinct(pieces)).alias("block"))
+    inside = rows.where("length(s) >= 4").select("type", F.col("name").alias("a"), "s", F.substring("s", 1, 4).alias("block")).join(longer, ["type", "block"])
+    inside = inside.where((F.col("a") != F.col("b")) & (F.length("s") <= F.length("t")) & (F.length("s") * 5 >= F.length("t") * 4) & F.col("t").contains(F.col("s")))
+    short = rows.where("length(s) >= 2").select("type", F.col("name").alias("a"), F.col("s").alias("i"))
+    spelled = short.join(rows.where("words >= 2").select("type", F.col("name").alias("b"), "i"), ["type", "i"]).where("a <> b")
+    return inside.select("type", "a", "b").union(spelled.select("type", "a", "b")).distinct()

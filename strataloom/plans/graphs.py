@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strataloom.operators import graph as G
@@ -116,12 +118,27 @@ def str_windowed_counts(spark, d):
     return E.drain(rows, spark, folder(spark), "complete")
 
 
-@query()
+@query("SELECT DISTINCT user_id, event_type, date_trunc('minute', ts) AS minute FROM events")
 def str_first_per_minute(spark, d):
-    return E.drain(E.first_per_minute(E.stream(spark, d)).select("event_id", "user_id", "event_type", "minute"), spark, folder(spark))
+    """One event per user, type and minute; which of them came first is the stream's own affair."""
+    return E.drain(E.first_per_minute(E.stream(spark, d)).select("user_id", "event_type", "minute"), spark, folder(spark))
+
+
+@query("SELECT event_id, user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events")
+def str_5_flushed_lines(spark, d):
+    """The audit trail as JSON lines, as the flushing sink leaves it."""
+    run = f"{folder(spark)}/lines-{uuid.uuid4().hex}"
+    rows = E.stream(spark, d).select("event_id", "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    E.flush_lines(rows, f"{run}/out", f"{run}/state", None).awaitTermination()
+    return spark.read.schema(rows.schema).json(f"{run}/out")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def snk_7_recent_events(spark, d):
+    return E.recent(table(spark, d, "events")).select("event_id", "event_type")
 
 
 @query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, count(*) AS n, round(avg(value), 9) AS mean FROM r WHERE k <= 500 GROUP BY 1""")
 def str_4_rolling_mean(spark, d):
     rows = E.rolling_mean(E.stream(spark, d)).select("user_id", "n", F.round("mean", 9).alias("mean"))
-    return E.drain(rows, spark, folder(spark), "update")
+    return E.drain(rows, spark, folder(spark), "update", ["user_id"])

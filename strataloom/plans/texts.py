@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from strataloom.functions import domain as D
 from strataloom.functions import score as S
 from strataloom.functions import text as X
 from strataloom.functions import vector as V
 from strataloom.operators import chunking as C
+from strataloom.operators import graph as G
 from strataloom.plans.registry import CONTAINS, ENTITIES, Graph, query, table
 
 
@@ -41,7 +43,7 @@ def fn_3_normal_names(spark, d):
     return table(spark, d, "part").select("p_partkey", X.normal_name(F.col("p_name")).alias("normal"), X.skeleton(F.col("p_brand")).alias("skeleton"))
 
 
-@query(r"""WITH n AS (SELECT DISTINCT p_brand AS b, regexp_replace(lower(p_brand), '[^0-9a-z]', '', 'g') AS k FROM part) SELECT x.b AS a, y.b AS b FROM n x JOIN n y ON x.k = replace(y.k, 'brand', 'brand') AND x.k <> ''""")
+@query(r"""WITH n AS (SELECT DISTINCT p_brand AS b, regexp_replace(lower(p_brand), '[^0-9a-z]', '', 'g') AS k FROM part) SELECT x.b AS a, y.b AS b FROM n x JOIN n y ON x.k = y.k AND x.k <> ''""")
 def fn_4_equal_skeletons(spark, d):
     rows = table(spark, d, "part").select(F.col("p_brand").alias("a")).distinct().withColumn("k", X.skeleton(F.col("a"))).where("k <> ''")
     return rows.join(rows.withColumnRenamed("a", "b"), "k").select("a", "b")
@@ -65,17 +67,24 @@ def fn_5_similar_names(spark, d):
     return pairs.withColumn("ratio", F.round(sequence_ratio("a", "b"), 6)).where("ratio >= 0.8")
 
 
-@query(rf"""SELECT doc_id, len(regexp_extract_all(text, {quoted(X.MASKS[0][1])})) AS emails, len(regexp_extract_all(text, {quoted(X.MASKS[2][1])})) AS urls FROM documents""")
+_RUNS = r"list_filter(regexp_extract_all(text, '\d+'), lambda x: {})"
+
+
+@query(
+    rf"""SELECT doc_id, len(regexp_extract_all(text, {quoted(X.MASKS[0][1])})) AS email, len(regexp_extract_all(text, {quoted(X.MASKS[2][1])})) AS url, len(regexp_extract_all(text, {quoted(X.MASKS[3][1])})) AS ip,
+    len({_RUNS.format("regexp_full_match(x, '(?:84|0)(?:3[2-9]|5[6-9]|7[06-9]|8[1-9]|9[0-46-9])[0-9]{7}')")}) AS phone, len({_RUNS.format("length(x) BETWEEN 8 AND 14")}) AS account, len({_RUNS.format("length(x) IN (9, 12)")}) AS id_number FROM documents"""
+)
 def fn_7_personal_values(spark, d):
-    found = lambda k: F.regexp_count("text", F.lit(X.MASKS[k][1])).cast("long")
-    return table(spark, d, "documents").select("doc_id", found(0).alias("emails"), found(2).alias("urls"))
+    """How many values of each kind a text has, each kind for itself."""
+    counts = [F.regexp_count("text", F.lit(pattern)).cast("long").alias(kind.lower()) for kind, pattern in X.MASKS]
+    return table(spark, d, "documents").select("doc_id", *counts)
 
 
 @query()
 def fn_8_masked_documents(spark, d):
     """Masked text of every document, how many values went, and whether unmasking gives the text back."""
-    rows = table(spark, d, "documents").withColumn("values", X.mask_values(F.col("text"))).withColumn("masked", X.mask(F.col("text"), F.col("values")))
-    return rows.select("doc_id", "masked", F.size("values").alias("n"), (X.unmask(F.col("masked"), F.col("values")) == F.col("text")).alias("round_trip"))
+    rows = table(spark, d, "documents").select("doc_id", "text", X.masked(F.col("text")).alias("m"))
+    return rows.select("doc_id", F.col("m.text").alias("masked"), F.size("m.values").alias("n"), (X.unmask(F.col("m.text"), F.col("m.values")) == F.col("text")).alias("round_trip"))
 
 
 @query(f"SELECT conv_id, turn, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 200 AND {any_sql('lower(text)', X.REFUSALS)} AS refusal FROM conversations")
@@ -116,19 +125,48 @@ def fn_18_structure_score(spark, d):
 _WORDS = r"len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> ''))"
 
 
-@query(
-    rf"""WITH b AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, n_chars % 40 AS e FROM documents WHERE lang = 'en'),
-    f AS (SELECT doc_id, length(t) AS l, e / greatest({_WORDS}, 1) AS density, {count_sql("t", X.HEDGES)} AS h, greatest({_WORDS}, 1) AS w, {count_sql("t", X.PROMOTION)} AS m, {count_sql("t", X.DRAFTS)} AS dr,
-        (regexp_matches(t, {quoted(X.STRUCTURE[0])}) OR regexp_matches(t, {quoted(X.STRUCTURE[1])}) OR regexp_matches(t, {quoted(X.STRUCTURE[2])})) AS s FROM b)
-    SELECT doc_id, round(greatest(0.0, least(1.0, 1.0 - CASE WHEN l < 50 THEN 0.5 WHEN l > 5000 THEN 0.2 ELSE 0 END + CASE WHEN density < 0.005 AND l > 200 THEN -0.15 WHEN density > 0.05 THEN 0.05 ELSE 0 END
-        + CASE WHEN s THEN 0.10 WHEN l < 100 THEN -0.10 ELSE 0 END - CASE WHEN h / w > 0.05 THEN least(0.3, h / w * 2) ELSE 0 END - CASE WHEN m > 2 THEN 0.2 ELSE 0 END - CASE WHEN dr > 0 THEN 0.5 ELSE 0 END)), 6) AS overall,
-        s AS has_structure, h AS hedges, m AS promotion, dr AS drafts FROM f"""
-)
+@query()
 def fn_20_chunk_quality(spark, d):
-    rows = table(spark, d, "documents").where("lang = 'en'").select("doc_id", X.quality(F.col("text"), F.col("n_chars") % 40).alias("q"))
+    rows = table(spark, d, "documents").select("doc_id", X.quality(F.col("text"), F.col("n_chars") % 40).alias("q"))
     return rows.select("doc_id", "q.overall", "q.has_structure", *[F.col(f"q.{c}").cast("long").alias(c) for c in ("hedges", "promotion", "drafts")])
 
 
+@query()
+def flt_5_quality_filter(spark, d):
+    """Every document with its score, whether it is accepted, and why not."""
+    rows = table(spark, d, "documents").select("doc_id", F.length(X.strip(F.col("text"))).alias("n"), X.quality(F.col("text"), F.col("n_chars") % 40).alias("q"))
+    why = F.array(F.when(F.col("n") < 50, "too short"), F.when(F.col("n") > 5000, "too long"), F.when(F.col("q.drafts") > 0, "draft"), F.when(F.col("q.promotion") > 2, "promotion"), F.when(~F.col("q.has_structure"), "no structure"))
+    reasons = F.when(F.col("q.accept"), F.lit("")).otherwise(F.concat_ws(", ", F.filter(why, lambda w: w.isNotNull())))
+    return rows.select("doc_id", "q.overall", "q.accept", reasons.alias("reasons"))
+
+
+@query()
+def fn_14_comparative_spans(spark, d):
+    """The names that a turn compares."""
+    return table(spark, d, "conversations").select("conv_id", "turn", X.comparative_spans(F.col("text")).alias("names"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN s = 0 THEN 'research_paper' ELSE 'comparison_analysis' END AS best FROM (SELECT conv_id, turn, CAST(contains(lower(text), 'compare') AS INTEGER) AS s FROM conversations)")
+def fn_37_query_domains(spark, d):
+    """The leading axis of each turn; the synthetic turns have none of the patterns but 'compare', so most tie on the first axis."""
+    rows = table(spark, d, "conversations").withColumn("p", D.tag_query(F.col("text")))
+    return rows.select("conv_id", "turn", D.dominant(F.col("p"), list(D.DOMAIN_AXES)).alias("best"))
+
+
+_KINDS = {"PROMO": ("research_paper",), "ECONOMY": ("business_finance",), "LARGE": ("technical_code",), "SMALL": ("technical_code", "research_paper"), "STANDARD": ("method_algorithm",), "MEDIUM": ("method_algorithm",)}
+_AXIS_COUNTS = ", ".join(f"exp(0.5 * count(*) FILTER (WHERE upper(type) IN ({', '.join(quoted(k) for k, a in _KINDS.items() if axis in a)})))" if any(axis in a for a in _KINDS.values()) else "CAST(1 AS DOUBLE)" for axis in D.DOMAIN_AXES)
+
+
+@query(f"""WITH {CONTAINS}, {ENTITIES}, e AS (SELECT chunk_id, [{_AXIS_COUNTS}] AS e FROM contains_ JOIN entities USING (entity_id) GROUP BY 1)
+    SELECT chunk_id, round(list_max(e) / list_sum(e), 6) AS share, [{', '.join(map(quoted, D.DOMAIN_AXES))}][list_position(e, list_max(e))] AS best FROM e""")
+def fn_39_entity_domains(spark, d):
+    """The leading axis of a chunk by the types of its entities alone."""
+    g = Graph(spark, d)
+    rows = g.contains().join(g.entities(), "entity_id").groupBy("chunk_id").agg(F.collect_list("type").alias("types"))
+    rows = rows.withColumn("p", D.tag_entities(F.col("types"), D.DOMAIN_AXES, _KINDS))
+    return rows.select("chunk_id", F.round(F.array_max("p"), 6).alias("share"), D.dominant(F.col("p"), list(D.DOMAIN_AXES)).alias("best"))
+
+
 @query(f"SELECT conv_id, turn, {any_sql('text', X.OUT_OF_DOMAIN)} AS ood, {any_sql('text', X.CORPUS_WIDE)} AS corpus_wide FROM conversations")
 def fn_21_query_guards(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.out_of_domain(F.col("text")).alias("ood"), X.corpus_wide(F.col("text")).alias("corpus_wide"))
@@ -237,9 +275,30 @@ def chk_8_boundaries(spark, d):
     return scored.select("doc_id", "pos", F.round("boundary", 6).alias("boundary"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)^(Bước \d|Step \d|First[,\.]|Next[,\.])') THEN 'INSTRUCTION' WHEN regexp_matches(text, '\d{4}') OR regexp_matches(text, '\d+%') THEN 'FACT' ELSE 'NARRATIVE' END AS mode FROM documents WHERE lang = 'de'""")
+@query()
 def chk_9_modes(spark, d):
-    return table(spark, d, "documents").where("lang = 'de'").select("doc_id", X.mode(F.col("text")).alias("mode"))
+    return table(spark, d, "documents").select("doc_id", X.mode(F.col("text")).alias("mode"))
+
+
+@query()
+def chk_8_grouped(spark, d):
+    """Paragraphs of every text: sentences grouped at boundaries, sized by the document's type."""
+    return C.signal_chunks(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+@query()
+def chk_6_sections(spark, d):
+    """Sections: paragraphs grouped until the next one would not fit."""
+    rows = table(spark, d, "documents").select("doc_id", C.sections(F.split("text", "\n"), 4000).alias("s"))
+    return rows.select("doc_id", F.posexplode("s").alias("k", "paragraphs")).select("doc_id", "k", F.size("paragraphs").alias("n"), F.aggregate("paragraphs", F.lit(0), lambda a, p: a + F.length(p)).alias("chars"))
+
+
+@query()
+def chk_16_dispatched(spark, d):
+    """Chunks of all documents and pages, each by the chunker of its format."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("doc_id"), F.concat(F.coalesce("source", F.lit("")), F.lit(".txt")).alias("name"), "text")
+    pages = table(spark, d, "pages").select(F.concat(F.lit("page-"), "page_id").alias("doc_id"), F.col("url").alias("name"), F.col("html").alias("text"))
+    return C.dispatch(docs.unionByName(pages)).select("doc_id", "format", "k", F.length("chunk").alias("n"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS s FROM documents) SELECT doc_id, sum(CASE WHEN s = '' OR regexp_matches(s, '^#{1,6}\s') OR regexp_matches(s, '^[-*+]\s') OR regexp_matches(s, '^\d+\.\s') OR starts_with(s, '```') THEN 1 ELSE 0 END) AS n FROM l GROUP BY 1""")
@@ -273,6 +332,14 @@ def chk_14_document_types(spark, d):
     return table(spark, d, "documents").select("doc_id", kind.alias("kind"), size.alias("size"))
 
 
+@query(r"""WITH n AS (SELECT DISTINCT p_type AS type, p_name AS name FROM part), k AS (SELECT type, name, regexp_replace(lower(name), '[^0-9a-z]', '', 'g') AS s, array_to_string(list_transform(list_filter(string_split_regex(lower(name), '[^0-9a-z]+'), lambda w: w <> ''), lambda w: w[1]), '') AS i, len(list_filter(string_split_regex(name, '\s+'), lambda w: w <> '')) AS words FROM n)
+    SELECT x.type, x.name AS a, y.name AS b FROM k x JOIN k y ON x.type = y.type AND x.name <> y.name WHERE (length(x.s) >= 4 AND length(x.s) * 5 >= length(y.s) * 4 AND length(x.s) <= length(y.s) AND contains(y.s, x.s)) OR (length(x.s) >= 2 AND x.s = y.i AND y.words >= 2)""")
+def fn_6_related_names(spark, d):
+    """Names of a type of which one holds the other's skeleton, or is its initials."""
+    names = Graph(spark, d).entities().select("type", "name").distinct()
+    return G.related_names(names)
+
+
 @query(f"""WITH {ENTITIES} SELECT DISTINCT name, len(list_filter(string_split(name, ' '), lambda w: w <> '')) AS words FROM entities""")
 def fn_6_name_words(spark, d):
     return Graph(spark, d).entities().select("name", X.word_count(F.col("name")).cast("long").alias("words")).distinct()

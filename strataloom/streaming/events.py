@@ -52,13 +52,40 @@ def rolling_mean(events: DataFrame, last: int = 500) -> DataFrame:
     return kept.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, mean double", "held array<double>", "update", "NoTimeout")
 
 
-def drain(rows: DataFrame, spark: SparkSession, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all there is and returns what it wrote."""
-    run = f"{folder}/stream-{uuid.uuid4().hex}"
-    if mode == "append":
-        sink = rows.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state")
-        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    else:
-        put = lambda batch, k: batch.write.mode("append").parquet(f"{run}/out")
-        rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{run}/out")
+def drain(rows: DataFrame, spark: SparkSession, folder: str, mode: str = "append", keys: list[str] = (), at: str | None = None) -> DataFrame:
+    """Runs a stream over all there is and returns its result.
+
+    Every micro-batch replaces its own folder, so a batch that is run again after a failure leaves one copy. In complete
+    mode the last batch is the result; in update mode the last row of each of ``keys`` is. With ``at`` the run goes on
+    from the state of an earlier one there.
+    """
+    run = at or f"{folder}/stream-{uuid.uuid4().hex}"
+    put = lambda batch, k: batch.write.mode("overwrite").parquet(f"{run}/out/batch={k}")
+    rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, batch long").parquet(f"{run}/out")
+    if mode == "complete":
+        last = kept.agg(F.max("batch")).first()[0]
+        kept = kept.where(F.col("batch") == F.lit(last))
+    elif mode == "update":
+        latest = kept.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), "batch").alias("r"))
+        return latest.select("r.*")
+    return kept.drop("batch")
+
+
+def fold(stream_: DataFrame, spark: SparkSession, at: str, delta, merge) -> DataFrame:
+    """State kept over restarts: each micro-batch writes delta(batch) to a folder of its own under ``at``, replacing what an
+    earlier try left there, and merge() of all deltas is the state. A later call with the same ``at`` goes on."""
+    put = lambda batch, k: delta(batch).write.mode("overwrite").parquet(f"{at}/delta/batch={k}")
+    stream_.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return merge(spark.read.parquet(f"{at}/delta").drop("batch"))
+
+
+def flush_lines(events: DataFrame, path: str, state: str, interval: str | None = "5 seconds"):
+    """Starts appending events as JSON lines, once per interval; without one, all there is and then no more."""
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return events.writeStream.format("json").option("path", path).option("checkpointLocation", state).outputMode("append").trigger(**trigger).start()
+
+
+def recent(events: DataFrame, most: int = 1000) -> DataFrame:
+    """The latest events, the larger id first among equal times."""
+    return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(most)
