@@ -172,9 +172,9 @@ def sketch(texts: DataFrame, link_percent: int = LINK_PERCENT) -> DataFrame:
         shingler = Shingler()
         order = np.arange(n_bands, dtype=np.uint64)
         for batch in (part.slice(a, 512) for part in batches for a in range(0, part.num_rows, 512)):
-            values = batch.column(2).to_pylist()
-            for a, b in _batches(values):
-                hashes, ends = shingler.sets(values[a:b])
+            own = batch.column(2).to_pylist()
+            for a, b in _batches(own):
+                hashes, ends = shingler.sets(own[a:b])
                 size = np.diff(ends, prepend=0)
                 bands = signatures(hashes, ends, n_bands * n_rows).reshape(b - a, n_bands, n_rows)
                 keys = mix((bands * _FACTORS[:n_rows]).sum(axis=2, dtype=np.uint64) + order * _FACTORS[5])
@@ -185,8 +185,8 @@ def sketch(texts: DataFrame, link_percent: int = LINK_PERCENT) -> DataFrame:
                 full = size > 0
                 where = np.concatenate([[0], np.cumsum(np.where(full, n_bands, 0))])
                 lists = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(keys[full].ravel().view(np.int64)))
-                keys = [batch.column(k).slice(a, b - a) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(size, pa.int64()), *prints, lists], ["_row", "_id", "_n", "_s1", "_s2", "_bands"])
+                names = [batch.column(k).slice(a, b - a) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(size, pa.int64()), *prints, lists], ["_row", "_id", "_n", "_s1", "_s2", "_bands"])
 
     kind = dict(texts.dtypes)["_id"]
     return texts.select("_row", "_id", "_text").mapInArrow(run, f"_row long, _id {kind}, _n long, _s1 long, _s2 long, _bands array<long>")

@@ -374,6 +374,13 @@ def test_near_rows_of_repeated_ids(spark):
         equal([(r.doc_id, r.text) for r in kept.collect()], want)
 
 
+def test_batches_of_long_texts(spark):
+    """Several slices of one batch."""
+    long = [(k, prose(1000 + k, 60_000)) for k in range(6)] + [(9, prose(1000, 60_000) + " more")]
+    frame = spark.createDataFrame(long, "doc_id long, text string").coalesce(1)
+    equal([(r.doc_id, r.component_id) for r in minhash.near_duplicates(frame).collect()], [(k, k) for k in range(6)] + [(9, 0)])
+
+
 def test_recall_of_bands():
     """Of pairs between the limit and 0.92 nearly all share a band: the layout foretells 1.2e-5 missed at the limit itself."""
     r, missed, pairs = np.random.default_rng(11), 0, 0
