@@ -70,19 +70,6 @@ def ret_11_scope(spark, d):
     return scope.join(g.contains(), "chunk_id", "left").groupBy("chunk_id", "best").agg(F.count("entity_id").alias("entities"))
 
 
-@query(f"""WITH {CONTAINS}, df AS (SELECT entity_id, count(DISTINCT o_custkey) AS df FROM contains_ JOIN orders ON chunk_id = o_orderkey GROUP BY 1), n AS (SELECT count(DISTINCT o_custkey) AS n FROM orders),
-    scored AS (SELECT entity_id, round(least(5.0, greatest(0.1, ln((n + 1) / (df + 1)))) * (entity_id % 97) / 97.0, 6) AS s FROM df, n), top AS (SELECT entity_id, s FROM scored ORDER BY s DESC, entity_id LIMIT 20)
-    SELECT chunk_id, count(*) AS matches, round(least(1.0, count(*) / 20.0), 6) AS score FROM contains_ JOIN top USING (entity_id) GROUP BY 1""")
-def ret_5_entity_weights(spark, d):
-    g = Graph(spark, d)
-    df = g.mentions().groupBy("entity_id").agg(F.count(F.lit(1)).alias("df"))
-    total = g.read("orders").select(F.countDistinct("o_custkey").alias("n"))
-    scored = df.crossJoin(F.broadcast(total)).select("entity_id", F.round(V.idf(F.col("n"), F.col("df")) * (F.col("entity_id") % 97) / 97.0, 6).alias("s"))  # one row
-    top = scored.orderBy(F.desc("s"), "entity_id").limit(20)  # entities of a question
-    hits = g.contains().join(F.broadcast(top), "entity_id").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("matches"))
-    return hits.withColumn("score", F.round(F.least(F.lit(1.0), F.col("matches") / 20.0), 6))
-
-
 @query(f"""WITH {VECTORS}, q AS (SELECT id AS query_id, vec FROM vectors WHERE id % 20 = 0), s AS (SELECT query_id, v.id, {COS} AS score FROM q JOIN vectors v ON v.id < query_id)
     SELECT query_id, max(score) AS score, max(score) >= 0.3 AS hit FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 3 GROUP BY 1""")
 def qry_4_history_cache(spark, d):

@@ -17,7 +17,7 @@ from strataloom.operators import chunking as C
 from strataloom.operators import graph as G
 from strataloom.operators import ranking as R
 from strataloom.plans.registry import CONTAINS, ENTITIES, SIZED, VECTORS, Graph, query, table
-from strataloom.plans.vectors import CENTROIDS, COS, label_centers
+from strataloom.plans.vectors import COS
 from strataloom.sources import files
 from strataloom.sources.shared import folder
 from strataloom.streaming import events as E
@@ -60,26 +60,6 @@ def fn_13_expanded_acronyms(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.expand_acronyms(F.col("text"), EXPANSIONS).alias("text"))
 
 
-@query(f"""WITH {CENTROIDS}, s AS (SELECT query_id, v.id, {COS} AS s1 FROM centers q, vectors v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s1 DESC, id) <= 50), m AS (SELECT query_id, avg(s1) AS top FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s1 DESC, id) AS r FROM s) WHERE r <= 5 GROUP BY 1)
-    SELECT query_id, id, round(CASE WHEN top >= 0.35 THEN s1 ELSE 0.4 * s1 + 0.3 * (id % 10) / 10.0 + 0.3 * (id % 10) / 10.0 END, 6) AS final FROM s JOIN m USING (query_id)""")
-def rrk_4_staged_rerank(spark, d):
-    """Three stages with an early exit: where the first stage's best five are good enough, its scores stand."""
-    g = Graph(spark, d)
-    one = R.vector_search(g.vectors(), label_centers(g), 50).select("query_id", "id", F.col("score").alias("s1"), "rank")
-    sure = one.where("rank <= 5").groupBy("query_id").agg(F.avg("s1").alias("top"))
-    two = (F.col("id") % 10) / 10.0  # the summary view's score
-    three = F.coalesce(F.lit(None).cast("double"), two)  # no judge: the second stage stands in
-    final = F.when(F.col("top") >= 0.35, F.col("s1")).otherwise(0.4 * F.col("s1") + 0.3 * two + 0.3 * three)
-    return one.join(sure, "query_id").select("query_id", "id", F.round(final, 6).alias("final"))
-
-
-@query(f"""WITH {CONTAINS}, {VECTORS}, s AS (SELECT chunk_id, entity_id % 64 + 1 AS k, vec FROM contains_ JOIN vectors ON id = chunk_id) SELECT chunk_id, round(avg(vec[k]), 6) + 0.0 AS score, count(*) AS matches FROM s GROUP BY 1""")
-def agg_21_graph_scores(spark, d):
-    g = Graph(spark, d)
-    rows = g.contains().join(g.vectors(), F.col("chunk_id") == F.col("id")).select("chunk_id", F.element_at("vec", (F.col("entity_id") % 64 + 1).cast("int")).cast("double").alias("s"))
-    return rows.groupBy("chunk_id").agg((F.round(F.avg("s"), 6) + 0.0).alias("score"), F.count(F.lit(1)).alias("matches"))
-
-
 @query("""WITH p AS (SELECT item_id, regexp_extract_all(text, '[^.!?]+[.!?]') AS s FROM benchmark), a AS (SELECT item_id, unnest(s) AS t FROM p) SELECT item_id, count(*) AS sentences, round(avg(CASE WHEN length(trim(t)) > 40 THEN 1.0 ELSE 0 END), 6) AS share FROM a GROUP BY 1""")
 def agg_13_sentence_ratios(spark, d):
     parts = table(spark, d, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[^.!?]+[.!?]"), F.lit(0))).alias("t"))

@@ -147,21 +147,6 @@ def top_3_multi_view_fusion(spark, d):
     return views.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("rrf"))
 
 
-@query(f"""WITH {CENTROIDS}, s AS (SELECT query_id, v.id, {COS} AS stage2 FROM centers q, vectors v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY stage2 DESC, id) <= 50),
-    f AS (SELECT query_id, id, stage2, (0.25 * stage2 + 0.10 * least(stage2, 1.0) + 0.10 * (id % 100) / 100 + 0.05 * 1.0 + 0.15 * 0.5 + 0.05 * 1.0 + 0.03 * 0.7 + 0.04 * 0.6 + 0.01 * 1.0 + 0.02 * 1.0) / 1.0 AS l2r FROM s)
-    SELECT query_id, id, round(0.4 * stage2 + 0.6 * l2r, 6) AS final FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id) <= 10""")
-def rrk_5_learned_rerank(spark, d):
-    g = Graph(spark, d)
-    rows = R.vector_search(g.vectors(), label_centers(g), 50).withColumnRenamed("score", "stage2")
-    features = {
-        "stage2_score": F.col("stage2"), "cosine_dense": F.least("stage2", F.lit(1.0)), "consistency_score": (F.col("id") % 100) / 100, "chunk_level_factor": S.level_factor(F.lit("paragraph")),
-        "entity_match_count_norm": F.lit(0.5), "path_confidence": F.lit(1.0), "recency_score": S.recency(F.current_date(), F.lit(None).cast("date")),
-        "retrieval_path_weight": S.surfaced_weight(F.lit("dense")), "format_match_score": F.lit(1.0), "source_quality_score": F.lit(1.0),
-    }
-    final = rows.select("query_id", "id", F.round(S.final_score(F.col("stage2"), S.rerank_score(features)), 6).alias("final"))
-    return G.top_per(final, ["query_id"], [F.desc("final"), F.asc("id")], 10).select("query_id", "id", "final")
-
-
 @query(f"""WITH {CENTROIDS}, s AS (SELECT query_id, v.id, {COS} AS c FROM centers q, vectors v), best AS (SELECT id, max(c) AS c FROM s GROUP BY 1)
     SELECT grp, round(avg(CASE WHEN c >= 0.60 THEN 1.0 WHEN c <= 0.40 THEN 0.0 ELSE (c - 0.40) / 0.20 END), 6) AS grounded FROM best JOIN vectors USING (id) GROUP BY 1""")
 def val_1_grounding(spark, d):
