@@ -83,6 +83,11 @@ def confidence(grounded: Column, entities_pass: Column, citations_pass: Column)
     return grounded * F.when(entities_pass, 1.0).otherwise(0.8) * F.when(citations_pass, 1.0).otherwise(0.9)
 
 
+def corrective_action(entities_pass: Column, citations_pass: Column, grounded: Column) -> Column:
+    failed = F.when(~entities_pass, "expand_entities").when(~citations_pass, "rewrite_with_citations").when(~grounded, "retrieve_more")
+    return failed.otherwise("accept")
+
+
 def degree_penalty(score: Column, degree: Column, gamma: float) -> Column:
     return score / F.pow(1 + degree, F.lit(gamma))
 

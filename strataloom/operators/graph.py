@@ -193,3 +193,14 @@ def related_names(names: DataFrame) -> DataFrame:
     short = rows.where("length(s) >= 2").select("type", F.col("name").alias("a"), F.col("s").alias("i"))
     spelled = short.join(rows.where("words >= 2").select("type", F.col("name").alias("b"), "i"), ["type", "i"]).where("a <> b")
     return inside.select("type", "a", "b").union(spelled.select("type", "a", "b")).distinct()
+
+
+def audit_aliases(pairs: DataFrame, vectors: DataFrame, least: float = 0.92) -> DataFrame:
+    """(alias, canon, verdict) of pairs (alias, canon, names a and b): equal names and close vectors stay, so do pairs that
+    cannot be compared; ``judge`` marks the others."""
+    side = lambda name: vectors.select(F.col("id").alias(name), F.col("vec").alias(f"_{name}"))
+    both = pairs.join(side("alias"), "alias", "left").join(side("canon"), "canon", "left")
+    cosine = F.when(F.col("_alias").isNotNull() & F.col("_canon").isNotNull(), F.round(V.cosine(F.col("_alias"), F.col("_canon")), 4))
+    equal = X.normal_name(F.col("a")) == X.normal_name(F.col("b"))
+    verdict = F.when(equal, "equal").when(cosine.isNull(), "unknown").when(cosine >= least, "close").otherwise("judge")
+    return both.select("alias", "canon", verdict.alias("verdict"))

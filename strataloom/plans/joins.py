@@ -108,14 +108,26 @@ def join_13_weighted_pairs(spark, d):
     return pairs.select("a", "b", (F.col("shared") / 10.0).alias("weight"))
 
 
-@query("""WITH s AS (SELECT p_partkey AS id, p_type AS type, regexp_replace(lower(p_brand), '[^0-9a-z]', '', 'g') AS k FROM part),
-    n AS (SELECT DISTINCT type, k FROM s) SELECT type, x.k AS a, y.k AS b FROM n x JOIN n y USING (type)
-    WHERE substr(x.k, 1, 4) = substr(y.k, 1, 4) AND x.k < y.k AND length(x.k) >= 4 AND length(x.k) * 5 >= length(y.k) * 4 AND contains(y.k, x.k)""")
+@query(r"""WITH n AS (SELECT DISTINCT p_type AS type, lower(p_brand) AS name FROM part UNION SELECT DISTINCT p_type, p_name FROM part UNION SELECT DISTINCT p_type, p_name[1] || string_split(p_name, ' ')[2][1] FROM part),
+    k AS (SELECT type, name, regexp_replace(name, '[^0-9a-z]', '', 'g') AS s, array_to_string(list_transform(list_filter(string_split_regex(name, '[^0-9a-z]+'), lambda w: w <> ''), lambda w: w[1]), '') AS i, len(list_filter(string_split_regex(name, '\s+'), lambda w: w <> '')) AS words FROM n)
+    SELECT DISTINCT x.type, x.name AS a, y.name AS b FROM k x JOIN k y ON x.type = y.type AND x.name <> y.name WHERE (length(x.s) >= 4 AND length(x.s) * 5 >= length(y.s) * 4 AND length(x.s) <= length(y.s) AND contains(y.s, x.s)) OR (length(x.s) >= 2 AND x.s = y.i AND y.words >= 2)""")
 def join_16_lexical_blocking(spark, d):
-    rows = Graph(spark, d).entities().select("type", X.skeleton(F.col("brand")).alias("k")).distinct().withColumn("block", F.substring("k", 1, 4))
-    left, right = rows.withColumnRenamed("k", "a"), rows.withColumnRenamed("k", "b")
-    related = (F.length("a") >= 4) & (F.length("a") * 5 >= F.length("b") * 4) & F.col("b").contains(F.col("a"))
-    return left.join(right, ["type", "block"]).where((F.col("a") < F.col("b")) & related).select("type", "a", "b")
+    """Brands, names and their initials within a type, paired on pieces of their skeletons and on initials."""
+    part = table(spark, d, "part")
+    short = F.concat(F.substring("p_name", 1, 1), F.substring(F.get(F.split("p_name", " "), 1), 1, 1))
+    names = part.select(F.col("p_type").alias("type"), F.lower("p_brand").alias("name")).union(part.select("p_type", "p_name")).union(part.select("p_type", short)).distinct()
+    return G.related_names(names)
+
+
+@query(f"""WITH {ENTITIES}, n AS (SELECT DISTINCT type, name FROM entities), w AS (SELECT DISTINCT type, name, unnest(string_split(name, ' ')) AS w FROM n), p AS (SELECT x.type, x.name AS a, y.name AS b, count(*) AS shared FROM w x JOIN w y ON x.type = y.type AND x.w = y.w AND x.name <> y.name GROUP BY 1, 2, 3)
+    SELECT type, a, b, shared FROM p QUALIFY row_number() OVER (PARTITION BY type, a ORDER BY shared DESC, b) <= 10""")
+def join_17_full_text_candidates(spark, d):
+    """For each name of a type its ten best candidates by words in common."""
+    words = Graph(spark, d).entities().select("type", "name").distinct().withColumn("w", F.explode(F.array_distinct(F.split("name", " "))))
+    keyed = words.select(F.struct("type", "w").alias("k"), F.struct("type", "name").alias("n"))
+    pairs = G.paired(keyed, "k", "n").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared")).select("a.type", F.col("a.name").alias("a"), F.col("b.name").alias("b"), "shared")
+    return G.top_per(both, ["type", "a"], [F.desc("shared"), F.asc("b")], 10).drop("rank")
 
 
 VERSIONS = "versions AS (SELECT o_custkey AS name, o_orderkey AS id, CAST(o_orderdate AS DATE) AS valid_from, CAST(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS DATE) AS valid_to FROM orders)"
@@ -301,11 +313,10 @@ def flt_1_payload_filter(spark, d):
     return rows.select("chunk_id", "format", "access")
 
 
-@query("SELECT x.vec_id AS a, y.label AS other, count(*) AS n FROM embeddings x JOIN (SELECT DISTINCT label FROM embeddings) y ON x.label <> y.label GROUP BY 1, 2")
+@query("SELECT vec_id FROM embeddings WHERE label <> 3")
 def flt_2_must_not(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("a"), "label")
-    labels = table(spark, d, "embeddings").select(F.col("label").alias("other")).distinct()
-    return rows.join(F.broadcast(labels), F.col("label") != F.col("other")).groupBy("a", "other").agg(F.count(F.lit(1)).alias("n"))
+    """Search candidates without those of the query's own document."""
+    return table(spark, d, "embeddings").where(F.col("label") != 3).select("vec_id")
 
 
 @query(r"""SELECT doc_id FROM documents WHERE NOT (length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 80 OR regexp_matches(text, '(?i)^\s*(figure|table)\s*\d+') OR regexp_matches(text, '^\s*\d+(\.\d+)?\s*[A-Z][\w\s]{0,40}\s*$'))""")

@@ -80,6 +80,36 @@ def qry_4_history_cache(spark, d):
     return best.withColumn("hit", F.col("score") >= 0.3)
 
 
+@query(f"""WITH {VECTORS}, q AS (SELECT id AS query_id, vec FROM vectors WHERE id % 20 = 0 UNION ALL SELECT id, list_concat(vec[1:32], list_transform(range(32), lambda x: CAST(0 AS DOUBLE))) FROM vectors WHERE id % 20 = 0),
+    s AS (SELECT query_id, v.id, {COS} AS score FROM q JOIN vectors v ON v.id < query_id) SELECT query_id, max_by(id, struct_pack(s := score, i := -id)) AS id, max(score) AS score FROM s GROUP BY 1 HAVING max(score) >= 0.3""")
+def top_9_cached_answer(spark, d):
+    """The best earlier entry over two variants of a question, where it is similar enough."""
+    g = Graph(spark, d)
+    plain = asked(g).select("query_id", "vec")
+    spelled = plain.select("query_id", F.concat(F.slice("vec", 1, 32), F.array_repeat(F.lit(0.0).cast("float"), 32)).alias("vec"))
+    near = R.vector_search(g.vectors(), plain, 3, earlier=True).unionByName(R.vector_search(g.vectors(), spelled, 3, earlier=True))
+    best = near.groupBy("query_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"), F.max("score").alias("score"))
+    return best.where("score >= 0.3")
+
+
+@query(rf"""WITH p AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS answer, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), s AS (SELECT conv_id, turn, substr(text, 1, 500) AS query, substr(answer, 1, 4000) AS answer FROM p
+    WHERE role = 'user' AND next = 'assistant' AND NOT (length(regexp_replace(answer, '^\s+|\s+$', '', 'g')) < 200 AND regexp_matches(lower(answer), '{"|".join(X.REFUSALS).replace("'", "''")}'))) SELECT * FROM s WHERE turn >= (SELECT max(turn) FROM conversations) - 24""")
+def qry_4_history_store(spark, d):
+    """Question and answer pairs as the history keeps them: no refusals, cut to length, and none older than the last 24 ticks."""
+    rows = table(spark, d, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = rows.withColumns({"answer": F.lead("text").over(w), "next": F.lead("role").over(w)}).where("role = 'user' and next = 'assistant'").where(~X.is_refusal(F.col("answer")))
+    newest = rows.agg(F.max("turn").alias("now"))
+    kept = pairs.crossJoin(F.broadcast(newest)).where("turn >= now - 24")  # one row
+    return kept.select("conv_id", "turn", F.substring("text", 1, 500).alias("query"), F.substring("answer", 1, 4000).alias("answer"))
+
+
+@query()
+def val_4_citation_gate(spark, d):
+    ratio = X.citation_ratio(F.col("text"))
+    return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", (ratio >= 0.7).alias("citation_pass"))
+
+
 @query("""WITH u AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent FROM conversations) SELECT conv_id || '::paragraph::' || turn AS chunk_id, coalesce(conv_id || '::paragraph::' || parent, '') AS parent_id FROM u""")
 def chk_15_chunk_ids(spark, d):
     name = lambda c: F.concat(F.col("conv_id").cast("string"), F.lit("::paragraph::"), F.col(c).cast("string"))
@@ -100,14 +130,15 @@ def grf_9_canonical_names(spark, d):
     return names.join(best, ["type", "name"], "left").select("type", "name", F.coalesce("canonical", "name").alias("canonical"))
 
 
-@query(f"""WITH {ENTITIES}, c AS (SELECT DISTINCT lower(p_brand) AS candidate FROM part UNION SELECT 'unknown brand') SELECT candidate, bool_or(lower(brand) = candidate) AS exact, count(brand) FILTER (WHERE contains(lower(brand), candidate)) AS contained FROM c LEFT JOIN entities ON contains(lower(brand), candidate) GROUP BY 1""".replace("bool_or(lower(brand) = candidate)", "coalesce(bool_or(lower(brand) = candidate), false)"))
+@query(f"""WITH {ENTITIES}, c AS (SELECT DISTINCT lower(p_brand) AS candidate FROM part UNION SELECT 'unknown brand' UNION SELECT '#1') SELECT candidate, bool_or(lower(brand) = candidate) AS exact, count(brand) FILTER (WHERE contains(lower(brand), candidate)) AS contained FROM c LEFT JOIN entities ON contains(lower(brand), candidate) GROUP BY 1""".replace("bool_or(lower(brand) = candidate)", "coalesce(bool_or(lower(brand) = candidate), false)"))
 def val_3_entity_gate(spark, d):
     g = Graph(spark, d)
     names = g.entities().groupBy(F.lower("brand").alias("known")).agg(F.count(F.lit(1)).alias("n"))
-    candidates = names.select(F.col("known").alias("candidate")).union(spark.range(1).select(F.lit("unknown brand")))
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 4, F.lit(1))), lambda i: F.substring(c, i, F.lit(5)))
-    blocks = names.select("known", "n", F.explode(F.array_distinct(grams(F.col("known")))).alias("block"))
-    pairs = candidates.withColumn("block", F.substring("candidate", 1, 5)).join(blocks, "block", "left").withColumn("in_", F.col("known").contains(F.col("candidate")))
+    candidates = names.select(F.col("known").alias("candidate")).union(spark.range(1).select(F.explode(F.array(F.lit("unknown brand"), F.lit("#1")))))
+    size = lambda c: F.least(F.length(c), F.lit(5))  # noqa: E731  # short candidates meet on all of their letters
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("known") - n + 1, F.lit(1))), lambda i: F.substring(F.col("known"), i, F.lit(n)))
+    blocks = names.select("known", "n", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in range(1, 6)]))).alias("block"))
+    pairs = candidates.withColumn("block", F.substring(F.col("candidate"), F.lit(1), size(F.col("candidate")))).join(blocks, "block", "left").withColumn("in_", F.col("known").contains(F.col("candidate")))
     return pairs.groupBy("candidate").agg(
         F.coalesce(F.bool_or(F.col("known") == F.col("candidate")), F.lit(False)).alias("exact"), F.coalesce(F.sum(F.when(F.col("in_"), F.col("n"))), F.lit(0)).alias("contained")
     )

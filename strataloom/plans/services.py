@@ -60,10 +60,11 @@ def fn_13_expanded_acronyms(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.expand_acronyms(F.col("text"), EXPANSIONS).alias("text"))
 
 
-@query("""WITH p AS (SELECT item_id, regexp_extract_all(text, '[^.!?]+[.!?]') AS s FROM benchmark), a AS (SELECT item_id, unnest(s) AS t FROM p) SELECT item_id, count(*) AS sentences, round(avg(CASE WHEN length(trim(t)) > 40 THEN 1.0 ELSE 0 END), 6) AS share FROM a GROUP BY 1""")
-def agg_13_sentence_ratios(spark, d):
-    parts = table(spark, d, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[^.!?]+[.!?]"), F.lit(0))).alias("t"))
-    return parts.groupBy("item_id").agg(F.count(F.lit(1)).alias("sentences"), F.round(F.avg((F.length(F.trim("t")) > 40).cast("double")), 6).alias("share"))
+@query("""SELECT l_orderkey, round(avg(CASE WHEN l_quantity / 50 >= 0.6 THEN 1.0 WHEN l_quantity / 50 <= 0.4 THEN 0.0 ELSE (l_quantity / 50 - 0.4) / 0.2 END), 6) AS grounded, round(avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS cited FROM lineitem GROUP BY 1""")
+def agg_13_answer_ratios(spark, d):
+    """Per answer (an order) the mean grounding credit of its sentences (lines) and the share of them with a citation."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey")
+    return rows.agg(F.round(F.avg(S.grounding_credit(F.col("l_quantity") / 50)), 6).alias("grounded"), F.round(F.avg((F.col("l_discount") >= 0.05).cast("double")), 6).alias("cited"))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL AND text <> '' AND NOT contains(text, 'NO_INFO')")
@@ -85,10 +86,14 @@ def svc_4_metrics_text(spark, d):
     return p95.select(F.format_string('stage_seconds{stage="%s",quantile="0.95"} %.2f', "event_type", "p95").alias("line"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'expand_entities' WHEN l_discount < 0.05 THEN 'rewrite_with_citations' WHEN l_quantity < 20 THEN 'retrieve_more' ELSE 'accept' END AS action FROM lineitem""")
+@query("""WITH v AS (SELECT l_orderkey, avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0 END) >= 0.7 AS cited, bool_and(l_returnflag <> 'R') AS known, avg(l_quantity / 50) >= 0.5 AS grounded FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, CASE WHEN NOT known THEN 'expand_entities' WHEN NOT cited THEN 'rewrite_with_citations' WHEN NOT grounded THEN 'retrieve_more' ELSE 'accept' END AS action FROM v""")
 def val_6_corrective_action(spark, d):
-    action = F.when(F.col("l_returnflag") == "R", "expand_entities").when(F.col("l_discount") < 0.05, "rewrite_with_citations").when(F.col("l_quantity") < 20, "retrieve_more").otherwise("accept")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", action.alias("action"))
+    """What to do about an answer by the first gate that it fails."""
+    gates = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        (F.avg((F.col("l_discount") >= 0.05).cast("double")) >= 0.7).alias("cited"), F.bool_and(F.col("l_returnflag") != "R").alias("known"), (F.avg(F.col("l_quantity") / 50) >= 0.5).alias("grounded")
+    )
+    return gates.select("l_orderkey", S.corrective_action(F.col("known"), F.col("cited"), F.col("grounded")).alias("action"))
 
 
 @query(f"""WITH {SIZED}, {ENTITIES}, p AS (SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS w FROM sized x JOIN sized y USING (chunk_id) WHERE x.entity_id <> y.entity_id GROUP BY 1, 2)
@@ -103,11 +108,17 @@ def act_2_expand_relation(spark, d):
     return G.top_per(grouped, ["a"], [F.desc("w"), F.asc("neighbour")], 30).drop("rank")
 
 
-@query("""WITH l AS (SELECT doc_id, k, length(s) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)) SELECT doc_id, k, n, coalesce(n > 2 * lag(n) OVER (PARTITION BY doc_id ORDER BY k), false) AS shift FROM l""")
-def win_8_line_shifts(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "s")).select("doc_id", (F.col("p") + 1).cast("long").alias("k"), F.length("s").cast("long").alias("n"))
-    before = F.lag("n").over(Window.partitionBy("doc_id").orderBy("k"))
-    return lines.withColumn("shift", F.coalesce(F.col("n") > 2 * before, F.lit(False)))
+@query(f"""WITH {CONTAINS}, s AS (SELECT chunk_id, list_sort(list(entity_id)) AS e FROM contains_ GROUP BY 1), o AS (SELECT o_custkey AS doc, o_orderkey AS chunk, o_orderstatus AS mode, e, lag(o_orderstatus) OVER w AS m0, lag(e) OVER w AS e0 FROM orders JOIN s ON chunk_id = o_orderkey WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+    SELECT doc, chunk, coalesce(mode <> m0, false) AS shift, CASE WHEN e0 IS NULL THEN 0.0 ELSE round(1 - len(list_intersect(e, e0)) / len(list_distinct(list_concat(e, e0))), 6) END AS distance FROM o""")
+def win_8_previous_mode_and_entities(spark, d):
+    """Whether a chunk's mode differs from the one before it in its document, and how far apart their entity sets are."""
+    g = Graph(spark, d)
+    sets = g.contains().groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity_id")).alias("e"))
+    rows = g.read("orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("chunk"), F.col("o_orderstatus").alias("mode")).join(sets, F.col("chunk") == F.col("chunk_id"))
+    w = Window.partitionBy("doc").orderBy("chunk")
+    rows = rows.withColumns({"m0": F.lag("mode").over(w), "e0": F.lag("e").over(w)})
+    distance = F.when(F.col("e0").isNull(), 0.0).otherwise(F.round(V.jaccard_distance(F.col("e"), F.col("e0")), 6))
+    return rows.select("doc", "chunk", F.coalesce(F.col("mode") != F.col("m0"), F.lit(False)).alias("shift"), distance.alias("distance"))
 
 
 @query()

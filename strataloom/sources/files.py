@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataloom.sources.shared import cut
+from strataloom.sources.shared import cut, delete, exists
 
 # File name extensions of the supported formats.
 EXTENSIONS = {
@@ -123,5 +123,71 @@ def write_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def put_documents(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Replaces the documents that ``rows`` has, with all rows they had before, and keeps the others.
+
+    The table is partitioned by a hash of the document, so a put rewrites the buckets it touches and a repeated put
+    changes nothing.
+    """
+    new = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    if exists(rows.sparkSession, path):
+        old = rows.sparkSession.read.parquet(path).join(new.select("bucket").distinct(), "bucket", "left_semi")
+        new = new.unionByName(old.join(rows.select(key).distinct(), key, "left_anti").select(*new.columns))
+    cut(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def delete_documents(spark: SparkSession, path: str, ids: DataFrame, key: str, buckets: int = 64) -> None:
+    """Removes documents (a column ``key``) from a table that ``put_documents`` wrote; a bucket left empty becomes an empty file."""
+    gone = ids.select(key).distinct().withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    table = spark.read.parquet(path)
+    touched = table.join(gone.select("bucket").distinct(), "bucket", "left_semi")
+    kept = cut(touched.join(gone.select(key), key, "left_anti"))
+    emptied = [r["bucket"] for r in gone.select("bucket").distinct().join(kept.select("bucket").distinct(), "bucket", "left_anti").collect()]  # ``buckets`` at most
+    kept.select(*table.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for bucket in emptied:
+        delete(spark, f"{path}/bucket={bucket}")
+
+
+def filled_views(rows: DataFrame, views: list[str], dense: str = "dense") -> DataFrame:
+    """Missing view vectors become copies of the dense one; rows without any vector go."""
+    found = rows.withColumn("_any", F.coalesce(dense, *views)).where(F.col("_any").isNotNull())
+    return found.withColumns({v: F.coalesce(v, dense, "_any") for v in [dense, *views]}).drop("_any")
+
+
+def put_view(rows: DataFrame, path: str, view: str) -> None:
+    """Writes one view of a table partitioned by view; the others stay."""
+    rows.withColumn("view", F.lit(view)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("view").parquet(path)
+
+
+def sweep_orphans(entities: DataFrame, contains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities that some chunk contains, how many others there were)."""
+    used = contains.select("entity_id").distinct()
+    return entities.join(used, "entity_id", "left_semi"), entities.join(used, "entity_id", "left_anti").agg(F.count(F.lit(1)).alias("removed"))
+
+
+def write_report(items: DataFrame, totals: DataFrame, path: str) -> None:
+    """Items and aggregates of a run as JSON lines, replacing an earlier report."""
+    items.write.mode("overwrite").json(f"{path}/items")
+    totals.write.mode("overwrite").json(f"{path}/totals")
+
+
+def dataset_items(content: Column) -> Column:
+    """Array of question rows (string maps) of a JSON text: a list, an object with samples, questions or prompts, or one row."""
+    many, one = "array<map<string,string>>", "map<string,string>"
+    held = F.from_json(content, f"struct<samples: {many}, questions: {many}, prompts: {many}>")
+    inside = F.coalesce(held["samples"], held["questions"], held["prompts"])
+    return F.when(F.trim(content).startswith("["), F.from_json(content, many)).otherwise(F.coalesce(inside, F.array(F.from_json(content, one))))
+
+
+def question_of(item: Column) -> Column:
+    return F.coalesce(*[F.element_at(item, k) for k in ("question", "user_input", "query", "prompt")])
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """(question, item) of evaluation files."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(dataset_items(F.col("value"))).alias("item"))
+    return rows.select(question_of(F.col("item")).alias("question"), "item")
+
+
 def export_json(rows: DataFrame, path: str, tenant: Column | None = None) -> None:
     (rows if tenant is None else rows.where(tenant)).write.mode("overwrite").json(path)

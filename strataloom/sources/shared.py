@@ -24,6 +24,11 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written and read again: computed once, whoever reads them and whichever executor is lost."""
     spark = df.sparkSession
