@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text as X
 from strataloom.functions import vector as V
-from strataloom.sources.shared import cut
+from strataloom.sources.shared import cut, drop
 
 
 def mentions_of(entities: DataFrame, contains: DataFrame) -> DataFrame:
@@ -52,6 +52,8 @@ def npmi_edges(contains: DataFrame, least: int = 2, most: int = 25, shared: int
     return scored.where(F.col("npmi") > floor).select("a", "b", "npmi")
 
 
+CUT_EVERY = 5
+"""Rounds of an iteration between two written tables."""
 DEAL = 1000
 """Members of a group that one task pairs with as many others."""
 
@@ -123,29 +125,41 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, iteratio
     spark = edges.sparkSession
     edges = cut(edges.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
     out = edges.groupBy("a").agg(F.sum("weight").alias("total"))
-    steps = cut(edges.join(out, "a").select("a", "b", (damping * F.col("weight") / F.col("total")).alias("share"))).repartition("a").persist()
+    written = cut(edges.join(out, "a").select("a", "b", (damping * F.col("weight") / F.col("total")).alias("share")))
+    steps = written.repartition("a").persist()
     nodes = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
-    start = cut(nodes.join(seeds.select("node").distinct(), "node", "left_semi"))
+    start = nodes.join(seeds.select("node").distinct(), "node", "left_semi")
     count, seeded = nodes.count(), start.count()
-    ranks = cut(nodes.join(start.withColumn("p", F.lit(1.0 / max(1, seeded))), "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("score")))
     base = cut(start.withColumn("p", F.lit(1.0 / max(1, seeded))))
+    zero = F.lit(0.0)
+    ranks = table = cut(nodes.join(base, "node", "left").select("node", F.coalesce("p", zero).alias("score")))
     dangling = cut(nodes.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
     leaks = not dangling.isEmpty()
-    settled = iterations is not None
-    for _ in range((iterations or most) if seeded else 0):
-        lost = ranks.join(dangling, "node", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first()["s"] if leaks else 0.0
-        zero = F.lit(0.0)
+    settled, held = iterations is not None, None
+    for k in range((iterations or most) if seeded else 0):
+        lost = ranks.join(dangling, "node", "left_semi").agg(F.coalesce(F.sum("score"), zero).alias("s")).first()["s"] if leaks else 0.0
         parts = ranks.join(steps, ranks["node"] == steps["a"]).select(F.col("b").alias("node"), (F.col("score") * F.col("share")).alias("x"), zero.alias("was"))
         parts = parts.unionByName(base.select("node", ((1 - damping + damping * lost) * F.col("p")).alias("x"), zero.alias("was")))
         parts = parts.unionByName(ranks.select("node", zero.alias("x"), F.col("score").alias("was")))
-        ranks = cut(parts.groupBy("node").agg(F.sum("x").alias("score"), F.sum("was").alias("was")))
-        moved = None if iterations else ranks.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0]
-        ranks = ranks.select("node", "score")
-        if moved is not None and moved < count * tolerance:
+        new = parts.groupBy("node").agg(F.sum("x").alias("score"), F.sum("was").alias("was")).persist()
+        moved = new.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0]
+        ranks = new.select("node", "score")
+        if k % CUT_EVERY == CUT_EVERY - 1:  # a lost executor costs the rounds since the last written one
+            table, gone = cut(ranks), table
+            ranks = table
+            drop(gone)
+        if held is not None:
+            held.unpersist()
+        held = new
+        if iterations is None and moved < count * tolerance:
             settled = True
             break
-    steps.unpersist()
-    return ranks if settled else spark.createDataFrame([], ranks.schema)
+    result = cut(ranks if settled else ranks.limit(0))
+    for kept in (steps, held):
+        if kept is not None:
+            kept.unpersist()
+    drop(edges, written, nodes, base, dangling, table)
+    return result
 
 
 def label_rounds(edges: DataFrame, most: int = 10) -> DataFrame:
@@ -163,7 +177,8 @@ def label_rounds(edges: DataFrame, most: int = 10) -> DataFrame:
         new = cut(best.withColumnRenamed("a", "node"))
         changed = new.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was")
         done = changed.isEmpty()
-        labels = new
+        labels, gone = new, labels
+        drop(gone)
         if done:
             break
     links.unpersist()

@@ -79,8 +79,8 @@ def grf_11_two_hops(spark, d):
     edges = cut(G.both_ways(G.co_occurrence(g.contains()).select("a", "b")))
     reached = g.entities().where("name = 'small ring'").select(F.col("entity_id").alias("node"))
     for _ in range(2):
-        reached = reached.union(edges.join(reached, F.col("a") == F.col("node"), "left_semi").select("b")).distinct()
-        reached = cut(reached)
+        near = edges.join(reached, F.col("a") == F.col("node"), "left_semi").select("b")
+        reached = cut(reached.union(near).distinct())
     return reached
 
 

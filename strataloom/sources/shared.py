@@ -34,4 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote and that nothing reads any more."""
+    for table in tables:
+        delete(table.sparkSession, table.cut_path)
