@@ -120,14 +120,23 @@ def chk_15_chunk_ids(spark, d):
 
 @query()
 def grf_9_canonical_names(spark, d):
-    """Each part name of a type with its canonical name: the most mentioned one among names alike enough."""
+    """Each part name of a type with its canonical name and the tier that found it: an equal name but for space and case, the most
+    mentioned one of ten candidates by common words that is alike enough, or itself."""
     g = Graph(spark, d)
     names = G.degrees(g.entities(), g.contains()).groupBy("type", "name").agg(F.sum("degree").alias("degree"))
-    words = names.select("type", "name", "degree", F.explode(F.split("name", " ")).alias("word"))
-    pairs = words.toDF("type", "a", "da", "word").join(words.toDF("type", "b", "db", "word"), ["type", "word"]).where("a <> b and db > da").select("type", "a", "b", "db").distinct()
-    alike = pairs.withColumn("ratio", sequence_ratio("a", "b")).where("ratio >= 0.85")
-    best = alike.groupBy("type", F.col("a").alias("name")).agg(F.max_by("b", F.struct("db", "b")).alias("canonical"))
-    return names.join(best, ["type", "name"], "left").select("type", "name", F.coalesce("canonical", "name").alias("canonical"))
+    keyed = names.withColumn("key", X.normal_name(F.col("name")))
+    first = keyed.groupBy("type", "key").agg(F.max_by("name", F.struct("degree", "name")).alias("equal"))
+    keyed = keyed.join(first, ["type", "key"])
+    words = names.select("type", "name", "degree", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
+    pairs = words.toDF("type", "a", "da", "word").join(words.toDF("type", "b", "db", "word"), ["type", "word"]).where("a <> b and db > da")
+    shared = pairs.groupBy("type", "a", "b", "db").agg(F.count(F.lit(1)).alias("shared"))
+    few = G.top_per(shared, ["type", "a"], [F.desc("shared"), F.desc("db"), F.asc("b")], 10)  # candidates of a name
+    alike = few.withColumn("ratio", sequence_ratio("a", "b")).where("ratio >= 0.85")
+    best = alike.groupBy("type", F.col("a").alias("name")).agg(F.max_by("b", F.struct("db", "b")).alias("close"))
+    rows = keyed.join(best, ["type", "name"], "left")
+    equal = F.when(F.col("equal") != F.col("name"), F.col("equal"))
+    tier = F.when(equal.isNotNull(), "equal").when(F.col("close").isNotNull(), "alike").otherwise("new")
+    return rows.select("type", "name", F.coalesce(equal, "close", "name").alias("canonical"), tier.alias("tier"))
 
 
 @query(f"""WITH {ENTITIES}, c AS (SELECT DISTINCT lower(p_brand) AS candidate FROM part UNION SELECT 'unknown brand' UNION SELECT '#1') SELECT candidate, bool_or(lower(brand) = candidate) AS exact, count(brand) FILTER (WHERE contains(lower(brand), candidate)) AS contained FROM c LEFT JOIN entities ON contains(lower(brand), candidate) GROUP BY 1""".replace("bool_or(lower(brand) = candidate)", "coalesce(bool_or(lower(brand) = candidate), false)"))

@@ -325,7 +325,14 @@ def chk_13_thread_summaries(spark, d):
     return C.thread_summaries(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(source), 'chat') OR contains(lower(source), 'log') THEN 'chat_log' ELSE 'generic' END AS kind, 800 AS size FROM documents")
+_VOTES = ", ".join("(" + " + ".join(f"CAST(regexp_matches(substr(text, 1, 3000), {quoted(p)}) AS INTEGER)" for p in patterns) + ")" for _, patterns in X.TYPE_SIGNATURES)
+_BY_NAME = " ".join(f"WHEN {has_sql('lower(source)', words)} THEN '{kind}'" for kind, words in X.TYPE_NAMES)
+_KINDS_SQL = ", ".join(quoted(kind) for kind, _ in X.TYPE_SIGNATURES)
+_SIZES_SQL = " ".join(f"WHEN '{kind}' THEN {size}" for kind, (size, _) in X.TYPE_SIZES.items())
+
+
+@query(rf"""WITH v AS (SELECT doc_id, source, [{_VOTES}] AS v FROM documents), k AS (SELECT doc_id, CASE {_BY_NAME} WHEN regexp_matches(lower(source), '\.(py|js|ts|java|cpp|go|rs)$') THEN 'code' WHEN list_max(v) >= 2 THEN [{_KINDS_SQL}][list_position(v, list_max(v))] ELSE 'generic' END AS kind FROM v)
+    SELECT doc_id, kind, CASE kind {_SIZES_SQL} END AS size FROM k""")
 def chk_14_document_types(spark, d):
     kind = X.doc_type(F.col("text"), F.col("source"))
     size = S.from_table(kind, {k: v[0] for k, v in X.TYPE_SIZES.items()}, 800).cast("int")
