@@ -356,7 +356,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A character of which a byte was cut goes whole. A null text stays null.
     """
-    spans = repeated_spans(docs, id_col, text_col).where("n_removed > 0").groupBy("text_sha256").agg(F.first("spans").alias("_cut"))
+    found = repeated_spans(docs, id_col, text_col)
+    spans = found.where("n_removed > 0").groupBy(F.col("text_sha256").alias("_key")).agg(F.first("spans").alias("_cut"), F.count(F.lit(1)).alias("_m"))
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -367,7 +368,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    marked = docs.withColumn("_key", F.sha2(F.col(text_col).cast("string"), 256)).join(spans.withColumnRenamed("text_sha256", "_key"), "_key", "left")
-    cut = marked.where(F.col("_cut").isNotNull()).withColumn(text_col, rest(F.col(text_col), F.col("_cut")))
-    same = marked.where(F.col("_cut").isNull())
-    return cut.unionByName(same).select(*docs.columns)
+    text = F.col(f"_doc.`{text_col}`").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")).withColumn("_key", F.sha2(text, 256))
+    both = parted(rows, "_key", spans.select("_key"))  # texts that lose nothing stay where they are
+    marked = join_groups(both.where("_maybe").select("_doc", "_key"), spans, ["_key"], "_m", max(1, found.count()))
+    whole = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]
+    less = [(rest(text, F.col("_cut")) if c == text_col else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns]
+    same = both.where("not _maybe").select(*whole).unionByName(marked.where(F.col("_cut").isNull()).select(*whole))
+    return marked.where(F.col("_cut").isNotNull()).select(*less).unionByName(same)

@@ -191,6 +191,9 @@ def test_repeats(spark, sample, docs, empty):
     kept = suffix_dedup.remove_repeats(docs)
     assert kept.columns == docs.columns and kept.count() == len(AWKWARD)
     cut = {r.doc_id: r.text for r in kept.collect()}
+    clash = docs.withColumn("_key", F.lit("k")).withColumn("_cut", F.lit("c"))
+    equal([tuple(r) for r in suffix_dedup.remove_repeats(clash).drop("_key", "_cut").collect()], [tuple(r) for r in kept.collect()])
+    assert {(r._key, r._cut) for r in suffix_dedup.remove_repeats(clash).collect()} == {("k", "c")}
     assert cut[10] == "" and cut[8] == "x" and cut[2] is None and cut[7].startswith(prose(2, 30_000)[:4000])
 
 
