@@ -96,6 +96,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return first.where(F.col("_hot")).select(*columns).unionByName(rest.select(*columns))
 
 
+def join_present(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Like ``join_groups``, without the rows that have no group; the other groups are merged at every size."""
+    hot = groups.where(F.col(size) * HOT_SHARE > F.lit(total))
+    cold = groups.where(F.col(size) * HOT_SHARE <= F.lit(total))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys)
+    columns = [*rows.columns, *[c for c in groups.columns if c not in keys]]
+    return rows.join(F.broadcast(hot), keys).select(*columns).unionByName(rest.select(*columns))
+
+
 SIEVE_WORDS = 1 << 20
 """Bound of a broadcast sieve: 2^20 words of 64 bits. A fuller sieve only lets more rows through."""
 

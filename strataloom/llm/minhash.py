@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import Scratch, components, join_groups, numbered, sieve, without
+from strataloom.llm.common import Scratch, components, join_groups, join_present, numbered, sieve, without
 
 SHINGLE = 5
 LINK_PERCENT = 85
@@ -322,14 +322,14 @@ def grouped_rows(texts: DataFrame, scratch: Scratch, link_percent: int = LINK_PE
     classes = rows.where("_n > 0 and _id is not null").groupBy("_s1", "_s2", "_n")
     first = F.min(F.struct("_id", "_row")).alias("_first")
     classes = scratch.write(classes.agg(F.min("_row").alias("rep"), first, F.count(F.lit(1)).alias("size"), F.min_by("_bands", "_row").alias("_bands")))
-    bands = classes.select("rep", F.explode("_bands").alias("key"))
+    bands = classes.select("rep", F.col("_n").alias("n"), F.explode("_bands").alias("key"))
     alike = lambda a, b: 100 * F.least(a, b) >= link_percent * F.greatest(a, b)  # noqa: E731  # sizes alone
 
-    def shared(members: DataFrame) -> DataFrame:
-        """Members (key, rep, n) of buckets with two members at least, and the first of each bucket."""
-        members = scratch.write(members.select("key", "rep", "n"))
+    def shared(members: DataFrame, count: int) -> DataFrame:
+        """Members (key, rep, n) of buckets with two members at least, and the first of each bucket; ``count`` is about how many there are."""
+        members = members.select("key", "rep", "n")
         several = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("rep", "n"), "rep").alias("c")).where("m > 1")
-        return scratch.write(join_groups(members, scratch.write(several), ["key"], "m", max(1, members.count())).where("m > 1").drop("m"))
+        return scratch.write(join_present(members, scratch.write(several), ["key"], "m", max(1, count)).drop("m"))
 
     def unlinked(members: DataFrame) -> DataFrame:
         """Members of buckets that hold several components, with top (the largest), all and most (members of the bucket and of top)."""
@@ -338,9 +338,9 @@ def grouped_rows(texts: DataFrame, scratch: Scratch, link_percent: int = LINK_PE
         placed = scratch.write(placed)
         parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
         tops = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.max("m").alias("most")).where("most < all")
-        return scratch.write(join_groups(placed, scratch.write(tops), ["key"], "all", max(1, placed.count())).where("all > 0"))
+        return scratch.write(join_present(placed, scratch.write(tops), ["key"], "all", max(1, placed.count())))
 
-    members = shared(bands.join(classes.select("rep", F.col("_n").alias("n")), "rep"))
+    members = shared(bands, classes.count() * layout(link_percent)[0])
     edges = members.where((F.col("rep") != F.col("c.rep")) & alike("n", "c.n")).select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
     links = scratch.write(confirm(scratch.write(edges), texts, link_percent))
     live = unlinked(members)
@@ -350,7 +350,8 @@ def grouped_rows(texts: DataFrame, scratch: Scratch, link_percent: int = LINK_PE
     if not rest.isEmpty():
         rest = scratch.write(rest.select("rep", "n").distinct())
         rare = rarest(rest.select(F.col("rep").alias("_row")).distinct(), texts, link_percent)
-        live = unlinked(shared(rare.join(rest, "rep").withColumnRenamed("part", "key")))
+        rare = scratch.write(rare.join(rest, "rep").withColumnRenamed("part", "key"))
+        live = unlinked(shared(rare, rare.count()))
         few = live.where(F.col("all") <= SMALL_GROUP).select("key", "rep", "n", "comp")
         other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
         edges = few.join(other, "key").where((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & alike("n", "n_b")).select(F.col("rep").alias("a"), "b").distinct()
