@@ -197,7 +197,7 @@ def confirm(edges: DataFrame, texts: DataFrame, link_percent: int = LINK_PERCENT
 
     def run(batches):
         shingler, last, kept = Shingler(), None, None
-        for batch in batches:
+        for batch in (part.slice(a, 256) for part in batches for a in range(0, part.num_rows, 256)):
             columns = [batch.column(k).to_pylist() for k in range(4)]
             hits = []
             for k, (a, text_a, text_b) in enumerate(zip(columns[0], columns[2], columns[3])):
@@ -284,7 +284,7 @@ def rarest(reps: DataFrame, texts: DataFrame, link_percent: int = LINK_PERCENT)
 
     def every(batches):
         shingler = Shingler()
-        for batch in batches:
+        for batch in (part.slice(a, 256) for part in batches for a in range(0, part.num_rows, 256)):
             column = batch.column(0).to_pylist()
             for a, b in _batches(column):
                 yield pa.RecordBatch.from_arrays([pa.array(shingler.sets(column[a:b])[0].view(np.int64))], ["part"])
@@ -297,7 +297,7 @@ def rarest(reps: DataFrame, texts: DataFrame, link_percent: int = LINK_PERCENT)
 
     def run(batches):
         shingler = Shingler()
-        for batch in batches:
+        for batch in (part.slice(a, 256) for part in batches for a in range(0, part.num_rows, 256)):
             column = batch.column(1).to_pylist()
             for a, b in _batches(column):
                 hashes, ends = shingler.sets(column[a:b])

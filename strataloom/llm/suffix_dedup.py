@@ -33,7 +33,7 @@ PERIOD = 133
 # A perfect difference set; every distance modulo PERIOD is a difference of two of its members.
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 SAMPLE_LENGTH = LENGTH - PERIOD + 1
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_500_000
 OWNER_VALUES = 2_000_000
 SAMPLE_EXTRA_BITS = 12
 """A sample fingerprint has log2(samples) and so many bits more; a false repeat only adds suffixes to sort."""
@@ -177,7 +177,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_pylist([dict(_block=block, _sha=None, _copied=None, _value=None, _owner=o, _sender=s, _blob=b) for o, s, b in sent], schema)
 
         schema = pa.schema([("_block", pa.int64()), ("_sha", pa.binary()), ("_copied", pa.bool_()), ("_value", pa.binary()), ("_owner", pa.int64()), ("_sender", pa.int64()), ("_blob", pa.binary())])
-        for batch in batches:
+        for batch in (part.slice(a, 256) for part in batches for a in range(0, part.num_rows, 256)):
             for sha, many, value in zip(*[c.to_pylist() for c in batch.columns]):
                 value = value.encode("utf-8", "replace")
                 if held and size + len(value) > BLOCK_BYTES:
