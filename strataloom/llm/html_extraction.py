@@ -12,6 +12,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Callable
+from itertools import accumulate
 from statistics import pstdev
 
 import pyarrow as pa
@@ -78,32 +82,74 @@ def named_kind(words: list[str]) -> int:
 
 
 class Block:
-    __slots__ = ("elements", "links", "path", "tag", "text")
+    """A run of text: the tag and number of its innermost element, its path's number, and how much of it is links."""
 
-    def __init__(self, tag: str, path: str, elements: tuple[int, ...], text: str, links: int):
-        self.tag, self.path, self.elements, self.text, self.links = tag, path, elements, text, links
+    __slots__ = ("element", "links", "path", "tag", "text")
 
+    def __init__(self, tag: str, path: int, element: int, text: str, links: int):
+        self.tag, self.path, self.element, self.text, self.links = tag, path, element, text, links
 
-def blocks_of(page: str) -> tuple[list[Block], list[int]]:
-    """Text blocks outside boilerplate, in page order, and the elements that mark an article, outer ones first."""
+
+class Tree:
+    """A page's elements, numbered from 1 as they open (0 is the page), with what lies inside them as a range of numbers."""
+
+    def __init__(self):
+        self.parent, self.last, self.tag = [0], [0], [""]
+
+    def open(self, parent: int, tag: str) -> int:
+        self.parent.append(parent)
+        self.last.append(len(self.last))
+        self.tag.append(tag)
+        return len(self.last) - 1
+
+    def holds(self, outer: int, element: int) -> bool:
+        return outer <= element <= self.last[outer]
+
+    def within(self, outer) -> Callable[[int], bool]:
+        """Whether an element lies in any of these."""
+        tops: list[int] = []
+        for n in sorted(outer):
+            if not tops or n > self.last[tops[-1]]:
+                tops.append(n)
+        return lambda element: (k := bisect_right(tops, element)) > 0 and element <= self.last[tops[k - 1]]
+
+    def around(self, elements: list[int]) -> int:
+        """The innermost element that holds all of these."""
+        low, high = min(elements), max(elements)
+        n = low
+        while self.last[n] < high:
+            n = self.parent[n]
+        return n
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[int], Tree]:
+    """Text blocks outside boilerplate, in page order, the elements that mark an article, outer ones first, and all elements.
+
+    Paths are numbered by their parent path and last step, and elements by a tree, so work and memory follow the page's
+    length at any depth.
+    """
     blocks: list[Block] = []
     marked: list[int] = []
     named: dict[int, int] = {}
-    stack: list[tuple[str, int, bool, str]] = [("", 0, False, "")]  # tag, element number, boilerplate above or here, path
+    tree, paths, held = Tree(), {}, Counter()  # held: open elements by tag
+    stack: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]  # tag, element, boilerplate above or here, path, a mark above or here
     parts: list[str] = []
-    links = in_link = number = at = 0
+    links = in_link = at = 0
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text and not stack[-1][2]:
-                blocks.append(Block(stack[-1][0], stack[-1][3], tuple(s[1] for s in stack[1:]), text, links))
+                blocks.append(Block(stack[-1][0], stack[-1][3], stack[-1][1], text, links))
             parts.clear()
         links = 0
 
     def close(k: int) -> None:
         flush()
+        for tag, element, *_ in stack[k:]:
+            tree.last[element] = len(tree.last) - 1
+            held[tag] -= 1
         del stack[k:]
 
     while at < len(page):
@@ -122,7 +168,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
             if tag == "a":
                 in_link = 0
             elif tag not in INLINE and tag not in VOID:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0) if held[tag] else 0
                 close(k) if k else flush()
             continue
         attributes = found[3]
@@ -139,20 +185,20 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
                 flush()
         else:
             flush()
-            if tag in CLOSES:
+            if tag in CLOSES and any(held[t] for t in CLOSES[tag]):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in CLOSES[tag]:
                         close(k)
                         break
                     if stack[k][0] in SCOPES.get(tag, ()):
                         break
-            elif stack[-1][0] == "p":
+            elif tag not in CLOSES and stack[-1][0] == "p":
                 close(len(stack) - 1)
-            number += 1
+            number = tree.open(stack[-1][1], tag)
             own = attributes_of(attributes) if attributes.strip() else {}
             words = HUMP.sub("-", " ".join(own[k] for k in ("class", "id", "role") if k in own)).replace("_", "-").lower().split()
             junk = stack[-1][2] or tag in BOILERPLATE or own.get("hidden", "false").lower() != "false" or own.get("aria-hidden", "").lower() == "true" or bool(HIDING.search(own.get("style", "")))
-            inside = any(s[0] in MARKED for s in stack)
+            inside = stack[-1][4]
             kind = named_kind(words) if words and tag not in ("html", "body") else PLAIN
             if not inside and tag not in MARKED and (tag == "header" or any(PAGE_HEADER.fullmatch(w) for w in words)):
                 kind = max(kind, FURNISHED)
@@ -160,31 +206,35 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
                 named[number] = kind
             if tag in MARKED or (not inside and "articlebody" in own.get("itemprop", "").lower().split()):
                 marked.append(number)
-            stack.append((tag, number, junk, f"{stack[-1][3]}/{tag}" + (f".{' '.join(words)}" if words else "")))
-    flush()
-    return without_furniture(blocks, named), marked
+            path = paths.setdefault((stack[-1][3], tag, " ".join(words)), len(paths) + 1)
+            stack.append((tag, number, junk, path, inside or tag in MARKED))
+            held[tag] += 1
+    close(1)
+    tree.last[0] = len(tree.last) - 1
+    return without_furniture(blocks, named, tree), marked, tree
 
 
-def without_furniture(blocks: list[Block], named: dict[int, int]) -> list[Block]:
+def without_furniture(blocks: list[Block], named: dict[int, int], tree: Tree) -> list[Block]:
     """The blocks outside elements that are furniture by name, of which none holds most of the text."""
     for kind in (COMMENTED, FURNISHED):
         gone = {n for n, k in named.items() if k == kind}
         if kind == FURNISHED and gone:
-            mass: dict[int, int] = {}
+            mass = [0] * (len(tree.last) + 1)  # of the text in elements before each
             for b in blocks:
-                for n in gone.intersection(b.elements):
-                    mass[n] = mass.get(n, 0) + len(b.text) - b.links
-            gone = {n for n in gone if 2 * mass.get(n, 0) < sum(len(b.text) - b.links for b in blocks)}
-        left = [b for b in blocks if gone.isdisjoint(b.elements)] if gone else blocks
+                mass[b.element + 1] += len(b.text) - b.links
+            mass = list(accumulate(mass))
+            gone = {n for n in gone if 2 * (mass[tree.last[n] + 1] - mass[n]) < mass[-1]}
+        inside = tree.within(gone)
+        left = [b for b in blocks if not inside(b.element)] if gone else blocks
         blocks = left or blocks
     return blocks
 
 
-def path_scores(blocks: list[Block]) -> dict[str, float]:
+def path_scores(blocks: list[Block]) -> dict[int, float]:
     """Smoothed and fused text and punctuation ratios of each tag path."""
-    length: dict[str, float] = {}
-    marks: dict[str, float] = {}
-    count: dict[str, int] = {}
+    length: dict[int, float] = {}
+    marks: dict[int, float] = {}
+    count: dict[int, int] = {}
     for b in blocks:
         length[b.path] = length.get(b.path, 0) + max(0, len(b.text) - b.links)
         marks[b.path] = marks.get(b.path, 0) + (len(PUNCTUATION.findall(b.text)) if b.links < len(b.text) else 0)
@@ -196,63 +246,82 @@ def path_scores(blocks: list[Block]) -> dict[str, float]:
         smooth = [sum(w * padded[i + k] for k, w in enumerate(SMOOTHING)) for i in range(len(row))]
         most = max(smooth) or 1.0
         fused = [f * s / most for f, s in zip(fused, smooth)]
-    scores: dict[str, float] = {}
+    scores: dict[int, float] = {}
     for b, f in zip(blocks, fused):
         scores[b.path] = scores.get(b.path, 0.0) + f / count[b.path]
     return scores
 
 
-def chosen_marks(blocks: list[Block], marked: list[int], scores: dict[str, float], least: float) -> list[int]:
+def chosen_marks(blocks: list[Block], marked: list[int], tree: Tree, scores: dict[int, float], least: float) -> list[int]:
     """The marked elements that are content: an inner one stands for an outer one if what it leaves out scores below the threshold."""
-    held = {m: [b for b in blocks if m in b.elements] for m in marked}
-    above = {m: [n for n in marked if n != m and held[m] and n in held[m][0].elements and n < m] for m in marked}
-
-    def resolve(m: int) -> list[int]:
-        inner = [n for n in marked if above[n] and above[n][-1] == m and held[n]]
-        rest = [b for b in held[m] if not any(n in b.elements for n in inner)]
-        if not inner or any(scores[b.path] >= least and not HEADING.fullmatch(b.tag) for b in rest):
-            return [m]
-        return [x for n in inner for x in resolve(n)]
-
-    found = [x for m in marked if held[m] and not above[m] for x in resolve(m)]
-    weight = {m: sum(scores[b.path] * len(b.text) for b in held[m]) for m in found}
+    order = sorted(range(len(blocks)), key=lambda k: blocks[k].element)
+    numbers = [blocks[k].element for k in order]
+    span = {m: slice(bisect_left(numbers, m), bisect_right(numbers, tree.last[m])) for m in marked}
+    marked = [m for m in marked if span[m].start < span[m].stop]  # those with text
+    inner: dict[int, list[int]] = {m: [] for m in marked}
+    outer, open_ = [], []
+    for m in marked:
+        while open_ and not tree.holds(open_[-1], m):
+            open_.pop()
+        (inner[open_[-1]] if open_ else outer).append(m)
+        open_.append(m)
+    found, left = [], outer[::-1]
+    while left:
+        m = left.pop()
+        apart = tree.within(inner[m])
+        held = [blocks[k] for k in order[span[m]]]
+        if not inner[m] or any(scores[b.path] >= least and not HEADING.fullmatch(b.tag) and not apart(b.element) for b in held):
+            found.append(m)
+        else:
+            left += inner[m][::-1]
     if not found:
         return []
+    texts = {m: [blocks[k] for k in order[span[m]]] for m in found}
+    weight = {m: sum(scores[b.path] * len(b.text) for b in texts[m]) for m in found}
     best = max(found, key=lambda m: (weight[m], -m))
-    mean = {m: weight[m] / sum(len(b.text) for b in held[m]) for m in found}
+    mean = {m: weight[m] / sum(len(b.text) for b in texts[m]) for m in found}
     return [m for m in found if m == best or mean[m] >= max(least, SIBLING * mean[best])]
 
 
 def main_text(page: str | None) -> str:
     """The article of one page: white space inside a block as one space, blocks joined by newlines."""
-    blocks, marked = blocks_of(page or "")
+    blocks, marked, tree = blocks_of(page or "")
     if not blocks:
         return ""
     scores = path_scores(blocks)
     least = min(pstdev(scores.values()), max(scores.values()))
-    linked: dict[str, int] = {}
+    linked: dict[int, int] = {}
     for b in blocks:
         linked[b.path] = linked.get(b.path, 0) + 2 * b.links - len(b.text)
     content = lambda b: scores[b.path] >= least or linked[b.path] < 0 or bool(HEADING.fullmatch(b.tag))
-    marks = chosen_marks(blocks, marked, scores, least)
+    marks = chosen_marks(blocks, marked, tree, scores, least)
     if marks:
-        chosen = [b for b in blocks if any(m in b.elements for m in marks)]
+        inside = tree.within(marks)
+        chosen = [b for b in blocks if inside(b.element)]
         if not any(b.tag == "h1" for b in chosen):  # a headline that stands above its article, inside a mark around both
-            around = {m for m in marked if any(m in b.elements for b in chosen)}
-            chosen = [b for b in blocks if b in chosen or (b.tag == "h1" and around.intersection(b.elements))]
+            near = tree.within(m for m in marked if any(tree.holds(m, n) for n in marks))
+            chosen = [b for b in blocks if inside(b.element) or (b.tag == "h1" and near(b.element))]
         return "\n".join(b.text for b in [b for b in chosen if content(b)] or chosen)
     hits = [k for k, b in enumerate(blocks) if scores[b.path] >= least]
-    shared = set(blocks[hits[0]].elements).intersection(*(blocks[k].elements for k in hits))
-    root = max(shared, default=0)
-    homes = {blocks[k].elements[-2] for k in hits if len(blocks[k].elements) > 1} - set(blocks[hits[0]].elements[: max(0, blocks[hits[0]].elements.index(root))] if root else ())
-    homes = {n for n in homes if n >= root and not all(n in b.elements for b in blocks)}
+    parents = [tree.parent[blocks[k].element] for k in hits]
+    root = tree.around([blocks[k].element for k in hits])
+    if all(blocks[k].element == root for k in hits):  # a single block of text: what holds it
+        root = tree.parent[root]
+    every = tree.around([b.element for b in blocks])
+    homes = tree.within({n for n in parents if n >= max(root, 1) and not tree.holds(n, every)})
     first = hits[0]
-    while first and HEADING.fullmatch(blocks[first - 1].tag) and (not root or root in blocks[first - 1].elements):
+    while first and HEADING.fullmatch(blocks[first - 1].tag) and heads(tree, root, blocks[first - 1].element, blocks[hits[0]].element):
         first -= 1
-    near = lambda k, b: (not root or root in b.elements) and (first <= k <= hits[-1] or bool(homes.intersection(b.elements)))
+    near = lambda k, b: k < hits[0] and k >= first or tree.holds(root, b.element) and (first <= k <= hits[-1] or homes(b.element))
     return "\n".join(b.text for k, b in enumerate(blocks) if scores[b.path] >= least or (near(k, b) and content(b)))
 
 
+def heads(tree: Tree, root: int, heading: int, text: int) -> bool:
+    """Whether a heading belongs to a text that follows it: it stands in the content's element, or beside what holds it (the page itself apart)."""
+    beside = tree.parent[heading]
+    return tree.holds(root, heading) or (tree.tag[beside] not in ("", "html", "body") and tree.holds(beside, text))
+
+
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page with its id, url, text and n_chars (code points).
 
