@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_calls = threading.local()
+
+
+@contextmanager
+def tidy():
+    """Around a call (or as a decorator): the Scratch folders made inside, whose tables are deleted if the call fails."""
+    made: list[Scratch] = []
+    running = _calls.__dict__.setdefault("made", [])
+    running.append(made)
+    try:
+        yield made
+    except BaseException:
+        for scratch in made:
+            scratch.drop()
+        raise
+    finally:
+        running.pop()
+
+
 class Scratch:
     """Intermediate tables of one operator call, written to the shared folder.
 
@@ -40,6 +61,8 @@ class Scratch:
         self.paths: list[str] = []
         self.written = 0
         self.at: dict[int, str] = {}
+        for made in _calls.__dict__.get("made", ()):
+            made.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.written += 1
@@ -50,6 +73,17 @@ class Scratch:
         self.at[id(table)] = path
         return table
 
+    def adopt(self, table: DataFrame, others: list[Scratch]) -> DataFrame:
+        """``table`` as one of this folder's: taken over from the one of ``others`` that wrote it, else written."""
+        for other in others:
+            path = other.at.pop(id(table), None)
+            if path in other.paths:
+                other.paths.remove(path)
+                self.paths.append(path)
+                self.at[id(table)] = path
+                return table
+        return self.write(table)
+
     def _delete(self, path: str) -> None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -12,12 +12,11 @@ import zlib
 from struct import pack as pack_ids
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import Scratch
+from strataloom.llm.common import Scratch, tidy
 
 SEQUENCE = 2048
 END_OF_TEXT = 0
@@ -173,14 +172,16 @@ def pack(pieces: DataFrame, total: int, sequence: int = SEQUENCE, group_pieces:
     groups = max(1, round(total / group_pieces))
     place = F.xxhash64(F.monotonically_increasing_id())  # rows are dealt by their place, as repeated rows have nothing else to tell them apart
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets = pack_lengths(pdf["length"].to_numpy(np.int64), sequence)
-        return pdf.drop(columns="_group").assign(sequence_id=(np.int64(pdf["_group"].iloc[0]) << np.int64(32)) + bins, offset=offsets)
+    def run(rows: pa.Table) -> pa.Table:  # ids go through unread
+        bins, offsets = pack_lengths(rows["length"].to_numpy(), sequence)
+        first = np.int64(rows["_group"][0].as_py()) << np.int64(32)
+        return rows.drop_columns("_group").append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
 
     fields = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return pieces.withColumn("_group", F.pmod(place, F.lit(groups))).groupBy("_group").applyInPandas(run, f"{fields}, sequence_id long, offset long")
+    return pieces.withColumn("_group", F.pmod(place, F.lit(groups))).groupBy("_group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
+@tidy()
 def best_fit_packing(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """Packs every document into sequences of at most ``sequence`` tokens; one row per piece.
 
