@@ -124,6 +124,9 @@ def score(weights: list[float]) -> Column:
     return F.when(F.size("_features") > 0, total / F.size("_features")).otherwise(F.lit(0.0))
 
 
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lr_score", "base_failed", "kept")
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and the counts, ``lr_score``, ``base_failed`` and ``kept`` of each row.
 
@@ -131,9 +134,21 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     are judged one by one. Columns of ``docs`` with the name of an added one are replaced. An empty table gives
     no rows. Labels are a table with doc_id and quality (1 good, 0 bad, null ignored; an id with both is bad).
     """
+    rest = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c not in ADDED]
+    return judged(docs, labels, id_col, text_col).select(*rest, *ADDED)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their own columns."""
+    return judged(docs, labels, id_col, text_col).where("kept").select("_doc.*")
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows as structs ``_doc``, whatever their columns are called, with the columns of ADDED."""
     weights, threshold = fit(docs, labels, id_col, text_col)
-    text, lines = F.coalesce(F.col(text_col), F.lit("")), F.col("_lines")
-    out = _features(docs.withColumn("_words", words(F.col(text_col))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    text, lines = F.coalesce(F.col("_text"), F.lit("")), F.col("_lines")
+    out = _features(rows.withColumn("_words", words(F.col("_text"))))
     third = F.slice("_hw", 3, F.greatest(F.col("_n") - 2, F.lit(0)))
     heads = F.slice("_hp", 1, F.greatest(F.col("_n") - 2, F.lit(0)))
     out = (
@@ -153,4 +168,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     # array expressions inside lambdas, to be evaluated for every element.
     fence = F.monotonically_increasing_id() >= 0
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & good & fence)
-    return out.drop("_words", "_n", "_hw", "_hp", "_features", "_tri", "_order", "_lines")
+    return out.select("_doc", *ADDED)
