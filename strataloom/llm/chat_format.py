@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import Scratch, join_groups
+from strataloom.llm.common import Scratch, join_groups, tidy
 
 PART_TURNS = 512
 """Turns that are rendered in one row unless asked otherwise; so no row grows with the length of a conversation."""
@@ -70,6 +70,7 @@ def maximal(placed: DataFrame, hashed: DataFrame, scratch: Scratch) -> DataFrame
     return scratch.write(stays)
 
 
+@tidy()
 def chat_format(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int | None = PART_TURNS) -> DataFrame:
     """One row per part of a maximal conversation: its id, part (from 0), n_turns and the rendered text.
 

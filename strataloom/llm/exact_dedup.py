@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import golomb
-from strataloom.llm.common import WHITE, Scratch, join_groups, numbered, sieve, without
+from strataloom.llm.common import WHITE, Scratch, join_groups, numbered, sieve, tidy, without
 
 BUNDLE_ROWS = 1 << 20
 OWNER_FINGERPRINTS = 500_000
@@ -98,6 +98,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows, scratch
 
 
+@tidy()
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The verdicts of ``duplicate_groups``, as a table; intermediate tables are removed."""
     rows, scratch = duplicate_groups(docs, id_col, text_col)
@@ -106,6 +107,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out
 
 
+@tidy()
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without the later copies of a text; ids may be null or repeat."""
     own = Scratch(docs.sparkSession)

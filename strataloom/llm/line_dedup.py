@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import WHITE, Scratch, join_groups, join_some, numbered, sieve
+from strataloom.llm.common import WHITE, Scratch, join_groups, join_some, numbered, sieve, tidy
 
 ROLLING = 2
 MODULUS = 3
@@ -51,6 +51,7 @@ def windows_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("_chunks", F.filter(F.transform("_full", made), lambda c: c["n"].isNotNull())).drop("_full")
 
 
+@tidy()
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: bool = False) -> DataFrame:
     """All columns of ``docs`` with the text that stays, and n_lines, n_removed_lines.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import Scratch, components, join_groups, join_present, numbered, sieve, without
+from strataloom.llm.common import Scratch, components, join_groups, join_present, numbered, sieve, tidy, without
 
 SHINGLE = 5
 LINK_PERCENT = 85
@@ -371,6 +371,7 @@ def grouped_rows(texts: DataFrame, scratch: Scratch, link_percent: int = LINK_PE
     )
 
 
+@tidy()
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link_percent: int = LINK_PERCENT) -> DataFrame:
     """One row per document: its id, n_shingles, component_id and kept (its id is the component's smallest).
 
@@ -388,6 +389,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
+@tidy()
 def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link_percent: int = LINK_PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, of which one row of each near-duplicate group stays: the one with the smallest id, and
     of rows that repeat it the first one read. Rows without words or without an id stay."""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import golomb
-from strataloom.llm.common import Scratch, join_groups, parted
+from strataloom.llm.common import Scratch, join_groups, parted, tidy
 
 LENGTH = 200
 PERIOD = 133
@@ -142,6 +142,7 @@ class Suffixes:
         return which[bad]
 
 
+@tidy()
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_bits: int | None = None) -> DataFrame:
     """One row per input row: its id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end in bytes).
 

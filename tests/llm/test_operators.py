@@ -688,3 +688,55 @@ def test_placement_by_brute_force():
 
 def test_registered(spark):
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+
+
+# later findings
+
+
+def test_one_paragraph_pages():
+    text = "One long paragraph, with enough words; and marks to count as text. " * 3
+    for page in (f"<div id=x><h1>Head line</h1><p>{text}</p></div>", f"<div id=x><h1>Head line</h1><div><p>{text}</p></div></div>", f"<body><a>Home</a><div id=x><h2>Head line</h2><p>{text}</div><p>Copyright</body>"):
+        assert html_extraction.main_text(page).startswith("Head line\nOne long"), page
+
+
+@pytest.mark.parametrize("step", ["<div>", "<div>a, b. ", "<article>a, b. ", "<ul><li>a", "<b><div class=ad>x"])
+def test_deep_pages(step):
+    """Work follows the length of the page at any depth."""
+    import time
+
+    began = time.process_time()
+    html_extraction.main_text(step * 40_000 + "</p></section>" * 40_000)
+    assert time.process_time() - began < 20
+
+
+def test_packing_keeps_far_ids(spark):
+    rows = [((1 << 60) + 1, "a b"), ((1 << 60) + 3, "c"), (None, "d e f"), (-(1 << 62) - 1, None)]
+    got = packing.best_fit_packing(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path("byte_bpe_50k.json"))
+    equal([(r.doc_id,) for r in got.collect()], [(i,) for i, _ in rows])
+
+
+def test_quality_clashing_names(spark):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    names = ["_n", "_words", "_hw", "_lines", "_tri", "_order", "_doc", "_text", "kept", "n_words", "a.b"]
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType())] + [StructField(c, StringType()) for c in names])
+    docs = spark.createDataFrame([(k, prose(k, 200), *[f"{c}{k}" for c in names]) for k in range(6)], schema)
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    out = quality_rules.quality_rules(docs, labels)
+    assert {"_n", "_doc", "_text", "a.b"} <= set(out.columns) and {r["_n"] for r in out.collect()} == {f"_n{k}" for k in range(6)} and dict(out.dtypes)["kept"] == "boolean"
+    kept = quality_rules.keep_good(docs, labels)
+    assert kept.columns == docs.columns and all(r["kept"] == f"kept{r.doc_id}" and r["n_words"] == f"n_words{r.doc_id}" for r in kept.collect())
+
+
+def test_failed_calls_leave_nothing(spark, monkeypatch):
+    import os
+
+    from strataloom.llm import common
+
+    folder = common.shared_folder(spark)
+    before = set(os.listdir(folder.removeprefix("file:")))
+    monkeypatch.setattr(exact_dedup, "without", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        exact_dedup.keep_first(spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string"))
+    left = [d for d in set(os.listdir(folder.removeprefix("file:"))) - before if os.listdir(f"{folder.removeprefix('file:')}/{d}")]
+    assert not left

@@ -43,3 +43,15 @@ def test_awkward_rows(spark):
                 docs = out
         first = corpus_pipeline.quality(spark, spark.createDataFrame(frame, docs.schema), DATA)
         assert first.columns == docs.columns and first.count() <= len(rows)
+
+
+def test_run_leaves_one_table(spark):
+    import os
+
+    from strataloom.llm import common
+
+    folder = common.shared_folder(spark).removeprefix("file:")
+    tables = lambda: {f"{d}/{t}" for d in os.listdir(folder) if d.startswith("strataloom-") for t in os.listdir(f"{folder}/{d}")}
+    before = tables()
+    out = corpus_pipeline.run(spark, DATA)
+    assert len(tables() - before) == 1 and out.count() > 0 and "sequence_id" in out.columns
