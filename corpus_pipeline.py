@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strataloom.llm import exact_dedup, minhash, packing, quality_rules, suffix_dedup
-from strataloom.llm.common import Scratch, table
+from strataloom.llm.common import Scratch, table, tidy
 from strataloom.llm.queries import tokenizer_path
 
 NEAR_PERCENT = 80
@@ -16,8 +16,7 @@ NEAR_PERCENT = 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the weights are fitted to the documents given."""
-    rows = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"))
-    return rows.where("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +45,14 @@ ORACLE_SQL = None  # weights, shingle links, byte strings and token ids are out
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; its table alone stays, also of what the stages' operators wrote."""
     docs = table(spark, sf_dir, "documents")
-    scratch = Scratch(spark)
-    for _, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir))
-    scratch.drop(keep=1)
+    with tidy():
+        scratch = Scratch(spark)
+        for _, stage in STAGES:
+            with tidy() as made:
+                docs = scratch.adopt(stage(spark, docs, sf_dir), made)
+            for other in made:
+                other.drop()
+            scratch.drop(keep=1)
     return docs
