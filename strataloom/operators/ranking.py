@@ -40,11 +40,11 @@ def vector_search(rows: DataFrame, queries: DataFrame, k: int, floor: float = -2
     sides) must differ; with ``within`` it must be the same, and the row another one; with ``earlier`` the row's id must
     be smaller. Rows are dealt into parts and queries into blocks, inside their group if ``within``; one task multiplies
     one part with one block, so neither side is ever whole in a task, and passes on its k best per query. Scores are
-    rounded to four digits, and the smaller id wins ties. Rows or queries without a vector have no results.
+    rounded to four digits, and the smaller id wins ties. Rows or queries without an id or a vector have no results.
     """
     grouped = exclude_self or within
-    own = rows.where(F.col("vec").isNotNull()).select("id", "vec", (F.col("grp") if grouped else F.lit(0)).alias("grp"))
-    asked = queries.where(F.col("vec").isNotNull()).select("query_id", "vec", (F.col("grp") if grouped else F.lit(0)).alias("grp"))
+    own = rows.where("id is not null and vec is not null").select("id", "vec", (F.col("grp") if grouped else F.lit(0)).alias("grp"))
+    asked = queries.where("query_id is not null and vec is not null").select("query_id", "vec", (F.col("grp") if grouped else F.lit(0)).alias("grp"))
     home = F.col("grp") if within else F.lit(0)
     count = lambda df, size, name: df.groupBy(home.alias("_g")).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("long").alias(name))
     sizes = count(own, PART_ROWS, "_parts").join(count(asked, QUERY_BLOCK, "_blocks"), "_g")

@@ -8,6 +8,7 @@ from strataloom.functions import score as S
 from strataloom.functions import vector as V
 from strataloom.operators import graph as G
 from strataloom.operators import ranking as R
+from strataloom.operators import vector_index as I
 from strataloom.plans.registry import CONTAINS, VECTORS, Graph, query
 
 QUERY_STEP = 20
@@ -172,3 +173,36 @@ def fn_35_graph_aware_vectors(spark, d):
     mixed = parts.groupBy("id", "pos").agg((0.65 * F.first("x.vec") + 0.35 * F.sum(F.col("e") * F.col("x.k")) / F.sum("e")).alias("m"))
     rows = mixed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).getField("m").alias("v")).withColumn("v", V.unit(F.col("v")))
     return rows.select("id", (F.round(F.element_at("v", 1), 4) + 0.0).alias("first"), (F.round(F.element_at("v", -1), 4) + 0.0).alias("last"))
+
+
+# through the index; the exact searches above hold the same results to a measured recall
+
+
+@query()
+def top_1_index_search(spark, d):
+    g = Graph(spark, d)
+    return I.index_search(I.build_index(g.vectors(), k=30), asked(g).select("query_id", "vec"), 30)
+
+
+@query()
+def join_14_index_links(spark, d):
+    """Links between documents as in ``join_14_cross_document_links``, each vector compared with its nearest cells."""
+    g = Graph(spark, d)
+    return I.index_search(I.build_index(g.vectors()), g.vectors().withColumnRenamed("id", "query_id"), 5, floor=0.25, exclude_self=True)
+
+
+@query()
+def join_15_index_links(spark, d):
+    g = Graph(spark, d)
+    return I.index_search(I.build_index(g.vectors()), g.vectors().withColumnRenamed("id", "query_id"), 5, floor=0.25, within=True)
+
+
+@query()
+def join_22_index_documents(spark, d):
+    """Documents with links between their chunks: how many, and their mean cosine."""
+    g = Graph(spark, d)
+    links = I.index_search(I.build_index(g.vectors()), g.vectors().withColumnRenamed("id", "query_id"), 5, floor=0.25, exclude_self=True)
+    ends = g.vectors().select("id", "grp")
+    pairs = links.join(ends.toDF("query_id", "g1"), "query_id").join(ends.toDF("id", "g2"), "id")
+    grouped = pairs.groupBy(F.least("g1", "g2").alias("d1"), F.greatest("g1", "g2").alias("d2"))
+    return grouped.agg(F.count(F.lit(1)).alias("links"), F.round(F.avg("score"), 6).alias("mean")).where("links >= 5")
