@@ -162,6 +162,40 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, iteratio
     return result
 
 
+def page_ranks(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, bound: float = 1e-7, most: int = 60) -> DataFrame:
+    """(query_id, node, score): personalised PageRank of many seed sets (query_id, node) in one run.
+
+    Every set starts with its restart mass as residue on its seeds. In a round each residue above ``bound`` leaves its
+    share of restarts as score, and the rest goes on along the links; what is not above it stays, so rows exist only
+    where mass has come, and a score falls short by the residues that are left. Links are dealt by their source once,
+    and a round is one join and one aggregation over all sets.
+    """
+    edges = cut(edges.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    out = edges.groupBy("a").agg(F.sum("weight").alias("total"))
+    steps = cut(edges.join(out, "a").select(F.col("a").alias("node"), "b", (damping * F.col("weight") / F.col("total")).alias("share")).repartition("node").sortWithinPartitions("node"))
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    seeds = seeds.select("query_id", "node").distinct().join(nodes, "node", "left_semi")
+    base = cut(seeds.join(seeds.groupBy("query_id").agg((1.0 / F.count(F.lit(1))).alias("p")), "query_id"))
+    ends = cut(nodes.join(out.select(F.col("a").alias("node")), "node", "left_anti"))
+    leaks = not ends.isEmpty()
+    zero = F.lit(0.0)
+    state = cut(base.select("query_id", "node", zero.alias("score"), F.col("p").alias("left")))
+    for _ in range(most):
+        going = state.where(F.col("left") > bound)
+        moved = going.join(steps, "node").select("query_id", F.col("b").alias("node"), zero.alias("score"), (F.col("left") * F.col("share")).alias("left"))
+        if leaks:  # the mass of nodes without links goes back to the seeds of its set
+            back = going.join(ends, "node", "left_semi").groupBy("query_id").agg((damping * F.sum("left")).alias("back"))
+            moved = moved.unionByName(base.join(back, "query_id").select("query_id", "node", zero.alias("score"), (F.col("p") * F.col("back")).alias("left")))
+        kept = state.select("query_id", "node", (F.col("score") + F.when(F.col("left") > bound, (1 - damping) * F.col("left")).otherwise(0.0)).alias("score"), F.when(F.col("left") > bound, 0.0).otherwise(F.col("left")).alias("left"))
+        new = cut(kept.unionByName(moved).groupBy("query_id", "node").agg(F.sum("score").alias("score"), F.sum("left").alias("left")))
+        drop(state)
+        state = new
+        if state.where(F.col("left") > bound).isEmpty():
+            break
+    drop(edges, steps, base, ends)
+    return state.where("score > 0").select("query_id", "node", "score")
+
+
 def label_rounds(edges: DataFrame, most: int = 10) -> DataFrame:
     """(node, label): communities by label propagation, until no label changes, ``most`` rounds at most.
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from strataloom.operators import communities as C
 from strataloom.operators import graph as G
 from strataloom.plans.registry import CONTAINS, ENTITIES, SIZED, Graph, query, table
 from strataloom.sources import files
@@ -72,6 +73,25 @@ def grf_5_community_build(spark, d):
     return G.community_table(communities(g), g.entities(), excluded=("promo",), least=3)
 
 
+def community_levels(g):
+    return C.modularity_communities(G.npmi_edges(g.contains(), shared=2).withColumnRenamed("npmi", "weight"))
+
+
+@query()
+def grf_4_modularity(spark, d):
+    """Communities of level 0 by modularity, each named after its smallest member."""
+    return community_levels(Graph(spark, d)).where("level = 0").select("node", "label")
+
+
+@query()
+def grf_5_community_levels(spark, d):
+    """Communities of at least three members at every level; each lies in one of the next level."""
+    g = Graph(spark, d)
+    rows = community_levels(g).join(g.entities().where("lower(type) <> 'promo'").select(F.col("entity_id").alias("node")), "node", "left_semi")
+    sizes = rows.groupBy("level", "label").agg(F.count(F.lit(1)).alias("size")).where("size >= 3")
+    return rows.join(sizes, ["level", "label"]).select(F.col("label").alias("community"), "level", "size", F.col("node").alias("member"))
+
+
 @query(f"""WITH {SIZED}, p AS (SELECT DISTINCT x.entity_id AS a, y.entity_id AS b FROM sized x JOIN sized y USING (chunk_id) WHERE x.entity_id <> y.entity_id), s AS (SELECT p_partkey AS n FROM part WHERE p_name = 'small ring'),
     h1 AS (SELECT n FROM s UNION SELECT b FROM p JOIN s ON a = n), h2 AS (SELECT n FROM h1 UNION SELECT b FROM p JOIN h1 ON a = n) SELECT n AS node FROM h2""")
 def grf_11_two_hops(spark, d):

@@ -13,6 +13,7 @@ from strataloom.plans.graphs import ranked_chunks
 from strataloom.plans.joins import ASKED
 from strataloom.plans.registry import CONTAINS, ENTITIES, VECTORS, Graph, query
 from strataloom.plans.vectors import CENTROIDS, COS, QUERY_STEP, asked, label_centers
+from strataloom.sources.shared import cut
 
 EV = f"""{VECTORS}, {CONTAINS}, ev_parts AS (SELECT entity_id, pos, avg(vec[pos]) AS x FROM contains_ JOIN vectors ON chunk_id = id, range(1, 65) t(pos) GROUP BY 1, 2), ev_mean AS (SELECT entity_id, list(x ORDER BY pos) AS m FROM ev_parts GROUP BY 1),
     ev AS (SELECT entity_id AS id, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS vec FROM ev_mean), q AS (SELECT id AS query_id, vec FROM vectors WHERE id % {QUERY_STEP} = 0)"""
@@ -213,3 +214,18 @@ def rrk_5_learned_rerank(spark, d):
     }
     final = rows.select("query_id", "id", F.round(S.final_score(F.col("s2"), S.rerank_score(features)), 6).alias("final"))
     return G.top_per(final, ["query_id"], [F.desc("final"), F.asc("id")], 10).select("query_id", "id", "final")
+
+
+@query()
+def ret_7_rank_every_question(spark, d):
+    """Chunks by PageRank from the entities of each asked vector's three closest chunks, all questions in one run: of each, the
+    90 best entities, and the 30 chunks with the best of those."""
+    g = Graph(spark, d)
+    near = R.vector_search(g.vectors(), g.vectors().where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "vec"), 3)
+    contains = cut(g.contains())
+    seeds = near.select("query_id", F.col("id").alias("chunk_id")).join(contains, "chunk_id").select("query_id", F.col("entity_id").alias("node"))
+    pairs = G.co_occurrence(contains).select("a", "b", F.col("shared").cast("double").alias("weight"))
+    ranks = G.page_ranks(G.both_ways(pairs), seeds).withColumn("score", F.round("score", 9))
+    best = G.top_per(ranks, ["query_id"], [F.desc("score"), F.asc("node")], 90).select("query_id", F.col("node").alias("entity_id"), "score")
+    chunks = best.join(contains, "entity_id").groupBy("query_id", "chunk_id").agg(F.round(F.max("score"), 6).alias("score"))
+    return G.top_per(chunks, ["query_id"], [F.desc("score"), F.asc("chunk_id")], 30)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,20 +11,25 @@ from strataloom.functions import score as S
 from strataloom.functions import text as X
 from strataloom.functions import vector as V
 from strataloom.operators import graph as G
+from strataloom.operators import names as N
 from strataloom.operators import ranking as R
+from strataloom.operators import text_index as T
 from strataloom.plans.joins import ASKED
 from strataloom.plans.registry import CONTAINS, ENTITIES, VECTORS, Graph, query, table
-from strataloom.plans.texts import sequence_ratio
-from strataloom.sources import files
 from strataloom.plans.vectors import CENTROIDS, COS, asked, label_centers
+from strataloom.sources import files
+from strataloom.sources.shared import folder
 
 TERMS = ("thereon", "erthat", "the", "leaux", "schung")
 
 
-@query(f"""WITH w AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS t FROM documents), n AS (SELECT doc_id, count(*) AS len FROM w WHERE t <> '' GROUP BY 1),
+TERM_SEARCH = f"""WITH w AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS t FROM documents), n AS (SELECT doc_id, count(*) AS len FROM w WHERE t <> '' GROUP BY 1),
     s AS (SELECT count(*) AS docs, avg(len) AS mean FROM n), tf AS (SELECT doc_id, t, count(*) AS tf FROM w WHERE t IN {TERMS} GROUP BY 1, 2), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1)
     SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM tf JOIN df USING (t) JOIN n USING (doc_id), s GROUP BY 1
-    QUALIFY row_number() OVER (ORDER BY score DESC, doc_id) <= 30""")
+    QUALIFY row_number() OVER (ORDER BY score DESC, doc_id) <= 30"""
+
+
+@query(TERM_SEARCH)
 def top_2_term_search(spark, d):
     """BM25 with k1 = 1.2 and b = 0.75: the 30 best documents for a question's terms."""
     words = table(spark, d, "documents").select("doc_id", F.explode(F.array_remove(F.split(F.lower("text"), " "), "")).alias("t"))
@@ -37,6 +44,15 @@ def top_2_term_search(spark, d):
     return scored.orderBy(F.desc("score"), "doc_id").limit(30)  # the path's k
 
 
+@query(TERM_SEARCH)
+def top_2_index_search(spark, d):
+    """The same documents from a stored index, of which only the asked terms' postings are read."""
+    path = f"{folder(spark)}/terms-{uuid.uuid4().hex}"
+    T.build_index(table(spark, d, "documents"), path)
+    asked = spark.range(1).select(F.lit(0).alias("query_id"), F.explode(F.array(*map(F.lit, TERMS))).alias("term"))
+    return T.search_index(spark, path, asked, 30).select(F.col("doc").alias("doc_id"), "score")
+
+
 @query(f"""WITH {CONTAINS}, {VECTORS}, m AS (SELECT entity_id, vec FROM contains_ JOIN vectors ON chunk_id = id), parts AS (SELECT entity_id, pos, avg(vec[pos]) AS x FROM m, range(1, 65) t(pos) GROUP BY 1, 2),
     c AS (SELECT entity_id, list(x ORDER BY pos) AS v FROM parts GROUP BY 1) SELECT entity_id, round(v[1] / sqrt(list_inner_product(v, v)), 4) + 0.0 AS first FROM c""")
 def agg_3_entity_centroids(spark, d):
@@ -120,19 +136,17 @@ def chk_15_chunk_ids(spark, d):
 
 @query()
 def grf_9_canonical_names(spark, d):
-    """Each part name of a type with its canonical name and the tier that found it: an equal name but for space and case, the most
-    mentioned one of ten candidates by common words that is alike enough, or itself."""
+    """Each part name of a type with its canonical name and the tier that found it: an equal name but for space and case, the
+    name most alike (matching blocks, .85 at least) of those mentioned more often, or itself."""
     g = Graph(spark, d)
     names = G.degrees(g.entities(), g.contains()).groupBy("type", "name").agg(F.sum("degree").alias("degree"))
     keyed = names.withColumn("key", X.normal_name(F.col("name")))
     first = keyed.groupBy("type", "key").agg(F.max_by("name", F.struct("degree", "name")).alias("equal"))
     keyed = keyed.join(first, ["type", "key"])
-    words = names.select("type", "name", "degree", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
-    pairs = words.toDF("type", "a", "da", "word").join(words.toDF("type", "b", "db", "word"), ["type", "word"]).where("a <> b and db > da")
-    shared = pairs.groupBy("type", "a", "b", "db").agg(F.count(F.lit(1)).alias("shared"))
-    few = G.top_per(shared, ["type", "a"], [F.desc("shared"), F.desc("db"), F.asc("b")], 10)  # candidates of a name
-    alike = few.withColumn("ratio", sequence_ratio("a", "b")).where("ratio >= 0.85")
-    best = alike.groupBy("type", F.col("a").alias("name")).agg(F.max_by("b", F.struct("db", "b")).alias("close"))
+    alike = N.similar_names(names, 0.85)
+    alike = alike.unionByName(alike.select("type", F.col("b").alias("a"), F.col("a").alias("b"), "ratio"))
+    ranked = alike.join(names.toDF("type", "a", "da"), ["type", "a"]).join(names.toDF("type", "b", "db"), ["type", "b"]).where("db > da")
+    best = ranked.groupBy("type", F.col("a").alias("name")).agg(F.max_by("b", F.struct("ratio", "db", "b")).alias("close"))
     rows = keyed.join(best, ["type", "name"], "left")
     equal = F.when(F.col("equal") != F.col("name"), F.col("equal"))
     tier = F.when(equal.isNotNull(), "equal").when(F.col("close").isNotNull(), "alike").otherwise("new")
@@ -153,6 +167,30 @@ def val_3_entity_gate(spark, d):
     )
 
 
+@query()
+def val_3_ratio_tier(spark, d):
+    """Words of answers that start with a capital, and how the entity names know them: the exact name, the name most alike
+    (matching blocks, .80 at least), one that holds the other, or not at all."""
+    g = Graph(spark, d)
+    word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][A-Za-z0-9#-]+\b"), F.lit(0))))
+    said = table(spark, d, "conversations").where("role = 'assistant'").select(word.alias("name")).distinct()
+    known = g.entities().select(F.explode(F.split("name", " ")).alias("name")).union(g.entities().select("brand")).distinct()
+    rows = said.select(F.lower("name").alias("candidate")).distinct()
+    names = known.select(F.lower("name").alias("known")).distinct()
+    alike = N.similar_names(rows.select(F.lit(0).alias("type"), F.col("candidate").alias("name")).union(names.select(F.lit(0), "known")), 0.80)
+    alike = alike.unionByName(alike.select("type", F.col("b").alias("a"), F.col("a").alias("b"), "ratio"))
+    close = alike.join(names.withColumnRenamed("known", "b"), "b", "left_semi").groupBy(F.col("a").alias("candidate")).agg(F.max_by("b", F.struct("ratio", "b")).alias("close"))
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    pieces = lambda c: F.array_distinct(F.concat(*[runs(c, n) for n in (1, 2, 3)]))  # noqa: E731  # shorter names meet on all of their letters
+    head = lambda c: F.substring(c, 1, 3)
+    inside = rows.withColumn("k", head("candidate")).join(names.select("known", F.explode(pieces(F.col("known"))).alias("k")), "k").where("contains(known, candidate)")
+    holds = rows.select("candidate", F.explode(pieces(F.col("candidate"))).alias("k")).join(names.withColumn("k", head("known")), "k").where("contains(candidate, known)")
+    held = inside.select("candidate", "known").unionByName(holds.select("candidate", "known")).groupBy("candidate").agg(F.min("known").alias("held"))
+    found = rows.join(names.select(F.col("known").alias("candidate"), F.lit(True).alias("exact")), "candidate", "left").join(close, "candidate", "left").join(held, "candidate", "left")
+    tier = F.when(F.col("exact"), "exact").when(F.col("close").isNotNull(), "alike").when(F.col("held").isNotNull(), "contained").otherwise("unknown")
+    return found.select("candidate", tier.alias("tier"), F.when(tier == "alike", F.col("close")).when(tier == "contained", F.col("held")).alias("known"))
+
+
 @query("""SELECT l_orderkey, round(avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0 END), 6) AS cited, avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0 END) >= 0.7 AS citation_pass, bool_and(l_returnflag <> 'R') AS entity_pass,
     round(avg(l_quantity / 50) * CASE WHEN bool_and(l_returnflag <> 'R') THEN 1.0 ELSE 0.8 END * CASE WHEN avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0 END) >= 0.7 THEN 1.0 ELSE 0.9 END, 6) AS confidence FROM lineitem GROUP BY 1""")
 def val_5_verdict(spark, d):

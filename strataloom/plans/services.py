@@ -16,10 +16,11 @@ from strataloom.functions import vector as V
 from strataloom.operators import chunking as C
 from strataloom.operators import graph as G
 from strataloom.operators import ranking as R
+from strataloom.operators.resolution import resolve_entities
 from strataloom.plans.registry import CONTAINS, ENTITIES, SIZED, VECTORS, Graph, query, table
 from strataloom.plans.vectors import COS
 from strataloom.sources import files
-from strataloom.sources.shared import folder
+from strataloom.sources.shared import cut, folder
 from strataloom.streaming import events as E
 
 AXES = {"english": {"the ": 1.0, " of ": 0.5}, "french": {" que ": 1.0, " le ": 0.5}, "german": {" und ": 0.8, " der ": 0.6}, "table": {" | ": 2.0}}
@@ -136,27 +137,13 @@ def chk_7_hierarchy(spark, d):
 
 @query()
 def grf_7_entity_resolution(spark, d):
-    """Vectors of a label folded greedily, best-connected first, into canonical ones that are close enough."""
+    """Part names of a type folded into the best-connected related name with a close vector; small parts' gray zone needs a verdict."""
     g = Graph(spark, d)
-    rows = G.degrees(g.vectors().select(F.col("id").alias("entity_id"), "vec", "grp"), g.contains().select("chunk_id", "entity_id"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["degree", "entity_id"], ascending=[False, True], ignore_index=True)
-        matrix = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        heads, out = [], []
-        for k in range(len(pdf)):
-            close = np.round(matrix[heads] @ matrix[k], 4) if heads else np.zeros(0)
-            best = int(np.argmax(close)) if len(close) else -1
-            if best >= 0 and close[best] >= 0.3:
-                out.append(heads[best])
-            else:
-                heads.append(k)
-                out.append(k)
-        return pd.DataFrame({"entity_id": pdf["entity_id"], "canonical": pdf["entity_id"].to_numpy()[out]})
-
-    capped = G.top_per(rows, ["grp"], [F.desc("degree"), F.asc("entity_id")], 4000).drop("rank")  # the operator's degree cap per type
-    return capped.groupBy("grp").applyInPandas(fold, "entity_id long, canonical long")
+    rows = G.degrees(g.entities(), g.contains()).groupBy("type", "name").agg(F.sum("degree").alias("degree"), F.min("entity_id").alias("entity_id"))
+    mentions = g.entities().select("entity_id", "type", "name").join(g.contains(), "entity_id").join(g.vectors().withColumnRenamed("id", "chunk_id"), "chunk_id")
+    owners = rows.select("type", "name", F.col("entity_id").alias("owner"))
+    vectors = R.centroids(mentions.join(owners, ["type", "name"]).select(F.col("owner").alias("entity_id"), "vec"), "entity_id")
+    return resolve_entities(cut(rows.join(vectors, "entity_id", "left")), judged_types=("small",))
 
 
 @query("SELECT user_id, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY 1")

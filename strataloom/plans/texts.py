@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from strataloom.functions import domain as D
 from strataloom.functions import score as S
@@ -14,6 +10,7 @@ from strataloom.functions import text as X
 from strataloom.functions import vector as V
 from strataloom.operators import chunking as C
 from strataloom.operators import graph as G
+from strataloom.operators import names as N
 from strataloom.plans.registry import CONTAINS, ENTITIES, Graph, query, table
 
 
@@ -49,22 +46,11 @@ def fn_4_equal_skeletons(spark, d):
     return rows.join(rows.withColumnRenamed("a", "b"), "k").select("a", "b")
 
 
-def sequence_ratio(a, b):
-    """Twice the matched characters over all characters, by longest matching blocks."""
-
-    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-    return F.pandas_udf(ratios, DoubleType())(a, b)
-
-
 @query()
 def fn_5_similar_names(spark, d):
-    """Pairs of different part names of a type with a common word, whose sequences are similar."""
+    """Pairs of different part names of a type whose matching blocks hold .80 of their letters or more."""
     names = Graph(spark, d).entities().select("type", "name").distinct()
-    words = names.select("type", "name", F.explode(F.split("name", " ")).alias("word"))
-    pairs = words.withColumnRenamed("name", "a").join(words.withColumnRenamed("name", "b"), ["type", "word"]).where("a < b").select("type", "a", "b").distinct()
-    return pairs.withColumn("ratio", F.round(sequence_ratio("a", "b"), 6)).where("ratio >= 0.8")
+    return N.similar_names(names, 0.8).withColumn("ratio", F.round("ratio", 6))
 
 
 _RUNS = r"list_filter(regexp_extract_all(text, '\d+'), lambda x: {})"
