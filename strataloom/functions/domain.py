@@ -12,7 +12,7 @@ from strataloom.functions import vector as V
 KEYWORDS, ENTITIES, STRUCTURE, NAME = 0.5, 0.3, 0.15, 0.05
 ENTITY, QUERY_PATTERN = 0.5, 1.5
 DOMAIN_AXES = (
-    "research_paper", "method_algorithm", "factual_definition", "comparison_analysis", "technical_code", "biological_science", "instruction_howto", "business_finance",
+    "factual_definition", "method_algorithm", "comparison_analysis", "research_paper", "technical_code", "biological_science", "instruction_howto", "business_finance",
 )
 ENTITY_AXES = {
     "ALGORITHM": ("method_algorithm",), "MODEL": ("method_algorithm", "technical_code"), "TECHNIQUE": ("method_algorithm",), "PERSON": ("research_paper",),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,16 +85,31 @@ def topic_chunks(rows: DataFrame, key: str, pos: str, text: str, vec: str, least
     return group_at(rows.withColumn("_drop", F.coalesce(drop, F.lit(0.0))), key, pos, text, "_drop", F.lit(1 - least), F.lit(most))
 
 
-def signal_chunks(docs: DataFrame, key: str, text: str, name: str, vec: str | None = None) -> DataFrame:
-    """(key, k, chunk) by the boundary signals of sentences; threshold and size follow the document's type."""
+DIMENSIONS = 64
+
+
+def bag_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """Counts of a text's words by hash, in lower case: texts with words in common are near each other."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int"))
+    held = lambda x: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (F.size(x) - F.size(F.array_remove(x, i))).cast("double"))
+    return F.get(F.transform(F.array(slots), held), F.lit(0))  # the slots are hashed once
+
+
+def signal_chunks(docs: DataFrame, key: str, text: str, name: str, vector: Callable[[Column], Column] = bag_vector) -> DataFrame:
+    """(key, k, chunk) by all five boundary signals of sentences; threshold and size follow the document's type.
+
+    ``vector`` gives a sentence's vector from its text, which is compared with that of the sentence before; a model's
+    vectors may take the place of the hashed words.
+    """
     kind = X.doc_type(F.col(text), F.coalesce(F.col(name), F.lit("")))
     sizes = {k: v[0] for k, v in X.TYPE_SIZES.items()}
     cuts = {k: v[1] for k, v in X.TYPE_SIZES.items()}
-    typed = docs.select(key, text, *([vec] if vec else []), kind.alias("_kind"))
+    typed = docs.select(key, text, kind.alias("_kind"))
     size, least = S.from_table(F.col("_kind"), sizes, 800).alias("_most"), S.from_table(F.col("_kind"), cuts, 0.55).alias("_cut")
     lines = typed.select(key, size, least, F.posexplode(X.sentences(F.col(text))).alias("pos", "sentence"))
-    names = lines.withColumn("_names", F.transform(X.title_entities(F.col("sentence")), lambda e: F.lower(e)))
-    scored = boundary_scores(names, key, "pos", "sentence", entities="_names")
+    names = lines.withColumn("_names", F.transform(X.title_entities(F.col("sentence")), lambda e: F.lower(e))).withColumn("_vector", vector(F.col("sentence")))
+    scored = boundary_scores(names, key, "pos", "sentence", vec="_vector", entities="_names")
     return group_at(scored, key, "pos", "sentence", "boundary", F.col("_cut"), F.col("_most"))
 
 

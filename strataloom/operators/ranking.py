@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import score as S
+from strataloom.sources.shared import cut
 
 QUERY_BLOCK = 2048
 """Mean number of query vectors that one task holds."""
 PART_ROWS = 50_000
 """Mean number of rows that one task compares with its queries."""
-RANGES = 4096
+SHARPNESS = 10_000
+"""Brackets of a percentile hold some 4 / SHARPNESS of a group's rows."""
 STRIP = 128
 """Queries whose scores against a part are held at once."""
 
@@ -106,21 +108,37 @@ def z_scores(rows: DataFrame, group: str, score: str) -> DataFrame:
 def exact_percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
     """Per group the value at place floor(share * n) in ascending order, from 0, for each named share, and ``mean``.
 
-    Equal values are counted before they are ordered, and the order is taken inside ranges of a group, so no task holds a
-    group: at most RANGES range totals of a group meet in one task.
+    A sketch brackets each share between two values of the group, and one pass counts the rows below the bracket and the
+    rows of each value inside; only those are put in order. The sketch's error in rank is n / SHARPNESS at most, so where
+    values lie, and how far outliers reach, makes no difference; were a place outside its bracket, all values of its
+    group would be counted. Rows of an equal value are one row here.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
-    ends = counted.groupBy(group).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_c").alias("_n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"))
-    width = F.greatest((F.col("_high") - F.col("_low")) / RANGES, F.lit(1e-300))
-    ranged = counted.join(ends.drop("mean"), group).withColumn("_range", F.floor((F.col(value) - F.col("_low")) / width))
-    totals = ranged.groupBy(group, "_range").agg(F.sum("_c").alias("_all"))
-    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_skip", F.coalesce(F.sum("_all").over(before), F.lit(0))).drop("_all")
-    inside = Window.partitionBy(group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.withColumn("_upto", F.sum("_c").over(inside)).join(totals, [group, "_range"]).withColumn("_upto", F.col("_upto") + F.col("_skip"))
-    at = lambda share: F.floor(F.col("_n") * share)
-    hits = {name: F.max(F.when((at(s) < F.col("_upto")) & (at(s) >= F.col("_upto") - F.col("_c")), F.col(value))).alias(name) for name, s in shares.items()}
-    return placed.groupBy(group).agg(*hits.values()).join(ends.select(group, "mean"), group)
+    rows = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
+    edges = [min(1.0, max(0.0, s + sign * 2 / SHARPNESS)) for s in shares.values() for sign in (-1, 1)]
+    sketch = rows.groupBy("_g").agg(F.percentile_approx("_v", edges, SHARPNESS).alias("_edges"), F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("mean"))
+    asks = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.floor(F.col("_n") * s).alias("at"), F.get("_edges", F.lit(2 * k)).alias("low"), F.get("_edges", F.lit(2 * k + 1)).alias("high"))
+        for k, (name, s) in enumerate(shares.items())
+    ])
+    targets = cut(sketch.select("_g", "mean", F.explode(asks).alias("_ask")).select("_g", "mean", "_ask.*"))
+
+    def placed(targets: DataFrame) -> DataFrame:
+        near = rows.join(targets.select("_g", "name", "low", "high"), rows["_g"].eqNullSafe(targets["_g"])).drop(targets["_g"]).where((F.col("_v") <= F.col("high")) | F.col("high").isNull())
+        inside = F.when(F.col("low").isNull() | (F.col("_v") >= F.col("low")), F.col("_v"))  # null: below the bracket
+        counted = near.groupBy("_g", "name", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy("_g", "name").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
+        counted = counted.withColumn("_upto", upto).withColumnsRenamed({"_g": "_h", "name": "_name"})
+        both = counted.join(targets.select("_g", "name", "at"), F.col("_h").eqNullSafe(F.col("_g")) & (F.col("_name") == F.col("name")))
+        return both.where((F.col("at") < F.col("_upto")) & (F.col("at") >= F.col("_upto") - F.col("_c"))).select("_g", "name", "_v")
+
+    found = cut(placed(targets))
+    on = lambda other: targets["_g"].eqNullSafe(other["_g"]) & (targets["name"] == other["name"])
+    missed = targets.join(found.where("_v is not null"), on(found), "left_anti")
+    if not missed.isEmpty():
+        all_ = missed.withColumns({"low": F.lit(None).cast(dict(targets.dtypes)["low"]), "high": F.lit(None).cast(dict(targets.dtypes)["high"])})
+        found = found.unionByName(placed(cut(all_)))
+    values = targets.join(found.where("_v is not null"), on(found)).select(targets["_g"], targets["name"], "mean", "_v")
+    return values.groupBy(F.col("_g").alias(group)).agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in shares], F.first("mean").alias("mean"))
 
 
 def diverse(rows: DataFrame, k: int, weight: float = 0.6, group: str = "query_id") -> DataFrame:

@@ -12,6 +12,7 @@ from strataloom.plans.registry import CONTAINS, ENTITIES, SIZED, Graph, query, t
 from strataloom.sources import files
 from strataloom.sources.shared import cut, folder
 from strataloom.streaming import events as E
+from strataloom.streaming import expiry
 
 ROUNDS = 16
 """Rounds that the SQL below spells out; more than ranks need to settle on the given tables, where they do after 5 to 13."""
@@ -162,3 +163,15 @@ def snk_7_recent_events(spark, d):
 def str_4_rolling_mean(spark, d):
     rows = E.rolling_mean(E.stream(spark, d)).select("user_id", "n", F.round("mean", 9).alias("mean"))
     return E.drain(rows, spark, folder(spark), "update", ["user_id"])
+
+
+@query("""WITH e AS (SELECT user_id, count(*) AS n, max(ts) AS last FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1)
+    SELECT user_id, n FROM e WHERE last + INTERVAL 6 HOUR > (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def str_3_expiring_stream(spark, d):
+    """Users with an event in the last six hours of the stream, and how many they had; the others' state has expired."""
+    expiry.use_store(spark)
+    put = f"{folder(spark)}/expiry-{uuid.uuid4().hex}"
+    write = lambda batch, k: batch.write.mode("overwrite").parquet(f"{put}/out/batch={k}")
+    changes = expiry.with_expiry(E.stream(spark, d), ttl="6 hours")
+    changes.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", f"{put}/state").trigger(availableNow=True).start().awaitTermination()
+    return expiry.live_keys(spark.read.schema(f"{expiry.OUTPUT}, batch long").parquet(f"{put}/out")).select("user_id", "n")

@@ -132,7 +132,7 @@ def fn_14_comparative_spans(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.comparative_spans(F.col("text")).alias("names"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN s = 0 THEN 'research_paper' ELSE 'comparison_analysis' END AS best FROM (SELECT conv_id, turn, CAST(contains(lower(text), 'compare') AS INTEGER) AS s FROM conversations)")
+@query("SELECT conv_id, turn, CASE WHEN s = 0 THEN 'factual_definition' ELSE 'comparison_analysis' END AS best FROM (SELECT conv_id, turn, CAST(contains(lower(text), 'compare') AS INTEGER) AS s FROM conversations)")
 def fn_37_query_domains(spark, d):
     """The leading axis of each turn; the synthetic turns have none of the patterns but 'compare', so most tie on the first axis."""
     rows = table(spark, d, "conversations").withColumn("p", D.tag_query(F.col("text")))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.sources.shared import delete, exists
+
 
 def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """A table as a stream of its files."""
@@ -72,12 +74,54 @@ def drain(rows: DataFrame, spark: SparkSession, folder: str, mode: str = "append
     return kept.drop("batch")
 
 
-def fold(stream_: DataFrame, spark: SparkSession, at: str, delta, merge) -> DataFrame:
+EVERY = 16
+"""Micro-batches between two snapshots of a folded state."""
+
+
+def fold(stream_: DataFrame, spark: SparkSession, at: str, delta, merge, every: int = EVERY) -> DataFrame:
     """State kept over restarts: each micro-batch writes delta(batch) to a folder of its own under ``at``, replacing what an
-    earlier try left there, and merge() of all deltas is the state. A later call with the same ``at`` goes on."""
-    put = lambda batch, k: delta(batch).write.mode("overwrite").parquet(f"{at}/delta/batch={k}")
+    earlier try left there, and merge() of all deltas is the state. A later call with the same ``at`` goes on.
+
+    Every so many batches the state so far is written as a snapshot, and the deltas and snapshots in it go, so at most
+    ``every`` deltas are read beside one snapshot. ``merge`` gives rows of the deltas' columns and may be applied to its
+    own results. A snapshot holds batches before the current one only, which are never run again.
+    """
+
+    def put(batch: DataFrame, k: int) -> None:
+        delta(batch).write.mode("overwrite").parquet(f"{at}/delta/batch={k}")
+        if k and k % every == 0:
+            snapshot(spark, at, k - 1, merge)
+
     stream_.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return merge(spark.read.parquet(f"{at}/delta").drop("batch"))
+    return merge(folded_parts(spark, at, None))
+
+
+def folded_parts(spark: SparkSession, at: str, upto: int | None) -> DataFrame:
+    """The latest finished snapshot and the deltas after it, up to a batch."""
+    done = [k for k in numbered(spark, f"{at}/snapshot") if exists(spark, f"{at}/snapshot/{k}/_SUCCESS")]
+    base = max(done, default=-1)
+    paths = [f"{at}/delta/batch={k}" for k in numbered(spark, f"{at}/delta") if k > base and (upto is None or k <= upto)]
+    return spark.read.parquet(*paths, *([f"{at}/snapshot/{base}"] if done else []))
+
+
+def snapshot(spark: SparkSession, at: str, upto: int, merge) -> None:
+    """Writes the state of all batches up to one, then deletes what it holds; done again after a failure, it ends the same."""
+    if not exists(spark, f"{at}/snapshot/{upto}/_SUCCESS"):
+        merge(folded_parts(spark, at, upto)).write.mode("overwrite").parquet(f"{at}/snapshot/{upto}")
+    for k in numbered(spark, f"{at}/snapshot"):
+        if k < upto:
+            delete(spark, f"{at}/snapshot/{k}")
+    for k in numbered(spark, f"{at}/delta"):
+        if k <= upto:
+            delete(spark, f"{at}/delta/batch={k}")
+
+
+def numbered(spark: SparkSession, path: str) -> list[int]:
+    """The numbers that end the names of a folder's parts."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+    return sorted(int(n.rpartition("=")[2]) for n in names if n.rpartition("=")[2].isdigit())
 
 
 def flush_lines(events: DataFrame, path: str, state: str, interval: str | None = "5 seconds"):

@@ -128,3 +128,21 @@ def test_percentiles_and_samples(spark):
         assert got[g] == (own[len(own) // 2], own[int(len(own) * 0.95)])
     sized = spark.createDataFrame([(f"f{k}", k * 7 % 31) for k in range(31)], "path string, length long").repartition(4)
     assert sorted(x.length for x in files.size_sample(sized, 5).collect()) == [0, 5, 10, 15, 20, 25, 30]
+
+
+def test_percentiles_with_outliers(spark, monkeypatch):
+    """One far value does not gather a group, and places outside their bracket are counted out."""
+    from strataloom.operators import ranking as R
+
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") == 7, F.lit(1e9)).otherwise(F.pmod(F.xxhash64("id"), F.lit(5000)) / 5000).alias("v")).union(spark.createDataFrame([(None, 2.0), (None, 1.0), (9, None), (8, 4.0)], "g long, v double"))
+    want = {}
+    for r in rows.where("v is not null").collect():
+        want.setdefault(r.g, []).append(r.v)
+    want = {g: (sorted(v)[int(len(v) * 0.5)], sorted(v)[int(len(v) * 0.95)], sorted(v)[int(len(v) * 0.001)]) for g, v in want.items()}
+    shares = {"p50": 0.5, "p95": 0.95, "low": 0.001}
+    check = lambda: {r.g: (r.p50, r.p95, r.low) for r in R.exact_percentiles(rows, "g", "v", shares).collect()}
+    assert check() == want
+    monkeypatch.setattr(R, "SHARPNESS", 1000)
+    assert check() == want
+    monkeypatch.setattr(R.F, "percentile_approx", lambda *a: F.array(*[F.lit(0.25)] * 6))  # brackets that hold no place
+    assert check() == want

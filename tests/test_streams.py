@@ -98,3 +98,55 @@ def test_sessions_and_windows(spark, tmp_path):
     put(spark, tmp_path / "in", [0, 3, 6, 90, 93], "a")
     rows = spark.read.schema(KIND).parquet(str(tmp_path / "in" / "a"))
     assert sorted(r.n for r in E.sessions(rows).collect()) == [2, 3] and sorted(r.n for r in E.windowed_counts(rows).collect()) == [1, 1, 1, 2]
+
+
+def test_state_expires(spark, tmp_path):
+    """Two batches and a restart: keys without events for the time to live are gone, others go on counting."""
+    import datetime as dt
+
+    from strataloom.streaming import expiry as X
+
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    schema = "user_id long, ts timestamp"
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    X.use_store(spark)
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        put = lambda batch, k: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={k}")
+        X.with_expiry(events, ttl="2 hours", late="0 minutes").writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        changes = spark.read.schema(f"{X.OUTPUT}, batch long").parquet(str(tmp_path / "out"))
+        return changes, {r.user_id: r.n for r in X.live_keys(changes).collect()}
+
+    try:
+        _, live = run([(1, at(0)), (1, at(0.5)), (2, at(1)), (None, at(1)), (3, None)])
+        assert live == {1: 2, 2: 1}
+        _, live = run([(2, at(2.9)), (4, at(3))])  # the watermark passes 2.5 hours: key 1 is gone, key 2 moved its timer
+        assert live == {2: 2, 4: 1}
+        changes, live = run([(1, at(4.5)), (4, at(4.6))])  # key 1 begins anew
+        assert live == {1: 1, 2: 2, 4: 2}
+        changes, live = run([(5, at(9))])
+        assert live == {5: 1} and {r.user_id for r in changes.where("status = 'expired'").collect()} == {1, 2, 4}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if store is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+
+
+def test_snapshots_bound_the_deltas(spark, tmp_path):
+    from strataloom.streaming import events as E
+
+    schema = "user_id long, event_id long"
+    delta = lambda batch: batch.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.count(F.lit(1)).alias("n"))
+    merge = lambda rows: rows.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.sum("n").alias("n"))
+    want = {}
+    for k in range(11):
+        rows = [(k % 3, k), (7, k)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for u, e in rows:
+            want[u] = (e, want.get(u, (0, 0))[1] + 1)
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))  # each call is a restart
+        got = {r.user_id: (r.event_id, r.n) for r in E.fold(source, spark, str(tmp_path / "w"), delta, merge, every=4).collect()}
+        assert got == want
+        assert len(E.numbered(spark, f"{tmp_path}/w/delta")) <= 5 and len(E.numbered(spark, f"{tmp_path}/w/snapshot")) <= 1
+    E.snapshot(spark, str(tmp_path / "w"), 7, merge)  # done again, it ends the same
+    assert {r.user_id: (r.event_id, r.n) for r in merge(E.folded_parts(spark, str(tmp_path / "w"), None)).collect()} == want

@@ -111,3 +111,21 @@ def test_dispatch(spark):
     for r in C.dispatch(spark.createDataFrame(files, "doc_id string, name string, text string")).collect():
         got.setdefault((r.doc_id, r.format), []).append(r.chunk)
     assert got == {("a", "md"): ["One is here. Two is here."], ("b", "chat"): ["[1]\n[2]"], ("c", "pdf"): ["Only text."], ("e", "csv"): ["1,2\n3,4"]}
+
+
+def test_semantic_boundaries(spark):
+    """Sentences with the same words stay together; the vector's signal alone parts those without."""
+    from strataloom.operators import chunking as C
+
+    a, b = "the red fox runs over the old hill", "market prices of corn were falling slowly today"
+    rows = spark.createDataFrame([(1, k, t) for k, t in enumerate((a, a + " again", b, b))], "doc_id long, pos int, sentence string")
+    scored = C.boundary_scores(rows.withColumn("v", C.bag_vector(F.col("sentence"))), "doc_id", "pos", "sentence", vec="v").orderBy("pos").collect()
+    plain = C.boundary_scores(rows, "doc_id", "pos", "sentence").orderBy("pos").collect()
+    signal = [x.boundary - y.boundary for x, y in zip(scored, plain)]
+    assert signal[0] == 0 and signal[1] < 0.05 and signal[2] > 0.15 and abs(signal[3]) < 1e-9
+    vector = spark.range(1).select(C.bag_vector(F.lit("A b a"), 8).alias("v"), C.bag_vector(F.lit(""), 8).alias("none")).first()
+    assert sorted(vector.v)[-1] >= 2 and sum(vector.v) == 3 and sum(vector.none) == 0
+    docs = spark.createDataFrame([(1, ". ".join([a.capitalize()] * 3 + [b.capitalize()] * 3) + ".", "x.txt")], "doc_id long, text string, name string")
+    with_words = C.signal_chunks(docs, "doc_id", "text", "name").collect()
+    without = C.signal_chunks(docs, "doc_id", "text", "name", vector=lambda t: F.array(F.lit(1.0))).collect()
+    assert len(with_words) >= len(without) >= 1
