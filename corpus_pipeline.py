@@ -5,6 +5,8 @@ Each stage works on the rows that the one before kept, written as Parquet and re
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from strataloom.llm import exact_dedup, minhash, packing, quality_rules, suffix_dedup
@@ -13,27 +15,53 @@ from strataloom.llm.queries import tokenizer_path
 
 NEAR_PERCENT = 80
 
+_left: list[Scratch] = []
+"""Folders with what stages that are done have left, their results among it."""
+
+
+def clearing(stage):
+    """A stage that first deletes what earlier ones have left, unless its rows come from there: by then the result before
+    it has been written elsewhere. Rows whose files cannot be told (cached ones) keep everything."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = spark._jvm.org.apache.hadoop.util.StringUtils.arrayToString(docs._jdf.inputFiles())
+        for scratch in [s for s in _left if read and s.folder.rpartition("/")[2] not in read]:
+            scratch.drop()
+            _left.remove(scratch)
+        with tidy() as made:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
+
 
+@clearing
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the weights are fitted to the documents given."""
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@clearing
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, the document with the smallest id."""
     return exact_dedup.keep_first(docs)
 
 
+@clearing
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked at a similarity of 0.8 or more, the document with the smallest id."""
     return minhash.keep_smallest(docs, link_percent=NEAR_PERCENT)
 
 
+@clearing
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with strings that occur more than once cut out of their texts."""
     return suffix_dedup.remove_repeats(docs)
 
 
+@clearing
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences and places."""
     return packing.best_fit_packing(docs, tokenizer_path("byte_bpe_50k.json"))
