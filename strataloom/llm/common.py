@@ -131,12 +131,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
 
 
 def join_present(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """Like ``join_groups``, without the rows that have no group; the other groups are merged at every size."""
+    """Like ``join_groups`` for one key, without the rows that have no group; the other groups are merged at every size.
+
+    The hot groups' keys, fewer than HOT_SHARE by arithmetic, part the rows by a filter that names them.
+    """
+    (key,) = keys
     hot = groups.where(F.col(size) * HOT_SHARE > F.lit(total))
     cold = groups.where(F.col(size) * HOT_SHARE <= F.lit(total))
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys)
+    warm = F.col(key).isin([r[0] for r in hot.select(key).collect()])
     columns = [*rows.columns, *[c for c in groups.columns if c not in keys]]
-    return rows.join(F.broadcast(hot), keys).select(*columns).unionByName(rest.select(*columns))
+    rest = rows.where(~warm).join(cold.hint("merge"), keys)
+    return rows.where(warm).join(F.broadcast(hot), keys).select(*columns).unionByName(rest.select(*columns))
 
 
 SIEVE_WORDS = 1 << 20
