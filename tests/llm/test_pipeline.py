@@ -55,3 +55,18 @@ def test_run_leaves_one_table(spark):
     before = tables()
     out = corpus_pipeline.run(spark, DATA)
     assert len(tables() - before) == 1 and out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_stages_clear_what_is_written(spark, tmp_path):
+    """A later stage deletes the tables of earlier ones whose result was written elsewhere, and none that it reads."""
+    import os
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    first = corpus_pipeline.exact(spark, docs, DATA)
+    kept = next(s for s in reversed(corpus_pipeline._left) if s.paths)
+    folder = kept.paths[0].removeprefix("file:")
+    n = first.count()
+    assert corpus_pipeline.near(spark, first, DATA).count() <= n and os.path.exists(folder)  # read from there
+    first.write.parquet(str(tmp_path / "exact"))
+    again = spark.read.parquet(str(tmp_path / "exact"))
+    assert corpus_pipeline.near(spark, again, DATA).count() <= n and not os.path.exists(folder) and again.count() == n
