@@ -35,8 +35,9 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return few[np.lexsort((ids[few], -scores[few]))][:k]
 
 
-def vector_search(rows: DataFrame, queries: DataFrame, k: int, floor: float = -2.0, exclude_self: bool = False, within: bool = False, earlier: bool = False) -> DataFrame:
-    """(query_id, id, score, rank): for each query vector the k rows with the largest cosine, at least ``floor``.
+def vector_search(rows: DataFrame, queries: DataFrame, k: int | None, floor: float = -2.0, exclude_self: bool = False, within: bool = False, earlier: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): for each query vector the k rows with the largest cosine, at least ``floor``; if k is None,
+    (query_id, id, score) of all rows at ``floor`` or above, unranked, so that no task has to sort a query's matches.
 
     ``rows`` and ``queries`` have id or query_id, and vec. With ``exclude_self`` a row's group (column ``grp`` on both
     sides) must differ; with ``within`` it must be the same, and the row another one; with ``earlier`` the row's id must
@@ -71,12 +72,15 @@ def vector_search(rows: DataFrame, queries: DataFrame, k: int, floor: float = -2
                     if earlier:
                         ok &= ids < q
                     where = np.flatnonzero(ok)
-                    where = where[best_of(row[where], ids[where], k)]
+                    if k is not None:
+                        where = where[best_of(row[where], ids[where], k)]
                     out.append((np.full(len(where), q), ids[where], row[where]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame(dict(zip(("query_id", "id", "score"), columns)))
 
     found = own.groupBy("_g", "_part", "_block").cogroup(asked.groupBy("_h", "_p", "_b")).applyInPandas(best, "query_id long, id long, score double")
+    if k is None:
+        return found
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

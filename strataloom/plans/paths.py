@@ -12,13 +12,20 @@ from strataloom.operators import retrieval as P
 from strataloom.plans.graphs import ranked_chunks
 from strataloom.plans.joins import ASKED
 from strataloom.plans.registry import CONTAINS, ENTITIES, VECTORS, Graph, query
-from strataloom.plans.vectors import CENTROIDS, COS, QUERY_STEP, asked, label_centers
+from strataloom.plans.vectors import CENTROIDS, COS, QUERY_STEP, asked, label_centers, routed
 from strataloom.sources.shared import cut
 
 EV = f"""{VECTORS}, {CONTAINS}, ev_parts AS (SELECT entity_id, pos, avg(vec[pos]) AS x FROM contains_ JOIN vectors ON chunk_id = id, range(1, 65) t(pos) GROUP BY 1, 2), ev_mean AS (SELECT entity_id, list(x ORDER BY pos) AS m FROM ev_parts GROUP BY 1),
     ev AS (SELECT entity_id AS id, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS vec FROM ev_mean), q AS (SELECT id AS query_id, vec FROM vectors WHERE id % {QUERY_STEP} = 0)"""
+CENTERS = CENTROIDS.removeprefix(f"{VECTORS}, ")
+AWARE = f"""{EV}, b AS (SELECT c.chunk_id, exp(list_inner_product(e.vec, v.vec) / 8.0) AS e, e.vec AS k, v.vec AS own FROM contains_ c JOIN ev e ON e.id = c.entity_id JOIN vectors v ON v.id = c.chunk_id),
+    z AS (SELECT chunk_id, pos, 0.65 * any_value(own[pos]) + 0.35 * sum(e * k[pos]) / sum(e) AS x FROM b, range(1, 65) t(pos) GROUP BY 1, 2), n AS (SELECT chunk_id, list(x ORDER BY pos) AS x FROM z GROUP BY 1),
+    aware AS (SELECT v.id, coalesce(x, v.vec) AS vec FROM vectors v LEFT JOIN n ON chunk_id = id)"""
 FOUND = f"s AS (SELECT query_id, v.id AS entity_id, {COS} AS score FROM q, ev v), near AS (SELECT query_id, entity_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM s QUALIFY rank <= {{k}})"
 
+LEVEL = "CASE WHEN n >= 6 THEN 'document' WHEN n >= 4 THEN 'section' WHEN n >= 2 THEN 'paragraph' ELSE 'sentence' END"
+"""A chunk's level by its number of entities, n."""
+
 
 def parts(spark, d):
     g = Graph(spark, d)
@@ -43,7 +50,7 @@ def ret_3_graph_path(spark, d):
 def agg_21_graph_scores(spark, d):
     """Per query and chunk the mean cosine of the entities that match."""
     g, entities, queries = parts(spark, d)
-    found = P.entity_search(entities, queries, 1 << 20).where("score >= 0.2").select("query_id", "entity_id", "score")
+    found = R.vector_search(entities, queries.select("query_id", "vec"), None, floor=0.2).withColumnRenamed("id", "entity_id")
     return found.join(g.contains(), "entity_id").groupBy("query_id", "chunk_id").agg(F.round(F.avg("score"), 9).alias("score"), F.count(F.lit(1)).alias("matches"))
 
 
@@ -86,13 +93,13 @@ def ret_8_entity_first(spark, d):
 
 
 def all_paths(spark, d):
-    """(query_id, path, chunk_id, rank) of every path for every asked vector."""
+    """The graph, the asked vectors, the graph-aware view, and (query_id, path, chunk_id, rank) of every path for every asked vector."""
     g, entities, queries = parts(spark, d)
     plain = queries.select("query_id", "vec")
     named_as = lambda rows, path: rows.select("query_id", F.lit(path).alias("path"), "chunk_id", "rank")
     view = lambda rows: R.vector_search(rows, plain, 30).withColumnRenamed("id", "chunk_id")
     short = g.vectors().select("id", F.concat(F.slice("vec", 1, 32), F.array_repeat(F.lit(0.0).cast("float"), 32)).alias("vec"))  # the summary view
-    aware = graph_aware(g, entities)
+    aware = cut(graph_aware(g, entities))
     centers = label_centers(g)
     near = R.vector_search(centers.select(F.col("query_id").alias("id"), "vec"), plain, 1).select("query_id", F.col("id").alias("grp"))
     members = near.join(g.vectors().select(F.col("id").alias("chunk_id"), F.col("grp").cast("long").alias("grp")), "grp")
@@ -109,7 +116,7 @@ def all_paths(spark, d):
     ]
     for rows in out[1:]:
         out[0] = out[0].unionByName(rows)
-    return g, queries, out[0]
+    return g, queries, aware, out[0]
 
 
 def graph_aware(g, entities):
@@ -123,9 +130,7 @@ def graph_aware(g, entities):
     return both.select("id", F.coalesce(V.unit(F.col("v")), V.doubles(F.col("vec"))).alias("vec"))
 
 
-@query(f"""WITH {EV}, b AS (SELECT c.chunk_id, exp(list_inner_product(e.vec, v.vec) / 8.0) AS e, e.vec AS k, v.vec AS own FROM contains_ c JOIN ev e ON e.id = c.entity_id JOIN vectors v ON v.id = c.chunk_id),
-    z AS (SELECT chunk_id, pos, 0.65 * any_value(own[pos]) + 0.35 * sum(e * k[pos]) / sum(e) AS x FROM b, range(1, 65) t(pos) GROUP BY 1, 2), n AS (SELECT chunk_id, list(x ORDER BY pos) AS x FROM z GROUP BY 1)
-    SELECT v.id, round(coalesce(x[1] / sqrt(list_inner_product(x, x)), v.vec[1]), 4) + 0.0 AS first, round(coalesce(x[64] / sqrt(list_inner_product(x, x)), v.vec[64]), 4) + 0.0 AS last FROM vectors v LEFT JOIN n ON chunk_id = id""")
+@query(f"""WITH {AWARE} SELECT v.id, round(coalesce(x[1] / sqrt(list_inner_product(x, x)), v.vec[1]), 4) + 0.0 AS first, round(coalesce(x[64] / sqrt(list_inner_product(x, x)), v.vec[64]), 4) + 0.0 AS last FROM vectors v LEFT JOIN n ON chunk_id = id""")
 def grf_10_refined_vectors(spark, d):
     """Every chunk's vector refined by the vectors of the entities in it."""
     g, entities, _ = parts(spark, d)
@@ -135,23 +140,40 @@ def grf_10_refined_vectors(spark, d):
 INTENTS = tuple(P.STRATEGY)
 
 
+def payload(g, aware):
+    """What a store keeps beside a chunk's vector: its payload columns, n and level by its entities, the agreement of its dense and
+    graph-aware views, its reward by the closeness to its label, its source's share of chunks with entities, and keep (has one)."""
+    counts = g.contains().groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    chunks = g.chunks().join(counts, "chunk_id", "left").withColumn("keep", F.col("n").isNotNull()).withColumn("n", F.coalesce("n", F.lit(0)))
+    quality = chunks.groupBy("source").agg(F.avg(F.col("keep").cast("double")).alias("source_quality"))
+    views = g.vectors().join(aware.select("id", F.col("vec").alias("aware")), "id").join(label_centers(g).select(F.col("query_id").alias("grp"), F.col("vec").alias("center")), "grp")
+    views = views.select("id", F.round(V.cosine(F.col("vec"), F.col("aware")), 4).alias("consistency"), F.round(S.domain_reward(V.cosine(F.col("vec"), F.col("center"))), 6).alias("reward"))
+    return views.join(chunks.withColumnRenamed("chunk_id", "id"), "id").join(quality, "source").withColumn("level", F.expr(LEVEL))
+
+
+def intents_of(g, queries):
+    """(query_id, intent) by the router: a question that the guards refuse has no results, one about the whole corpus asks for a
+    summary, any other has the intent of its nearest label (labels in turn). The floors are left to the router's report: they
+    suit an embedding model, and the vectors at hand would all lie below them."""
+    names = F.array(*map(F.lit, INTENTS))
+    intent = F.when(F.col("guard") == "global", "summarization").otherwise(F.element_at(names, (F.col("label") % len(INTENTS) + 1).cast("int")))
+    routes = routed(g, queries.select(F.col("query_id").alias("id"), "vec")).where("guard is null or guard <> 'out_of_domain'")
+    return routes.select(F.col("id").alias("query_id"), intent.alias("intent"))
+
+
 @query()
 def ret_9_multi_path(spark, d):
-    """All paths that a question's intent uses, fused; the intent is the question's nearest label."""
-    g, queries, paths = all_paths(spark, d)
-    intents = queries.select("query_id", F.element_at(F.array(*map(F.lit, INTENTS)), (F.col("grp") % len(INTENTS) + 1).cast("int")).alias("intent"))
-    level = F.element_at(F.array(*map(F.lit, ("sentence", "paragraph", "section", "document"))), (F.col("chunk_id") % 4 + 1).cast("int"))
-    price = (F.col("price") % 100) / 100
-    chunks = g.chunks().select("chunk_id", price.alias("consistency"), level.alias("level"), F.lit(1.0).alias("reward"), (F.col("price") > 0).alias("keep"))
-    return P.multi_path(paths, intents, chunks).withColumn("paths", F.array_join("paths", ","))
+    """All paths that a question's intent uses, fused."""
+    g, queries, aware, paths = all_paths(spark, d)
+    chunks = payload(g, aware).select(F.col("id").alias("chunk_id"), "consistency", "level", "reward", "keep")
+    return P.multi_path(paths, intents_of(g, queries), chunks).withColumn("paths", F.array_join("paths", ","))
 
 
-@query(f"""WITH {EV}, s AS (SELECT query_id, v.id, {COS} AS score FROM q, vectors v) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 15""")
+@query(f"""WITH {AWARE}, s AS (SELECT query_id, v.id, {COS} AS score FROM q, aware v) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 15""")
 def act_4_graph_aware_search(spark, d):
-    """The graph-aware view where a store has one, else the dense view: this one has none written, so the dense view answers."""
-    g, _, queries = parts(spark, d)
-    views = g.vectors().withColumn("graph_aware", F.lit(None).cast("array<float>"))
-    return R.vector_search(views.select("id", F.coalesce("graph_aware", "vec").alias("vec")), queries.select("query_id", "vec"), 15)
+    """The view that is drawn towards a chunk's entities, where it has any, else its dense view."""
+    g, entities, queries = parts(spark, d)
+    return R.vector_search(graph_aware(g, entities), queries.select("query_id", "vec"), 15)
 
 
 @query()
@@ -188,29 +210,69 @@ def act_7_rerank(spark, d):
     return G.top_per(two_stages(Graph(spark, d)).select("query_id", "id", F.col("s2").alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], 8)
 
 
-@query(f"""WITH {STAGE}, m AS (SELECT query_id, avg(s1) AS top FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s1 DESC, id) AS r FROM two) WHERE r <= 5 GROUP BY 1)
-    SELECT query_id, id, round(CASE WHEN top >= 0.35 THEN s1 ELSE 0.4 * s1 + 0.3 * s2 + 0.3 * s2 END, 6) AS final FROM two JOIN m USING (query_id)""")
+@query(f"""WITH {AWARE}, {STAGE.removeprefix(f"{VECTORS}, ")}, three AS (SELECT t.query_id, t.id, s1, s2, CASE WHEN id IN (SELECT chunk_id FROM contains_) THEN {COS} END AS s3 FROM two t JOIN centers q USING (query_id) JOIN aware v USING (id)),
+    m AS (SELECT query_id, avg(s1) AS top FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s1 DESC, id) AS r FROM two) WHERE r <= 5 GROUP BY 1)
+    SELECT query_id, id, round(CASE WHEN top >= 0.35 THEN s1 ELSE 0.4 * s1 + 0.3 * s2 + 0.3 * coalesce(s3, s2) END, 6) AS final FROM three JOIN m USING (query_id)""")
 def rrk_4_staged_rerank(spark, d):
-    """Three stages with an early exit: where the first stage's best five are good enough, its scores stand. Without a judge
-    the second stage stands in for the third."""
-    rows = two_stages(Graph(spark, d))
+    """Three stages with an early exit: where the first stage's best five are good enough, its scores stand. The third stage is
+    the cosine of the graph-aware view; for chunks without entities, which have none, the second stands in for it."""
+    g, entities, _ = parts(spark, d)
+    rows = two_stages(g)
     sure = rows.where("rank <= 5").groupBy("query_id").agg(F.avg("s1").alias("top"))
-    final = F.when(F.col("top") >= 0.35, F.col("s1")).otherwise(0.4 * F.col("s1") + 0.3 * F.col("s2") + 0.3 * F.coalesce(F.lit(None).cast("double"), F.col("s2")))
+    seen = graph_aware(g, entities).select("id", "vec").join(g.contains().select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi")
+    rows = rows.join(label_centers(g).select("query_id", F.col("vec").alias("q")), "query_id").join(seen, "id", "left")
+    s3 = F.coalesce(F.round(V.cosine(F.col("q"), F.col("vec")), 4), F.col("s2"))
+    final = F.when(F.col("top") >= 0.35, F.col("s1")).otherwise(0.4 * F.col("s1") + 0.3 * F.col("s2") + 0.3 * F.when(F.col("vec").isNull(), F.col("s2")).otherwise(s3))
     return rows.join(sure, "query_id").select("query_id", "id", F.round(final, 6).alias("final"))
 
 
-@query(f"""WITH {STAGE}, {CONTAINS}, m AS (SELECT t.*, coalesce(k.n, 0) AS n, o_totalprice AS price, CAST(o_orderdate AS DATE) AS day FROM two t JOIN orders ON o_orderkey = t.id LEFT JOIN (SELECT chunk_id, count(*) AS n FROM contains_ GROUP BY 1) k ON chunk_id = t.id),
-    f AS (SELECT query_id, id, s2, 0.25 * s2 + 0.10 * s1 + 0.20 * s2 + 0.10 * (price % 100) / 100 + 0.05 * 1.0 + 0.15 * least(1.0, n / 5.0) + 0.05 * 1.0 + 0.03 * greatest(0.3, pow(0.5, greatest(date_diff('day', day, DATE '1999-12-31'), 0) / 365.0)) + 0.04 * 1.0 + 0.01 * 1.0 + 0.02 * 1.0 AS l2r FROM m)
+def two_views(g, aware, k=50):
+    """The k closest chunks of each label in the dense and in the graph-aware view: query_id, id, the path that found it, and the
+    cosines of the dense (s1), summary (s2) and graph-aware (s3) view."""
+    centers = label_centers(g)
+    found = lambda rows, path: R.vector_search(rows, centers, k).select("query_id", "id", F.lit(path).alias("path"))
+    once = found(g.vectors(), "original:dense").unionByName(found(aware, "original:graph_aware")).groupBy("query_id", "id").agg(F.max("path").alias("path"))
+    rows = once.join(g.vectors().select("id", "vec"), "id").join(aware.select("id", F.col("vec").alias("aware")), "id").join(centers.select("query_id", F.col("vec").alias("q")), "query_id")
+    cosine = lambda a, b: F.round(V.cosine(a, b), 4)
+    half = lambda c: F.slice(c, 1, 32)
+    return rows.select("query_id", "id", "path", cosine(F.col("q"), F.col("vec")).alias("s1"), cosine(half("q"), half("vec")).alias("s2"), cosine(F.col("q"), F.col("aware")).alias("s3"))
+
+
+def asks(g):
+    """What a label asks for: (query_id, entity_id) its five most frequent entities, and (query_id, wanted) its most frequent format."""
+    members = g.vectors().select(F.col("id").alias("chunk_id"), F.col("grp").cast("long").alias("query_id"))
+    count = lambda rows, column: rows.groupBy("query_id", column).agg(F.count(F.lit(1)).alias("m"))
+    named = G.top_per(count(members.join(g.contains(), "chunk_id"), "entity_id"), ["query_id"], [F.desc("m"), F.asc("entity_id")], 5)
+    formats = G.top_per(count(members.join(g.chunks(), "chunk_id"), "format"), ["query_id"], [F.desc("m"), F.asc("format")], 1)
+    return named.select("query_id", "entity_id"), formats.select("query_id", F.col("format").alias("wanted"))
+
+
+@query(f"""WITH {AWARE}, {CENTERS}, found AS (SELECT query_id, id, 'original:dense' AS path FROM (SELECT query_id, v.id, {COS} AS s FROM centers q, vectors v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, v.id) <= 50)
+        UNION ALL SELECT query_id, id, 'original:graph_aware' FROM (SELECT query_id, v.id, {COS} AS s FROM centers q, aware v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, v.id) <= 50)), once AS (SELECT query_id, id, max(path) AS path FROM found GROUP BY 1, 2),
+    c AS (SELECT o.query_id, o.id, path, {COS} AS s1, {COS.replace(".vec", ".vec[1:32]")} AS s2, {COS.replace("v.vec", "a.vec")} AS s3, {COS.replace("q.vec", "a.vec")} AS consistency FROM once o JOIN centers q USING (query_id) JOIN vectors v USING (id) JOIN aware a USING (id)),
+    sized AS (SELECT chunk_id, count(*) AS n FROM contains_ GROUP BY 1), quality AS (SELECT c_mktsegment AS source, count(n) / count(*) AS source_quality FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN sized ON chunk_id = o_orderkey GROUP BY 1),
+    named AS (SELECT grp AS query_id, entity_id FROM vectors JOIN contains_ ON chunk_id = id GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, entity_id) <= 5),
+    wanted AS (SELECT grp AS query_id, o_orderstatus AS wanted FROM vectors JOIN orders ON o_orderkey = id GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, o_orderstatus) = 1),
+    many AS (SELECT query_id, count(*) AS many FROM named GROUP BY 1), hits AS (SELECT query_id, chunk_id AS id, count(*) AS hits FROM named JOIN contains_ USING (entity_id) GROUP BY 1, 2),
+    f AS (SELECT c.query_id, c.id, s2, 0.25 * s2 + 0.10 * s1 + 0.20 * s3 + 0.10 * consistency + 0.05 * CASE {LEVEL.replace("n >=", "coalesce(n, 0) >=")} WHEN 'sentence' THEN 0.8 WHEN 'section' THEN 1.1 WHEN 'document' THEN 0.7 ELSE 1.0 END
+        + 0.15 * CASE WHEN many IS NULL THEN 0.5 ELSE coalesce(hits, 0) / many END + 0.05 * 1.0 + 0.03 * greatest(0.3, pow(0.5, greatest(date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-12-31'), 0) / 365.0))
+        + 0.04 * CASE WHEN path = 'original:graph_aware' THEN 1.0 ELSE 0.6 END + 0.01 * CASE WHEN wanted IS NULL OR wanted = o_orderstatus THEN 1.0 ELSE 0.5 END + 0.02 * source_quality AS l2r
+        FROM c JOIN orders ON o_orderkey = c.id JOIN customer ON o_custkey = c_custkey JOIN quality ON source = c_mktsegment LEFT JOIN sized k ON k.chunk_id = c.id LEFT JOIN many USING (query_id) LEFT JOIN hits USING (query_id, id) LEFT JOIN wanted USING (query_id))
     SELECT query_id, id, round(0.4 * s2 + 0.6 * l2r, 6) AS final FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id) <= 10""")
 def rrk_5_learned_rerank(spark, d):
-    """All eleven features: cosines of both views, consistency, matches, recency and the fixed ones of a store with one level and path."""
-    g = Graph(spark, d)
-    counts = g.contains().groupBy(F.col("chunk_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    rows = two_stages(g).join(g.chunks().withColumnRenamed("chunk_id", "id"), "id").join(counts, "id", "left")
+    """All eleven features of the chunks that two views find for a label: cosines of three views, agreement of the views, level by
+    the number of entities, entities and format that the label asks for, age, path, and the share of its source's chunks
+    with entities. The confidence of a path is 1, as no path states one."""
+    g, entities, _ = parts(spark, d)
+    aware = cut(graph_aware(g, entities))
+    named, formats = asks(g)
+    hits = named.join(g.contains(), "entity_id").groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.count(F.lit(1)).alias("hits"))
+    rows = two_views(g, aware).join(payload(g, aware), "id").join(named.groupBy("query_id").agg(F.count(F.lit(1)).alias("many")), "query_id", "left").join(hits, ["query_id", "id"], "left").join(formats, "query_id", "left")
     features = {
-        "stage2_score": F.col("s2"), "cosine_dense": F.col("s1"), "cosine_graph_aware": F.col("s2"), "consistency_score": (F.col("price") % 100) / 100, "chunk_level_factor": S.level_factor(F.lit("paragraph")),
-        "entity_match_count_norm": F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / 5.0), "path_confidence": F.lit(1.0), "recency_score": S.recency(F.lit("1999-12-31").cast("date"), F.to_date("created")),
-        "retrieval_path_weight": S.surfaced_weight(F.lit("graph_aware")), "format_match_score": F.lit(1.0), "source_quality_score": F.lit(1.0),
+        "stage2_score": F.col("s2"), "cosine_dense": F.col("s1"), "cosine_graph_aware": F.col("s3"), "consistency_score": F.col("consistency"), "chunk_level_factor": S.level_factor(F.col("level")),
+        "entity_match_count_norm": F.when(F.col("many").isNull(), 0.5).otherwise(F.coalesce("hits", F.lit(0)) / F.col("many")), "path_confidence": F.lit(1.0),
+        "recency_score": S.recency(F.lit("1999-12-31").cast("date"), F.to_date("created")), "retrieval_path_weight": S.surfaced_weight(F.col("path")),
+        "format_match_score": F.when(F.col("wanted").isNull() | (F.col("wanted") == F.col("format")), 1.0).otherwise(0.5), "source_quality_score": F.col("source_quality"),
     }
     final = rows.select("query_id", "id", F.round(S.final_score(F.col("s2"), S.rerank_score(features)), 6).alias("final"))
     return G.top_per(final, ["query_id"], [F.desc("final"), F.asc("id")], 10).select("query_id", "id", "final")

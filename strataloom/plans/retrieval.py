@@ -201,13 +201,6 @@ def val_5_verdict(spark, d):
     return rows.select("l_orderkey", F.round("c", 6).alias("cited"), passed.alias("citation_pass"), "entity_pass", F.round(S.confidence(F.col("grounded"), F.col("entity_pass"), passed), 6).alias("confidence"))
 
 
-@query("SELECT c_custkey, r_name AS community FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'MACHINERY'")
-def act_8_expand_community(spark, d):
-    homes = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    members = table(spark, d, "customer").where("c_mktsegment = 'MACHINERY'")
-    return members.join(homes, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("community"))
-
-
 @query("""WITH c AS (SELECT item_id, unnest(list_slice(list_distinct(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[A-Z][a-z]+$') AND length(w) > 2)), 1, 1000)) AS w FROM benchmark),
     known AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents) SELECT item_id, count(*) AS candidates, count(known.w) AS found, count(known.w) * 2 >= count(*) AS supported FROM c LEFT JOIN known USING (w) GROUP BY 1""")
 def act_10_verify_facts(spark, d):

@@ -11,6 +11,7 @@ from strataloom.functions import text as X
 from strataloom.operators import chunking as C
 from strataloom.operators import graph as G
 from strataloom.operators import retrieval as P
+from strataloom.plans.joins import ASKED
 from strataloom.plans.paths import EV
 from strataloom.plans.registry import CONTAINS, ENTITIES, VECTORS, Graph, query, table
 from strataloom.sources import files
@@ -135,7 +136,11 @@ def grf_8_alias_audit(spark, d):
     SELECT type, entities, chunks FROM e JOIN c USING (type)""")
 def svc_2_summary_context(spark, d):
     """What a community's summary is written from: its 15 most connected entities and the five chunks with most of them."""
-    g = Graph(spark, d)
+    return summary_context(Graph(spark, d))
+
+
+def summary_context(g):
+    """(type, entities, chunks) of every community."""
     named = g.contains().join(g.entities(), "entity_id")
     deg = G.top_per(named.groupBy("type", "entity_id", "name").agg(F.count(F.lit(1)).alias("n")), ["type"], [F.desc("n"), F.asc("entity_id")], 15)
     hits = G.top_per(named.groupBy("type", "chunk_id").agg(F.count(F.lit(1)).alias("m")), ["type"], [F.desc("m"), F.asc("chunk_id")], 5)
@@ -176,3 +181,19 @@ def chk_4_topic_groups(spark, d):
 @query()
 def fn_25_temporal_intent(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", S.temporal_intent(F.col("text")).alias("t")).select("conv_id", "turn", "t.*")
+
+
+@query(f"""WITH {CONTAINS}, {ENTITIES}, deg AS (SELECT type, entity_id, name, count(*) AS n FROM contains_ JOIN entities USING (entity_id) GROUP BY 1, 2, 3), e AS (SELECT type, string_agg(name, ', ' ORDER BY n DESC, entity_id) AS entities FROM (SELECT * FROM deg QUALIFY row_number() OVER (PARTITION BY type ORDER BY n DESC, entity_id) <= 15) GROUP BY 1),
+    size AS (SELECT type, count(*) AS member_count FROM entities GROUP BY 1), asked(name) AS (SELECT unnest({list(ASKED)})), hit AS (SELECT DISTINCT a.name AS asked, type FROM asked a JOIN entities e ON contains(lower(e.name), lower(a.name)) OR lower(regexp_replace(e.name, '[ _]+', '', 'g')) = lower(regexp_replace(a.name, '[ _]+', '', 'g')))
+    SELECT asked, type AS community, 0 AS level, member_count, substr(entities, 1, 300) AS summary FROM hit JOIN size USING (type) JOIN e USING (type) QUALIFY row_number() OVER (PARTITION BY asked ORDER BY member_count DESC, type) <= 5""")
+def act_8_expand_community(spark, d):
+    """The communities of the entities that a question names, five of each name, largest first: members, and the first 300
+    characters of what the summary is written from."""
+    g = Graph(spark, d)
+    asked = F.broadcast(spark.createDataFrame([(n,) for n in ASKED], "asked string"))  # the names of one question
+    norm = lambda c: F.lower(F.regexp_replace(c, "[ _]+", ""))
+    named = F.lower("name").contains(F.lower("asked")) | (norm("name") == norm("asked"))
+    hit = g.entities().join(asked, named).select("asked", "type").distinct()
+    sizes = g.entities().groupBy("type").agg(F.count(F.lit(1)).alias("member_count"))
+    rows = G.top_per(hit.join(sizes, "type"), ["asked"], [F.desc("member_count"), F.asc("type")], 5)
+    return rows.join(summary_context(g), "type").select("asked", F.col("type").alias("community"), F.lit(0).alias("level"), "member_count", F.substring("entities", 1, 300).alias("summary"))

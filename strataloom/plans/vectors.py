@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataloom.functions import score as S
+from strataloom.functions import text as X
 from strataloom.functions import vector as V
 from strataloom.operators import graph as G
 from strataloom.operators import ranking as R
 from strataloom.operators import vector_index as I
 from strataloom.plans.registry import CONTAINS, VECTORS, Graph, query
+from strataloom.plans.texts import any_sql
 
 QUERY_STEP = 20
 """Searches take every vector whose id this divides as a query, against all vectors."""
@@ -59,19 +61,29 @@ def agg_4_weighted_centroids(spark, d):
     return rows.select("grp", F.round(F.element_at("vec", 1), 4).alias("first"), F.round(F.element_at("vec", -1), 4).alias("last"))
 
 
-def nearest(g, to):
-    """(id, query_id, score): for each vector the nearest of some named vectors (query_id, vec), the smaller name of equals."""
-    found = R.vector_search(to.select(F.col("query_id").alias("id"), "vec"), g.vectors().select(F.col("id").alias("query_id"), "vec"), 1)
+def nearest(vectors, to):
+    """(id, query_id, score): for each vector (id, vec) the nearest of some named vectors (query_id, vec), the smaller name of equals."""
+    found = R.vector_search(to.select(F.col("query_id").alias("id"), "vec"), vectors.select(F.col("id").alias("query_id"), "vec"), 1)
     return found.select(F.col("query_id").alias("id"), F.col("id").alias("query_id"), "score")
 
 
-@query(f"""WITH {CENTROIDS}, s AS (SELECT v.id, q.query_id AS label, {COS} AS score FROM centers q, vectors v QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY score DESC, label) = 1)
-    SELECT id, label, score, CASE WHEN score < 0.40 THEN 'out_of_domain' WHEN score < 0.45 THEN 'factual' ELSE 'label' END AS route FROM s""")
+def routed(g, vectors):
+    """(id, label, score, route, guard) of vectors (id, vec): the guards on a question's text first (the document of the same id), then
+    its nearest centroid; below the floors it is out of the domain, or a plain question."""
+    best = nearest(vectors, label_centers(g))
+    texts = g.read("documents").groupBy(F.col("doc_id").alias("id")).agg(F.max(X.out_of_domain(F.col("text"))).alias("ood"), F.max(X.corpus_wide(F.col("text"))).alias("wide"))
+    guard = F.when(F.col("ood"), "out_of_domain").when(F.col("wide"), "global")
+    floors = F.when(F.col("score") < 0.40, "out_of_domain").when(F.col("score") < 0.45, "factual").otherwise("label")
+    return best.join(texts, "id", "left").select("id", F.col("query_id").alias("label"), "score", F.coalesce(guard, floors).alias("route"), guard.alias("guard"))
+
+
+@query(f"""WITH {CENTROIDS}, s AS (SELECT v.id, q.query_id AS label, {COS} AS score FROM centers q, vectors v QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY score DESC, label) = 1),
+    t AS (SELECT doc_id AS id, bool_or({any_sql("text", X.OUT_OF_DOMAIN)}) AS ood, bool_or({any_sql("text", X.CORPUS_WIDE)}) AS wide FROM documents GROUP BY 1)
+    SELECT id, label, score, CASE WHEN ood THEN 'out_of_domain' WHEN wide THEN 'global' WHEN score < 0.40 THEN 'out_of_domain' WHEN score < 0.45 THEN 'factual' ELSE 'label' END AS route FROM s LEFT JOIN t USING (id)""")
 def qry_1_router(spark, d):
-    """The intent of each vector by its nearest centroid; below the floors it is out of the domain, or a plain question."""
-    best = nearest(Graph(spark, d), label_centers(Graph(spark, d)))
-    route = F.when(F.col("score") < 0.40, "out_of_domain").when(F.col("score") < 0.45, "factual").otherwise("label")
-    return best.select("id", F.col("query_id").alias("label"), "score", route.alias("route"))
+    """The route of each vector: guards, then centroids."""
+    g = Graph(spark, d)
+    return routed(g, g.vectors().select("id", "vec")).drop("guard")
 
 
 @query(f"""WITH {VECTORS}, s AS (SELECT q.id AS query_id, v.id, {COS} AS score FROM vectors q JOIN vectors v ON q.grp <> v.grp)
@@ -152,7 +164,7 @@ def top_3_multi_view_fusion(spark, d):
     SELECT grp, round(avg(CASE WHEN c >= 0.60 THEN 1.0 WHEN c <= 0.40 THEN 0.0 ELSE (c - 0.40) / 0.20 END), 6) AS grounded FROM best JOIN vectors USING (id) GROUP BY 1""")
 def val_1_grounding(spark, d):
     g = Graph(spark, d)
-    best = nearest(g, label_centers(g)).select("id", "score").join(g.vectors().select("id", "grp"), "id")
+    best = nearest(g.vectors().select("id", "vec"), label_centers(g)).select("id", "score").join(g.vectors().select("id", "grp"), "id")
     return best.groupBy("grp").agg(F.round(F.avg(S.grounding_credit(F.col("score"))), 6).alias("grounded"))
 
 

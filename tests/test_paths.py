@@ -146,3 +146,57 @@ def test_percentiles_with_outliers(spark, monkeypatch):
     assert check() == want
     monkeypatch.setattr(R.F, "percentile_approx", lambda *a: F.array(*[F.lit(0.25)] * 6))  # brackets that hold no place
     assert check() == want
+
+
+def test_all_rows_above_a_floor(small):
+    found = {(r.query_id, r.id): r.score for r in R.vector_search(small["v"], small["q"], None, floor=0.1).collect()}
+    want = cosines(list(small["queries"].values()), list(small["vectors"].values()))
+    assert found == {(q, v): want[q, v] for q in range(3) for v in range(40) if want[q, v] >= 0.1}
+    with_ties = small["v"].unionByName(small["v"].withColumn("id", F.col("id") + 100))
+    assert R.vector_search(with_ties, small["q"], None, floor=0.1).count() == 2 * len(found)
+    assert R.vector_search(small["v"], small["q"], None, floor=1.5).count() == 0 and R.vector_search(small["v"].limit(0), small["q"], None).count() == 0
+
+
+def test_paths_fused_by_intent(spark):
+    """The fused result of all asked vectors against plain Python over the paths' own results."""
+    from strataloom.functions import score as S
+    from strataloom.plans import paths as Q
+
+    data = "/root/testdata/sf0.001"
+    g, queries, aware, found = Q.all_paths(spark, data)
+    intents = {r.query_id: r.intent for r in Q.intents_of(g, queries).collect()}
+    chunks = {r.id: r for r in Q.payload(g, aware).collect()}
+    levels = {r.level for r in chunks.values()}
+    assert levels <= set(S.LEVEL_FACTORS) and len(levels) > 1 and len(set(intents.values())) > 1
+    sums, by = {}, {}
+    for r in found.collect():
+        views, graph, community, pivot, _ = P.STRATEGY[intents[r.query_id]]
+        head, _, view = r.path.partition(":")
+        used = view in views if view else {"graph": graph, "community": community, "entity_pivot": pivot}.get(head, True)
+        c = chunks.get(r.chunk_id)
+        if used and c is not None and c.keep:
+            agreed = 1.2 if c.consistency >= 0.85 else 1.0 if c.consistency >= 0.6 else 0.8
+            weight = S.PATH_WEIGHTS[head] * (S.GRAPH_SCALE if head in S.GRAPH_PATHS else 1.0) * agreed * S.LEVEL_FACTORS[c.level] * c.reward
+            key = r.query_id, r.chunk_id
+            sums[key] = sums.get(key, 0.0) + weight / (S.RRF_K + r.rank)
+            by.setdefault(key, set()).add(head)
+    want = {}
+    for q, intent in intents.items():
+        best = sorted((k for k in sums if k[0] == q), key=lambda k: (-round(sums[k], 9), k[1]))
+        want |= {k: (round(sums[k], 9), ",".join(sorted(by[k])), n) for n, k in enumerate(best[: 50 * P.STRATEGY[intent][4]], 1)}
+    got = {(r.query_id, r.chunk_id): (round(r.rrf, 9), r.paths, r["rank"]) for r in Q.ret_9_multi_path(spark, data).collect()}
+    assert got and got.keys() == want.keys()
+    for key, (rrf, paths, _) in got.items():
+        assert abs(rrf - want[key][0]) < 2e-9 and paths == want[key][1]
+
+
+def test_router_guards(spark, tmp_path):
+    """The guards come before the centroids, whatever the vector; a text that is missing has no guard."""
+    from strataloom.plans import vectors as W
+
+    rows = [(0, [1.0, 0.0], 0), (1, [0.9, 0.1], 0), (2, [0.0, 1.0], 1), (3, [-1.0, -1.0], 1)] + [(k, [0.0, 1.0], 1) for k in (4, 5, 6)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    texts = [(0, "How is the weather?"), (1, "The main themes of all."), (2, None), (4, "A plain question."), (4, "Which football team?"), (None, "weather")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: (r.label, r.route) for r in W.qry_1_router(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, "out_of_domain"), 1: (0, "global"), 2: (1, "label"), 3: (1, "out_of_domain"), 4: (1, "out_of_domain"), 5: (1, "label"), 6: (1, "label")}
