@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import score as S
 from strataloom.functions import text as X
 from strataloom.functions import vector as V
-from strataloom.sources.files import format_of
+from strataloom.sources.files import file_messages, file_rows, format_of
 
 # Weights of the boundary signals.
 SIGNALS = {"semantic": 0.30, "discourse": 0.20, "entities": 0.25, "structure": 0.15, "mode": 0.10}
@@ -135,12 +135,37 @@ CHUNKERS: dict = {}
 (doc_id, k, chunk)."""
 
 
-def dispatch(files: DataFrame) -> DataFrame:
-    """(doc_id, format, k, chunk) of (doc_id, name, text): each format by its own chunker; texts by boundary signals."""
+def csv_chunks(files: DataFrame, per_chunk: int = 20) -> DataFrame:
+    """(doc_id, k, chunk) of tables in text (doc_id, name, text): groups of rows as markdown, the header repeated in each."""
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), " | "), F.lit(" |"))
+    rows = file_rows(files).select("doc_id", F.floor(F.col("k") / per_chunk).cast("int").alias("g"), "k", line(F.col("cells")).alias("line"), F.when(F.col("k") % per_chunk == 0, F.col("header")).alias("header"))
+    grouped = rows.groupBy("doc_id", "g").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.max("header").alias("header"), F.array_sort(F.collect_list(F.struct("k", "line"))).getField("line").alias("lines"))
+    title = F.concat(F.lit("[Sheet: Sheet1, rows "), (F.col("a") + 1).cast("string"), F.lit("-"), (F.col("b") + 1).cast("string"), F.lit("]"))
+    head = F.when(F.size("header") > 0, F.concat(line(F.col("header")), F.lit("\n"), line(F.transform("header", lambda _: F.lit("---")))))
+    return grouped.select("doc_id", F.col("g").alias("k"), F.concat_ws("\n", title, head, F.array_join("lines", "\n")).alias("chunk"))
+
+
+def message_chunks(files: DataFrame, size: int = 2) -> DataFrame:
+    """(doc_id, k, chunk) of chat exports (doc_id, text): windows of messages of a thread by time, which do not overlap;
+    threads in the order of their first message, messages of one time in the order of the file."""
+    thread = Window.partitionBy("doc_id", "thread_id")
+    stamp = F.when(F.col("timestamp") != "", F.concat(F.lit("["), "timestamp", F.lit("] "))).otherwise("")
+    rows = file_messages(files).withColumn("w", F.floor((F.row_number().over(thread.orderBy("timestamp", "pos")) - 1) / size)).withColumn("start", F.min("pos").over(thread))
+    rows = rows.withColumn("line", F.struct("timestamp", "pos", F.concat(stamp, "role", F.lit(": "), "content").alias("line")))
+    grouped = rows.groupBy("doc_id", "start", "w").agg(F.array_join(F.array_sort(F.collect_list("line")).getField("line"), "\n").alias("chunk"))
+    return grouped.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "w")) - 1).alias("k"), "chunk")
+
+
+def dispatch(files: DataFrame, structured: bool = False) -> DataFrame:
+    """(doc_id, format, k, chunk) of (doc_id, name, text): each format by its own chunker; texts by boundary signals.
+
+    With ``structured`` tables become groups of rows with their header, and chat exports windows of messages; otherwise
+    both are packed by lines. A file without rows or messages then has no chunks.
+    """
     typed = files.withColumn("format", F.coalesce(format_of(F.col("name"), F.substring("text", 1, 2048)), F.lit("txt"))).withColumn("text", F.coalesce("text", F.lit("")))
     whole = lambda rows: rows.select("doc_id", F.posexplode(merge_short(pack(X.sentences(F.col("text")), 800), 80, 800)).alias("k", "chunk"))
     chat = lambda rows: rows.select("doc_id", F.posexplode(pack(F.split("text", "\n"), 800, "\n")).alias("k", "chunk"))
-    own = {"chat": chat, "email": chat, "csv": chat, **CHUNKERS}
+    own = {"chat": chat, "email": chat, "csv": chat, **({"chat": message_chunks, "csv": csv_chunks} if structured else {}), **CHUNKERS}
     signal = ("md", "txt", "html")
     out = signal_chunks(typed.where(F.col("format").isin(*signal)), "doc_id", "text", "name")
     for kind, chunker in own.items():

@@ -281,10 +281,31 @@ def chk_6_sections(spark, d):
 
 @query()
 def chk_16_dispatched(spark, d):
-    """Chunks of all documents and pages, each by the chunker of its format."""
+    """Chunks of all documents, pages, orders and conversations, each by the chunker of its format: orders are tables of up to
+    100 keys, conversations chat exports of up to 50 turns."""
     docs = table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("doc_id"), F.concat(F.coalesce("source", F.lit("")), F.lit(".txt")).alias("name"), "text")
     pages = table(spark, d, "pages").select(F.concat(F.lit("page-"), "page_id").alias("doc_id"), F.col("url").alias("name"), F.col("html").alias("text"))
-    return C.dispatch(docs.unionByName(pages)).select("doc_id", "format", "k", F.length("chunk").alias("n"))
+    files = docs.unionByName(pages).unionByName(order_tables(table(spark, d, "orders"))).unionByName(chat_exports(table(spark, d, "conversations")))
+    return C.dispatch(files, structured=True).select("doc_id", "format", "k", F.length("chunk").alias("n"))
+
+
+def joined_lines(rows, doc_id, order, line):
+    return rows.groupBy(doc_id.alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))).getField("_line"), "\n").alias("text"))
+
+
+def order_tables(orders):
+    """(doc_id, name, text): the orders of a hundred keys as comma-separated values under a header."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    line = F.concat_ws(",", *[F.concat(F.lit('"'), F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), '"', '""'), F.lit('"')) for c in columns])
+    lines = joined_lines(orders, F.concat(F.lit("orders-"), F.floor(F.col("o_orderkey") / 100)), ["o_orderkey"], line)
+    return lines.select("doc_id", F.concat("doc_id", F.lit(".csv")).alias("name"), F.concat(F.lit(",".join(columns) + "\n"), "text").alias("text"))
+
+
+def chat_exports(turns):
+    """(doc_id, name, text): fifty turns of a conversation as lines of JSON."""
+    line = F.to_json(F.struct("role", F.col("text").alias("content"), F.lpad(F.col("turn").cast("string"), 9, "0").alias("timestamp"), F.col("conv_id").cast("string").alias("thread_id")))
+    lines = joined_lines(turns, F.concat(F.lit("chat-"), "conv_id", F.lit("-"), F.floor(F.col("turn") / 50)), ["turn"], line)
+    return lines.select("doc_id", F.concat("doc_id", F.lit(".jsonl")).alias("name"), "text")
 
 
 @query(r"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS s FROM documents) SELECT doc_id, sum(CASE WHEN s = '' OR regexp_matches(s, '^#{1,6}\s') OR regexp_matches(s, '^[-*+]\s') OR regexp_matches(s, '^\d+\.\s') OR starts_with(s, '```') THEN 1 ELSE 0 END) AS n FROM l GROUP BY 1""")

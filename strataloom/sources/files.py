@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Callable
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ EXTENSIONS = {
     "txt": "txt", "text": "txt", "log": "txt", "html": "html", "htm": "html", "json": "chat", "jsonl": "chat", "eml": "email", "msg": "email",
 }
 
+ROWS_PER_BATCH = 1000
+
 PARSERS: dict[str, Callable[[bytes], list[str]]] = {}
 """Parsers of binary formats by format name, registered by the user: bytes to page or section texts."""
 
@@ -82,15 +88,48 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return messages(lines.select(F.explode(items).alias("m")).where(F.col("m").isNotNull() & (F.size("m") > 0)), lambda k: F.element_at(F.col("m"), k))
 
 
-def messages(rows: DataFrame, field: Callable[[str], Column]) -> DataFrame:
+def messages(rows: DataFrame, field: Callable[[str], Column], keep: list[str] = ()) -> DataFrame:
     """role, content, timestamp, thread_id from the names that chat exports use; empty counts as missing."""
     first = lambda names, other: F.coalesce(*[F.nullif(field(n), F.lit("")) for n in names], F.lit(other))
     return rows.select(
-        first(("role", "from", "speaker"), "user").alias("role"), first(("content", "text", "message"), "").alias("content"),
+        *keep, first(("role", "from", "speaker"), "user").alias("role"), first(("content", "text", "message"), "").alias("content"),
         first(("timestamp", "ts", "date"), "").alias("timestamp"), first(("thread_id", "conversation_id"), "default").alias("thread_id"),
     )
 
 
+def file_messages(files: DataFrame) -> DataFrame:
+    """(doc_id, pos, role, content, timestamp, thread_id) of chat exports (doc_id, text): a JSON array of objects, or lines
+    of JSON; whatever is no object is left out, and a text without any has no rows."""
+    many = F.filter(F.from_json("_t", "array<map<string,string>>"), lambda m: m.isNotNull())
+    lines = F.filter(F.transform(F.split("_t", "\\r?\\n"), lambda x: F.from_json(x, "map<string,string>")), lambda m: m.isNotNull() & (F.size(m) > 0))
+    items = F.when(F.col("_t").startswith("[") & (F.size(many) > 0), many).otherwise(lines)
+    found = files.withColumn("_t", F.trim("text")).select("doc_id", F.posexplode(items).alias("pos", "m"))
+    return messages(found, lambda k: F.element_at(F.col("m"), k), ["doc_id", "pos"])
+
+
+def file_rows(files: DataFrame) -> DataFrame:
+    """(doc_id, k, header, cells) of tables in text (doc_id, name, text): rows from 0 after the header.
+
+    Quoted cells may hold separators and line ends and be of any length; a name that ends in tsv separates by tabs. A
+    blank line is a row without cells. A null text, and one without rows after its header, has no rows here.
+    """
+    key = files.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        csv.field_size_limit(2**31 - 1)
+        for batch in batches:
+            for doc, name, text in zip(batch["doc_id"].to_pylist(), batch["name"].to_pylist(), batch["text"].to_pylist()):
+                rows = csv.reader(io.StringIO(text or "", newline=""), delimiter="\t" if (name or "").lower().endswith("tsv") else ",")
+                header = [h.strip() for h in next(rows, [])]
+                done = 0
+                while part := list(islice(rows, ROWS_PER_BATCH)):
+                    ks, done = range(done, done + len(part)), done + len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(part), type=batch.schema.field("doc_id").type), pa.array(ks, type=pa.int64()), pa.array([header] * len(part), type=texts), pa.array(part, type=texts)], ["doc_id", "k", "header", "cells"])
+
+    texts = pa.list_(pa.string())
+    return files.select("doc_id", "name", "text").mapInArrow(run, f"doc_id {key}, k long, header array<string>, cells array<string>")
+
+
 def size_sample(files: DataFrame, step: int, order: list[str] = ("length", "path"), group: str | None = None) -> DataFrame:
     """Every step-th row, from the first, in order of size (and then a unique column): a sample over all sizes, in each group.
 

@@ -113,6 +113,27 @@ def test_dispatch(spark):
     assert got == {("a", "md"): ["One is here. Two is here."], ("b", "chat"): ["[1]\n[2]"], ("c", "pdf"): ["Only text."], ("e", "csv"): ["1,2\n3,4"]}
 
 
+def test_structured_dispatch(spark):
+    """Tables and chat exports by their own chunkers, held against plain Python."""
+    import csv
+    import io
+    import json
+
+    table = "name, size\n" + "".join(f'"x, {k}\nof ""{k}""",{k}\n' for k in range(45)) + "\nlast,\n" + "y" * 200_000 + ",1"
+    header, *cells = csv.reader(io.StringIO(table, newline=""), strict=False) if csv.field_size_limit(2**31 - 1) else []
+    row = lambda r: "| " + " | ".join(r) + " |"
+    head = [row([h.strip() for h in header]), "| --- | --- |"]
+    groups = [cells[k : k + 20] for k in range(0, len(cells), 20)]
+    want = {("t", k): "\n".join([f"[Sheet: Sheet1, rows {20 * k + 1}-{20 * k + len(g)}]", *head, *map(row, g)]) for k, g in enumerate(groups)}
+    said = [{"from": "b", "text": "second", "ts": "2", "thread_id": "u"}, {"role": "a", "content": "other", "conversation_id": "v"}, {"role": "a", "content": "first", "timestamp": "1", "thread_id": "u"}, {"content": "third", "timestamp": "2", "thread_id": "u", "n": 3}, {"x": None}]
+    want |= {(c, k): v for c in "jl" for k, v in enumerate(["[1] a: first\n[2] b: second", "[2] user: third", "a: other", "user: "])}
+    files = [("t", "t.csv", table), ("j", "j.json", json.dumps(said)), ("l", "l.jsonl", "\n".join(map(json.dumps, said[:2])) + "\nno json\n\n[1]\n" + "\n".join(map(json.dumps, said[2:])))]
+    files += [("s", "s.tsv", "a\tb\n1\t2"), ("h", "h.csv", "only,header"), ("e", "e.csv", ""), ("n", "n.csv", None), ("m", "m.json", None), ("o", "o.json", "[1]\n[2]")]
+    want["s", 0] = "[Sheet: Sheet1, rows 1-1]\n| a | b |\n| --- | --- |\n| 1 | 2 |"
+    got = C.dispatch(spark.createDataFrame(files, "doc_id string, name string, text string"), structured=True)
+    assert {(r.doc_id, r.k): r.chunk for r in got.collect()} == want
+
+
 def test_semantic_boundaries(spark):
     """Sentences with the same words stay together; the vector's signal alone parts those without."""
     from strataloom.operators import chunking as C
