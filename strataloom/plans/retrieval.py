@@ -13,6 +13,7 @@ from strataloom.functions import vector as V
 from strataloom.operators import graph as G
 from strataloom.operators import names as N
 from strataloom.operators import ranking as R
+from strataloom.operators import retrieval as P
 from strataloom.operators import text_index as T
 from strataloom.plans.joins import ASKED
 from strataloom.plans.registry import CONTAINS, ENTITIES, VECTORS, Graph, query, table
@@ -201,15 +202,21 @@ def val_5_verdict(spark, d):
     return rows.select("l_orderkey", F.round("c", 6).alias("cited"), passed.alias("citation_pass"), "entity_pass", F.round(S.confidence(F.col("grounded"), F.col("entity_pass"), passed), 6).alias("confidence"))
 
 
-@query("""WITH c AS (SELECT item_id, unnest(list_slice(list_distinct(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[A-Z][a-z]+$') AND length(w) > 2)), 1, 1000)) AS w FROM benchmark),
-    known AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents) SELECT item_id, count(*) AS candidates, count(known.w) AS found, count(known.w) * 2 >= count(*) AS supported FROM c LEFT JOIN known USING (w) GROUP BY 1""")
+_CLAIMS = r"""SELECT 'item-' || item_id AS claim_id, text AS claim FROM benchmark UNION ALL SELECT 'order-' || chunk_id, string_agg(upper(substr(name, 1, 1)) || substr(name, 2) || ' of ' || brand, ' and ' ORDER BY entity_id) FROM contains_ JOIN entities USING (entity_id) GROUP BY chunk_id"""
+
+
+@query(rf"""WITH {CONTAINS}, {ENTITIES}, claims AS ({_CLAIMS}), w AS (SELECT claim_id, unnest(range(len(ws))) AS place, unnest(ws) AS word FROM (SELECT claim_id, list_filter(string_split_regex(claim, '[ \t\n\r\f]+'), lambda w: regexp_matches(w, '^\p{{Lu}}') AND length(w) > 2)[1:5] AS ws FROM claims WHERE length(trim(claim)) >= 5)),
+    hits AS (SELECT word, name, entity_id FROM (SELECT DISTINCT word FROM w) JOIN entities ON contains(lower(name), lower(word)) OR lower(regexp_replace(name, '[ _]+', '', 'g')) = lower(regexp_replace(word, '[ _]+', '', 'g')) QUALIFY row_number() OVER (PARTITION BY word ORDER BY name, entity_id) <= 10),
+    e AS (SELECT claim_id, place, name, entity_id FROM w JOIN hits USING (word) QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY place, name, entity_id) <= 10), n AS (SELECT claim_id, count(*) AS candidates FROM w GROUP BY 1), f AS (SELECT claim_id, count(*) AS found, string_agg(entity_id, ',' ORDER BY place, name, entity_id) AS evidence FROM e GROUP BY 1)
+    SELECT claim_id, coalesce(candidates, 0) AS candidates, coalesce(found, 0) AS found, round(coalesce(found / candidates, 0), 6) AS support_ratio, coalesce(found / candidates, 0) >= 0.5 AS supported, coalesce(evidence, '') AS evidence FROM claims LEFT JOIN n USING (claim_id) LEFT JOIN f USING (claim_id)""")
 def act_10_verify_facts(spark, d):
-    """Capitalised words of each passage, and how many of them the corpus has."""
-    words = F.array_distinct(F.filter(F.split("text", " "), lambda w: w.rlike("^[A-Z][a-z]+$") & (F.length(w) > 2)))
-    asked = table(spark, d, "benchmark").select("item_id", F.explode(words).alias("w"))
-    known = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("w")).distinct().withColumn("hit", F.lit(1))
-    found = asked.join(known, "w", "left").groupBy("item_id").agg(F.count(F.lit(1)).alias("candidates"), F.count("hit").alias("found"))
-    return found.withColumn("supported", F.col("found") * 2 >= F.col("candidates"))
+    """Claims of the benchmark, and of every order on its parts, held against the entities."""
+    g = Graph(spark, d)
+    said = F.concat(F.upper(F.substring("name", 1, 1)), F.expr("substring(name, 2)"), F.lit(" of "), "brand")
+    orders = g.contains().join(g.entities(), "entity_id").groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("entity_id", said.alias("s")))).getField("s"), " and ").alias("claim"))
+    claims = table(spark, d, "benchmark").select(F.concat(F.lit("item-"), "item_id").alias("claim_id"), F.col("text").alias("claim")).unionByName(orders.select(F.concat(F.lit("order-"), "chunk_id").alias("claim_id"), "claim"))
+    found = P.verify_facts(claims, g.entities())
+    return found.select("claim_id", "candidates", "found", F.round("support_ratio", 6).alias("support_ratio"), "supported", F.array_join(F.transform("evidence", lambda e: e["entity_id"].cast("string")), ",").alias("evidence"))
 
 
 @query("SELECT doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) % 5 = 1")

@@ -277,3 +277,26 @@ def test_ranks_of_many_seed_sets(spark):
     rows = QUERIES["ret_7_rank_every_question"](spark, DATA).collect()
     asked = {r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
     assert {r.query_id for r in rows} <= asked and rows
+
+
+def test_verify_facts(spark):
+    """Facts against every name in plain Python: case, underscores, hot words, copies of a name, claims without words."""
+    import re
+
+    from strataloom.operators.retrieval import verify_facts
+
+    names = ["red ring", "Red_Ring", "REDRING", "old bolt", None, "", "ab", "Älter", "hot"] + ["hot gear"] * 15 + [f"hot part {k}" for k in range(30)]
+    entities = list(enumerate(names))
+    claims = {1: "The Redring is Old", 2: "Hot Hot Red", 3: None, 4: "", 5: "Hot", 6: "no capitals at all", 7: "Red_ring\tÄLT Ab Zzz Bolt More Ring", 8: "Zzz Yyy " + "x " * 100_000, 9: "Unknown Names Old"}
+    bare = lambda x: re.sub("[ \t\n\r\f_]+", "", x).lower()
+
+    def brute(claim):
+        words = [w for w in re.split("[ \t\n\r\f]+", claim or "") if w[:1].isupper() and len(w) > 2][:5] if len((claim or "").strip()) >= 5 else []
+        hits = [(p, n, i) for p, w in enumerate(words) for i, n in entities if n is not None and (w.lower() in n.lower() or bare(w) == bare(n))]
+        best = sorted(hits)[:10]
+        return len(words), len(best), bool(words) and 2 * len(best) >= len(words), [i for _, _, i in best]
+
+    got = verify_facts(spark.createDataFrame(list(claims.items()), "claim_id long, claim string"), spark.createDataFrame(entities, "entity_id long, name string")).collect()
+    assert {r.claim_id: (r.candidates, r.found, r.supported, [e.entity_id for e in r.evidence]) for r in got} == {k: brute(c) for k, c in claims.items()}
+    none = verify_facts(spark.createDataFrame([], "claim_id long, claim string"), spark.createDataFrame(entities, "entity_id long, name string"))
+    assert none.count() == 0
