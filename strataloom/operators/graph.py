@@ -80,20 +80,26 @@ def shared_documents(mentions: DataFrame, least_shared: int, least_jaccard: floa
 
     Two documents that reach the limits share one of the rarest entities of each: of n entities all but
     max(least_shared, least_jaccard * n) - 1 of the most frequent. Only those propose pairs, so an entity that most
-    documents mention does not pair them all; shared entities are counted on the full sets.
+    documents mention does not pair them all. Shared entities are counted on the full sets, for pairs that can still reach the
+    limits by the number of proposals and by what lies beyond their heads.
     """
     rows = mentions.select("doc_id", "entity_id").distinct()
     often = rows.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_often"))
     sets = rows.join(often, "entity_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_often", "entity_id"))).alias("_all"))
     n = F.size("_all")
     need = F.greatest(F.lit(least_shared), F.ceil(n * least_jaccard - 1e-9)).cast("int")
-    sets = cut(sets.withColumn("_set", F.col("_all.entity_id")).withColumn("_head", F.slice("_set", 1, F.greatest(n - need + 1, F.lit(0)))).drop("_all"))
-    pairs = paired(sets.select("doc_id", F.explode("_head").alias("entity_id")), "entity_id", "doc_id").select("a", "b").distinct()
+    sets = cut(sets.select("doc_id", F.col("_all.entity_id").alias("_set"), n.alias("_n"), F.greatest(n - need + 1, F.lit(0)).alias("_h")))
+    heads = sets.select("doc_id", "_n", (F.col("_n") - F.col("_h")).alias("_t"), F.explode(F.slice("_set", 1, F.col("_h"))).alias("entity_id"))
+    both = F.struct((F.col("x__n") + F.col("y__n")).alias("n"), (F.col("x__t") + F.col("y__t")).alias("t"))
+    pairs = paired(heads, "entity_id", "doc_id", ["_n", "_t"]).select("a", "b", both.alias("_of")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_met"), F.first("_of").alias("_of"))
+    most = F.col("_met") + F.col("_of.t")  # what their heads share, and at best all that is beyond a head
+    pairs = pairs.where((most >= least_shared) & (most + 1e-9 >= least_jaccard * (F.col("_of.n") - most))).select("a", "b")
     scored = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("_set").alias("_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("_set").alias("_b")), "b")
     scored = scored.withColumn("shared", F.size(F.array_intersect("_a", "_b")).cast("long"))
     scored = scored.withColumn("jaccard", F.col("shared") / (F.size("_a") + F.size("_b") - F.col("shared")))
-    scored = scored.where((F.col("shared") >= least_shared) & (F.col("jaccard") >= least_jaccard)).select(F.col("a").alias("d1"), F.col("b").alias("d2"), "shared", "jaccard")
-    return scored.unionByName(scored.select(F.col("d2").alias("d1"), F.col("d1").alias("d2"), "shared", "jaccard"))
+    scored = scored.where((F.col("shared") >= least_shared) & (F.col("jaccard") >= least_jaccard))
+    way = lambda x, y: F.struct(F.col(x).alias("d1"), F.col(y).alias("d2"))
+    return scored.select(F.inline(F.array(way("a", "b"), way("b", "a"))), "shared", "jaccard")
 
 
 def both_ways(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
