@@ -34,9 +34,10 @@ def co_occurrence(contains: DataFrame, least: int = 2, most: int = 25) -> DataFr
 
     A chunk has at most ``most`` entities here, so it gives at most most * (most - 1) / 2 pairs.
     """
-    rows = sized_contexts(contains, least, most)
-    left, right = rows.select("chunk_id", F.col("entity_id").alias("a")), rows.select("chunk_id", F.col("entity_id").alias("b"))
-    return left.join(right, "chunk_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    sets = sized_contexts(contains, least, most).groupBy("chunk_id").agg(F.array_sort(F.collect_list("entity_id")).alias("_all"))  # ``most`` at most
+    firsts = sets.select("_all", F.posexplode("_all").alias("_at", "a"))
+    pairs = firsts.select("a", F.explode(F.slice("_all", F.col("_at") + 2, F.size("_all"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def npmi_edges(contains: DataFrame, least: int = 2, most: int = 25, shared: int = 1, floor: float = 0.0) -> DataFrame:
@@ -131,15 +132,15 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, iteratio
     spark = edges.sparkSession
     edges = cut(edges.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
     out = edges.groupBy("a").agg(F.sum("weight").alias("total"))
-    written = cut(edges.join(out, "a").select("a", "b", (damping * F.col("weight") / F.col("total")).alias("share")))
-    steps = written.repartition("a").persist()
-    nodes = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
-    start = nodes.join(seeds.select("node").distinct(), "node", "left_semi")
+    steps = edges.join(out, "a").select("a", "b", (damping * F.col("weight") / F.col("total")).alias("share")).repartition("a").persist()
+    ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("leads")), F.struct(F.col("b").alias("node"), F.lit(False).alias("leads")))))
+    nodes = cut(ends.groupBy("node").agg(F.bool_or("leads").alias("leads")))
+    dangling = nodes.where("NOT leads").select("node")
+    start = nodes.select("node").join(seeds.select("node").distinct(), "node", "left_semi")
     count, seeded = nodes.count(), start.count()
     base = cut(start.withColumn("p", F.lit(1.0 / max(1, seeded))))
     zero = F.lit(0.0)
     ranks = table = cut(nodes.join(base, "node", "left").select("node", F.coalesce("p", zero).alias("score")))
-    dangling = cut(nodes.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
     leaks = not dangling.isEmpty()
     settled, held = iterations is not None, None
     for k in range((iterations or most) if seeded else 0):
@@ -164,7 +165,7 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, iteratio
     for kept in (steps, held):
         if kept is not None:
             kept.unpersist()
-    drop(edges, written, nodes, base, dangling, table)
+    drop(edges, nodes, base, table)
     return result
 
 

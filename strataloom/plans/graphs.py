@@ -27,7 +27,7 @@ RANKS = PAIRS + "".join(
 
 def ranks(g, seeds=None):
     pairs = G.co_occurrence(g.contains()).select("a", "b", F.col("shared").cast("double").alias("weight"))
-    edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    edges = pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))), "weight")
     return G.page_rank(edges, seeds if seeds is not None else g.entities().where("name = 'small ring'").select(F.col("entity_id").alias("node")))
 
 
