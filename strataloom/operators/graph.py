@@ -76,28 +76,60 @@ def paired(rows: DataFrame, key: str, item: str, values: list[str] = ()) -> Data
     return both.where(met).drop("_cell", "_x", "_y")
 
 
+PAIRS = 2_000_000
+"""Pairs that one task counts, on average."""
+
+
+def met_counts(rows: DataFrame, key: str, item: str, mark: str) -> DataFrame:
+    """(a, x, b, y, met): items a < b with keys in common, their marks (one an item; y is null if no list with b has a mark
+    below 0), and how many keys they share.
+
+    Rows (key, item, mark) are distinct and not null. What travels is a list of partners for each item of a key, not a row a
+    pair, and pairs are counted where the lists of their first item come together, in tasks of PAIRS pairs on average. A
+    key's members are dealt into lists of DEAL on average, and each two lists meet in a task of their own.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum(F.col("_n") * F.col("_n")).alias("n")).first()["n"] or 0
+    lists = rows.join(sizes.select(key, F.ceil(F.col("_n") / DEAL).cast("int").alias("_lists")), key).withColumn("_at", F.pmod(F.xxhash64(item), "_lists").cast("int"))
+    lists = lists.groupBy(key, "_lists", "_at").agg(F.sort_array(F.collect_list(F.struct(F.col(item).alias("i"), F.col(mark).alias("m")))).alias("_list"))
+    upto = F.explode(F.sequence(F.lit(0), F.col("_lists") - 1))
+    mine = lists.select(key, F.col("_at").alias("_i"), upto.alias("_j"), F.col("_list").alias("_mine"))
+    theirs = lists.select(key, upto.alias("_i"), F.col("_at").alias("_j"), F.col("_list").alias("_theirs"))
+    sent = mine.join(theirs, [key, "_i", "_j"]).select(F.explode("_mine").alias("_a"), "_theirs")
+    sent = sent.select(F.col("_a.i").alias("a"), F.col("_a.m").alias("x"), F.filter("_theirs", lambda t: t["i"] > F.col("_a.i")).alias("_later")).where(F.size("_later") > 0)
+    marks = F.when(F.exists("_later", lambda t: t["m"] < 0), F.col("_later.m"))
+    sent = sent.select("a", "x", F.col("_later.i").alias("b"), marks.alias("y")).repartition(max(1, -(-total // (2 * PAIRS))), "a")
+    pairs = sent.select("a", "x", F.explode(F.arrays_zip("b", F.coalesce("y", F.array().cast("array<int>")).alias("y"))).alias("_b")).select("a", "x", "_b.b", "_b.y")
+    return pairs.groupBy("a", "x", "b").agg(F.max("y").alias("y"), F.count(F.lit(1)).alias("met"))
+
+
 def shared_documents(mentions: DataFrame, least_shared: int, least_jaccard: float) -> DataFrame:
     """(d1, d2, shared, jaccard), both directions, of documents (doc_id, entity_id) with entities in common.
 
     Two documents that reach the limits share one of the rarest entities of each: of n entities all but
-    max(least_shared, least_jaccard * n) - 1 of the most frequent. Only those propose pairs, so an entity that most
-    documents mention does not pair them all. Shared entities are counted on the full sets, for pairs that can still reach the
-    limits by the number of proposals and by what lies beyond their heads.
+    max(least_shared, least_jaccard * n) - 1 of the most frequent. Only those and all that at most DEAL documents mention
+    propose pairs, so an entity that most documents mention does not pair them all. What two documents without other
+    entities share is the number of proposals; for others it is counted on the full sets, if they can still reach the limits.
     """
-    rows = mentions.select("doc_id", "entity_id").distinct()
+    rows = mentions.select("doc_id", "entity_id").where("doc_id is not null and entity_id is not null").distinct()
     often = rows.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_often"))
     sets = rows.join(often, "entity_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_often", "entity_id"))).alias("_all"))
-    n = F.size("_all")
-    need = F.greatest(F.lit(least_shared), F.ceil(n * least_jaccard - 1e-9)).cast("int")
-    sets = cut(sets.select("doc_id", F.col("_all.entity_id").alias("_set"), n.alias("_n"), F.greatest(n - need + 1, F.lit(0)).alias("_h")))
-    heads = sets.select("doc_id", "_n", (F.col("_n") - F.col("_h")).alias("_t"), F.explode(F.slice("_set", 1, F.col("_h"))).alias("entity_id"))
-    both = F.struct((F.col("x__n") + F.col("y__n")).alias("n"), (F.col("x__t") + F.col("y__t")).alias("t"))
-    pairs = paired(heads, "entity_id", "doc_id", ["_n", "_t"]).select("a", "b", both.alias("_of")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_met"), F.first("_of").alias("_of"))
-    most = F.col("_met") + F.col("_of.t")  # what their heads share, and at best all that is beyond a head
-    pairs = pairs.where((most >= least_shared) & (most + 1e-9 >= least_jaccard * (F.col("_of.n") - most))).select("a", "b")
-    scored = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("_set").alias("_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("_set").alias("_b")), "b")
-    scored = scored.withColumn("shared", F.size(F.array_intersect("_a", "_b")).cast("long"))
-    scored = scored.withColumn("jaccard", F.col("shared") / (F.size("_a") + F.size("_b") - F.col("shared")))
+    need = lambda n: F.greatest(F.lit(least_shared), F.ceil(n * least_jaccard - 1e-9)).cast("int")
+    n, calm = F.size("_all"), F.size(F.filter("_all", lambda x: x["_often"] <= DEAL))
+    sets = cut(sets.select("doc_id", F.col("_all.entity_id").alias("_set"), n.alias("_n"), F.least(n, F.greatest(n - need(n) + 1, calm)).alias("_h")))
+    mark = F.when(F.col("_h") < F.col("_n"), -F.col("_n")).otherwise(F.col("_n")).alias("_mark")  # below 0: some entities propose nothing
+    heads = sets.select("doc_id", mark, F.explode(F.slice("_set", 1, F.col("_h"))).alias("entity_id"))
+    beyond = lambda m: F.when(F.col(m) < 0, need(-F.col(m)) - 1).otherwise(0)
+    size = lambda y: F.abs("x") + F.abs(y)
+    most = F.col("met") + beyond("x") + beyond("y")  # what their heads share, and at best all that is beyond a head
+    pairs = met_counts(heads, "entity_id", "doc_id", "_mark")
+    able = lambda y: (most >= least_shared) & (most + 1e-9 >= least_jaccard * (size(y) - most))
+    pairs = pairs.where(able(F.coalesce("y", F.lit(1)))).join(sets.select(F.col("doc_id").alias("b"), "_n"), "b").where(able(F.col("_n")))
+    pairs = cut(pairs.select("a", "b", size("_n").alias("_size"), ((F.col("x") > 0) & (F.coalesce("y", F.lit(1)) > 0)).alias("_all"), "met"))
+    side = lambda name, held: sets.select(F.col("doc_id").alias(name), F.col("_set").alias(held))
+    open_ = pairs.where("not _all").join(side("a", "_a"), "a").join(side("b", "_b"), "b")
+    scored = pairs.where("_all").select("a", "b", "_size", F.col("met").alias("shared")).unionByName(open_.select("a", "b", "_size", F.size(F.array_intersect("_a", "_b")).cast("long").alias("shared")))
+    scored = scored.withColumn("jaccard", F.col("shared") / (F.col("_size") - F.col("shared")))
     scored = scored.where((F.col("shared") >= least_shared) & (F.col("jaccard") >= least_jaccard))
     way = lambda x, y: F.struct(F.col(x).alias("d1"), F.col(y).alias("d2"))
     return scored.select(F.inline(F.array(way("a", "b"), way("b", "a"))), "shared", "jaccard")

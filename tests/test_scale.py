@@ -18,3 +18,17 @@ def test_corrective_action_at_the_limit(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_discount double, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.l_orderkey: r.action for r in QUERIES["val_6_corrective_action"](spark, str(tmp_path)).collect()}
     assert got == {k: "accept" if sum(order) >= 100 else "retrieve_more" for k, order in enumerate(orders)}
+
+
+@pytest.mark.parametrize("deal", [4, 1000])
+def test_met_counts(spark, monkeypatch, deal):
+    """Pairs of items and the keys they share, in one list a key and in many; marks below 0 come through."""
+    monkeypatch.setattr(G, "DEAL", deal)
+    monkeypatch.setattr(G, "PAIRS", 50)
+    r = np.random.default_rng(1)
+    keys = {i: {0} | set(r.integers(1, 30, 6).tolist()) for i in range(40)}
+    mark = {i: -7 if i % 11 == 0 else 5 for i in keys}
+    rows = spark.createDataFrame([(k, i, mark[i]) for i, ks in keys.items() for k in ks], "k long, i long, m int")
+    got = {(x.a, x.b): x for x in G.met_counts(rows, "k", "i", "m").collect()}
+    assert {p: x.met for p, x in got.items()} == {(a, b): len(keys[a] & keys[b]) for a in keys for b in keys if a < b}
+    assert all(x.x == mark[a] and (x.y == mark[b] if mark[b] < 0 else x.y in (None, 5)) for (a, b), x in got.items())
