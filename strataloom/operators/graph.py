@@ -143,14 +143,40 @@ def top_per(rows: DataFrame, group: list[str], order: list[Column], k: int, rank
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
 
 
+WIDE = 64
+"""Entities of a chunk beyond which its partners are counted one by one, not by pairs of its entities."""
+
+
 def neighbours(contains: DataFrame, k: int = 20) -> DataFrame:
     """(a, b, shared, rank): chunks that share entities, up to k per chunk; more shared first, then the smaller id.
 
-    The pairs of a hot entity are dealt to many tasks and counted before they are shuffled by chunk.
+    Pairs with a single entity in common are not all made: one that ranks among a chunk's first k is among the k smallest
+    other chunks of that entity, as each smaller one would rank before it. Pairs with more in common meet on pairs of
+    entities; those of a chunk with more than WIDE entities on each of its entities.
     """
-    pairs = paired(contains.select("entity_id", "chunk_id").distinct(), "entity_id", "chunk_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-    return top_per(both, ["a"], [F.desc("shared"), F.asc("b")], k)
+    rows = cut(contains.select("entity_id", "chunk_id").where("entity_id is not null and chunk_id is not null").distinct())
+    sizes = rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("_n"))
+    wide = sizes.where(F.col("_n") > WIDE).select("chunk_id")
+    sets = rows.join(sizes.where(F.col("_n").between(2, WIDE)), "chunk_id").groupBy("chunk_id").agg(F.array_sort(F.collect_list("entity_id")).alias("_all"))  # WIDE at most
+    firsts = sets.select("chunk_id", "_all", F.posexplode("_all").alias("_at", "x"))
+    both = firsts.select("chunk_id", "x", F.explode(F.slice("_all", F.col("_at") + 2, F.size("_all"))).alias("y")).select("chunk_id", "x", "y").repartition("x", "y")
+    often = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    both = both.join(often, ["x", "y"]).select(F.struct("x", "y").alias("_key"), "chunk_id")  # most pairs of entities have one chunk
+    # a pair that shares n entities meets n (n - 1) / 2 times
+    met = paired(both, "_key", "chunk_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("m"))) / 2).cast("long").alias("shared"))
+    each = rows.join(wide, "chunk_id", "left_semi").select("entity_id", F.col("chunk_id").alias("a")).join(rows.withColumnRenamed("chunk_id", "b"), "entity_id").where("a <> b")
+    each = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where("shared > 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared").distinct()
+    more = met.unionByName(each)
+    more = more.unionByName(more.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    more = top_per(more, ["a"], [F.desc("shared"), F.asc("b")], k).groupBy("a").agg(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("s"), "b"))).alias("_more"))
+    few = top_per(rows, ["entity_id"], [F.asc("chunk_id")], k + 1).groupBy("entity_id").agg(F.collect_list("chunk_id").alias("_few"))
+    alone = rows.join(few, "entity_id").groupBy("chunk_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_few")))).alias("_few"))
+    alone = alone.select(F.col("chunk_id").alias("a"), F.slice(F.array_remove("_few", F.col("chunk_id")), 1, k).alias("_few")).join(more, "a", "left")
+    none = F.array().cast(more.schema["_more"].dataType)
+    taken = F.coalesce("_more", none)
+    single = F.transform(F.array_except("_few", taken.getField("b")), lambda b: F.struct(F.lit(-1).cast("long").alias("s"), b.alias("b")))
+    best = alone.select("a", F.posexplode(F.slice(F.concat(taken, single), 1, k)).alias("_at", "_b"))
+    return best.select("a", "_b.b", (-F.col("_b.s")).alias("shared"), (F.col("_at") + 1).alias("rank"))
 
 
 def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, iterations: int | None = None, most: int = 50, tolerance: float = 1e-6) -> DataFrame:

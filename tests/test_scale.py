@@ -32,3 +32,17 @@ def test_met_counts(spark, monkeypatch, deal):
     got = {(x.a, x.b): x for x in G.met_counts(rows, "k", "i", "m").collect()}
     assert {p: x.met for p, x in got.items()} == {(a, b): len(keys[a] & keys[b]) for a in keys for b in keys if a < b}
     assert all(x.x == mark[a] and (x.y == mark[b] if mark[b] < 0 else x.y in (None, 5)) for (a, b), x in got.items())
+
+
+def test_neighbours_by_what_they_share(spark, monkeypatch):
+    """Chunks of few and of many entities, hot and rare ones, against counting all pairs; no pair of an entity that ranks nowhere."""
+    monkeypatch.setattr(G, "WIDE", 6)
+    r = np.random.default_rng(2)
+    sets = {c: {0} | set(r.integers(1, 25, r.integers(0, 12)).tolist()) for c in range(60)} | {99: {77}}
+    frame = spark.createDataFrame([(c, e) for c, es in sets.items() for e in es] + [(None, 1), (3, None)], "chunk_id long, entity_id long")
+    for k in (1, 5, 100):
+        want = {}
+        for a in sets:
+            best = sorted((-len(sets[a] & sets[b]), b) for b in sets if b != a and sets[a] & sets[b])[:k]
+            want |= {(a, b): (-s, n + 1) for n, (s, b) in enumerate(best)}
+        assert {(x.a, x.b): (x.shared, x["rank"]) for x in G.neighbours(frame, k).collect()} == want
