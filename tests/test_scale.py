@@ -46,3 +46,23 @@ def test_neighbours_by_what_they_share(spark, monkeypatch):
             best = sorted((-len(sets[a] & sets[b]), b) for b in sets if b != a and sets[a] & sets[b])[:k]
             want |= {(a, b): (-s, n + 1) for n, (s, b) in enumerate(best)}
         assert {(x.a, x.b): (x.shared, x["rank"]) for x in G.neighbours(frame, k).collect()} == want
+
+
+def test_graph_scores(spark, monkeypatch):
+    """Finished rows from every part and block, against all cosines in numpy; entities without a vector and unknown ones count nowhere."""
+    from strataloom.operators import retrieval as P
+
+    monkeypatch.setattr(P, "SCORED_ROWS", 40)
+    monkeypatch.setattr(P, "SCORED_QUERIES", 3)
+    r = np.random.default_rng(3)
+    vecs, asked = r.normal(size=(30, 8)), r.normal(size=(10, 8))
+    held = {c: set(r.integers(0, 35, 4).tolist()) for c in range(50)}
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    cosine, want = np.round(unit(asked) @ unit(vecs).T, 4), {}
+    for q in range(10):
+        for c, es in held.items():
+            if hits := [cosine[q, e] for e in es if e < 30 and cosine[q, e] >= 0.2]:
+                want[q, c] = (pytest.approx(sum(hits) / len(hits), abs=1e-8), len(hits))
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    got = P.graph_scores(frame([(e, v.tolist()) for e, v in enumerate(vecs)], "id long, vec array<double>"), frame([(c, e) for c, es in held.items() for e in es], "chunk_id long, entity_id long"), frame([(q, v.tolist()) for q, v in enumerate(asked)], "query_id long, vec array<double>"), 0.2)
+    assert {(x.query_id, x.chunk_id): (x.score, x.matches) for x in got.collect()} == want
