@@ -66,3 +66,19 @@ def test_graph_scores(spark, monkeypatch):
     frame = lambda rows, names: spark.createDataFrame(rows, names)
     got = P.graph_scores(frame([(e, v.tolist()) for e, v in enumerate(vecs)], "id long, vec array<double>"), frame([(c, e) for c, es in held.items() for e in es], "chunk_id long, entity_id long"), frame([(q, v.tolist()) for q, v in enumerate(asked)], "query_id long, vec array<double>"), 0.2)
     assert {(x.query_id, x.chunk_id): (x.score, x.matches) for x in got.collect()} == want
+
+
+def test_means_travel_as_one_row(spark):
+    """Mean vectors by key: unequal lengths, elements that are missing, weights, empty input; no row an element is shuffled."""
+    from strataloom.operators import ranking as R
+
+    data = [(k % 3, 1.0 + k % 2, [float(k), None if k == 4 else 2.0] + [1.0] * (k % 4)) for k in range(12)] + [(5, 1.0, None), (6, 1.0, [])]
+    rows = spark.createDataFrame(data, "g int, w double, vec array<float>")
+    got = R.centroids(rows, "g", weight=F.col("w"))
+    want = {}
+    for g in range(3):
+        at = [(w, v) for k, w, v in data if k == g]
+        mean = [sum(w * (v[i] or 0) for w, v in at if len(v) > i) / sum(w for w, v in at if len(v) > i) for i in range(max(len(v) for _, v in at))]
+        want[g] = [pytest.approx(x / np.linalg.norm(mean)) for x in mean]
+    assert {x.g: x.vec for x in got.collect()} == want and R.centroids(rows.where("g > 9"), "g").count() == 0
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
