@@ -76,6 +76,17 @@ def paired(rows: DataFrame, key: str, item: str, values: list[str] = ()) -> Data
     return both.where(met).drop("_cell", "_x", "_y")
 
 
+def paired_with(rows: DataFrame, key: str, item: str, flag: str) -> DataFrame:
+    """(a, b): items a < b with a key in common, at least one of them flagged, once per key. A key's items are dealt into chunks
+    of DEAL on average, and its flagged items go to each."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / DEAL).cast("int").alias("_chunks"), F.max(flag).alias("_any")).where("_any").drop("_any")
+    placed = rows.join(sizes, key)
+    own = placed.select(key, F.pmod(F.xxhash64(item), "_chunks").cast("int").alias("_chunk"), F.col(item).alias("_x"), F.col(flag).alias("_f"))
+    sent = placed.where(flag).select(key, F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), F.col(item).alias("_y"))
+    both = own.join(sent, [key, "_chunk"]).where("_x < _y or (_y < _x and not _f)")  # two flagged items meet twice
+    return both.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+
+
 PAIRS = 2_000_000
 """Pairs that one task counts, on average."""
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.operators.graph import paired
+from strataloom.operators.graph import paired, paired_with
 from strataloom.sources.shared import cut
 
 SHORT = 8
@@ -49,7 +49,7 @@ def grams(text: Column, n: int) -> Column:
     return F.transform(runs, lambda g, i: F.concat(F.lit(f"{n}:"), g, F.lit(":"), before(g, i)))
 
 
-def similar_names(names: DataFrame, least: float, group: str = "type", name: str = "name") -> DataFrame:
+def similar_names(names: DataFrame, least: float, group: str = "type", name: str = "name", known: DataFrame | None = None) -> DataFrame:
     """(group, a, b, ratio) of different names a < b of a group whose lower-case forms have a ratio of ``least`` or more.
 
     A pair with the ratio r of names of lengths m and n has r (m + n) / 2 letters in blocks; every other letter breaks at
@@ -57,22 +57,26 @@ def similar_names(names: DataFrame, least: float, group: str = "type", name: str
     common. Of the shortest partner that lengths allow, that is the least a name must share; so two such names have a
     pair in common among the rarest (all but so many less one) of each. Shorter names meet on their letters in the same
     way. Letters in common bound the ratio before it is computed. Rarity is counted over all names. A frequent pair's
-    names are dealt to many tasks.
+    names are dealt to many tasks. With ``known`` (group, name) only pairs with one of those names are compared, so names
+    that are none do not meet each other.
     """
-    rows = names.select(F.col(group).alias("_group"), F.col(name).alias("_name")).where(F.col("_name").isNotNull()).distinct().withColumn("_low", F.lower("_name"))
+    listed_as = lambda rows, flag: rows.select(F.col(group).alias("_group"), F.col(name).alias("_name"), F.lit(flag).alias("_flag"))
+    rows = listed_as(names, False) if known is None else listed_as(names, False).unionByName(listed_as(known, True))
+    rows = rows.where(F.col("_name").isNotNull()).groupBy("_group", "_name").agg(F.max("_flag").alias("_flag")).withColumn("_low", F.lower("_name"))
     n = F.length("_low")
     shortest = F.ceil(n * least / (2 - least) - 1e-9)
     pairs_needed = F.floor((1.5 * least - 1) * (n + shortest) - 1 + 1e-9)
     letters_needed = F.ceil(least * (n + shortest) / 2 - 1e-9)
     kinds = rows.withColumn("_two", F.when(pairs_needed >= 1, grams(F.col("_low"), 2))).withColumn("_one", F.when((n > 0) & (n <= SHORT), grams(F.col("_low"), 1)))
-    listed = kinds.select("_group", "_name", "_low", F.explode(F.array(F.struct(F.col("_two").alias("g"), pairs_needed.alias("need")), F.struct(F.col("_one").alias("g"), letters_needed.alias("need")))).alias("k")).where("k.g is not null")
-    listed = cut(listed.select("_group", "_name", "_low", F.col("k.need").alias("_need"), F.size("k.g").alias("_size"), F.explode("k.g").alias("_gram")))
+    listed = kinds.select("_group", "_name", "_flag", "_low", F.explode(F.array(F.struct(F.col("_two").alias("g"), pairs_needed.alias("need")), F.struct(F.col("_one").alias("g"), letters_needed.alias("need")))).alias("k")).where("k.g is not null")
+    listed = cut(listed.select("_group", "_name", "_flag", "_low", F.col("k.need").alias("_need"), F.size("k.g").alias("_size"), F.explode("k.g").alias("_gram")))
     often = listed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_often"))
     kind = F.substring("_gram", 1, 1)
-    sets = listed.join(often, "_gram").groupBy("_group", "_name", "_low", kind.alias("_kind"), "_need", "_size").agg(F.array_sort(F.collect_list(F.struct("_often", "_gram"))).alias("_all"))
+    sets = listed.join(often, "_gram").groupBy("_group", "_name", "_flag", "_low", kind.alias("_kind"), "_need", "_size").agg(F.array_sort(F.collect_list(F.struct("_often", "_gram"))).alias("_all"))
     head = F.slice("_all", F.lit(1), F.greatest(F.col("_size") - F.col("_need") + 1, F.lit(0)).cast("int"))
-    keyed = sets.select(F.struct("_group", F.col("_name").alias("n"), F.col("_low").alias("l")).alias("_item"), F.explode(F.transform(head, lambda x: F.struct("_group", x["_gram"].alias("g")))).alias("_key"))
-    met = paired(cut(keyed), "_key", "_item").select("a", "b").distinct()
+    keyed = sets.select("_flag", F.struct("_group", F.col("_name").alias("n"), F.col("_low").alias("l")).alias("_item"), F.explode(F.transform(head, lambda x: F.struct("_group", x["_gram"].alias("g")))).alias("_key"))
+    keyed = cut(keyed)
+    met = (paired(keyed, "_key", "_item") if known is None else paired_with(keyed, "_key", "_item", "_flag")).select("a", "b").distinct()
     met = met.select(F.col("a._group").alias(group), F.col("a.n").alias("a"), F.col("b.n").alias("b"), F.col("a.l").alias("_a"), F.col("b.l").alias("_b"))
     total = F.length("_a") + F.length("_b")
     met = met.where(2 * F.least(F.length("_a"), F.length("_b")) >= least * total - 1e-9)

@@ -178,7 +178,7 @@ def val_3_ratio_tier(spark, d):
     known = g.entities().select(F.explode(F.split("name", " ")).alias("name")).union(g.entities().select("brand")).distinct()
     rows = said.select(F.lower("name").alias("candidate")).distinct()
     names = known.select(F.lower("name").alias("known")).distinct()
-    alike = N.similar_names(rows.select(F.lit(0).alias("type"), F.col("candidate").alias("name")).union(names.select(F.lit(0), "known")), 0.80)
+    alike = N.similar_names(rows.select(F.lit(0).alias("type"), F.col("candidate").alias("name")), 0.80, known=names.select(F.lit(0).alias("type"), F.col("known").alias("name")))
     alike = alike.unionByName(alike.select("type", F.col("b").alias("a"), F.col("a").alias("b"), "ratio"))
     close = alike.join(names.withColumnRenamed("known", "b"), "b", "left_semi").groupBy(F.col("a").alias("candidate")).agg(F.max_by("b", F.struct("ratio", "b")).alias("close"))
     runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))

@@ -82,3 +82,18 @@ def test_means_travel_as_one_row(spark):
         want[g] = [pytest.approx(x / np.linalg.norm(mean)) for x in mean]
     assert {x.g: x.vec for x in got.collect()} == want and R.centroids(rows.where("g > 9"), "g").count() == 0
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similar_names_of_known_ones(spark, monkeypatch):
+    """Only pairs with a known name are compared and returned; dealt to many tasks or not, they are those of the whole join."""
+    from strataloom.operators import names as N
+
+    monkeypatch.setattr(G, "DEAL", 7)
+    r = np.random.default_rng(5)
+    said = sorted({"".join(r.choice(list("abcd"), r.integers(2, 9))) for _ in range(150)})
+    frame = lambda words: spark.createDataFrame([("t", w) for w in words], "type string, name string")
+    known = set(said[::9]) | {"abcd", "dcba"}
+    rows = lambda df: {(x.a, x.b): x.ratio for x in df.collect()}
+    whole = rows(N.similar_names(frame(set(said) | known), 0.8))
+    want = {p: s for p, s in whole.items() if set(p) & known}
+    assert rows(N.similar_names(frame(said), 0.8, known=frame(known))) == want and 0 < len(want) < len(whole)
