@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataloom.operators.ranking import PART_ROWS, QUERY_BLOCK, STRIP, best_of, vector_search
+from strataloom.operators.ranking import PART_ROWS, QUERY_BLOCK, STRIP, best_of, matrix_of, vector_search
 from strataloom.sources.shared import cut, drop
 
 SAMPLE_ROWS = 20_000
@@ -40,14 +40,6 @@ class VectorIndex:
     probes: int
 
 
-def matrix_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Vectors of one length as unit rows."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-
-
 def nearest_centres(vectors: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
     """The k centres with the largest inner products, best first."""
     out = []

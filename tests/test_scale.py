@@ -97,3 +97,18 @@ def test_similar_names_of_known_ones(spark, monkeypatch):
     whole = rows(N.similar_names(frame(set(said) | known), 0.8))
     want = {p: s for p, s in whole.items() if set(p) & known}
     assert rows(N.similar_names(frame(said), 0.8, known=frame(known))) == want and 0 < len(want) < len(whole)
+
+
+def test_search_holds_small_parts(spark):
+    """A search task gets Arrow columns of some 16,000 rows, not 50,000 vectors as objects, and finds what one product finds."""
+    from strataloom.operators import ranking as R
+
+    r = np.random.default_rng(6)
+    m = r.normal(size=(400, 8))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "id long, vec array<float>")
+    found = R.vector_search(rows, rows.limit(9).withColumnRenamed("id", "query_id"), 5)
+    assert R.PART_ROWS <= 20_000 and "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    got = {(x.query_id, x.id) for x in found.collect()}
+    assert got == {(q, int(i)) for q in {q for q, _ in got} for i in np.lexsort((np.arange(400), -np.round(u @ u[q], 4)))[:5]} and len(got) == 45
