@@ -32,12 +32,16 @@ QUERY_PATTERNS = {
 def tag(text: Column, name: Column, axes: dict[str, dict[str, float]], structure: dict[str, str], types: Column | None = None, entity_axes: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Array of probabilities in the order of ``axes``: keyword weights, a structural pattern, the file name, and the types of
     the entities in the text (an array, repeated types counting each time) by the axes they speak for."""
-    scores = []
-    for axis, words in axes.items():
-        shape = text.rlike("(?mi)" + structure[axis]).cast("double") if axis in structure else F.lit(0.0)
-        spoken = entity_evidence(types, axis, entity_axes or ENTITY_AXES) if types is not None else F.lit(0.0)
-        scores.append(KEYWORDS * X.keyword_score(text, words) + ENTITIES * spoken + STRUCTURE * shape + NAME * F.lower(name).contains(axis).cast("double"))
-    return V.softmax(F.array(*scores))
+
+    def scores(low: Column) -> Column:
+        out = []
+        for axis, words in axes.items():
+            shape = text.rlike("(?mi)" + structure[axis]).cast("double") if axis in structure else F.lit(0.0)
+            spoken = entity_evidence(types, axis, entity_axes or ENTITY_AXES) if types is not None else F.lit(0.0)
+            out.append(KEYWORDS * X.lower_score(low, words) + ENTITIES * spoken + STRUCTURE * shape + NAME * F.lower(name).contains(axis).cast("double"))
+        return F.array(*out)
+
+    return V.softmax(V.once(F.lower(text), scores))  # a text is put in lower case once
 
 
 def dominant(distribution: Column, axes: list[str]) -> Column:

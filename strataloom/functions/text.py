@@ -308,9 +308,14 @@ def comparative_spans(query: Column) -> Column:
 
 
 def keyword_score(text: Column, weights: dict[str, float]) -> Column:
+    return lower_score(F.lower(text), weights)
+
+
+def lower_score(low: Column, weights: dict[str, float]) -> Column:
+    """``keyword_score`` of a text in lower case."""
     total = F.lit(0.0)
     for word, weight in weights.items():
-        total = total + F.when(F.lower(text).contains(word), F.lit(float(weight))).otherwise(F.lit(0.0))
+        total = total + F.when(low.contains(word), F.lit(float(weight))).otherwise(F.lit(0.0))
     return total
 
 

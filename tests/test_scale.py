@@ -111,3 +111,19 @@ def test_search_holds_small_parts(spark):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     got = {(x.query_id, x.id) for x in found.collect()}
     assert got == {(q, int(i)) for q in {q for q, _ in got} for i in np.lexsort((np.arange(400), -np.round(u @ u[q], 4)))[:5]} and len(got) == 45
+
+
+def test_tags_read_a_text_once(spark):
+    """A text is put in lower case once for all axes and words, and the softmax is that of plain Python."""
+    from strataloom.functions import domain as D
+
+    axes = {"a": {"one": 1.0, "two": 0.5}, "b": {"three": 2.0}, "c": {}}
+    data = [(0, "One, TWO", "c.txt"), (1, "three | one", ""), (2, None, "a"), (3, "", None)]
+    rows = spark.createDataFrame(data, "id long, text string, name string")
+    got = rows.select("id", D.tag(F.col("text"), F.coalesce("name", F.lit("")), axes, {"b": r"^.* \| .*$"}).alias("p"))
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("lower(text") == 1
+    for r in got.collect():
+        text, name = (data[r.id][1] or "").lower(), (data[r.id][2] or "")
+        raw = [0.5 * sum(w for k, w in words.items() if k in text) + 0.15 * (axis == "b" and " | " in text) + 0.05 * (axis in name) for axis, words in axes.items()]
+        e = np.exp(raw)
+        assert r.p == ([None] * 3 if data[r.id][1] is None else pytest.approx((e / e.sum()).tolist()))
