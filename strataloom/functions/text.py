@@ -71,6 +71,12 @@ MODES = (
     ("OPINION", (r"\b(rất|cực kỳ|tuyệt|excellent|amazing|terrible)\b", r"\b(theo tôi|theo chúng tôi|in my opinion)\b", r"\b(có thể|chắc chắn|definitely|maybe|possibly)\b")),
     ("FACT", (r"\d+%", r"\d+\s*(tỷ|triệu|nghìn|million|billion)", r"\d{4}", r"là\s+\w+")),
 )
+MODE_HINTS = {
+    "INSTRUCTION": r"^.{4}(?: \p{Nd}|.?[,.])|[hH][ãÃ][yY]|[pP][lL][eE][aA]|[lL][eE][tT][ ']",
+    "OPINION": r"[ấẤựỰệỆóÓắẮ]|[xX][cC][eE][lL]|[mM][aA][zZ]|[rR][rR].[bB]|[hH][eE][oO] |[nN] [mM][yY] |[fF].[nN]|[yY][bB][eE]|[bB][lL][yY]",
+    "FACT": r"\p{Nd}|[lL][àÀ]",
+}
+"""What no text of a mode is without; quick to look for. Letters with more than two forms (i, k, s) are left out."""
 MASKS = (
     ("EMAIL", r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"),
     ("PHONE", r"(?<!\d)(?:\+?84|0)(?:3[2-9]|5[6-9]|7[06-9]|8[1-9]|9[0-46-9])\d{7}(?!\d)"),
@@ -86,6 +92,12 @@ TYPE_SIGNATURES = (
     ("legal_contract", (r"(?i)\b(Điều|Article|Section)\s+\d+", r"(?i)\b(bên A|bên B|party A|party B|whereas|hereby)\b", r"(?i)\b(hợp đồng|contract|agreement)\s+số")),
     ("code", (r"(?m)^(def|class|function|public|private)\s+\w+", r"(?m)^```(python|javascript|java|cpp|go|rust)", r"(?m)^(import|from|require|use)\s+")),
 )
+TYPE_NEEDS = {
+    r"(?im)^#\s*Abstract": "#", r"(?im)##\s*\d+\s*Introduction": "##", r"(?i)\barXiv:\d{4}\.\d{4,5}": ":", r"(?i)\bReferences\s*\[\d+\]": "[",
+    r'(?i)"role"\s*:\s*"(user|assistant|system)"': '"', r"(?m)^\[\d{2}:\d{2}\]": "[", r"(?m)^@\w+:": "@", r"(?i)\b(hợp đồng|contract|agreement)\s+số": "ố",
+    r"(?m)^```(python|javascript|java|cpp|go|rust)": "```",
+}
+"""What a head that matches the pattern cannot do without."""
 TYPE_NAMES = (
     ("legal_contract", ("contract", "agreement", "hợp đồng", "legal")),
     ("chat_log", ("chat", "conversation", "log", "messages")),
@@ -248,13 +260,14 @@ def sentences(text: Column) -> Column:
     """Sentences; dots of abbreviations, numbers, addresses and initials end none."""
     dot = "\u0000"
     out = strip(text)
-    out = F.regexp_replace(out, r"(?U)\b(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.", "$1" + dot)
+    initial = "".join(sorted({a[0] for a in ABBREVIATIONS}))  # looked for first, as word ends are slow to tell
+    out = F.regexp_replace(out, rf"(?U)(?=[{initial}])\b(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.", "$1" + dot)
     out = F.regexp_replace(out, r"(?<=\d)\.(?=\d)", dot)
     whole = lambda t: F.when(t.rlike(ADDRESS), replace_matches(t, ADDRESS, lambda m: F.replace(m, F.lit("."), F.lit(dot)))).otherwise(t)
     out = let(out, whole)  # all dots of an address, its last one too
     out = F.regexp_replace(out, r"\b([A-Z])\.(?=\s+[A-Z])", "$1" + dot)
     cut = F.split(out, r"(?<=[.!?])\s+(?=[A-ZÀ-Ỹ])")
-    return F.filter(F.transform(cut, lambda s: strip(F.replace(s, F.lit(dot), F.lit(".")))), lambda s: s != "")
+    return F.filter(F.transform(cut, lambda s: F.replace(s, F.lit(dot), F.lit("."))), lambda s: s != "")  # no white space is left at a cut
 
 
 def strip_artifacts(text: Column) -> Column:
@@ -278,7 +291,7 @@ def citation_ratio(answer: Column) -> Column:
 
 
 def title_entities(text: Column) -> Column:
-    spans = F.regexp_extract_all(text, F.lit(r"(?U)\b(\p{Lu}[\w]+(?:\s+\p{Lu}[\w]+){0,4})\b"), F.lit(1))
+    spans = F.regexp_extract_all(text, F.lit(r"(?U)(?=\p{Lu})\b(\p{Lu}[\w]+(?:\s+\p{Lu}[\w]+){0,4})\b"), F.lit(1))
     return F.array_distinct(F.filter(spans, lambda s: F.length(s) > 3))
 
 
@@ -383,13 +396,17 @@ def needs_reasoning(intent: Column, query: Column) -> Column:
 def mode(text: Column) -> Column:
     out = F.lit("NARRATIVE")
     for name, patterns in reversed(MODES):
-        out = F.when(any_of(text, patterns, "(?iuU)"), F.lit(name)).otherwise(out)
+        out = F.when(text.rlike(MODE_HINTS[name]) & any_of(text, patterns, "(?iuU)"), F.lit(name)).otherwise(out)
     return out
 
 
 def structural(text: Column) -> Column:
-    body = strip(text)
-    return (body == "") | body.rlike("|".join(STRUCTURAL)) | body.startswith("```")
+    return structural_bare(strip(text))
+
+
+def structural_bare(body: Column) -> Column:
+    """``structural`` of a text without white space around it."""
+    return (body == "") | body.rlike(r"^(?:" + "|".join(p.removeprefix("^") for p in STRUCTURAL) + ")") | body.startswith("```")
 
 
 def discourse(text: Column) -> Column:
@@ -397,8 +414,13 @@ def discourse(text: Column) -> Column:
 
 
 def doc_type(text: Column, filename: Column) -> Column:
-    name, head = F.lower(filename), F.substring(text, 1, 3000)
-    votes = F.array(*[sum((head.rlike(p).cast("int") for p in patterns), F.lit(0)) for _, patterns in TYPE_SIGNATURES])
+    name = F.lower(filename)
+
+    def voted(head: Column) -> Column:
+        needs = lambda p: head.contains(TYPE_NEEDS[p]) & head.rlike(p) if p in TYPE_NEEDS else head.rlike(p)
+        return F.array(*[sum((needs(p).cast("int") for p in patterns), F.lit(0)) for _, patterns in TYPE_SIGNATURES])
+
+    votes = let(F.substring(text, 1, 3000), voted)
     first = F.transform(F.array(votes), lambda v: F.when(F.array_max(v) >= 2, F.array_position(v, F.array_max(v))).otherwise(0))
     kinds = F.array(F.lit("generic"), *[F.lit(kind) for kind, _ in TYPE_SIGNATURES])
     by_vote = F.element_at(kinds, (F.element_at(first, 1) + 1).cast("int"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from strataloom.functions import score as S
 from strataloom.functions import text as X
@@ -60,23 +63,27 @@ def boundary_scores(sentences: DataFrame, key: str, pos: str, text: str, vec: st
     return sentences.withColumn("boundary", total)
 
 
-def group_at(rows: DataFrame, key: str, pos: str, text: str, score: str, threshold: Column, most: Column) -> DataFrame:
-    """(key, k, chunk): sentences joined into paragraphs, a new one where ``score`` exceeds the threshold or the lengths would
-    exceed ``most``. A document's sentences are folded in order; documents are bounded, their number is not."""
-    unit = F.struct(F.col(pos).alias("p"), F.col(text).alias("t"), (F.col(score) > threshold).alias("cut"))
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(unit)).alias("u"), F.first(most).alias("most"))
+def folded(units: Column, most: Column) -> Column:
+    """Units (t, cut) joined into paragraphs, a new one at a cut or where the lengths would exceed ``most``."""
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("size"))
 
     def step(s: Column, u: Column) -> Column:
-        fresh = s["held"].isNotNull() & (u["cut"] | (s["size"] + F.length(u["t"]) > F.col("most")))
+        fresh = s["held"].isNotNull() & (u["cut"] | (s["size"] + F.length(u["t"]) > most))
         return F.struct(
             F.when(fresh, F.concat(s["done"], F.array(s["held"]))).otherwise(s["done"]).alias("done"),
             F.when(fresh | s["held"].isNull(), u["t"]).otherwise(F.concat(s["held"], F.lit(" "), u["t"])).alias("held"),
             F.when(fresh, F.length(u["t"])).otherwise(s["size"] + F.length(u["t"])).alias("size"),
         )
 
-    done = F.aggregate("u", empty, step, lambda s: F.when(s["held"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["held"]))))
-    return grouped.select(key, F.posexplode(done).alias("k", "chunk"))
+    return F.aggregate(units, empty, step, lambda s: F.when(s["held"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["held"]))))
+
+
+def group_at(rows: DataFrame, key: str, pos: str, text: str, score: str, threshold: Column, most: Column) -> DataFrame:
+    """(key, k, chunk): sentences joined into paragraphs, a new one where ``score`` exceeds the threshold or the lengths would
+    exceed ``most``. A document's sentences are folded in order; documents are bounded, their number is not."""
+    unit = F.struct(F.col(pos).alias("p"), F.col(text).alias("t"), (F.col(score) > threshold).alias("cut"))
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(unit)).alias("u"), F.first(most).alias("most"))
+    return grouped.select(key, F.posexplode(folded(F.col("u"), F.col("most"))).alias("k", "chunk"))
 
 
 def topic_chunks(rows: DataFrame, key: str, pos: str, text: str, vec: str, least: float = 0.55, most: int = 800) -> DataFrame:
@@ -88,29 +95,74 @@ def topic_chunks(rows: DataFrame, key: str, pos: str, text: str, vec: str, least
 DIMENSIONS = 64
 
 
-def bag_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Counts of a text's words by hash, in lower case: texts with words in common are near each other."""
+def slots_of(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """A text's words, in lower case, as places by hash."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int"))
-    held = lambda x: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (F.size(x) - F.size(F.array_remove(x, i))).cast("double"))
-    return F.get(F.transform(F.array(slots), held), F.lit(0))  # the slots are hashed once
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int"))
 
 
-def signal_chunks(docs: DataFrame, key: str, text: str, name: str, vector: Callable[[Column], Column] = bag_vector) -> DataFrame:
+def bag_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """Counts of a text's words by hash, in lower case: texts with words in common are near each other."""
+    held = lambda x: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (F.size(x) - F.size(F.array_remove(x, i))).cast("double"))
+    return F.get(F.transform(F.array(slots_of(text, dimensions)), held), F.lit(0))  # the slots are hashed once
+
+
+BAGS = 4096
+"""Texts, or those of one row, whose counts are held at once."""
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def bag_cosines(slots: pd.Series) -> pd.Series:
+    """For each text of a row (places of its words) the cosine of its counts with those of the text before; 0 for the first."""
+    out, at = [], 0
+    many = slots.map(len).to_numpy()
+    while at < len(slots):
+        upto = at + max(1, int(np.searchsorted(np.cumsum(many[at:]), BAGS, "right")))
+        texts = [t for row in slots.iloc[at:upto] for t in row]
+        own = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        flat = np.concatenate([*texts, np.zeros(0)]).astype(np.int64)
+        counts = np.bincount(own * DIMENSIONS + flat, minlength=len(texts) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.float64)
+        norm = np.sqrt((counts * counts).sum(axis=1))
+        dot, size = (counts[1:] * counts[:-1]).sum(axis=1), norm[1:] * norm[:-1]
+        cosine = np.concatenate([np.zeros(min(1, len(texts))), np.divide(dot, size, out=np.zeros(len(dot)), where=size > 0)])
+        ends = np.cumsum(many[at:upto])
+        cosine[(ends - many[at:upto])[many[at:upto] > 0]] = 0.0
+        out += np.split(cosine, ends[:-1])
+        at = upto
+    return pd.Series(out)
+
+
+def signal_chunks(docs: DataFrame, key: str, text: str, name: str, vector: Callable[[Column], Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, k, chunk) by all five boundary signals of sentences; threshold and size follow the document's type.
 
-    ``vector`` gives a sentence's vector from its text, which is compared with that of the sentence before; a model's
-    vectors may take the place of the hashed words.
+    ``vector`` gives a sentence's vector from its text, which is compared with that of the sentence before; without it the
+    hashed words (``bag_vector``) are. A document's sentences stay in its row: each is looked at once, and nothing is
+    shuffled. Columns in ``keep`` come along.
     """
     kind = X.doc_type(F.col(text), F.coalesce(F.col(name), F.lit("")))
     sizes = {k: v[0] for k, v in X.TYPE_SIZES.items()}
     cuts = {k: v[1] for k, v in X.TYPE_SIZES.items()}
-    typed = docs.select(key, text, kind.alias("_kind"))
+    rows = docs.select(key, *keep, kind.alias("_kind"), F.coalesce(X.sentences(F.col(text)), F.array().cast("array<string>")).alias("_said"))
     size, least = S.from_table(F.col("_kind"), sizes, 800).alias("_most"), S.from_table(F.col("_kind"), cuts, 0.55).alias("_cut")
-    lines = typed.select(key, size, least, F.posexplode(X.sentences(F.col(text))).alias("pos", "sentence"))
-    names = lines.withColumn("_names", F.transform(X.title_entities(F.col("sentence")), lambda e: F.lower(e))).withColumn("_vector", vector(F.col("sentence")))
-    scored = boundary_scores(names, key, "pos", "sentence", vec="_vector", entities="_names")
-    return group_at(scored, key, "pos", "sentence", "boundary", F.col("_cut"), F.col("_most"))
+    each = lambda use: F.transform("_said", use)
+    if vector is None:
+        rows = rows.withColumn("_near", bag_cosines(each(lambda t: slots_of(t))))
+    else:
+        rows = rows.withColumn("_vectors", each(lambda t: vector(t)))
+        rows = rows.withColumn("_near", F.transform("_vectors", lambda v, i: F.when(i > 0, V.cosine(F.get("_vectors", i - 1), v)))).drop("_vectors")
+    fixed = lambda t: SIGNALS["discourse"] * X.discourse(t).cast("double") + SIGNALS["structure"] * X.structural_bare(t).cast("double")
+    seen = lambda t: F.struct(t.alias("t"), fixed(t).alias("fixed"), X.mode(t).alias("mode"), F.transform(X.title_entities(t), lambda e: F.lower(e)).alias("names"))
+    rows = rows.select(key, *keep, size, least, "_near", each(seen).alias("_seen"))
+
+    def unit(u: Column, i: Column) -> Column:
+        before = F.get("_seen", i - 1)  # null for the first
+        total = u["fixed"] + SIGNALS["mode"] * F.coalesce(u["mode"] != before["mode"], F.lit(False)).cast("double")
+        total = total + SIGNALS["semantic"] * F.when(i > 0, 1 - F.get("_near", i)).otherwise(0.0)
+        total = total + SIGNALS["entities"] * F.when(i > 0, V.jaccard_distance(before["names"], u["names"])).otherwise(0.0)
+        return F.struct(u["t"].alias("t"), (total > F.col("_cut")).alias("cut"))
+
+    rows = rows.select(key, *keep, "_most", F.transform("_seen", unit).alias("_units"))
+    return rows.select(key, *keep, F.posexplode(folded(F.col("_units"), F.col("_most"))).alias("k", "chunk"))
 
 
 def sections(paragraphs: Column, most: int) -> Column:

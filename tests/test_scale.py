@@ -127,3 +127,23 @@ def test_tags_read_a_text_once(spark):
         raw = [0.5 * sum(w for k, w in words.items() if k in text) + 0.15 * (axis == "b" and " | " in text) + 0.05 * (axis in name) for axis, words in axes.items()]
         e = np.exp(raw)
         assert r.p == ([None] * 3 if data[r.id][1] is None else pytest.approx((e / e.sum()).tolist()))
+
+
+def test_signal_chunks_stay_in_their_row(spark):
+    """Boundaries as by windows over sentences, without a shuffle; the counts' cosines are those of ``bag_vector``."""
+    from strataloom.functions import text as X
+    from strataloom.operators import chunking as C
+
+    r = np.random.default_rng(7)
+    words = ["Paris", "Anna Lee", "the", "a", "42%", "However", "please", "LÀ gì", "có thể", "- x", "# Abstract"]
+    said = lambda: " ".join(". ".join(" ".join(r.choice(words, r.integers(1, 9))) for _ in range(r.integers(1, 30))).split(" "))
+    docs = spark.createDataFrame([(k, said(), "a.md") for k in range(40)] + [(97, None, None), (98, "", "b"), (99, " ? ! ", "c")], "doc_id long, text string, name string")
+    got = C.signal_chunks(docs, "doc_id", "text", "name")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    same = C.signal_chunks(docs, "doc_id", "text", "name", vector=C.bag_vector)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, same.collect())) and got.count() > 40
+    modes = spark.createDataFrame([(t,) for t in ["Step 1", "Bước 2 x", "FIRST, a", "next. b", "PLEASE", "let us", "Let's", "HÃY", "a 5%", "là x", "maybe", "posſibly", "ın my opinion", "definİtely", "Terrıble", "RẤT", "x", "pleaſe", "19999"]], "t string")
+    plain = F.lit("NARRATIVE")
+    for name, patterns in reversed(X.MODES):
+        plain = F.when(X.any_of(F.col("t"), patterns, "(?iuU)"), F.lit(name)).otherwise(plain)
+    assert modes.where(X.mode(F.col("t")) != plain).collect() == []
