@@ -215,15 +215,14 @@ def dispatch(files: DataFrame, structured: bool = False) -> DataFrame:
     both are packed by lines. A file without rows or messages then has no chunks.
     """
     typed = files.withColumn("format", F.coalesce(format_of(F.col("name"), F.substring("text", 1, 2048)), F.lit("txt"))).withColumn("text", F.coalesce("text", F.lit("")))
-    whole = lambda rows: rows.select("doc_id", F.posexplode(merge_short(pack(X.sentences(F.col("text")), 800), 80, 800)).alias("k", "chunk"))
+    whole = lambda rows: rows.select("doc_id", "format", F.posexplode(merge_short(pack(X.sentences(F.col("text")), 800), 80, 800)).alias("k", "chunk"))
     chat = lambda rows: rows.select("doc_id", F.posexplode(pack(F.split("text", "\n"), 800, "\n")).alias("k", "chunk"))
     own = {"chat": chat, "email": chat, "csv": chat, **({"chat": message_chunks, "csv": csv_chunks} if structured else {}), **CHUNKERS}
     signal = ("md", "txt", "html")
-    out = signal_chunks(typed.where(F.col("format").isin(*signal)), "doc_id", "text", "name")
+    out = signal_chunks(typed.where(F.col("format").isin(*signal)), "doc_id", "text", "name", keep=("format",))
     for kind, chunker in own.items():
-        out = out.unionByName(chunker(typed.where(F.col("format") == kind)))
-    out = out.unionByName(whole(typed.where(~F.col("format").isin(*signal, *own))))
-    return out.join(typed.select("doc_id", "format"), "doc_id")
+        out = out.unionByName(chunker(typed.where(F.col("format") == kind)).select("doc_id", F.lit(kind).alias("format"), "k", "chunk"))
+    return out.unionByName(whole(typed.where(~F.col("format").isin(*signal, *own))))
 
 
 def table_chunks(rows: DataFrame, sheet: str, key: str, columns: list[str], per_chunk: int = 20, count: str = "sheet") -> DataFrame:

@@ -147,3 +147,13 @@ def test_signal_chunks_stay_in_their_row(spark):
     for name, patterns in reversed(X.MODES):
         plain = F.when(X.any_of(F.col("t"), patterns, "(?iuU)"), F.lit(name)).otherwise(plain)
     assert modes.where(X.mode(F.col("t")) != plain).collect() == []
+
+
+def test_dispatch_keeps_formats_without_a_join(spark):
+    """Chunks carry their format along; files are not joined back to their chunks."""
+    from strataloom.operators import chunking as C
+
+    files = spark.createDataFrame([("a", "a.txt", "One. Two."), ("b", "b.csv", "x,y\n1,2"), ("c", "c.pdf", "Three. Four.")], "doc_id string, name string, text string")
+    got = C.dispatch(files)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(x.doc_id, x.format) for x in got.collect()} == {("a", "txt"), ("b", "csv"), ("c", "pdf")}
