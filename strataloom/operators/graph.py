@@ -29,15 +29,27 @@ def sized_contexts(contains: DataFrame, least: int, most: int) -> DataFrame:
     return rows.join(fit.select("chunk_id"), "chunk_id", "left_semi")
 
 
+MENTIONS = 250_000
+"""Mentions whose pairs one task makes, on average."""
+LINKS = 1_000_000
+"""Pairs or links that one task holds, on average."""
+
+
 def co_occurrence(contains: DataFrame, least: int = 2, most: int = 25) -> DataFrame:
     """(a, b, shared): pairs a < b of entities and how many chunks they share.
 
-    A chunk has at most ``most`` entities here, so it gives at most most * (most - 1) / 2 pairs.
+    A chunk has at most ``most`` entities here, so it gives at most most * (most - 1) / 2 pairs. Chunks and pairs are dealt
+    to tasks by their numbers, so that what a task holds does not grow with the input.
     """
-    sets = sized_contexts(contains, least, most).groupBy("chunk_id").agg(F.array_sort(F.collect_list("entity_id")).alias("_all"))  # ``most`` at most
+    rows = cut(contains.select("chunk_id", "entity_id").distinct())
+    tasks = lambda n, size: max(1, -(-int(n or 0) // size))
+    rows = rows.repartition(tasks(rows.count(), MENTIONS), "chunk_id")
+    n = F.col("n")
+    total = rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where(n.between(least, most)).agg(F.sum(n * (n - 1) / 2)).first()[0]
+    sets = sized_contexts(rows, least, most).groupBy("chunk_id").agg(F.array_sort(F.collect_list("entity_id")).alias("_all"))  # ``most`` at most
     firsts = sets.select("_all", F.posexplode("_all").alias("_at", "a"))
     pairs = firsts.select("a", F.explode(F.slice("_all", F.col("_at") + 2, F.size("_all"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.repartition(tasks(total, LINKS), "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def npmi_edges(contains: DataFrame, least: int = 2, most: int = 25, shared: int = 1, floor: float = 0.0) -> DataFrame:
@@ -201,7 +213,7 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, iteratio
     spark = edges.sparkSession
     edges = cut(edges.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
     out = edges.groupBy("a").agg(F.sum("weight").alias("total"))
-    steps = edges.join(out, "a").select("a", "b", (damping * F.col("weight") / F.col("total")).alias("share")).repartition("a").persist()
+    steps = edges.join(out, "a").select("a", "b", (damping * F.col("weight") / F.col("total")).alias("share")).repartition(max(1, -(-edges.count() // LINKS)), "a").persist()
     ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("leads")), F.struct(F.col("b").alias("node"), F.lit(False).alias("leads")))))
     nodes = cut(ends.groupBy("node").agg(F.bool_or("leads").alias("leads")))
     dangling = nodes.where("NOT leads").select("node")

@@ -157,3 +157,18 @@ def test_dispatch_keeps_formats_without_a_join(spark):
     got = C.dispatch(files)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {(x.doc_id, x.format) for x in got.collect()} == {("a", "txt"), ("b", "csv"), ("c", "pdf")}
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """Pairs of entities lie in as many tasks as their number asks for, whatever the session's partitions, and are those of plain Python."""
+    monkeypatch.setattr(G, "MENTIONS", 20)
+    monkeypatch.setattr(G, "LINKS", 10)
+    r = np.random.default_rng(8)
+    sets = {c: set(r.integers(0, 30, r.integers(1, 8)).tolist()) for c in range(60)}
+    got = G.co_occurrence(spark.createDataFrame([(c, e) for c, es in sets.items() for e in es] * 2, "chunk_id long, entity_id long"), 2, 6)
+    want = {}
+    for es in sets.values():
+        for p in itertools.combinations(sorted(es), 2) if 2 <= len(es) <= 6 else ():
+            want[p] = want.get(p, 0) + 1
+    assert got.rdd.getNumPartitions() == -(-sum(want.values()) // 10) > 4
+    assert {(x.a, x.b): x.shared for x in got.collect()} == want
