@@ -172,3 +172,42 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
             want[p] = want.get(p, 0) + 1
     assert got.rdd.getNumPartitions() == -(-sum(want.values()) // 10) > 4
     assert {(x.a, x.b): x.shared for x in got.collect()} == want
+
+
+def test_ranks_travel_by_part(spark, monkeypatch):
+    """Ranks of many seed sets over parts that links cross, with and without nodes that lead nowhere: the rounds of one set in
+    numpy; ``best`` keeps each set's best."""
+    r = np.random.default_rng(5)
+    pairs = {(int(a) + 100 * g, int(b) + 100 * g) for g in range(3) for a, b in r.integers(0, 40, (150, 2)) if a != b}
+    for ends, size, best in ((set(), 10**6, 5), ({3, 105}, 60, None)):
+        links = {(a, b): float(1 + (a * b) % 3) for a, b in pairs | {(b, a) for a, b in pairs} if a not in ends}
+        nodes = sorted({n for link in links for n in link})
+        sets = {q: sorted({int(n) for n in r.choice(nodes, 1 + q % 3)}) for q in range(90)}
+        step = np.zeros((len(nodes), len(nodes)))
+        for (a, b), w in links.items():
+            step[nodes.index(a), nodes.index(b)] = w
+        total = step.sum(axis=1, keepdims=True)
+        start = np.array([[(n in held) / len(held) for n in nodes] for held in sets.values()])
+        step = 0.5 * np.where(total > 0, step / np.maximum(total, 1), 0)
+        score, left = np.zeros_like(start), start.copy()
+        for _ in range(80):
+            score, left = score + 0.5 * left, left @ step + start * (0.5 * left[:, total[:, 0] == 0].sum(axis=1, keepdims=True))
+        edges = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "a long, b long, weight double")
+        seeds = spark.createDataFrame([(q, n) for q, held in sets.items() for n in held], "query_id long, node long")
+        monkeypatch.setattr(G, "PART_LINKS", size)
+        monkeypatch.setattr(G, "HELD", 600)
+        got = np.zeros_like(score)
+        rows = G.page_ranks(edges, seeds, best=best).collect()
+        assert len({(x.query_id, x.node) for x in rows}) == len(rows)
+        for x in rows:
+            got[x.query_id, nodes.index(x.node)] = x.score
+        kept = score > 1e-4 if best is None else score >= np.sort(score, axis=1)[:, -best, None] + 1e-5
+        assert np.abs(got - score)[kept].max() < 2e-5
+
+
+def test_reached_mentions(spark):
+    """Chunks reached from an entity over others, all of their mentions; none of what is apart."""
+    rows = spark.createDataFrame([(c, e) for c in range(20) for e in (c, c + 1)] + [(50, 70), (50, 71)], "chunk_id long, entity_id long")
+    got = {tuple(x) for x in G.reached(rows, spark.createDataFrame([(4,)], "node long")).collect()}
+    assert got == {(c, e) for c in range(20) for e in (c, c + 1)}
+    assert {x.chunk_id for x in G.reached(rows, spark.createDataFrame([(4,)], "node long"), hops=1).collect()} == {2, 3, 4, 5}
