@@ -211,3 +211,22 @@ def test_reached_mentions(spark):
     got = {tuple(x) for x in G.reached(rows, spark.createDataFrame([(4,)], "node long")).collect()}
     assert got == {(c, e) for c in range(20) for e in (c, c + 1)}
     assert {x.chunk_id for x in G.reached(rows, spark.createDataFrame([(4,)], "node long"), hops=1).collect()} == {2, 3, 4, 5}
+
+
+def test_text_index_shuffles_postings_once(spark, tmp_path, monkeypatch):
+    """Repeated ids are one document, and a row's terms are counted without an exchange."""
+    from strataloom.operators import text_index as T
+
+    monkeypatch.setattr(T, "BLOCK", 3)
+    docs = spark.createDataFrame([(1, "a b a"), (1, "B c"), (2, "a"), (3, None), (None, "a"), (4, "")] + [(k, "x a") for k in range(10, 20)], "doc_id long, text string")
+    assert "Exchange" not in T.counted(docs.select(F.col("doc_id").alias("doc"), T.terms_of(F.col("text")).alias("terms")))._jdf.queryExecution().executedPlan().toString()
+    T.build_index(docs, str(tmp_path))
+    rows = spark.read.parquet(str(tmp_path)).collect()
+    got = sorted((x.term, d) for x in rows for d in x.docs)
+    assert got == sorted([("a", 1), ("b", 1), ("c", 1), ("a", 2)] + [(t, k) for t in "ax" for k in range(10, 20)])
+    assert all(len(x.docs) <= 3 and x.total == 12 and x.most == max(x.parts) for x in rows)
+    mean = (5 + 1 + 20) / 12
+    score = lambda df, tf, n: np.log(1 + (12 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))
+    want = [(1, round(score(12, 2, 5) + score(1, 2, 5), 6)), (2, round(score(12, 1, 1), 6))] + [(k, round(score(12, 1, 2), 6)) for k in range(10, 20)]
+    asked = spark.createDataFrame([(0, "A"), (0, "b"), (0, "none")], "query_id long, term string")
+    assert [(x.doc, x.score) for x in T.search_index(spark, str(tmp_path), asked, 20).orderBy("rank").collect()] == want
