@@ -1,9 +1,8 @@
-"""An index over all vectors: coarse cells with coded residuals, searched cell by cell.
+"""An index over all vectors: coarse cells, of which a query visits the nearest.
 
-Centres of cells and codewords are fitted on a bounded sample; every row is then put into the cell of its nearest centre
-and stored with a code of its residual. A query goes to its nearest cells only. Inside a cell codes give approximate
-cosines, and the best of those are scored anew with the vectors themselves. How many cells a query needs for a wanted
-recall is measured when the index is built, by an exact search for a bounded sample of rows.
+Centres of cells are fitted on a bounded sample; every row is then put into the cell of its nearest centre. A query goes to
+its nearest cells only and is scored with the vectors in them. How many cells a query needs for a wanted recall is
+measured when the index is built, by an exact search for a bounded sample of rows.
 """
 
 from __future__ import annotations
@@ -15,28 +14,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataloom.operators.ranking import PART_ROWS, QUERY_BLOCK, STRIP, best_of, matrix_of, vector_search
+from strataloom.operators.ranking import PART_ROWS, STRIP, matrix_of, vector_search
 from strataloom.sources.shared import cut, drop
 
 SAMPLE_ROWS = 20_000
-"""Rows, those with the smallest hashes of their ids, that centres and codewords are fitted on."""
+"""Rows, those with the smallest hashes of their ids, that centres are fitted on."""
 MOST_CELLS = 4096
-CODEWORDS = 256
-PIECE = 4
-"""Dimensions that one byte of a code stands for."""
+QUERY_BLOCK = 16_384
+"""Mean number of queries that one task holds; a row travels once for so many."""
 TRIALS = 200
 """Rows that are searched for exactly to measure recall."""
-KEEP = 8
-"""Rows per wanted result that are scored anew with their vectors, in each cell."""
 
 
 @dataclass
 class VectorIndex:
-    """``rows``: id, grp, cell, code and the unit vector of every row; centres by cell, codewords by piece; cells that a query visits."""
+    """``rows``: id, grp, cell and the unit vector of every row; centres by cell; cells that a query visits."""
 
     rows: DataFrame
     centres: np.ndarray
-    codewords: np.ndarray
     probes: int
 
 
@@ -63,21 +58,12 @@ def means(points: np.ndarray, k: int, rounds: int = 10, spherical: bool = False)
     return centres
 
 
-def coded(residuals: np.ndarray, codewords: np.ndarray) -> np.ndarray:
-    """The nearest codeword of each piece."""
-    out = np.empty((len(residuals), len(codewords)), np.uint8)
-    for p, words in enumerate(codewords):
-        own = residuals[:, p * PIECE : (p + 1) * PIECE]
-        out[:, p] = ((own @ words.T) - 0.5 * (words * words).sum(axis=1)).argmax(axis=1)
-    return out
-
-
 def build_index(rows: DataFrame, k: int = 10, recall: float = 0.95, cells: int | None = None) -> VectorIndex:
     """Index of rows (id, vec, and grp if there is one); rows without an id or a vector are left out.
 
     ``probes`` is the least number of cells that hold the ``recall`` share of the k nearest of sampled rows, measured
-    against an exact search over all rows. Vectors have one length, a multiple of PIECE. The table is written to the
-    shared folder.
+    against an exact search over all rows. Vectors have one length. The table is written to the shared
+    folder.
     """
     grp = F.col("grp") if "grp" in rows.columns else F.lit(0)
     given = rows.where("id is not null and vec is not null").select("id", grp.alias("grp"), "vec")
@@ -85,22 +71,19 @@ def build_index(rows: DataFrame, k: int = 10, recall: float = 0.95, cells: int |
     chosen = given.orderBy(F.xxhash64("id"), "id").limit(min(total, SAMPLE_ROWS)).toArrow()
     sample = matrix_of(chosen["vec"])
     cells = max(1, min(cells or int(2 * total**0.5), MOST_CELLS, len(sample)))
-    centres = means(sample, cells, spherical=True) if len(sample) else np.zeros((1, PIECE))
-    residuals = sample - centres[nearest_centres(sample, centres)[:, 0]] if len(sample) else np.zeros((1, PIECE))
-    codewords = np.stack([means(residuals[:, a : a + PIECE], min(CODEWORDS, len(residuals))) for a in range(0, residuals.shape[1], PIECE)])
+    centres = means(sample, cells, spherical=True) if len(sample) else np.zeros((1, 1))
 
     def place(batches):
         for batch in batches:
             vectors = matrix_of(batch.column(2))
             own = nearest_centres(vectors, centres)[:, 0] if len(vectors) else np.zeros(0, np.int64)
-            codes = coded(vectors - centres[own], codewords) if len(vectors) else np.zeros((0, 1), np.uint8)
             kept = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * vectors.shape[1], pa.int32()), pa.array(vectors.astype(np.float32).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), kept], ["id", "grp", "cell", "code", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32()), kept], ["id", "grp", "cell", "vec"])
 
     kinds = dict(given.dtypes)
-    placed = given.mapInArrow(place, f"id {kinds['id']}, grp {kinds['grp']}, cell int, code binary, vec array<float>")
+    placed = given.mapInArrow(place, f"id {kinds['id']}, grp {kinds['grp']}, cell int, vec array<float>")
     table = cut(placed.repartitionByRange("cell", "id").sortWithinPartitions("cell"))  # a large cell lies in several files; files hold few cells
-    index = VectorIndex(table, centres, codewords, cells)
+    index = VectorIndex(table, centres, cells)
     if total:
         index.probes = probes_for(index, k, recall)
     return index
@@ -120,72 +103,111 @@ def probes_for(index: VectorIndex, k: int, recall: float) -> int:
     return int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))) - 1)]) + 1 if len(depth) else 1
 
 
+def parts_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, pieces) of each cell by its number of rows: cells that follow each other share a part of some PART_ROWS rows, a larger
+    cell has parts of its own from ``first`` on."""
+    first, pieces, at, held = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // PART_ROWS)), 0, 0
+    for cell, n in enumerate(counts):
+        if held and held + n > PART_ROWS:
+            at, held = at + 1, 0
+        first[cell], held = at, held + n
+        if pieces[cell] > 1:
+            at, held = at + pieces[cell], 0
+    return first, pieces
+
+
 def index_search(index: VectorIndex, queries: DataFrame, k: int, floor: float = -2.0, exclude_self: bool = False, within: bool = False, probes: int | None = None) -> DataFrame:
     """(query_id, id, score, rank): like ``vector_search``, over the ``probes`` cells nearest to each query.
 
-    A cell's rows are dealt into parts and its queries into blocks by their counts, so a cell that holds most rows, or
-    that most queries visit, spreads over tasks. With as many probes as cells every row is scored.
+    Rows are dealt into parts of neighbouring cells and queries into blocks, so that a query travels once to a part, with its
+    cells there, and not once to each cell; a cell that holds most rows spreads over parts. A task scores a strip of queries at
+    once with the cells that any of them visits. With as many probes as cells every row is scored.
     """
     many = min(probes or index.probes, len(index.centres))
-    centres, codewords = index.centres, index.codewords
+    centres = index.centres
     grouped = exclude_self or within
+    counts = np.zeros(len(centres), np.int64)
+    for r in index.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # MOST_CELLS rows at most
+        counts[r["cell"]] = r["n"]
+    first, pieces = parts_of(counts)
 
     def visit(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                cells = nearest_centres(matrix_of(part.column(2)), centres, many)
-                again = pa.array(np.repeat(np.arange(part.num_rows), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([*(part.column(n).take(again) for n in range(3)), pa.array(cells.ravel(), pa.int32())], ["query", "of", "asked", "at"])
+                cells = nearest_centres(matrix_of(part.column(2)), centres, many) if counts.any() else np.zeros((part.num_rows, 0), np.int64)
+                row, cell = np.repeat(np.arange(len(cells)), cells.shape[1]), cells.ravel()
+                row, cell = row[counts[cell] > 0], cell[counts[cell] > 0]
+                n = pieces[cell]
+                to = np.repeat(first[cell], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row, cell = np.repeat(row, n), np.repeat(cell, n)
+                order = np.lexsort((to, row))  # stable: the nearest cell comes first
+                row, cell, to = row[order], cell[order].astype(np.int16), to[order]
+                starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (to[1:] != to[:-1])]) if len(row) else np.zeros(0, np.int64)
+                offsets = (2 * np.r_[starts, len(row)]).astype(np.int32)
+                held = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(cell)])
+                again = pa.array(row[starts])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(again) for c in range(3)), pa.array(to[starts]), held], ["query", "of", "asked", "_p", "cells"])
 
     given = queries.where("query_id is not null and vec is not null").select("query_id", (F.col("grp") if grouped else F.lit(0)).alias("of"), "vec")
     kinds = dict(given.dtypes)
-    visits = given.mapInArrow(visit, f"query {kinds['query_id']}, of {kinds['of']}, asked {kinds['vec']}, at int")
-    counts = cut(index.rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("long").alias("_parts")))  # a row a cell
-    asks = cut(visits.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("long").alias("_blocks")))
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    sizes = F.broadcast(counts.join(asks, F.col("cell") == F.col("at")).select("cell", "_parts", "_blocks"))  # MOST_CELLS rows at most
-    own = index.rows.select("id", "grp", "cell", "code", "vec").join(sizes, "cell").withColumn("_part", F.pmod(F.xxhash64("id"), "_parts")).withColumn("_block", upto("_blocks"))
-    sent = visits.withColumnRenamed("at", "cell").join(sizes, "cell").withColumn("_b", F.pmod(F.xxhash64("query"), "_blocks")).withColumn("_p", upto("_parts"))
-    sent = sent.select(F.col("cell").alias("_c"), "_p", "_b", "query", "of", "asked")
+    blocks = max(1, -(-given.count() // QUERY_BLOCK))
+    sent = given.mapInArrow(visit, f"query {kinds['query_id']}, of {kinds['of']}, asked {kinds['vec']}, _p long, cells binary")
+    sent = sent.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    dealt = F.broadcast(index.rows.sparkSession.createDataFrame([(c, int(a), int(n)) for c, (a, n) in enumerate(zip(first, pieces))], "cell int, _first long, _pieces long"))
+    own = index.rows.select("id", "grp", "cell", "vec").join(dealt, "cell").withColumn("_part", F.col("_first") + F.pmod(F.xxhash64("id"), "_pieces"))
+    own = own.select("id", "grp", "cell", "vec", "_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
 
     def best(own: pa.Table, sent: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
         if own.num_rows and sent.num_rows:
-            ids, groups = own["id"].to_numpy(), own["grp"].to_numpy()
-            vectors, codes = matrix_of(own["vec"]), np.frombuffer(b"".join(own["code"].to_pylist()), np.uint8).reshape(own.num_rows, -1)
-            names, theirs, asked = sent["query"].to_numpy(), sent["of"].to_numpy(), matrix_of(sent["asked"])
-            centre = centres[own["cell"][0].as_py()]
-            for a in range(0, len(asked), STRIP):
-                strip = asked[a : a + STRIP]
-                tables = np.einsum("qpd,pwd->qpw", strip.reshape(len(strip), -1, PIECE), codewords)
-                about = strip @ centre[:, None] + sum(tables[:, p, codes[:, p]] for p in range(codes.shape[1]))
-                for q, of, vector, row in zip(names[a : a + STRIP], theirs[a : a + STRIP], strip, about):
-                    ok = groups != of if exclude_self else (groups == of) & (ids != q) if within else np.ones(len(ids), bool)
-                    where = np.flatnonzero(ok)
-                    if len(where) > KEEP * k:
-                        where = where[np.argpartition(-row[where], KEEP * k)[: KEEP * k]]
-                    score = np.round(vectors[where] @ vector, 4)
-                    where, score = where[score >= floor], score[score >= floor]
-                    top = best_of(score, ids[where], k)
-                    out.append((np.full(len(top), q), ids[where[top]], score[top]))
+            order = np.argsort(own["cell"].to_numpy(), kind="stable")
+            ids, groups, matrix = own["id"].to_numpy()[order], own["grp"].to_numpy()[order], matrix_of(own["vec"])[order]
+            held, lengths = np.unique(own["cell"].to_numpy(), return_counts=True)
+            names, theirs = sent["query"].to_numpy(), sent["of"].to_numpy()
+            cells = [np.frombuffer(x, np.int16) for x in sent["cells"].to_pylist()]
+            near = np.argsort([c[0] for c in cells], kind="stable")  # queries of one cell visit much the same cells
+            for a in range(0, len(near), STRIP):
+                strip = near[a : a + STRIP]
+                flat = np.concatenate([cells[q] for q in strip])
+                row, known = np.repeat(np.arange(len(strip)), [len(cells[q]) for q in strip]), np.isin(flat, held)
+                visits = np.zeros((len(strip), len(held)), bool)
+                visits[row[known], np.searchsorted(held, flat[known])] = True
+                some = visits.any(axis=0)
+                columns = np.flatnonzero(np.repeat(some, lengths))
+                if not len(columns):
+                    continue
+                scores = np.round(matrix_of(sent["asked"].take(pa.array(strip))) @ matrix[columns].T, 4)
+                ok = np.repeat(visits[:, some], lengths[some], axis=1) & (scores >= floor)
+                if exclude_self:
+                    ok &= groups[columns] != theirs[strip][:, None]
+                if within:
+                    ok &= (groups[columns] == theirs[strip][:, None]) & (ids[columns] != names[strip][:, None])
+                scores[~ok] = -np.inf
+                if len(columns) > k:
+                    ok &= scores >= np.partition(scores, len(columns) - k, axis=1)[:, len(columns) - k, None]
+                q, at = np.nonzero(ok)
+                score, found = scores[q, at], ids[columns[at]]
+                order = np.lexsort((found, -score, q))
+                q, score, found = q[order], score[order], found[order]
+                begins = np.searchsorted(q, q)  # where the query's results begin
+                top = np.arange(len(q)) - begins < k
+                out.append((names[strip[q[top]]], found[top], score[top]))
         return pa.table(dict(zip(("query_id", "id", "score"), (np.concatenate(c) for c in zip(*out)))))
 
-    found = own.groupBy("cell", "_part", "_block").cogroup(sent.groupBy("_c", "_p", "_b")).applyInArrow(best, "query_id long, id long, score double")
+    found = own.groupBy("_part", "_block").cogroup(sent.groupBy("_p", "_b")).applyInArrow(best, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def save_index(index: VectorIndex, path: str) -> None:
-    """Writes an index to a folder: its rows, and its centres and codewords as rows of their own."""
+    """Writes an index to a folder: its rows, and its centres as rows of their own."""
     spark = index.rows.sparkSession
     index.rows.write.mode("overwrite").parquet(f"{path}/rows")
-    parts = [(-1, n, c.tolist()) for n, c in enumerate(index.centres)] + [(p, n, w.tolist()) for p, words in enumerate(index.codewords) for n, w in enumerate(words)]
-    spark.createDataFrame([(*x, index.probes) for x in parts], "piece int, n int, vec array<double>, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+    parts = [(n, c.tolist(), index.probes) for n, c in enumerate(index.centres)]
+    spark.createDataFrame(parts, "n int, vec array<double>, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
 
 
 def load_index(spark: SparkSession, path: str) -> VectorIndex:
-    parts = spark.read.parquet(f"{path}/centres").orderBy("piece", "n").collect()  # MOST_CELLS and CODEWORDS a piece
-    pieces = sorted({r["piece"] for r in parts} - {-1})
-    of = lambda piece: np.array([r["vec"] for r in parts if r["piece"] == piece])
-    return VectorIndex(spark.read.parquet(f"{path}/rows"), of(-1), np.stack([of(p) for p in pieces]), parts[0]["probes"])
+    parts = spark.read.parquet(f"{path}/centres").orderBy("n").collect()  # MOST_CELLS rows
+    return VectorIndex(spark.read.parquet(f"{path}/rows"), np.array([r["vec"] for r in parts]), parts[0]["probes"])

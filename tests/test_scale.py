@@ -230,3 +230,25 @@ def test_text_index_shuffles_postings_once(spark, tmp_path, monkeypatch):
     want = [(1, round(score(12, 2, 5) + score(1, 2, 5), 6)), (2, round(score(12, 1, 1), 6))] + [(k, round(score(12, 1, 2), 6)) for k in range(10, 20)]
     asked = spark.createDataFrame([(0, "A"), (0, "b"), (0, "none")], "query_id long, term string")
     assert [(x.doc, x.score) for x in T.search_index(spark, str(tmp_path), asked, 20).orderBy("rank").collect()] == want
+
+
+def test_index_queries_travel_once_to_a_part(spark, monkeypatch):
+    """Over all cells the index gives what the exact search gives, in parts and blocks of any size; a query is not sent to each cell."""
+    from strataloom.operators import ranking as R
+    from strataloom.operators import vector_index as I
+
+    r = np.random.default_rng(6)
+    rows = spark.createDataFrame([(k, k % 3, [float(x) for x in r.normal(size=6)]) for k in range(400)], "id long, grp int, vec array<float>")
+    index = I.build_index(rows, k=5, cells=40)
+    asked = rows.withColumnRenamed("id", "query_id").where("query_id % 4 = 0")
+    monkeypatch.setattr(I, "PART_ROWS", 150)
+    monkeypatch.setattr(I, "QUERY_BLOCK", 30)
+    assert [x.tolist() for x in I.parts_of(np.array([100, 40, 20, 0, 400, 7]))] == [[0, 0, 1, 1, 2, 5], [1, 1, 1, 1, 3, 1]]
+    sent = []
+    for options in ({}, {"exclude_self": True, "floor": 0.6}, {"within": True}):
+        found = I.index_search(index, asked, 5, probes=40, **options)
+        got = sorted((x.query_id, x["rank"], round(x.score, 3)) for x in found.collect())
+        want = sorted((x.query_id, x["rank"], round(x.score, 3)) for x in R.vector_search(rows, asked, 5, **options).collect())
+        assert len(got) == len(want) and sum(abs(a[2] - b[2]) > 0.0011 or a[:2] != b[:2] for a, b in zip(got, want)) == 0
+        sent.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert all("cells" in plan for plan in sent)
