@@ -252,3 +252,15 @@ def test_index_queries_travel_once_to_a_part(spark, monkeypatch):
         assert len(got) == len(want) and sum(abs(a[2] - b[2]) > 0.0011 or a[:2] != b[:2] for a, b in zip(got, want)) == 0
         sent.append(found._jdf.queryExecution().optimizedPlan().toString())
     assert all("cells" in plan for plan in sent)
+
+
+def test_router_looks_at_asked_texts_only(spark):
+    """With a condition on the documents the asked ones' routes stay, and no other text is scanned."""
+    from strataloom.plans import vectors as W
+    from strataloom.plans.registry import Graph
+
+    g = Graph(spark, "/root/testdata/sf0.001")
+    rows = W.asked(g).select(F.col("query_id").alias("id"), "vec")
+    few = W.routed(g, rows, F.col("doc_id") % W.QUERY_STEP == 0)
+    assert sorted(few.collect()) == sorted(W.routed(g, rows).collect())
+    assert "doc_id" in few._jdf.queryExecution().optimizedPlan().toString().split("% 20")[0]
