@@ -265,3 +265,30 @@ def test_router_looks_at_asked_texts_only(spark):
     few = W.routed(g, rows, F.col("doc_id") % W.QUERY_STEP == 0)
     assert sorted(few.collect()) == sorted(W.routed(g, rows).collect())
     assert re.search(r"doc_id#\d+L? % 20", few._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_sieve(spark):
+    """What is wanted stays, of a hundred times as much hardly anything else does; numbers of another width are the same numbers."""
+    rows = spark.range(-100_000, 100_000).select(F.col("id").alias("chunk_id"), F.lit(1).alias("n"))
+    wanted = spark.range(0, 100_000, 100).select(F.col("id").cast("int").alias("x")).union(spark.createDataFrame([(None,), (7,), (7,)], "x int"))
+    got = G.sieved(rows, "chunk_id", wanted)
+    kept = {x.chunk_id for x in got.collect()}
+    assert got.columns == rows.columns and got.count() == len(kept)
+    assert {7, *range(0, 100_000, 100)} <= kept and len(kept) < 1_300
+    assert G.sieved(rows, "chunk_id", wanted.where("x < 0")).count() == 0
+
+
+def test_reached_by_chunks_of_a_size(spark):
+    """Chunks of a size carry on, others do not and are left out; repeated mentions count once. Few links make one part."""
+    r = np.random.default_rng(7)
+    sets = {c: {int(e) for e in r.integers(0, 60, r.integers(1, 6))} for c in range(40)} | {99: set(range(30, 90))}
+    rows = spark.createDataFrame([(c, e) for c, es in sets.items() for e in es] * 2, "chunk_id long, entity_id long")
+    known, front = {3}, {3}
+    while front:
+        front = {e for es in sets.values() if 2 <= len(es) <= 4 and es & known for e in es} - known
+        known |= front
+    want = {(c, e) for c, es in sets.items() if 2 <= len(es) <= 4 and es & known for e in es}
+    got = [tuple(x) for x in G.reached(rows, spark.createDataFrame([(3,)], "node long"), sizes=(2, 4)).collect()]
+    assert sorted(got) == sorted(want)
+    edges = spark.createDataFrame([(1, 2), (2, 1), (8, 9)], "a long, b long")
+    assert len({x.part for x in G.parts_of(edges, spark.createDataFrame([(n,) for n in (1, 2, 8, 9)], "node long")).collect()}) == 1
