@@ -292,3 +292,15 @@ def test_reached_by_chunks_of_a_size(spark):
     assert sorted(got) == sorted(want)
     edges = spark.createDataFrame([(1, 2), (2, 1), (8, 9)], "a long, b long")
     assert len({x.part for x in G.parts_of(edges, spark.createDataFrame([(n,) for n in (1, 2, 8, 9)], "node long")).collect()}) == 1
+
+
+def test_scores_send_vectors_once(spark):
+    """Thousands of queries are one block, and only mentions that can match are shuffled."""
+    from strataloom.operators import retrieval as P
+
+    rows = spark.range(5000).select(F.col("id").alias("chunk_id"), F.col("id").alias("entity_id"))
+    entities = spark.createDataFrame([(3, [1.0, 0.0]), (4, [0.6, 0.8])], "id long, vec array<double>")
+    asked = spark.range(3000).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vec"))
+    found = P.graph_scores(entities, rows, asked, 0.5)
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().optimizedPlan().toString() and P.SCORED_QUERIES > 3000
+    assert {(x.chunk_id, x.score, x.n) for x in found.groupBy("chunk_id", "score").agg(F.count(F.lit(1)).alias("n")).collect()} == {(3, 1.0, 3000), (4, 0.6, 3000)}
