@@ -22,6 +22,14 @@ SAMPLE_ROWS = 20_000
 MOST_CELLS = 4096
 QUERY_BLOCK = 16_384
 """Mean number of queries that one task holds; a row travels once for so many."""
+SEGMENT = 16
+"""Rows of a cell of which the best alone is compared at first."""
+REACH = 2e-4
+"""Below a bound in single precision, what may still round to as much in four digits."""
+NOWHERE = -3.0
+"""A score below every cosine."""
+EXACT = 65_536
+"""Pairs that are scored in double precision at once."""
 TRIALS = 200
 """Rows that are searched for exactly to measure recall."""
 
@@ -116,6 +124,78 @@ def parts_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, pieces
 
 
+def in_groups(mine: np.ndarray, theirs: np.ndarray):
+    """(places in mine, places in theirs) of each group that is in both."""
+    places = lambda held: dict(zip((u := np.unique(held, return_counts=True))[0].tolist(), np.split(np.argsort(held, kind="stable"), np.cumsum(u[1])[:-1])))
+    own, other = places(mine), places(theirs)
+    return [(own[g], other[g]) for g in own.keys() & other.keys() if g == g]
+
+
+def closest(ids, groups, cells, matrix, names, theirs, asked, visits, k: int, floor: float, exclude_self: bool, without_own: bool) -> list[tuple]:
+    """(query, id, score), a tuple of arrays a strip: the k best rows of the cells that each query visits, unit vectors all.
+
+    Rows are laid in segments of one cell. A strip's scores are made at once in single precision; the k-th largest of the
+    segments' best bounds what can be among a query's k best, so only a few segments are looked into. What is in reach of the bound is
+    scored anew in double precision, so rounded scores, the floor and ties are exact.
+    """
+    order = np.argsort(cells, kind="stable")
+    held, lengths = np.unique(cells, return_counts=True)
+    room = -(-lengths // SEGMENT) * SEGMENT
+    at = np.repeat(np.cumsum(room) - room - np.cumsum(lengths) + lengths, lengths) + np.arange(len(ids))
+    row, laid = np.full(room.sum(), -1), np.zeros((room.sum(), matrix.shape[1]), np.float32)
+    row[at], laid[at] = order, matrix[order]
+    of, local = np.repeat(np.arange(len(held)), room // SEGMENT), np.full(MOST_CELLS, -1)
+    local[held] = np.arange(len(held))
+    same = lambda keys, wanted: (keys[1], np.searchsorted(keys[0], wanted), np.searchsorted(keys[0], wanted, "right"))
+    sort = np.argsort(kind := ids[order] if without_own else groups[order], kind="stable") if without_own or exclude_self else None
+    keys = None if sort is None else (kind[sort], at[sort])
+    near, out = np.argsort([c[0] for c in visits], kind="stable"), []  # queries of one cell visit much the same cells
+    for a in range(0, len(near), STRIP):
+        strip = near[a : a + STRIP]
+        seen = local[np.concatenate([visits[q] for q in strip])]
+        query = np.repeat(np.arange(len(strip)), [len(visits[q]) for q in strip])[seen >= 0]
+        visited = np.zeros((len(held), len(strip)), bool)
+        visited[seen[seen >= 0], query] = True
+        segments = np.flatnonzero(visited.any(axis=1)[of])
+        if not len(segments):
+            continue
+        if len(segments) > 0.8 * len(of):
+            segments, place, part = np.arange(len(of)), None, laid
+        else:
+            part = laid.reshape(len(of), SEGMENT, -1)[segments].reshape(len(segments) * SEGMENT, -1)
+            place = np.full(len(of), -1)
+            place[segments] = np.arange(len(segments))
+        lies = lambda x, place=place: x if place is None else np.where(place[x // SEGMENT] < 0, -1, place[x // SEGMENT] * SEGMENT + x % SEGMENT)
+        scores = part @ asked[strip].astype(np.float32).T
+        rows = row.reshape(-1, SEGMENT)[segments]
+        scores[rows.ravel() < 0] = NOWHERE
+        if keys is not None:
+            wanted, which = np.unique(names[strip] if without_own else theirs[strip], return_inverse=True)
+            places, start, stop = same(keys, wanted)
+            for g in np.flatnonzero((stop > start) & (wanted == wanted)):
+                gone = lies(places[start[g] : stop[g]])
+                scores[np.ix_(gone[gone >= 0], np.flatnonzero(which == g))] = NOWHERE
+        cube = scores.reshape(len(segments), SEGMENT, len(strip))
+        top = np.where(visited[of[segments]], cube.max(axis=1), NOWHERE)
+        limit = np.full(len(strip), floor)
+        if len(segments) > k:
+            limit = np.maximum(limit, np.partition(np.ascontiguousarray(top.T), len(segments) - k, axis=1)[:, len(segments) - k])
+        limit -= REACH
+        seg, q = np.nonzero(top >= limit)
+        one, offset = np.nonzero(cube[seg, :, q] >= limit[q, None])
+        seg, q = seg[one], q[one]
+        found = rows[seg, offset]
+        score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", matrix[found[x : x + EXACT]], asked[strip[q[x : x + EXACT]]]) for x in range(0, len(found), EXACT))])
+        score = np.round(score, 4)
+        good = score >= floor
+        q, score, found = q[good], score[good], ids[found[good]]
+        order_ = np.lexsort((found, -score, q))
+        q, score, found = q[order_], score[order_], found[order_]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k  # since the query's results begin
+        out.append((names[strip[q[first]]], found[first], score[first]))
+    return out
+
+
 def index_search(index: VectorIndex, queries: DataFrame, k: int, floor: float = -2.0, exclude_self: bool = False, within: bool = False, probes: int | None = None) -> DataFrame:
     """(query_id, id, score, rank): like ``vector_search``, over the ``probes`` cells nearest to each query.
 
@@ -161,38 +241,11 @@ def index_search(index: VectorIndex, queries: DataFrame, k: int, floor: float =
     def best(own: pa.Table, sent: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
         if own.num_rows and sent.num_rows:
-            order = np.argsort(own["cell"].to_numpy(), kind="stable")
-            ids, groups, matrix = own["id"].to_numpy()[order], own["grp"].to_numpy()[order], matrix_of(own["vec"])[order]
-            held, lengths = np.unique(own["cell"].to_numpy(), return_counts=True)
-            names, theirs = sent["query"].to_numpy(), sent["of"].to_numpy()
-            cells = [np.frombuffer(x, np.int16) for x in sent["cells"].to_pylist()]
-            near = np.argsort([c[0] for c in cells], kind="stable")  # queries of one cell visit much the same cells
-            for a in range(0, len(near), STRIP):
-                strip = near[a : a + STRIP]
-                flat = np.concatenate([cells[q] for q in strip])
-                row, known = np.repeat(np.arange(len(strip)), [len(cells[q]) for q in strip]), np.isin(flat, held)
-                visits = np.zeros((len(strip), len(held)), bool)
-                visits[row[known], np.searchsorted(held, flat[known])] = True
-                some = visits.any(axis=0)
-                columns = np.flatnonzero(np.repeat(some, lengths))
-                if not len(columns):
-                    continue
-                scores = np.round(matrix_of(sent["asked"].take(pa.array(strip))) @ matrix[columns].T, 4)
-                ok = np.repeat(visits[:, some], lengths[some], axis=1) & (scores >= floor)
-                if exclude_self:
-                    ok &= groups[columns] != theirs[strip][:, None]
-                if within:
-                    ok &= (groups[columns] == theirs[strip][:, None]) & (ids[columns] != names[strip][:, None])
-                scores[~ok] = -np.inf
-                if len(columns) > k:
-                    ok &= scores >= np.partition(scores, len(columns) - k, axis=1)[:, len(columns) - k, None]
-                q, at = np.nonzero(ok)
-                score, found = scores[q, at], ids[columns[at]]
-                order = np.lexsort((found, -score, q))
-                q, score, found = q[order], score[order], found[order]
-                begins = np.searchsorted(q, q)  # where the query's results begin
-                top = np.arange(len(q)) - begins < k
-                out.append((names[strip[q[top]]], found[top], score[top]))
+            rows = (own["id"].to_numpy(), own["grp"].to_numpy(), own["cell"].to_numpy(), matrix_of(own["vec"]))
+            asked = (sent["query"].to_numpy(), sent["of"].to_numpy(), matrix_of(sent["asked"]), [np.frombuffer(x, np.int16) for x in sent["cells"].to_pylist()])
+            for mine, theirs in in_groups(rows[1], asked[1]) if within else [(slice(None), slice(None))]:
+                few = np.arange(len(asked[0]))[theirs]
+                out += closest(*(x[mine] for x in rows), *(x[theirs] for x in asked[:3]), [asked[3][q] for q in few], k, floor, exclude_self, within)
         return pa.table(dict(zip(("query_id", "id", "score"), (np.concatenate(c) for c in zip(*out)))))
 
     found = own.groupBy("_part", "_block").cogroup(sent.groupBy("_p", "_b")).applyInArrow(best, "query_id long, id long, score double")

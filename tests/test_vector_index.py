@@ -82,3 +82,29 @@ def test_document_links(spark):
     want = {(r.a, r.b): r["count"] for r in pairs.collect() if r["count"] >= 5}
     assert sum(min(got.get(k, 0), n) for k, n in want.items()) >= 0.9 * sum(want.values())
     assert recall(QUERIES["join_15_index_links"](spark, DATA).withColumnRenamed("a", "query_id"), QUERIES["join_15_links_in_document"](spark, DATA).toDF("query_id", "id", "score")) >= 0.9
+
+
+@pytest.mark.parametrize("copies", [0, 300])
+def test_closest(monkeypatch, copies):
+    """A part's best rows against all products: visited cells, groups, own rows, ties of copies; few pairs are scored twice."""
+    r = np.random.default_rng(1)
+    matrix = r.normal(size=(1500, 16))
+    matrix[:copies] = matrix[0]
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    ids, groups, cells = r.permutation(1500) + 10, r.integers(0, 4, 1500), r.integers(3, 40, 1500)
+    names, theirs, asked = ids[:300], groups[:300], matrix[:300]
+    visits = [r.permutation(45)[: r.integers(1, 30)].astype(np.int16) for _ in names]
+    scored, product = [], np.einsum
+    monkeypatch.setattr(I.np, "einsum", lambda how, a, b: scored.append(len(a)) or product(how, a, b))
+    for excluded, others in ((False, False), (True, False), (False, True)):
+        for k, floor in ((5, 0.25), (5, -2.0), (100, -2.0)):
+            scored.clear()
+            got = [(int(q), int(i), float(s)) for x in I.closest(ids, groups, cells, matrix, names, theirs, asked, visits, k, floor, excluded, others) for q, i, s in zip(*x)]
+            want = set()
+            for q in range(300):
+                score = np.round(matrix @ asked[q], 4)
+                ok = np.isin(cells, visits[q]) & (score >= floor) & ((groups != theirs[q]) | (not excluded)) & ((ids != names[q]) | (not others))
+                at = np.flatnonzero(ok)
+                want |= {(int(names[q]), int(ids[i]), float(score[i])) for i in at[np.lexsort((ids[at], -score[at]))][:k]}
+            assert len(got) == len(set(got)) and len(set(got) ^ want) <= 0.002 * len(want)
+            assert copies or k > 5 or sum(scored) < 0.02 * 1500 * 300
