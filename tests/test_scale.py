@@ -304,3 +304,34 @@ def test_scores_send_vectors_once(spark):
     found = P.graph_scores(entities, rows, asked, 0.5)
     assert "FlatMapCoGroups" not in found._jdf.queryExecution().optimizedPlan().toString() and P.SCORED_QUERIES > 3000
     assert {(x.chunk_id, x.score, x.n) for x in found.groupBy("chunk_id", "score").agg(F.count(F.lit(1)).alias("n")).collect()} == {(3, 1.0, 3000), (4, 0.6, 3000)}
+
+
+def test_ranks_by_mentions(spark):
+    """Ranks over chunks' sums are those over a row a pair, settled in as many rounds; chunks that are too large, repeated mentions, seeds
+    without a link, and no seeds."""
+    r = np.random.default_rng(8)
+    sets = {c: {int(e) for e in r.integers(0, 80, r.integers(1, 6))} for c in range(90)} | {200: set(range(70, 120)), 201: {300, 301}}
+    rows = spark.createDataFrame([(c, e) for c, es in sets.items() for e in es] * 2, "chunk_id long, entity_id long")
+    pairs = G.co_occurrence(rows, 2, 4).select("a", "b", F.col("shared").cast("double").alias("weight"))
+    for seeds, tolerance in (([3, 5, 119, 999], 1e-6), ([3], 1e-3), ([300], 1e-6), ([999], 1e-6)):
+        frame = spark.createDataFrame([(n,) for n in seeds], "node long")
+        want = {x.node: x.score for x in G.page_rank(G.both_ways(pairs), frame, tolerance=tolerance).collect() if x.score > 0}
+        got = {x.node: x.score for x in G.mention_ranks(rows, frame, (2, 4), tolerance=tolerance).collect() if abs(x.score) > 1e-12}
+        assert got.keys() == want.keys() and all(abs(got[n] - s) < 1e-12 for n, s in want.items())
+    assert len(want) == 0
+
+
+def test_ranked_chunks_make_no_row_a_pair(spark, monkeypatch):
+    """The ranked chunks need no pairs of entities, and a document's chunks with and without entities are counted."""
+    from strataloom.plans.registry import Graph
+
+    monkeypatch.setattr(G, "co_occurrence", None)
+    data = "/root/testdata/sf0.001"
+    assert QUERIES["grf_3_ranked_chunks"](spark, data).count() > 0
+    g = Graph(spark, data)
+    has = {x.chunk_id for x in g.contains().collect()}
+    want = {}
+    for x in g.chunks().select("chunk_id", "doc_id").collect():
+        n, m = want.get(x.doc_id, (0, 0))
+        want[x.doc_id] = (n + 1, m + (x.chunk_id in has))
+    assert {x.doc_id: (x.chunks, x.kept) for x in g.owners().collect()} == want
