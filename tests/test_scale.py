@@ -335,3 +335,28 @@ def test_ranked_chunks_make_no_row_a_pair(spark, monkeypatch):
         n, m = want.get(x.doc_id, (0, 0))
         want[x.doc_id] = (n + 1, m + (x.chunk_id in has))
     assert {x.doc_id: (x.chunks, x.kept) for x in g.owners().collect()} == want
+
+
+def test_rank_blocks_of_a_session_that_deals_finer(spark, monkeypatch):
+    """Links travel for as many blocks of seed sets as their number asks for, into however many partitions a session deals them."""
+    frame, cut, blocks = type(spark.range(0)), G.cut, set()
+    deal = frame.repartitionByRange
+
+    def seen(df):
+        table = cut(df)
+        if table.columns == ["part", "block"]:
+            blocks.update(x.block for x in table.collect())
+        return table
+
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *cols: deal(self, max(n, 40), *cols))
+    monkeypatch.setattr(G, "cut", seen)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.createDataFrame([(a, b, 1.0) for a in range(100) for b in ((a + 1) % 100, (a - 1) % 100)], "a long, b long, weight double")
+        rows = G.page_ranks(edges, spark.range(100).select(F.col("id").alias("query_id"), F.col("id").alias("node")), best=1).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert blocks == {0, 1} and {(x.query_id, x.node) for x in rows} == {(n, n) for n in range(100)}
